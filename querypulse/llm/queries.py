@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .media import decode_tiff, encode_payloads
 from .tokens import prefix_token_counts
 
 
@@ -21,8 +22,20 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), F.col("cuts")[0].alias("cut_chars"))
 
 
+def op2_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text stored as a TIFF of deflate strips with the horizontal predictor, read back page by page."""
+    media = encode_payloads(table(spark, sf_dir, "documents"))
+    pages = decode_tiff(media, keep=("doc_id", "n_bytes", "media"))
+    return pages.select(
+        "doc_id", "n_bytes", F.octet_length("page.pixels").cast("long").alias("payload_bytes"), F.sha2("page.pixels", 256).alias("payload_sha256"),
+        F.crc32(F.substring("page.pixels", -64, 64)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
+        F.format_string("%dx%dx%d %s/%d mean=%.6f entropy=%.6f", "page.width", "page.height", "page.samples", "page.compression", "page.blocks", "page.mean", "page.entropy").alias("feature"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_tiff_pages": op2_tiff_pages,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .media import decode_tiff, encode_payloads
+from .packing import pack_hierarchical
 from .tokens import prefix_token_counts
 
 
@@ -33,9 +34,15 @@ def op2_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in windows of 2048 ids."""
+    return pack_hierarchical(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=2048, tiers=(256, 512, 1024), end_id=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_tiff_pages": op2_tiff_pages,
+    "op3_packing": op3_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}

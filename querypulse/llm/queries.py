@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .media import decode_tiff, encode_payloads
 from .packing import pack_hierarchical
 from .tokens import prefix_token_counts
+from .toxicity import fit_toxicity, score_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,10 +41,30 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_hierarchical(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=2048, tiers=(256, 512, 1024), end_id=1)
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20, found by greedy search of the neighbour graph of all vectors."""
+    return nearest(table(spark, sf_dir, "embeddings"), every=20, top=20)
+
+
+def toxicity_fold(id_col: str = "doc_id") -> Column:
+    """The fold of a document, 0 to 3; labels of fold 2 are never learned from."""
+    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text, learned from the labels outside of the held-out fold."""
+    docs, held_out = table(spark, sf_dir, "documents"), toxicity_fold() == 2
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = score_toxicity(docs.select("doc_id", "text"), model, threshold=0.3)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "toxicity.score", "toxicity.predicted", "toxicity.n_words", F.size("toxicity.hits").alias("n_hits"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_tiff_pages": op2_tiff_pages,
     "op3_packing": op3_packing,
+    "op8_nearest": op8_nearest,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from .media import decode_tiff, encode_payloads
+from .ngram_join import ngram_components
 from .packing import pack_hierarchical
 from .tokens import prefix_token_counts
 from .toxicity import fit_toxicity, score_toxicity
@@ -41,6 +42,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_hierarchical(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=2048, tiers=(256, 512, 1024), end_id=1)
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share at least 85 % of their 4-word shingles."""
+    return ngram_components(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every vector whose id is divisible by 20, found by greedy search of the neighbour graph of all vectors."""
     return nearest(table(spark, sf_dir, "embeddings"), every=20, top=20)
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_tiff_pages": op2_tiff_pages,
     "op3_packing": op3_packing,
+    "op5_ngram_join": op5_ngram_join,
     "op8_nearest": op8_nearest,
     "op10_toxicity": op10_toxicity,
 }

@@ -28,7 +28,7 @@ from .shipping import ship, texts
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Chunks that a worker remembers; beyond that it starts anew, which costs time and changes no result.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 #: A chunk of more characters is counted on its own and not remembered.
 LONG_CHUNK = 4_000
 
@@ -67,13 +67,17 @@ class PrefixCounter:
         old = unicodedata.ucd_3_2_0
         self.newer = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in runs(c for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and old.category(chr(c)) == "Cn")) + "]")
         self.kinds: dict[str, str] = {}
+        #: For tokens that one merge makes: its rank and the two parts. Bytes have no parts and come before any merge.
+        self.made = {new: (rank, a, b) for (a, b), (rank, new) in self.merges.items()}
+        self.single = len(self.made) == len(self.merges)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.longest = max(map(len, self.vocab))
         self.pattern, self.blank = regex.compile(PATTERN), regex.compile(r"\s+")
         self.fits: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
         self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.tables: dict[bytes, tuple[array, array]] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """Plain BPE by rank; used on two tokens at a time only."""
@@ -85,12 +89,34 @@ class PrefixCounter:
             ids[at : at + 2] = [self.merges[ids[at], ids[at + 1]][1]]
         return ids
 
-    def piece(self, text: str) -> list[int]:
-        """Counts at each character prefix (from 1) of one piece."""
+    def fit(self, left: int, right: int) -> bool:
+        """Whether BPE keeps the boundary between two tokens: merges are undone from the latest on, and none across the boundary may come before them."""
+        if not self.single:
+            return self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+        limit = 1 << 60  # a merge across the boundary counts only if it comes before those that are undone already
+        while True:
+            across = self.merges.get((left, right))
+            if across and across[0] < limit:
+                return False
+            a, b = self.made.get(left), self.made.get(right)
+            if a is None and b is None:
+                return True
+            if b is None or a is not None and a[0] > b[0]:
+                limit, left = a[0], a[2]
+            else:  # of equal ranks the left one is merged first, so the right one is undone first
+                limit, right = b[0] + 1, b[1]
+
+    def piece(self, text: str) -> tuple[int, ...]:
+        """Counts at each character prefix (from 1) of one piece. The table of a known shorter prefix is taken up where it ends."""
         data = text.encode()
         n, vocab, fits = len(data), self.vocab, self.fits
-        last, count = [-1] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
+        last, count = array("i", (-1,)), array("i", (0,))  # arrays, so that the collector has nothing to walk
+        for k in range(n - 1, max(1, n - 12), -1):
+            found = self.tables.get(data[:k])
+            if found is not None:
+                last, count = found[0][:], found[1][:]
+                break
+        for end in range(len(count), n + 1):
             for start in range(max(0, end - self.longest), end):
                 token = vocab.get(data[start:end])
                 if token is None:
@@ -105,14 +131,18 @@ class PrefixCounter:
                 else:
                     ok = fits.get((before, token))
                     if ok is None:
-                        ok = fits[before, token] = self.merged(self.bytes_of[before] + data[start:end]) == [before, token]
+                        ok = fits[before, token] = self.fit(before, token)
                 if ok:
-                    last[end], count[end] = token, count[start] + 1
+                    last.append(token)
+                    count.append(count[start] + 1)
                     break
+        if n <= 48:
+            if len(self.tables) >= REMEMBERED // 2:
+                self.tables.clear()
+            self.tables[data] = last, count
         if n == len(text):
-            return count[1:]
-        ends = np.cumsum([len(c.encode()) for c in text])
-        return [count[e] for e in ends.tolist()]
+            return tuple(count[1:])
+        return tuple(count[e] for e in range(1, n + 1) if e == n or data[e] & 0xC0 != 0x80)
 
     def shape(self, text: str) -> str:
         """The text with characters that are newer than Unicode 3.2 as a letter, digit or mark, whichever the library takes them for."""
@@ -126,12 +156,12 @@ class PrefixCounter:
 
         return self.newer.sub(kind, text)
 
-    def known(self, piece: str) -> list[int]:
+    def known(self, piece: str) -> tuple[int, ...]:
         found = self.pieces.get(piece)
         if found is None:
             found = self.piece(piece)
             if len(piece) <= 64:
-                if len(self.pieces) >= REMEMBERED:
+                if len(self.pieces) >= REMEMBERED // 2:
                     self.pieces.clear()
                 self.pieces[piece] = found
         return found
@@ -162,7 +192,9 @@ class PrefixCounter:
 
     def chunk(self, text: str) -> bytes:
         """Counts of a chunk of prefixes(), as unsigned 16-bit numbers: white space stands only before its first word."""
-        if "'" in text or not text.isascii():
+        if text[1:].isalpha() and text[0] == " ":
+            return array("H", self.known(text)).tobytes()
+        if "'" in text:
             return array("H", self.ordinary(text).tolist()).tobytes()
         counts: list[int] = []
         for word in self.pattern.findall(text):
@@ -171,7 +203,7 @@ class PrefixCounter:
                 total = counts[-1]
                 counts += [total + x for x in found]
             else:
-                counts = found.copy()
+                counts = list(found)
         return array("H", counts).tobytes()
 
     def prefixes(self, text: str) -> np.ndarray:
@@ -179,7 +211,7 @@ class PrefixCounter:
         if not text:
             return np.zeros(0, np.int64)
         words = text.split()
-        if any(s in text for s in self.special) or words != text.replace("\n", " ").split(" ") or max(map(len, words)) > LONG_CHUNK:
+        if any(s in text for s in self.special) or words != text.replace("\n", " ").split(" ") or max(map(len, words)) > LONG_CHUNK or not text.isascii() and self.newer.search(text):
             return self.mixed(text)
         # Only single blanks and line ends between words: pieces never cross them, so the text falls into chunks that repeat.
         first, *rest = text.replace("\n", " \n").split(" ")

@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import nearest
+from .line_dedup import dedup_lines
 from .media import decode_tiff, encode_payloads
+from .mixing import mix_sources
 from .ngram_join import ngram_components
 from .packing import pack_hierarchical
+from .quotes import unquoted_conversations
 from .tokens import prefix_token_counts
 from .toxicity import fit_toxicity, score_toxicity
 
@@ -42,11 +45,26 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_hierarchical(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=2048, tiers=(256, 512, 1024), end_id=1)
 
 
+def op4_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages without quotes, in the order of replies."""
+    return unquoted_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share at least 85 % of their 4-word shingles."""
     return ngram_components(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sources mixed to 95 % of the highest entropy, none repeated more than four times, with as many tokens as let every document in once."""
+    return mix_sources(table(spark, sf_dir, "documents"), target_entropy=0.95, max_repeats=4.0)
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that repeat an earlier one, up to one edit."""
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), max_edits=1, min_chars=30).withColumnRenamed("_lines_removed", "lines_removed")
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every vector whose id is divisible by 20, found by greedy search of the neighbour graph of all vectors."""
     return nearest(table(spark, sf_dir, "embeddings"), every=20, top=20)
@@ -69,7 +87,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_tiff_pages": op2_tiff_pages,
     "op3_packing": op3_packing,
+    "op4_quote_linking": op4_quote_linking,
     "op5_ngram_join": op5_ngram_join,
+    "op6_mixing": op6_mixing,
+    "op7_line_dedup": op7_line_dedup,
     "op8_nearest": op8_nearest,
     "op10_toxicity": op10_toxicity,
 }

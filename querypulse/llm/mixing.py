@@ -10,7 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shipping import stored
+
 STEPS = 60
+#: So many sources' numbers are broadcast (about 100 bytes each); more are joined.
+BROADCAST_SOURCES = 100_000
 
 
 def words_by_blanks(text: Column) -> Column:
@@ -95,7 +99,8 @@ def mix_sources(
     plan = temperature_weights(totals, budget, target_entropy, max_repeats).select(
         F.col("source").alias("_s"), F.greatest(F.lit(1), F.ceil(F.col("tokens") / block_tokens)).alias("_blocks"), F.floor(F.col("target_tokens") / F.col("tokens")).alias("_full"), (F.col("target_tokens") % F.col("tokens")).alias("_rest"), F.col("target_tokens").alias("_target"), F.col("tokens").alias("_all"),
     )
-    placed = rows.join(plan, "_s").withColumn("block", draw(F.col("_blocks"), F.lit(seed), F.col(id_col)))
+    plan = stored(plan)
+    placed = rows.join(F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan, "_s").withColumn("block", draw(F.col("_blocks"), F.lit(seed), F.col(id_col)))
     blocks = placed.groupBy("_s", "block", "_full", "_rest", "_target", "_all").agg(F.sum("tokens").alias("_bt"))
     passes = blocks.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_full"))))
     order = F.md5(F.concat_ws(":", F.lit(seed), "pass", "_s", "block"))

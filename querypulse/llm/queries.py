@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from .line_dedup import dedup_lines
+from .lm import score_texts
 from .media import decode_tiff, encode_payloads
 from .mixing import mix_sources
 from .ngram_join import ngram_components
@@ -70,6 +71,12 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), every=20, top=20)
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probabilities of all texts under a bigram model of nine tenths of them."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    return score_texts(table(spark, sf_dir, "documents"), held_out)
+
+
 def toxicity_fold(id_col: str = "doc_id") -> Column:
     """The fold of a document, 0 to 3; labels of fold 2 are never learned from."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4))
@@ -92,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_line_dedup": op7_line_dedup,
     "op8_nearest": op8_nearest,
+    "op9_lm_scores": op9_lm_scores,
     "op10_toxicity": op10_toxicity,
 }
 

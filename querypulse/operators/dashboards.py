@@ -17,6 +17,11 @@ def service_filter(df: DataFrame, service: str | None) -> DataFrame:
     return df if service is None else df.where(F.col("service") == F.lit(service))
 
 
+def nearest(x, digits: int):
+    """Rounded; the nudge makes means that lie on a half independent of the order of their sum."""
+    return F.round(x + 1e-9, digits)
+
+
 def _buckets(rollups: DataFrame, rng: Range, service: str | None, interval: str):
     rows = service_filter(rollups.where(within(F.col("window_start"), rng)), service)
     return rows.groupBy(bucket(F.col("window_start"), interval).alias("bucket"), "service")
@@ -24,12 +29,12 @@ def _buckets(rollups: DataFrame, rng: Range, service: str | None, interval: str)
 
 def latency_series(rollups: DataFrame, rng: Range, service: str | None = None, interval: str = "1m") -> DataFrame:
     """Percentiles of a bucket are the unweighted mean of its windows' percentiles; rounded to 2 digits."""
-    mean = [F.round(F.avg(c), 2).alias(c) for c in ("latency_p50", "latency_p95", "latency_p99", "latency_avg")]
+    mean = [nearest(F.avg(c), 2).alias(c) for c in ("latency_p50", "latency_p95", "latency_p99", "latency_avg")]
     return _buckets(rollups, rng, service, interval).agg(*mean, F.round(F.max("latency_max"), 2).alias("latency_max"), F.sum("query_count").alias("query_count"))
 
 
 def relevance_series(rollups: DataFrame, rng: Range, service: str | None = None, interval: str = "1m") -> DataFrame:
-    return _buckets(rollups.where("relevance_avg is not null"), rng, service, interval).agg(F.round(F.avg("relevance_avg"), 4).alias("relevance_avg"), F.round(F.avg("relevance_p10"), 4).alias("relevance_p10"))
+    return _buckets(rollups.where("relevance_avg is not null"), rng, service, interval).agg(nearest(F.avg("relevance_avg"), 4).alias("relevance_avg"), nearest(F.avg("relevance_p10"), 4).alias("relevance_p10"))
 
 
 def error_series(rollups: DataFrame, rng: Range, service: str | None = None, interval: str = "1m") -> DataFrame:
@@ -44,7 +49,7 @@ def summary(rollups: DataFrame, anomalies: DataFrame, rng: Range) -> DataFrame:
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     own = rows.agg(
         total("query_count").alias("query_count"), total("error_count").alias("error_count"), F.round(F.sum("error_count") / F.nullif(F.sum("query_count"), F.lit(0)), 6).alias("error_rate"),
-        *(F.round(F.avg(c), 2).alias(c) for c in ("latency_p50", "latency_p95", "latency_p99")), F.round(F.avg("relevance_avg"), 4).alias("relevance_avg"), F.round(F.avg("cache_hit_rate"), 4).alias("cache_hit_rate"),
+        *(nearest(F.avg(c), 2).alias(c) for c in ("latency_p50", "latency_p95", "latency_p99")), nearest(F.avg("relevance_avg"), 4).alias("relevance_avg"), nearest(F.avg("cache_hit_rate"), 4).alias("cache_hit_rate"),
         F.countDistinct("service").alias("services"),
     )
     return own.crossJoin(opened)  # one row each
@@ -52,7 +57,7 @@ def summary(rollups: DataFrame, anomalies: DataFrame, rng: Range) -> DataFrame:
 
 def service_table(rollups: DataFrame, rng: Range) -> DataFrame:
     rows = rollups.where(within(F.col("window_start"), rng)).groupBy("service")
-    return rows.agg(F.sum("query_count").alias("query_count"), F.round(F.avg("latency_p95"), 2).alias("latency_p95"), F.round(F.sum("error_count") / F.nullif(F.sum("query_count"), F.lit(0)), 6).alias("error_rate")).orderBy(F.desc("query_count"), "service")
+    return rows.agg(F.sum("query_count").alias("query_count"), nearest(F.avg("latency_p95"), 2).alias("latency_p95"), F.round(F.sum("error_count") / F.nullif(F.sum("query_count"), F.lit(0)), 6).alias("error_rate")).orderBy(F.desc("query_count"), "service")
 
 
 def anomaly_page(anomalies: DataFrame, rng: Range, service: str | None = None, severity: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
@@ -82,7 +87,7 @@ def recent_service_stats(events: DataFrame, as_of: datetime, minutes: int = 15)
     from datetime import timedelta
 
     rows = events.where((F.col("timestamp") > F.lit(as_of - timedelta(minutes=minutes))) & (F.col("timestamp") <= F.lit(as_of)))
-    return rows.groupBy("service").agg(F.count("*").alias("queries"), F.round(F.avg("latency_ms"), 1).alias("avg_ms"), F.round(100 * F.count_if(F.col("status") != "ok") / F.count("*"), 2).alias("error_pct")).orderBy(F.desc("queries"), "service")
+    return rows.groupBy("service").agg(F.count("*").alias("queries"), nearest(F.avg("latency_ms"), 1).alias("avg_ms"), F.round(100 * F.count_if(F.col("status") != "ok") / F.count("*"), 2).alias("error_pct")).orderBy(F.desc("queries"), "service")
 
 
 def services_dim(spark: SparkSession, rows: tuple = OBJECTIVES) -> DataFrame:

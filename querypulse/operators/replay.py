@@ -31,7 +31,7 @@ def diff_runs(original: DataFrame, replay: DataFrame, regression_ratio: float =
     both = a.join(b, "query_id")
     docs = lambda fn, x, y: F.array_sort(F.array_distinct(fn(F.col(x), F.col(y))))
     out = both.select(
-        "query_id", F.round(F.col("b_latency_ms") - F.col("a_latency_ms"), 3).alias("latency_delta_ms"), F.when(F.col("a_latency_ms") <= 0, 1.0).otherwise(F.col("b_latency_ms") / F.col("a_latency_ms")).alias("latency_ratio"),
+        "query_id", F.round(F.col("b_latency_ms") - F.col("a_latency_ms"), 6).alias("latency_delta_ms"), F.when(F.col("a_latency_ms") <= 0, 1.0).otherwise(F.col("b_latency_ms") / F.col("a_latency_ms")).alias("latency_ratio"),
         (F.col("b_result_count") - F.col("a_result_count")).alias("count_delta"), docs(F.array_intersect, "a_document_ids", "b_document_ids").alias("common"),
         docs(F.array_except, "b_document_ids", "a_document_ids").alias("added"), docs(F.array_except, "a_document_ids", "b_document_ids").alias("removed"),
         (F.col("a_status") != F.col("b_status")).alias("status_changed"), (F.col("a_status") != "ok").alias("_failed"), (F.col("b_status") != "ok").alias("_fails"),

@@ -36,7 +36,7 @@ SP = """ln AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_l
   kids AS (SELECT trace_id, parent AS span_id, sum(ms) AS kid_ms, count(*) AS n FROM sp WHERE parent IS NOT NULL GROUP BY ALL),
   tr AS (SELECT sp.*, CASE WHEN sp.parent IS NULL THEN 'root' WHEN p.span_id IS NULL THEN 'orphan' ELSE 'child' END AS state, p.span_id AS up, coalesce(k.n, 0) AS n_children, greatest(0, sp.ms - coalesce(k.kid_ms, 0)) AS self_ms
     FROM sp LEFT JOIN sp p ON p.trace_id = sp.trace_id AND p.span_id = sp.parent LEFT JOIN kids k ON k.trace_id = sp.trace_id AND k.span_id = sp.span_id),
-  sm AS (SELECT trace_id, count(*) AS span_count, count(*) FILTER (state = 'orphan') AS orphan_count, string_agg(DISTINCT service, ',' ORDER BY service) AS services, round(max(us / 1000.0 + ms) - min(us / 1000.0), 3) AS total_ms FROM tr GROUP BY ALL)"""
+  sm AS (SELECT trace_id, count(*) AS span_count, count(*) FILTER (state = 'orphan') AS orphan_count, string_agg(DISTINCT service, ',' ORDER BY service) AS services, round(max(us / 1000.0 + ms) - min(us / 1000.0) + 1e-9, 3) AS total_ms FROM tr GROUP BY ALL)"""
 
 
 def query(sql: str | None = None):
@@ -55,8 +55,8 @@ def sec(column: str, name: str | None = None):
     return F.unix_seconds(F.col(column).cast("timestamp")).alias(name or column)
 
 
-def r4(*names: str) -> list:
-    return [F.round(n, 4).alias(n) for n in names]
+def r9(*names: str) -> list:
+    return [F.round(n, 9).alias(n) for n in names]
 
 
 def rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,14 +71,14 @@ LATENCIES = ("latency_p50", "latency_p95", "latency_p99", "latency_avg", "latenc
 RATES = ("error_rate", "relevance_avg", "relevance_p10", "cache_hit_rate")
 
 
-@query(f"WITH {RU} SELECT ws AS window_start, ws + 21600 AS window_end, service, query_count, error_count, {', '.join(f'round({c}, 4) AS {c}' for c in LATENCIES + RATES)} FROM ru")
+@query(f"WITH {RU} SELECT ws AS window_start, ws + 21600 AS window_end, service, query_count, error_count, {', '.join(f'round({c}, 9) AS {c}' for c in LATENCIES + RATES)} FROM ru")
 def metric_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups(spark, sf_dir).select(sec("window_start"), sec("window_end"), "service", "query_count", "error_count", *r4(*LATENCIES, *RATES))
+    return rollups(spark, sf_dir).select(sec("window_start"), sec("window_end"), "service", "query_count", "error_count", *r9(*LATENCIES, *RATES))
 
 
-@query(f"WITH {AN} SELECT service, metric, ws AS window_start, we AS window_end, round(observed, 4) AS observed, round(m, 4) AS baseline_mean, round(s, 4) AS baseline_stddev, n AS sample_count, round(z, 4) AS z_score, severity, service || ':' || metric || ':' || severity AS signature FROM an")
+@query(f"WITH {AN} SELECT service, metric, ws AS window_start, we AS window_end, round(observed, 9) AS observed, round(m, 9) AS baseline_mean, round(s, 9) AS baseline_stddev, n AS sample_count, round(z, 9) AS z_score, severity, service || ':' || metric || ':' || severity AS signature FROM an")
 def detect_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return anomalies(spark, sf_dir).select("service", "metric", sec("window_start"), sec("window_end"), *r4("observed", "baseline_mean", "baseline_stddev"), "sample_count", *r4("z_score"), "severity", "signature")
+    return anomalies(spark, sf_dir).select("service", "metric", sec("window_start"), sec("window_end"), *r9("observed", "baseline_mean", "baseline_stddev"), "sample_count", *r9("z_score"), "severity", "signature")
 
 
 @query(f"WITH {AN} SELECT service || ':' || metric || ':' || severity AS signature, min(we) AS first_fired, max(we) AS last_fired, count(*) AS fire_count FROM an GROUP BY ALL")
@@ -101,13 +101,13 @@ def anomaly_storm_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomaly.storm_counts(anomalies(spark, sf_dir), 86_400).select(sec("period"), "severity", "anomalies")
 
 
-@query(f"WITH {RU} SELECT ws - ws % 86400 AS bucket, service, {', '.join(f'round(avg({c}), 2) AS {c}' for c in LATENCIES[:4])}, round(max(latency_max), 2) AS latency_max, sum(query_count)::BIGINT AS query_count FROM ru WHERE {IN_RANGE} GROUP BY ALL")
+@query(f"WITH {RU} SELECT ws - ws % 86400 AS bucket, service, {', '.join(f'round(avg({c}) + 1e-9, 2) AS {c}' for c in LATENCIES[:4])}, round(max(latency_max), 2) AS latency_max, sum(query_count)::BIGINT AS query_count FROM ru WHERE {IN_RANGE} GROUP BY ALL")
 def latency_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = dashboards.latency_series(rollups(spark, sf_dir), RANGE, interval="1d")
     return s.select(sec("bucket"), *[c for c in s.columns if c != "bucket"])
 
 
-@query(f"WITH {RU} SELECT ws - ws % 86400 AS bucket, service, round(avg(relevance_avg), 4) AS relevance_avg, round(avg(relevance_p10), 4) AS relevance_p10 FROM ru WHERE {IN_RANGE} AND relevance_avg IS NOT NULL GROUP BY ALL")
+@query(f"WITH {RU} SELECT ws - ws % 86400 AS bucket, service, round(avg(relevance_avg) + 1e-9, 4) AS relevance_avg, round(avg(relevance_p10) + 1e-9, 4) AS relevance_p10 FROM ru WHERE {IN_RANGE} AND relevance_avg IS NOT NULL GROUP BY ALL")
 def relevance_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboards.relevance_series(rollups(spark, sf_dir), RANGE, interval="1d").select(sec("bucket"), "service", "relevance_avg", "relevance_p10")
 
@@ -117,23 +117,23 @@ def error_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboards.error_series(rollups(spark, sf_dir), RANGE, interval="1d").select(sec("bucket"), "service", "query_count", "error_count", "error_rate", error_tone(F.col("error_count") / F.col("query_count")).alias("tone"))
 
 
-@query(f"WITH {AN} SELECT sum(query_count)::BIGINT AS query_count, sum(error_count)::BIGINT AS error_count, round(sum(error_count) / sum(query_count)::DOUBLE, 6) AS error_rate, round(avg(latency_p50), 2) AS latency_p50, round(avg(latency_p95), 2) AS latency_p95, round(avg(latency_p99), 2) AS latency_p99, round(avg(relevance_avg), 4) AS relevance_avg, round(avg(cache_hit_rate), 4) AS cache_hit_rate, count(DISTINCT service) AS services, (SELECT count(*) FROM an WHERE {IN_RANGE}) AS open_anomalies FROM ru WHERE {IN_RANGE}")
+@query(f"WITH {AN} SELECT sum(query_count)::BIGINT AS query_count, sum(error_count)::BIGINT AS error_count, round(sum(error_count) / sum(query_count)::DOUBLE, 6) AS error_rate, round(avg(latency_p50) + 1e-9, 2) AS latency_p50, round(avg(latency_p95) + 1e-9, 2) AS latency_p95, round(avg(latency_p99) + 1e-9, 2) AS latency_p99, round(avg(relevance_avg) + 1e-9, 4) AS relevance_avg, round(avg(cache_hit_rate) + 1e-9, 4) AS cache_hit_rate, count(DISTINCT service) AS services, (SELECT count(*) FROM an WHERE {IN_RANGE}) AS open_anomalies FROM ru WHERE {IN_RANGE}")
 def dashboard_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rollups(spark, sf_dir)
     return dashboards.summary(r, anomaly.detect_anomalies(r), RANGE)
 
 
-@query(f"WITH {RU} SELECT service, sum(query_count)::BIGINT AS query_count, round(avg(latency_p95), 2) AS latency_p95, round(sum(error_count) / sum(query_count)::DOUBLE, 6) AS error_rate, CASE WHEN avg(latency_p95) >= 2000 THEN 'bad' WHEN avg(latency_p95) >= 1000 THEN 'warn' ELSE 'good' END AS tone FROM ru WHERE {IN_RANGE} GROUP BY service")
+@query(f"WITH {RU} SELECT service, sum(query_count)::BIGINT AS query_count, round(avg(latency_p95) + 1e-9, 2) AS latency_p95, round(sum(error_count) / sum(query_count)::DOUBLE, 6) AS error_rate, CASE WHEN avg(latency_p95) >= 2000 THEN 'bad' WHEN avg(latency_p95) >= 1000 THEN 'warn' ELSE 'good' END AS tone FROM ru WHERE {IN_RANGE} GROUP BY service")
 def service_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboards.service_table(rollups(spark, sf_dir), RANGE).withColumn("tone", latency_tone(F.col("latency_p95")))
 
 
-@query(f"WITH {AN} SELECT service, metric, ws AS window_start, severity, round(z, 4) AS z_score FROM an WHERE {IN_RANGE} AND severity = 'warning' ORDER BY we DESC, service, metric LIMIT 10 OFFSET 2")
+@query(f"WITH {AN} SELECT service, metric, ws AS window_start, severity, round(z, 9) AS z_score FROM an WHERE {IN_RANGE} AND severity = 'warning' ORDER BY we DESC, service, metric LIMIT 10 OFFSET 2")
 def anomaly_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dashboards.anomaly_page(anomalies(spark, sf_dir), RANGE, severity="warning", limit=10, offset=2).select("service", "metric", sec("window_start"), "severity", *r4("z_score"))
+    return dashboards.anomaly_page(anomalies(spark, sf_dir), RANGE, severity="warning", limit=10, offset=2).select("service", "metric", sec("window_start"), "severity", *r9("z_score"))
 
 
-@query(f"WITH {EV} SELECT query_id, service, epoch(timestamp)::BIGINT AS timestamp, latency_ms, status, format('{{:.0f}} ms', latency_ms) AS shown FROM ev WHERE timestamp BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' ORDER BY ev.latency_ms DESC, query_id LIMIT 20")
+@query(f"WITH {EV} SELECT query_id, service, floor(epoch(timestamp))::BIGINT AS timestamp, latency_ms, status, format('{{:.0f}} ms', latency_ms) AS shown FROM ev WHERE timestamp BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' ORDER BY ev.latency_ms DESC, query_id LIMIT 20")
 def slowest_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboards.slowest_queries(views.search_events(spark, sf_dir), RANGE).select("query_id", "service", sec("timestamp"), "latency_ms", "status", format_ms(F.col("latency_ms")).alias("shown"))
 
@@ -144,26 +144,26 @@ def table_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboards.table_freshness({"events": (t("events"), "ts"), "orders": (t("orders"), "o_orderdate"), "lineitem": (t("lineitem"), "l_shipdate")})
 
 
-@query(f"WITH {EV} SELECT service, count(*) AS queries, round(avg(latency_ms), 1) AS avg_ms, round(100.0 * count(*) FILTER (status <> 'ok') / count(*), 2) AS error_pct FROM ev WHERE timestamp > TIMESTAMP '2024-01-19' AND timestamp <= TIMESTAMP '2024-01-20' GROUP BY service")
+@query(f"WITH {EV} SELECT service, count(*) AS queries, round(avg(latency_ms) + 1e-9, 1) AS avg_ms, round(100.0 * count(*) FILTER (status <> 'ok') / count(*), 2) AS error_pct FROM ev WHERE timestamp > TIMESTAMP '2024-01-19' AND timestamp <= TIMESTAMP '2024-01-20' GROUP BY service")
 def recent_service_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboards.recent_service_stats(views.search_events(spark, sf_dir), AS_OF, minutes=1440)
 
 
-@query(f"WITH {RU}, slo(service, p, e) AS (VALUES ('svc-0', 2000, 0.01), ('svc-1', 1500, 0.005), ('svc-2', 3000, 0.01), ('svc-3', 500, 0.02)) SELECT service, ws AS window_start, round(latency_p99, 4) AS latency_p99, round(error_rate, 4) AS error_rate, latency_p99 > p AS latency_breach, error_rate > e AS error_breach FROM ru JOIN slo USING (service) WHERE latency_p99 > p OR error_rate > e")
+@query(f"WITH {RU}, slo(service, p, e) AS (VALUES ('svc-0', 2000, 0.01), ('svc-1', 1500, 0.005), ('svc-2', 3000, 0.01), ('svc-3', 500, 0.02)) SELECT service, ws AS window_start, round(latency_p99, 9) AS latency_p99, round(error_rate, 9) AS error_rate, latency_p99 > p AS latency_breach, error_rate > e AS error_breach FROM ru JOIN slo USING (service) WHERE latency_p99 > p OR error_rate > e")
 def slo_breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dashboards.slo_breaches(rollups(spark, sf_dir), dashboards.services_dim(spark)).select("service", sec("window_start"), *r4("latency_p99", "error_rate"), "latency_breach", "error_breach")
+    return dashboards.slo_breaches(rollups(spark, sf_dir), dashboards.services_dim(spark)).select("service", sec("window_start"), *r9("latency_p99", "error_rate"), "latency_breach", "error_breach")
 
 
-@query(f"WITH {RU} SELECT ws - ws % 86400 AS bucket, {', '.join(f'''round(avg(latency_p95) FILTER (service = 'svc-{k}'), 2) AS svc_{k}''' for k in range(4))} FROM ru WHERE {IN_RANGE} GROUP BY 1")
+@query(f"WITH {RU} SELECT ws - ws % 86400 AS bucket, {', '.join(f'''round(avg(latency_p95) FILTER (service = 'svc-{k}') + 1e-9, 2) AS svc_{k}''' for k in range(4))} FROM ru WHERE {IN_RANGE} GROUP BY 1")
 def pivot_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [f"svc-{k}" for k in range(4)]
     p = dashboards.pivot_series(dashboards.latency_series(rollups(spark, sf_dir), RANGE, interval="1d"), "latency_p95", names)
     return p.select(sec("bucket"), *(F.col(f"`{n}`").alias(n.replace("-", "_")) for n in names))
 
 
-@query(f"WITH {RU} SELECT service, round(avg(latency_p95), 4) AS baseline_p95 FROM ru WHERE ws > epoch(TIMESTAMP '2024-01-10') GROUP BY service")
+@query(f"WITH {RU} SELECT service, round(avg(latency_p95), 9) AS baseline_p95 FROM ru WHERE ws > epoch(TIMESTAMP '2024-01-10') GROUP BY service")
 def service_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dashboards.service_baselines(rollups(spark, sf_dir), AS_OF, minutes=14_400).select("service", *r4("baseline_p95"))
+    return dashboards.service_baselines(rollups(spark, sf_dir), AS_OF, minutes=14_400).select("service", *r9("baseline_p95"))
 
 
 @query(f"WITH {EV} SELECT DISTINCT service FROM ev")
@@ -176,14 +176,14 @@ def open_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.open_windows(views.search_events(spark, sf_dir), SIX_HOURS).select(sec("window_start"), "service")
 
 
-@query(f"WITH {RU} SELECT ws AS window_start, service, query_count, round(latency_p95, 4) AS latency_p95 FROM ru")
+@query(f"WITH {RU} SELECT ws AS window_start, service, query_count, round(latency_p95, 9) AS latency_p95 FROM ru")
 def repair_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of events come late: windows without them, repaired, are the whole windows."""
     e = views.search_events(spark, sf_dir)
     late = F.substring("event_id", 3, 20).cast("long") % 10 == 0
     first = rollup.metric_rollup(e.where(~late), SIX_HOURS).withColumn("inserted_at", F.lit(RANGE[0]))
     again = rollup.repair_late(e, e.where(late), SIX_HOURS, inserted_at=AS_OF)
-    return tables.latest_by(first.unionByName(again), ("service", "window_start"), "inserted_at").select(sec("window_start"), "service", "query_count", *r4("latency_p95"))
+    return tables.latest_by(first.unionByName(again), ("service", "window_start"), "inserted_at").select(sec("window_start"), "service", "query_count", *r9("latency_p95"))
 
 
 @query("SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey")
@@ -242,9 +242,9 @@ def route_by_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-@query(f"WITH {SP} SELECT trace_id, span_id, state AS parent_state, CASE WHEN state = 'child' THEN 1 ELSE 0 END AS depth, round(self_ms, 3) AS self_time_ms, n_children FROM tr")
+@query(f"WITH {SP} SELECT trace_id, span_id, state AS parent_state, CASE WHEN state = 'child' THEN 1 ELSE 0 END AS depth, round(self_ms, 6) AS self_time_ms, n_children FROM tr")
 def assemble_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traces.assemble_traces(views.order_spans(spark, sf_dir)).select("trace_id", "span_id", "parent_state", "depth", F.round("self_time_ms", 3).alias("self_time_ms"), "n_children")
+    return traces.assemble_traces(views.order_spans(spark, sf_dir)).select("trace_id", "span_id", "parent_state", "depth", F.round("self_time_ms", 6).alias("self_time_ms"), "n_children")
 
 
 @query("""WITH RECURSIVE t AS (SELECT conv_id, turn, 0 AS depth, turn AS root FROM conversations c WHERE turn = 0 OR NOT EXISTS (SELECT 1 FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 1)
@@ -265,7 +265,7 @@ def critical_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.critical_path(traces.assemble_traces(views.order_spans(spark, sf_dir))).select("trace_id", "depth", "span_id")
 
 
-@query(f"WITH {SP}, s AS (SELECT trace_id, service, sum(self_ms) AS v FROM tr GROUP BY ALL) SELECT trace_id, round(max(v), 3) AS self_time_ms FROM s GROUP BY trace_id")
+@query(f"WITH {SP}, s AS (SELECT trace_id, service, sum(self_ms) AS v FROM tr GROUP BY ALL) SELECT trace_id, round(max(v) + 1e-9, 3) AS self_time_ms FROM s GROUP BY trace_id")
 def slowest_service(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.slowest_service(traces.assemble_traces(views.order_spans(spark, sf_dir))).select("trace_id", "self_time_ms")
 
@@ -292,10 +292,10 @@ FOUND = f"""{SP}, base AS (SELECT service, avg(ms) AS b FROM tr GROUP BY service
   UNION ALL SELECT trace_id, 'cache_miss', arg_max(span_id, ms), 0.5 FROM tr WHERE miss GROUP BY trace_id)"""
 
 
-@query(f"WITH {FOUND} SELECT kind, count(*) AS findings, count(DISTINCT trace_id) AS traces, round(sum(round(confidence, 2)), 1) AS confidence FROM f GROUP BY kind")
+@query(f"WITH {FOUND} SELECT kind, count(*) AS findings, count(DISTINCT trace_id) AS traces, count(*) FILTER (confidence > 0.7) AS sure FROM f GROUP BY kind")
 def finding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _ranked(spark, sf_dir)[2]
-    return found.groupBy("kind").agg(F.count("*").alias("findings"), F.countDistinct("trace_id").alias("traces"), F.round(F.sum("confidence"), 1).alias("confidence"))
+    return found.groupBy("kind").agg(F.count("*").alias("findings"), F.countDistinct("trace_id").alias("traces"), F.count_if(F.col("confidence") > 0.7).alias("sure"))
 
 
 @query(f"WITH {FOUND}, k AS (SELECT trace_id, list_position(['error_span', 'baseline_breach', 'slow_span', 'retry_storm', 'missing_spans', 'fan_out', 'cache_miss'], kind) AS p, kind, round(confidence, 2) AS c FROM f) SELECT trace_id, arg_min(kind, p * 10 - c) AS kind, count(*) AS findings FROM k GROUP BY trace_id")
@@ -330,7 +330,7 @@ RUNS = """ln AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l
   dd AS (SELECT *, CASE WHEN la <= 0 THEN 1 ELSE lb / la END AS ratio, len(list_intersect(ia, ib)) AS n_common, len(list_filter(ib, lambda x: NOT list_contains(ia, x))) AS n_added, len(list_filter(ia, lambda x: NOT list_contains(ib, x))) AS n_removed FROM df)"""
 
 
-@query(f"WITH {RUNS} SELECT query_id, round(lb - la, 3) AS latency_delta_ms, round(ratio, 4) AS latency_ratio, nb - na AS count_delta, n_common, n_added, n_removed, fa <> fb AS status_changed, CASE WHEN fa AND fb THEN 'still failing' WHEN fa THEN 'no longer reproducible' WHEN ratio >= 1.5 THEN 'slower' WHEN n_added > 0 OR n_removed > 0 THEN 'different results' ELSE 'matches' END AS verdict FROM dd")
+@query(f"WITH {RUNS} SELECT query_id, round(lb - la, 6) AS latency_delta_ms, round(ratio + 1e-12, 4) AS latency_ratio, nb - na AS count_delta, n_common, n_added, n_removed, fa <> fb AS status_changed, CASE WHEN fa AND fb THEN 'still failing' WHEN fa THEN 'no longer reproducible' WHEN ratio >= 1.5 THEN 'slower' WHEN n_added > 0 OR n_removed > 0 THEN 'different results' ELSE 'matches' END AS verdict FROM dd")
 def diff_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = replay.diff_runs(*views.order_runs(spark, sf_dir))
     return d.select("query_id", "latency_delta_ms", "latency_ratio", F.col("count_delta").cast("long").alias("count_delta"), *(F.size(c).cast("long").alias(f"n_{c}") for c in ("common", "added", "removed")), "status_changed", "verdict")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from querypulse.operators.anomaly import unpivot_metrics
-from querypulse.operators.rollup import stream_rollup
+from querypulse.operators.rollup import windowed
 from querypulse.operators.validate import decode_events, event_rules, require_utc, strip_strings
 
 OUT = "service string, metric string, window_start timestamp, window_end timestamp, observed double, baseline_mean double, baseline_stddev double, sample_count long, z_score double, severity string, signature string"
@@ -62,4 +62,4 @@ def events_to_rollups(raw: DataFrame, window_seconds: int = 60, grace_seconds: i
         valid = valid.where(~F.coalesce(bad, F.lit(False)))
     events = valid.withColumn("timestamp", require_utc(F.col("timestamp"))).withWatermark("timestamp", f"{grace_seconds} seconds").dropDuplicatesWithinWatermark(["event_id"])
     grouped = events.select("timestamp", "service", "latency_ms", "status", "relevance_score", "cache_hit")
-    return stream_rollup(grouped, window_seconds, grace_seconds)
+    return windowed(grouped, window_seconds)

@@ -23,25 +23,31 @@ def within_edits(a: Column, b: Column, most: int) -> Column:
     """
     width = 2 * most + 1
     full = (1 << width) - 1
+    n, m = F.length(a), F.length(b)
     first, second = F.split(a, ""), F.split(b, "")
+    # Beside each letter of b the letters of a that its band meets, so that a step looks nothing up.
+    bands = [F.concat(F.array_repeat(F.lit(None).cast("string"), most - t), first) if t < most else F.slice(first, t - most + 1, F.greatest(n, F.lit(1))) for t in range(width)]
+    rows = F.slice(F.arrays_zip(second.alias("b"), *(x.alias(f"a{t}") for t, x in enumerate(bands))), 1, m)
     start = F.struct(*(F.lit(sum(1 << (most + t) for t in range(d + 1))).cast("long").alias(f"r{d}") for d in range(most + 1)))
 
-    def step(state: Column, j: Column) -> Column:
-        letter = F.get(second, j)
+    def step(state: Column, row: Column) -> Column:
         bits = F.lit(0).cast("long")
         for t in range(width):
-            bits = bits + F.when(F.get(first, j + (t - most)) == letter, F.lit(1 << t).cast("long")).otherwise(F.lit(0).cast("long"))
+            bits = bits + F.when(row[f"a{t}"] == row["b"], F.lit(1 << t).cast("long")).otherwise(F.lit(0).cast("long"))
+        # bits stands in a struct of its own: written into each row it would be worked out again each time
+        return F.transform(F.array(F.struct(state.alias("s"), bits.alias("bits"))), moved)[0]
+
+    def moved(x: Column) -> Column:
         new = []
         for d in range(most + 1):
-            r = state[f"r{d}"].bitwiseAND(bits)
+            r = x["s"][f"r{d}"].bitwiseAND(x["bits"])
             if d:
-                old = state[f"r{d - 1}"]
+                old = x["s"][f"r{d - 1}"]
                 r = r.bitwiseOR(old).bitwiseOR(F.shiftright(old, 1)).bitwiseOR(F.shiftleft(new[-1], 1).bitwiseAND(F.lit(full).cast("long")))
             new.append(r)
         return F.struct(*(r.alias(f"r{d}") for d, r in enumerate(new)))
 
-    n, m = F.length(a), F.length(b)
-    end = F.when(m == 0, start).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(m, F.lit(1)) - 1), start, step))
+    end = F.aggregate(rows, start, step)
     near = F.getbit(end[f"r{most}"], F.greatest(F.least(n - m + most, F.lit(width - 1)), F.lit(0)).cast("int")) == 1
     return F.when(F.abs(n - m) > most, F.lit(False)).when(n.isNotNull() & m.isNotNull(), near)
 

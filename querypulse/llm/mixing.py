@@ -113,3 +113,26 @@ def mix_sources(
     inside = Window.partitionBy("_s", "block", "pass").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "pass", F.coalesce(F.col(id_col).cast("string"), F.lit("")))), id_col, "tokens")
     last = last.withColumn("_b", F.coalesce(F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("_b < _cut").drop("_b", "_cut")
     return taken.unionByName(last).select(id_col, source_col, "tokens", F.col("pass").cast("int").alias("pass"), "block", "place", *keep)
+
+
+#: DuckDB SQL for mix_sources(documents, target_entropy=0.95, max_repeats=4.0): same bisections over lists, same permutations by md5.
+ORACLE_SQL = """WITH RECURSIVE d AS (SELECT doc_id, source, CASE WHEN coalesce(length(text), 0) = 0 THEN 0 ELSE length(text) - length(translate(text, ' ' || chr(10), '')) + 1 END AS tokens, coalesce('=' || source, 'null') AS s FROM documents),
+t AS (SELECT s, sum(tokens)::BIGINT AS tokens FROM d GROUP BY s HAVING sum(tokens) > 0),
+l AS (SELECT list(tokens::DOUBLE ORDER BY s) AS ts, list(s ORDER BY s) AS ss, sum(tokens)::DOUBLE AS total, ln(count(*)) * 0.95 AS goal FROM t),
+q AS (SELECT ts, ss, goal, list_transform(ts, lambda x: x / total) AS p FROM l),
+e(i, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL SELECT i + 1, CASE WHEN h >= goal THEN mid ELSE lo END, CASE WHEN h >= goal THEN hi ELSE mid END FROM (
+  SELECT i, lo, hi, mid, goal, -list_sum(list_transform(r, lambda x: x / z * ln(x / z))) AS h FROM (SELECT *, list_sum(r) AS z FROM (SELECT e.*, (lo + hi) / 2 AS mid, goal, list_transform(p, lambda x: pow(x, (lo + hi) / 2)) AS r FROM e, q WHERE i < 60)))),
+f(i, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL SELECT i + 1, CASE WHEN g <= 4.0 + 1e-12 THEN mid ELSE lo END, CASE WHEN g <= 4.0 + 1e-12 THEN hi ELSE mid END FROM (
+  SELECT i, lo, hi, mid, list_max(list_transform(p, lambda x: pow(x, -mid))) / list_min(list_transform(p, lambda x: pow(x, -mid))) AS g FROM (SELECT f.*, (lo + hi) / 2 AS mid, p FROM f, q WHERE i < 60))),
+c AS (SELECT ts, ss, p, CASE WHEN -list_sum(list_transform(p, lambda x: x * ln(x))) >= goal - 1e-12 THEN 1.0 ELSE (SELECT lo FROM e WHERE i = 60) END AS be, 1 - (SELECT lo FROM f WHERE i = 60) AS bf FROM q),
+x AS (SELECT ts, ss, p, CASE WHEN list_max(list_transform(p, lambda y: pow(y, be - 1))) / list_min(list_transform(p, lambda y: pow(y, be - 1))) <= 4.0 + 1e-12 THEN be ELSE greatest(be, bf) END AS ex FROM c),
+r AS (SELECT ts, ss, list_transform(p, lambda y: pow(y, ex)) AS r FROM x), w AS (SELECT ts, ss, list_transform(r, lambda y: y / list_sum(r)) AS w FROM r),
+b AS (SELECT unnest(ss) AS s, unnest(ts)::BIGINT AS tk, unnest(w) AS w, (SELECT max(a) FROM (SELECT unnest(ts) / unnest(w) AS a FROM w)) AS budget FROM w),
+pl AS (SELECT s, greatest(1, ceil(tk / 100000.0))::BIGINT AS nb, round(w * budget - 1e-6)::BIGINT AS target, tk FROM b),
+pd AS (SELECT d.*, pl.*, ('0x' || substr(md5('1:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % nb AS block FROM d JOIN pl ON d.s = pl.s),
+bl AS (SELECT s, block, target, tk, target // tk AS fl, target % tk AS rest, sum(tokens)::BIGINT AS bt FROM pd GROUP BY ALL),
+ps AS (SELECT *, unnest(range(0, fl + 1)) AS pass FROM bl),
+o AS (SELECT *, coalesce(sum(bt) OVER (PARTITION BY s, pass ORDER BY md5('1:' || pass || ':' || s || ':' || block), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS bef FROM ps),
+k AS (SELECT s, block, pass, CASE WHEN pass >= fl AND rest - bef < bt THEN rest - bef END AS cut, (bef + pass * tk + bt / 2) / greatest(target, 1) AS place FROM o WHERE pass < fl OR rest - bef > 0),
+a AS (SELECT pd.doc_id, pd.source, pd.tokens, k.pass, pd.block, k.place, k.cut, coalesce(sum(pd.tokens) OVER (PARTITION BY pd.s, pd.block, k.pass ORDER BY md5('1:' || k.pass || ':' || coalesce(doc_id::VARCHAR, '')), doc_id, pd.tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pd JOIN k ON k.s = pd.s AND k.block = pd.block)
+SELECT doc_id, source, tokens, pass::INT AS pass, block, place FROM a WHERE cut IS NULL OR before < cut"""

@@ -8,14 +8,13 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import mixing, quotes
 from .ann import nearest
 from .line_dedup import dedup_lines
 from .lm import score_texts
 from .media import decode_tiff, encode_payloads
-from .mixing import mix_sources
 from .ngram_join import ngram_components
 from .packing import pack_hierarchical
-from .quotes import unquoted_conversations
 from .tokens import prefix_token_counts
 from .toxicity import fit_toxicity, score_toxicity
 
@@ -48,7 +47,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All messages without quotes, in the order of replies."""
-    return unquoted_conversations(table(spark, sf_dir, "conversations"))
+    return quotes.unquoted_conversations(table(spark, sf_dir, "conversations"))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +57,7 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sources mixed to 95 % of the highest entropy, none repeated more than four times, with as many tokens as let every document in once."""
-    return mix_sources(table(spark, sf_dir, "documents"), target_entropy=0.95, max_repeats=4.0)
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), target_entropy=0.95, max_repeats=4.0)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,4 +102,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_quote_linking": quotes.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL}

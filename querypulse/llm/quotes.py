@@ -101,3 +101,24 @@ def unquoted_conversations(messages: DataFrame, conv_col: str = "conv_id", turn_
     done = full.select("conv", "turn", "role", text.alias("text"), F.when(F.col("text").isNull(), 0).otherwise(n_quoted).alias("quoted_lines"), F.coalesce("passages", F.lit(0)).alias("passages"), F.coalesce("linked", F.lit(0)).alias("linked"), F.col("parent").alias("reply_to"), "root", "depth")
     odd = rows.where("conv is null or turn is null").select("conv", "turn", "role", text.alias("text"), F.when(F.col("text").isNull(), 0).otherwise(n_quoted).alias("quoted_lines"), F.lit(0).cast("long").alias("passages"), F.lit(0).cast("long").alias("linked"), F.lit(None).cast(messages.schema[turn_col].dataType).alias("reply_to"), F.col("turn").alias("root"), F.lit(0).alias("depth"))
     return done.unionByName(odd).withColumnsRenamed({"conv": conv_col, "turn": turn_col, "role": role_col, "text": text_col})
+
+
+#: DuckDB SQL for unquoted_conversations(conversations).
+ORACLE_SQL = r"""WITH RECURSIVE m AS (SELECT conv, turn, (min(r)).role AS role, (min(r)).text AS text FROM (SELECT conv_id AS conv, turn, {'role': role, 'text': text} AS r FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL) GROUP BY conv, turn),
+ln0 AS (SELECT conv, turn, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM m WHERE text IS NOT NULL),
+ln AS (SELECT conv, turn, k, line, length(mk) - length(replace(mk, '>', '')) AS level, lower(trim(regexp_replace(regexp_replace(line, '^\s*(>[\s>]*)', ''), '\s+', ' ', 'g'))) AS norm FROM (SELECT *, regexp_extract(line, '^\s*(>[\s>]*)', 1) AS mk FROM ln0)),
+run AS (SELECT *, sum(nw) OVER (PARTITION BY conv, turn ORDER BY k) AS passage FROM (SELECT *, CASE WHEN level IS NOT DISTINCT FROM lag(level) OVER (PARTITION BY conv, turn ORDER BY k) THEN 0 ELSE 1 END AS nw FROM ln)),
+q AS (SELECT * FROM run WHERE level > 0 AND norm <> ''),
+said AS (SELECT conv, turn, norm FROM ln WHERE level = 0 AND norm IN (SELECT norm FROM q)),
+near AS (SELECT conv, norm, min(turn) AS near FROM said GROUP BY conv, norm),
+far AS (SELECT norm, min({'conv': conv, 'turn': turn}) AS far, max({'conv': conv, 'turn': turn}) AS other FROM said GROUP BY norm),
+v AS (SELECT conv, turn, passage, level, src, count(*) AS n FROM (SELECT q.conv, q.turn, q.passage, q.level, CASE WHEN near < q.turn THEN {'conv': q.conv, 'turn': near} WHEN far IS NOT NULL AND NOT (far.conv = q.conv AND far.turn = q.turn) THEN far
+  WHEN other IS NOT NULL AND NOT (other.conv = q.conv AND other.turn = q.turn) THEN other END AS src FROM q LEFT JOIN near ON near.conv = q.conv AND near.norm = q.norm LEFT JOIN far ON far.norm = q.norm) GROUP BY ALL),
+best AS (SELECT conv, turn, passage, level, min(CASE WHEN src IS NOT NULL THEN {'o': -n, 'home': CASE WHEN src.conv = conv THEN 0 ELSE 1 END, 'conv': src.conv, 'turn': src.turn} END) AS b FROM v GROUP BY conv, turn, passage, level),
+bm AS (SELECT conv, turn, count(*) AS passages, count(b.turn) AS linked, (min(CASE WHEN b.conv = conv AND b.turn < turn THEN {'level': level, 'passage': passage, 't': b.turn} END)).t AS quoted FROM best GROUP BY conv, turn),
+own AS (SELECT conv, turn, count(*) FILTER (level > 0) AS quoted_lines, trim(string_agg(line, chr(10) ORDER BY k) FILTER (level = 0)) AS clean FROM ln GROUP BY conv, turn),
+par AS (SELECT m.*, coalesce(quoted, lag(m.turn) OVER (PARTITION BY m.conv ORDER BY m.turn)) AS parent, coalesce(passages, 0) AS passages, coalesce(linked, 0) AS linked FROM m LEFT JOIN bm ON bm.conv = m.conv AND bm.turn = m.turn),
+tree AS (SELECT conv, turn, turn AS root, 0 AS depth FROM par WHERE parent IS NULL UNION ALL SELECT p.conv, p.turn, t.root, t.depth + 1 FROM par p JOIN tree t ON p.conv = t.conv AND p.parent = t.turn)
+SELECT p.conv AS conv_id, p.turn, p.role, CASE WHEN o.quoted_lines > 0 THEN coalesce(o.clean, '') ELSE p.text END AS text, coalesce(o.quoted_lines, 0) AS quoted_lines, p.passages, p.linked, p.parent AS reply_to, t.root, t.depth
+FROM par p JOIN tree t ON t.conv = p.conv AND t.turn = p.turn LEFT JOIN own o ON o.conv = p.conv AND o.turn = p.turn
+UNION ALL SELECT conv_id, turn, role, text, 0, 0, 0, NULL, turn, 0 FROM conversations WHERE conv_id IS NULL OR turn IS NULL"""

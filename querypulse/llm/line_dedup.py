@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .shipping import stored
 
-PROBE = "array<struct<len:int,seg:int,h:bigint,ahead:bigint,behind:bigint>>"
+PROBE = "array<struct<key:bigint,delta:int,ahead:int,behind:int>>"
 
 
 def within_edits(a: Column, b: Column, most: int) -> Column:
@@ -56,7 +56,7 @@ def keys(line: Column, length: Column, most: int, probe: bool) -> Column:
     """The segments of a line as an indexed one, or the substrings by which a line looks for shorter or equal ones."""
     parts = most + 1
     out = []
-    hashed = lambda start, n: F.xxhash64(F.substring(line, start + 1, n))
+    part = lambda start, n: F.substring(line, start + 1, n)
     for delta in range(most + 1) if probe else (0,):
         total = length - delta  # length of the indexed line
         short, extra = F.floor(total / parts).cast("int"), (total % parts).cast("int")
@@ -69,13 +69,13 @@ def keys(line: Column, length: Column, most: int, probe: bool) -> Column:
                 rest = total - size
                 outer, inner = F.floor(rest / 2).cast("int"), rest - F.floor(rest / 2).cast("int")
                 if most > 1:
-                    ahead = behind = F.lit(0).cast("long")
+                    ahead = behind = F.lit(0)
                 elif i == 0:
                     own = length - (start + shift) - size  # what follows the first half
-                    ahead, behind = hashed(start + shift + size, inner), hashed(start + shift + size + own - outer, outer)
+                    ahead, behind = F.hash(part(start + shift + size, inner)), F.hash(part(start + shift + size + own - outer, outer))
                 else:
-                    ahead, behind = hashed(F.lit(0), outer), hashed(start + shift - inner, inner)
-                row = F.struct(total.cast("int").alias("len"), F.lit(i).alias("seg"), hashed(start + shift, size).alias("h"), ahead.alias("ahead"), behind.alias("behind"))
+                    ahead, behind = F.hash(part(F.lit(0), outer)), F.hash(part(start + shift - inner, inner))
+                row = F.struct(F.xxhash64(total.cast("int"), F.lit(i), part(start + shift, size)).alias("key"), F.lit(delta).alias("delta"), ahead.alias("ahead"), behind.alias("behind"))
                 out.append(F.when((total >= parts) & (start + shift >= 0) & (start + shift + size <= length), row))
     return F.array_compact(F.array(*out)).cast(PROBE)
 
@@ -89,13 +89,12 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
 
 def line_classes(lines: DataFrame, max_edits: int = 1) -> DataFrame:
     """(h, class) for lines that are within max_edits of another line, over chains; lines alone of their kind are left out. lines: h, line, len."""
-    distinct = stored(lines.select("h", "line", "len").dropDuplicates(["h"]), "lz4")
-    index = distinct.select("h", F.explode(keys(F.col("line"), F.col("len"), max_edits, False)).alias("k")).select(F.col("h").alias("a"), "k.*")
-    probes = distinct.select("h", F.col("len").alias("own"), F.explode(keys(F.col("line"), F.col("len"), max_edits, True)).alias("k")).select(F.col("h").alias("b"), "own", "k.*")
-    names = ["len", "seg", "h"]
-    probes = probes.withColumnsRenamed({"ahead": "ahead_b", "behind": "behind_b"}).join(index, names)
+    distinct = stored(lines.select("h", "line", "len").dropDuplicates(["h"]))
+    index = distinct.select("h", F.explode(keys(F.col("line"), F.col("len"), max_edits, False)).alias("k")).select(F.col("h").alias("a"), "k.key", "k.ahead", "k.behind")
+    probes = distinct.select("h", F.explode(keys(F.col("line"), F.col("len"), max_edits, True)).alias("k")).select(F.col("h").alias("b"), "k.key", "k.delta", F.col("k.ahead").alias("ahead_b"), F.col("k.behind").alias("behind_b"))
+    probes = probes.join(index, "key")
     other = F.lit(True) if max_edits > 1 else (F.col("ahead") == F.col("ahead_b")) | (F.col("behind") == F.col("behind_b"))
-    found = probes.where(F.when(F.col("own") == F.col("len"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b")) & other).select("a", "b").distinct()
+    found = probes.where(F.when(F.col("delta") == 0, F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b")) & other).select("a", "b").distinct()
     of = lambda c: distinct.select(F.col("h").alias(c), F.col("line").alias(f"line_{c}"))
     links = found.join(of("a"), "a").join(of("b"), "b").where(within_edits(F.col("line_a"), F.col("line_b"), max_edits)).select("a", "b")
     return connected_components(links).select(F.col("node").alias("h"), F.col("component").alias("class"))

@@ -315,12 +315,12 @@ def confidence_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(spark, sf_dir)[2].groupBy(confidence_band(F.col("confidence")).alias("band")).agg(F.count("*").alias("findings"))
 
 
-@query(f"WITH {SP} SELECT 'q-' || o_orderkey AS query_id, s.span_count AS spans, o_totalprice / 1000 AS latency_ms FROM orders LEFT JOIN sm s ON s.trace_id = 't-' || o_orderkey")
+@query(f"WITH {SP} SELECT 'q-' || o_orderkey AS query_id, coalesce(s.span_count, 0) AS spans, o_totalprice / 1000 AS latency_ms FROM orders LEFT JOIN sm s ON s.trace_id = 't-' || o_orderkey")
 def debug_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree, baselines, found = _ranked(spark, sf_dir)
     o = views.table(spark, sf_dir, "orders")
     events = o.select(F.concat(F.lit("q-"), F.col("o_orderkey").cast("string")).alias("query_id"), F.lit("gateway").alias("service"), F.lit("ok").alias("status"), (F.col("o_totalprice") / 1000).alias("latency_ms"), F.col("o_orderdate").cast("timestamp").alias("timestamp"))
-    return findings.debug_bundle(events, tree, found, baselines).select("query_id", "spans", "latency_ms")
+    return findings.debug_bundle(events, tree, found, baselines).select("query_id", F.coalesce("spans", F.lit(0)).alias("spans"), "latency_ms")
 
 
 RUNS = """ln AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn FROM lineitem), d AS (SELECT l_orderkey AS o, list(DISTINCT l_partkey::VARCHAR) AS ids, count(*) AS n FROM ln GROUP BY 1),

@@ -1,8 +1,8 @@
-"""Language-model scores of whole texts, with bigram counts in a log-frequency Bloom filter.
+"""Language-model scores of whole texts, with bigram counts in log-frequency Bloom filters.
 
 Words become 64-bit numbers. Chunks of documents are stored as numbered words; their distinct words and bigrams go to buckets by number, where counts over the whole corpus
-are made. Word counts come back to the chunks exactly. A bigram seen c >= 2 times in training sets the bits of (bigram, 1) to (bigram, 1 + log2 c); a chunk finds its level again by repeated
-probes, so the filter holds no keys. Probabilities interpolate the bigram's share of its first word with the smoothed unigram; the weights depend on how often the first word
+are made. Word counts come back to the chunks exactly. Each bucket of bigrams has a filter of its own, as large as its keys need: a bigram seen c times in training sets the bits of (bigram, 1) to
+(bigram, 1 + log2 c), and repeated probes find its level again for the chunks that ask. Probabilities interpolate the bigram's share of its first word with the smoothed unigram; the weights depend on how often the first word
 was seen and are chosen on training texts with each text's own count taken out.
 """
 
@@ -26,8 +26,8 @@ END = mix(np.array([0x656E64], U))[0]  # the number of the end of a text
 CHUNK_BYTES = 1 << 20
 BUCKET_BYTES = 64 << 20
 HASHES = 3
-#: Bits of the filter: 16 for each key, a power of two, within these bounds. The upper one bounds what is broadcast (32 MB).
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+#: A bucket's filter has 16 to 32 bits for each key, a power of two, at least so many.
+LEAST_BITS = 1 << 16
 LAMBDAS = np.array([0.0, 0.05, 0.15, 0.35, 0.6, 0.85])
 #: Classes of first words, by how often they were seen: each four times the one before, the last open.
 CLASSES = 8
@@ -81,14 +81,6 @@ def bucket_of(numbers: np.ndarray, buckets: int) -> np.ndarray:
     return (numbers >> U(40)) % U(buckets)
 
 
-def short_of(numbers: np.ndarray, buckets: int) -> np.ndarray:
-    """The number by which the filter knows a bigram: its bucket and its last 32 bits, so that only these need to be sent.
-
-    A bucket is bounded, so of its bigrams a thousandth at most share their bits with another; the filter's own errors are more.
-    """
-    return mix(bucket_of(numbers, buckets) << U(32) | numbers & U(0xFFFFFFFF))
-
-
 def cuts_of(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """(order by bucket, (bucket, start, end) of those that are there)."""
     order = np.argsort(bucket, kind="stable")
@@ -96,26 +88,33 @@ def cuts_of(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[in
     return order, [(k, bounds[k], bounds[k + 1]) for k in range(buckets) if bounds[k] < bounds[k + 1]]
 
 
+def bigrams_sent(u: np.ndarray, s: np.ndarray, doc: np.ndarray, train: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """(place of each token's bigram among them, distinct bigrams by bucket, in each those seen once in training first; their counts there; (bucket, start, end))."""
+    numbers, at = np.unique(pairs(u, s, doc)[1], return_inverse=True)
+    counts = np.bincount(at[train], minlength=len(numbers)).astype(np.uint32)
+    once = np.argsort(counts != 1, kind="stable")
+    order, there = cuts_of(bucket_of(numbers[once], buckets), buckets)
+    order = once[order]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return place[at], numbers[order], counts[order], there
+
+
 def sent(table: DataFrame, what: str, buckets: int) -> DataFrame:
-    """SENT rows of each chunk: distinct words with training counts (0 too, they want an answer), or bigrams of training: 32 bits of those seen once, then of others, and the others' counts."""
+    """SENT rows of each chunk: distinct words with training counts, or 32 bits of distinct bigrams, those seen once in training first, and the others' counts. Counts of 0 are sent too, they want an answer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, *raw in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 _, u, s, doc, train = opened(*raw)
                 if what == "words":
-                    numbers, counts = u, np.bincount(s[train], minlength=len(u)).astype(np.uint32)
-                else:
-                    numbers, counts = np.unique(pairs(u, s, doc)[1][train], return_counts=True)
-                    once = np.argsort(counts > 1, kind="stable")
-                    numbers, counts = numbers[once], counts[once].astype(np.uint32)
-                order, there = cuts_of(bucket_of(numbers, buckets), buckets)
-                numbers, counts = numbers[order], counts[order]
-                if what == "words":
+                    order, there = cuts_of(bucket_of(u, buckets), buckets)
+                    numbers, counts = u[order], np.bincount(s[train], minlength=len(u)).astype(np.uint32)[order]
                     n, c = [numbers[a:b].tobytes() for _, a, b in there], [counts[a:b].tobytes() for _, a, b in there]
                 else:
+                    _, numbers, counts, there = bigrams_sent(u, s, doc, train, buckets)
                     low = (numbers & U(0xFFFFFFFF)).astype(np.uint32)
-                    n, c = [low[a:b].tobytes() for _, a, b in there], [(x := counts[a:b])[x > 1].tobytes() for _, a, b in there]
+                    n, c = [low[a:b].tobytes() for _, a, b in there], [(x := counts[a:b])[x != 1].tobytes() for _, a, b in there]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in there], pa.int32()), pa.array([chunk] * len(there), pa.int64()), pa.array(n, pa.binary()), pa.array(c, pa.binary())], names=SENT.fieldNames())
 
     return table.mapInArrow(run, SENT)
@@ -132,8 +131,8 @@ def answered(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([*table["bucket"].to_pylist(), 0], pa.int32()), pa.array([*table["chunk"].to_pylist(), -1], pa.int64()), pa.array([b""] * (len(parts) + 1), pa.binary()), pa.array([*back, facts], pa.binary())], names=SENT.fieldNames())
 
 
-def bigram_counts(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Of a bucket: short numbers of bigrams, and how often each was seen."""
+def bigram_counts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Of a bucket: numbers of bigrams (from the bucket and their last 32 bits: only these are sent, a thousandth of a bucket at most share theirs), how often each was seen in training, its place for each one sent, and how many each chunk sent."""
     low, counts = [], []
     for n, c in zip(table["numbers"], table["counts"], strict=True):
         low.append(np.frombuffer(n.as_py(), np.uint32))
@@ -141,7 +140,7 @@ def bigram_counts(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         counts.append(np.concatenate([np.ones(len(low[-1]) - len(more), np.uint32), more]))
     uniq, at = np.unique(np.concatenate(low), return_inverse=True)
     count = np.bincount(at, np.concatenate(counts), len(uniq)).astype(np.int64)
-    return mix(U(table["bucket"][0].as_py()) << U(32) | uniq.astype(U)), count
+    return mix(U(table["bucket"][0].as_py()) << U(32) | uniq.astype(U)), count, at, [len(x) for x in low]
 
 
 def keys_of(numbers: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -158,8 +157,19 @@ def level_of(count: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(np.maximum(count, 1))).astype(np.int64)  # 2 and 3 are level 1, 4 to 7 level 2
 
 
+def bloom_filter(numbers: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, int]:
+    """The filter of bigrams seen at least once, and its bits: all of their keys get in."""
+    numbers, steps = numbers[count > 0], level_of(count[count > 0]) + 1
+    bits = max(LEAST_BITS, 1 << (16 * int(steps.sum())).bit_length())
+    bloom = np.zeros(bits, bool)
+    for q in range(1, int(steps.max(initial=0)) + 1):
+        g = numbers[steps >= q]
+        bloom[bits_of(keys_of(g, np.full(len(g), q)), bits)] = True
+    return np.packbits(bloom, bitorder="little"), bits
+
+
 def probed(numbers: np.ndarray, bloom: np.ndarray, bits: int) -> np.ndarray:
-    """The level of each bigram: the last of consecutive ones of which all bits are set; 0 if not even the first."""
+    """1 + the level of each bigram: the last of consecutive steps of which all bits are set; 0 if not even the first."""
     level, todo = np.zeros(len(numbers), np.int64), np.arange(len(numbers))
     step = 1
     while len(todo) and step < 60:
@@ -172,56 +182,23 @@ def probed(numbers: np.ndarray, bloom: np.ndarray, bits: int) -> np.ndarray:
 
 
 def model_share(level: np.ndarray, less: int = 0) -> np.ndarray:
-    """The least count of a level, less the text's own."""
-    return np.where(level > 0, np.maximum((1 << level) - less, 0), 0)
+    """The least count of what probed() gives, less the text's own."""
+    return np.where(level > 0, np.maximum((1 << np.maximum(level - 1, 0)) - less, 0), 0)
 
 
-def bloom_filter(bigrams: DataFrame) -> tuple[np.ndarray, int, int]:
-    """The filter from bigrams' SENT rows, its bits, and the least count that got in.
+def levelled(bigrams: DataFrame, buckets: int) -> DataFrame:
+    """From bigrams' SENT rows: what probes of the bucket's filter give for them, a byte each, as counts of bucket + buckets.
 
-    The least count is 2, or more if the keys would not fit MOST_BITS at 8 bits each. Buckets set disjoint sets of keys; each stretch of bits is put together in a task of its own.
+    A bucket holds the bigrams of BUCKET_BYTES of text at the mean, and a bigram seen c times has 1 + log2 c <= c keys, so a filter is bounded however large the corpus is.
     """
-    ladder = T.StructType([T.StructField("numbers", T.BinaryType()), T.StructField("levels", T.BinaryType()), T.StructField("sizes", T.ArrayType(T.LongType()))])
-
-    def counted(table: pa.Table) -> pa.Table:
-        uniq, count = bigram_counts(table)
-        keep = count > 1
-        level = level_of(count[keep])
-        sizes = np.bincount(level, minlength=64)
-        return pa.table([pa.array([uniq[keep].tobytes()], pa.binary()), pa.array([level.astype(np.uint8).tobytes()], pa.binary()), pa.array([sizes.tolist()], pa.list_(pa.int64()))], names=ladder.fieldNames())
-
-    kept = stored(bigrams.groupBy("bucket").applyInArrow(counted, ladder))
-    by_level = np.array([r["n"] for r in kept.select(F.posexplode("sizes").alias("level", "c")).groupBy("level").agg(F.sum("c").alias("n")).orderBy("level").collect()] or [0] * 64, np.int64)
-    n_keys = lambda least: int(sum(by_level[q] * (q - least + 1) for q in range(least, 64)))  # noqa: E731  levels from least up are set
-    least = next((q for q in range(1, 63) if 8 * n_keys(q) <= MOST_BITS), 63)
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(0, 16 * n_keys(least) - 1).bit_length()))
-    stretch = max(1 << 16, bits >> 6)
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw, lev in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                g, level = np.frombuffer(raw, U), np.frombuffer(lev, np.uint8).astype(np.int64)
-                found = [np.zeros(0, U)]
-                for q in range(1, int(level.max(initial=0)) + 1):
-                    has = level >= max(q, least)
-                    found.append(bits_of(keys_of(g[has], np.full(int(has.sum()), q)), bits))
-                places = np.unique(np.concatenate(found))
-                part = (places // U(stretch)).astype(np.int64)
-                cut = np.append(np.flatnonzero(np.concatenate(([True], np.diff(part) > 0))), len(part)) if len(part) else np.zeros(1, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]], pa.int64()), pa.array([(places[a:b] % U(stretch)).astype(np.uint32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["part", "places"])
-
-    def put_together(table: pa.Table) -> pa.Table:
-        piece = np.zeros(stretch, bool)
-        for x in table["places"]:
-            piece[np.frombuffer(x.as_py(), np.uint32)] = True
-        return pa.table([pa.array([table["part"][0].as_py()], pa.int64()), pa.array([np.packbits(piece, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
-
-    pieces = kept.select("numbers", "levels").mapInArrow(placed, "part long, places binary").groupBy("part").applyInArrow(put_together, "part long, bits binary")
-    bloom = np.zeros(bits >> 3, np.uint8)
-    for r in pieces.toLocalIterator():  # MOST_BITS in all
-        at = r["part"] * (stretch >> 3)
-        bloom[at : at + (stretch >> 3)] = np.frombuffer(r["bits"], np.uint8)
-    return bloom, bits, 1 << least
+
+    def run(table: pa.Table) -> pa.Table:
+        numbers, count, at, sizes = bigram_counts(table)
+        level = probed(numbers, *bloom_filter(numbers, count)).astype(np.uint8)
+        back = [x.tobytes() for x in np.split(level[at], np.cumsum(sizes)[:-1])]
+        return pa.table([pa.array([k + buckets for k in table["bucket"].to_pylist()], pa.int32()), pa.array(table["chunk"].to_pylist(), pa.int64()), pa.array([b""] * len(back), pa.binary()), pa.array(back, pa.binary())], names=SENT.fieldNames())
+
+    return bigrams.groupBy("bucket").applyInArrow(run, SENT)
 
 
 def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,8 +215,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     table = stored(chunks(docs, id_col, text_col, held_out))
     back = stored(sent(table, "words", buckets).groupBy("bucket").applyInArrow(answered, SENT))
     n, v = np.sum([np.frombuffer(r["counts"], np.int64) for r in back.where("chunk < 0").select("counts").collect()] or [[0, 0]], axis=0).tolist()  # two numbers a bucket
-    bloom, bits, _ = bloom_filter(sent(table, "bigrams", buckets))
-    shared = spark.sparkContext.broadcast((bloom, bits))
+    levels = stored(levelled(sent(table, "bigrams", buckets), buckets))
     floor = math.log10(n + 0.1 * (v + 1)) if n + v else -1.0
 
     active = len(LAMBDAS) * CLASSES
@@ -258,16 +234,16 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         """For each document log10 sums by class and weight; and a row for the chunk (left_out) with those of its training tokens, their own count taken out."""
         right = right.sort_by("bucket")
-        counts = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in right["counts"]])
+        answers, bucket = right["counts"].to_pylist(), right["bucket"].to_pylist()
+        counts = np.concatenate([np.frombuffer(x, np.int64) for x, k in zip(answers, bucket, strict=True) if k < buckets])
+        levels_back = np.concatenate([np.frombuffer(x, np.uint8) for x, k in zip(answers, bucket, strict=True) if k >= buckets]).astype(np.int64)
         tables = []
         for k in range(left.num_rows):
             f, u, s, doc, train = opened(*(left[c][k].as_py() for c in ("facts", "uniq", "stream")))
             c = np.empty(len(u), np.int64)
             c[np.argsort(bucket_of(u, buckets), kind="stable")] = counts
-            before, g = pairs(u, s, doc)
-            distinct, at = np.unique(g, return_inverse=True)
-            level = probed(short_of(distinct, buckets), *shared.value)[at]
-            own, h = c[s], c[before]
+            level = levels_back[bigrams_sent(u, s, doc, train, buckets)[0]]
+            own, h = c[s], c[pairs(u, s, doc)[0]]
             kind = np.minimum(level_of(h + 1) >> 1, CLASSES - 1)
             sums = np.stack([np.bincount(doc * CLASSES + kind, x, len(f) * CLASSES).reshape(-1, CLASSES) for x in parts_of(own, h, level, 0)], 2).reshape(len(f), active)
             out = np.stack([np.bincount(kind[train], x, CLASSES) for x in parts_of(own[train], h[train], level[train], 1)], 1).reshape(1, active)
@@ -277,7 +253,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
             tables.append(pa.table([pa.array(np.append(f[:, 0], 0), mask=null), pa.array(np.append(f[:, 2] > 0, False)), pa.array(np.append(f[:, 3], 0)), pa.array(np.append(np.bincount(doc, own > 0, len(f)), 0).astype(np.int64)), pa.array(np.append(base, 0.0)), rows, pa.array(np.arange(len(f) + 1) == len(f))], names=schema.fieldNames()))
         return pa.concat_tables(tables)
 
-    found = stored(table.groupBy("chunk").cogroup(back.where("chunk >= 0").groupBy("chunk")).applyInArrow(scored, schema))
+    found = stored(table.groupBy("chunk").cogroup(back.where("chunk >= 0").unionByName(levels).groupBy("chunk")).applyInArrow(scored, schema))
     likely = np.zeros(active)
     for r in found.where("left_out").select(F.posexplode("by_weight").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect():
         likely[r["k"]] = r["x"]

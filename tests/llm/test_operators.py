@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from querypulse.llm import media
+from querypulse.llm import lm, media
 from querypulse.llm.ann import graph_search, neighbour_graph
 from querypulse.llm.components import connected_components
 from querypulse.llm.line_dedup import dedup_lines, within_edits
@@ -284,6 +284,37 @@ def test_lm_scores(spark):
     assert score_texts(frame(spark, []), held).count() == 0
 
 
+def test_lm_levels_are_exact_counts(spark):
+    """Bigrams seen once and thousands of distinct ones count as they are: scores against plain Python, but for the filters' few errors."""
+    random.seed(10)
+    rows = [(k, " ".join(random.choice(["q", "r"]) + str(random.randint(0, 40 if k % 2 else 3000)) for _ in range(60))) for k in range(150)]
+    got = {r.doc_id: r.score for r in score_texts(frame(spark, rows), F.col("doc_id") % 10 == 0).collect()}
+    texts = {k: ["</s>", *t.split(), "</s>"] for k, t in rows}
+    one, two = Counter(w for k, t in texts.items() if k % 10 for w in t[1:]), Counter(p for k, t in texts.items() if k % 10 for p in zip(t, t[1:]))
+    n, v = sum(one.values()), len(one)
+    kind = lambda a: min(int(math.log2(one[a] + 1)) >> 1, lm.CLASSES - 1)
+
+    def p(a, b, lam, less):
+        least = max(0, (1 << int(math.log2(two[a, b]))) - less) if two[a, b] else 0
+        return math.log10(lam * min(1, least / max(one[a] - less, 1)) + (1 - lam) * (max(one[b] - less, 0) + 0.1) / (n - less + 0.1 * (v + 1)))
+
+    sums = [[sum(p(a, b, lam, 1) * c for (a, b), c in two.items() if kind(a) == k) for lam in lm.LAMBDAS] for k in range(lm.CLASSES)]
+    lam = [lm.LAMBDAS[int(np.argmax(x))] for x in sums]
+    want = {k: sum(p(a, b, lam[kind(a)], 0) for a, b in zip(t, t[1:])) for k, t in texts.items()}
+    assert sum(two.values()) - len(two) < sum(c == 1 for c in two.values()) and max(lam) > 0
+    assert sum(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want) >= 0.7 * len(want)
+    assert all(math.isclose(got[k], want[k], rel_tol=0.05) for k in want)
+
+
+def test_lm_filter_takes_every_key():
+    numbers = lm.mix(np.arange(1, 400_001, dtype=np.uint64))
+    count = np.arange(400_000) % 9
+    bloom, bits = lm.bloom_filter(numbers, count)
+    level = lm.probed(numbers, bloom, bits)
+    want = np.where(count > 0, lm.level_of(count) + 1, 0)
+    assert (level >= want).all() and (level == want).mean() > 0.98 and bits >= 16 * want.sum()
+
+
 def test_folding():
     assert fold("You 1D10T! l0ser Ѕtupid covid19 5cum, trash can") == " you idiot ioser stupid covid19 scum trash can "
     assert fold("") == "  "

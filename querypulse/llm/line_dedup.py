@@ -1,7 +1,8 @@
 """Near-duplicate lines by segment partition, in DataFrame functions only.
 
 A line is cut into threshold + 1 segments. Within the threshold of edits one segment stays whole and lies near its place, so a line of length n is looked up
-by few substrings in the index of lines of lengths n - threshold to n. Of what is found, a banded bit-parallel simulation tells the edits apart.
+by few substrings in the index of lines of lengths n - threshold to n. The threshold may grow with the length: that of the shorter line holds for a pair. Of what is found, a banded
+bit-parallel simulation tells the edits apart, beyond BANDED edits Spark's own banded distance.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .shipping import stored
 
+#: Beyond so many edits the simulation's expression is larger than the distance it replaces.
+BANDED = 2
 PROBE = "array<struct<key:bigint,delta:int,ahead:int,behind:int>>"
 
 
@@ -52,8 +55,36 @@ def within_edits(a: Column, b: Column, most: int) -> Column:
     return F.when(F.abs(n - m) > most, F.lit(False)).when(n.isNotNull() & m.isNotNull(), near)
 
 
-def keys(line: Column, length: Column, most: int, probe: bool) -> Column:
+def threshold(length: Column, most: int, chars_an_edit: int | None) -> Column:
+    """The edits allowed to a line: most, or one for so many characters, from 1 to most."""
+    return F.lit(most) if chars_an_edit is None else F.greatest(F.lit(1), F.least(F.lit(most), F.floor(length / chars_an_edit).cast("int")))
+
+
+def segment_keys(line: Column, length: Column, most: int, chars_an_edit: int | None, probe: bool) -> Column:
+    """As keys(), for any threshold."""
+
+    def of_length(delta: Column) -> Column:
+        total = length - delta
+        allowed = threshold(total, most, chars_an_edit)
+        parts = allowed + 1
+
+        def of_segment(i: Column) -> Column:
+            short, extra = F.floor(total / parts).cast("int"), total % parts
+            start = short * i + F.greatest(F.lit(0), i - parts + extra)
+            size = short + F.when(i >= parts - extra, 1).otherwise(0)
+            low, high = (F.greatest(-i, delta - (allowed - i)), F.least(i, delta + (allowed - i))) if probe else (F.lit(0), F.lit(0))
+            row = lambda shift: F.struct(F.xxhash64(total, i, F.substring(line, start + shift + 1, size)).alias("key"), delta.alias("delta"), F.lit(0).alias("ahead"), F.lit(0).alias("behind"))
+            return F.transform(F.filter(F.sequence(low, high), lambda shift: (start + shift >= 0) & (start + shift + size <= length)), row)
+
+        return F.when((delta <= allowed) & (total >= parts), F.flatten(F.transform(F.sequence(F.lit(0), allowed), of_segment))).otherwise(F.array().cast(PROBE))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), threshold(length, most, chars_an_edit)) if probe else F.array(F.lit(0)), of_length)).cast(PROBE)
+
+
+def keys(line: Column, length: Column, most: int, probe: bool, chars_an_edit: int | None = None) -> Column:
     """The segments of a line as an indexed one, or the substrings by which a line looks for shorter or equal ones."""
+    if most > 1:
+        return segment_keys(line, length, most, chars_an_edit, probe)
     parts = most + 1
     out = []
     part = lambda start, n: F.substring(line, start + 1, n)
@@ -68,9 +99,7 @@ def keys(line: Column, length: Column, most: int, probe: bool) -> Column:
                 # With one edit, the other half agrees in its outer or its inner quarter too.
                 rest = total - size
                 outer, inner = F.floor(rest / 2).cast("int"), rest - F.floor(rest / 2).cast("int")
-                if most > 1:
-                    ahead = behind = F.lit(0)
-                elif i == 0:
+                if i == 0:
                     own = length - (start + shift) - size  # what follows the first half
                     ahead, behind = F.hash(part(start + shift + size, inner)), F.hash(part(start + shift + size + own - outer, outer))
                 else:
@@ -87,29 +116,33 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
     return rows.select("doc", "at", line.alias("line"), F.xxhash64(line).alias("h"), F.length(line).alias("len")).where(F.col("len") >= min_chars)
 
 
-def line_classes(lines: DataFrame, max_edits: int = 1) -> DataFrame:
-    """(h, class) for lines that are within max_edits of another line, over chains; lines alone of their kind are left out. lines: h, line, len."""
+def line_classes(lines: DataFrame, max_edits: int = 1, chars_an_edit: int | None = None) -> DataFrame:
+    """(h, class) for lines that are within the threshold of another line, over chains; lines alone of their kind are left out. lines: h, line, len."""
     distinct = stored(lines.select("h", "line", "len").dropDuplicates(["h"]))
-    index = distinct.select("h", F.explode(keys(F.col("line"), F.col("len"), max_edits, False)).alias("k")).select(F.col("h").alias("a"), "k.key", "k.ahead", "k.behind")
-    probes = distinct.select("h", F.explode(keys(F.col("line"), F.col("len"), max_edits, True)).alias("k")).select(F.col("h").alias("b"), "k.key", "k.delta", F.col("k.ahead").alias("ahead_b"), F.col("k.behind").alias("behind_b"))
+    index = distinct.select("h", F.explode(keys(F.col("line"), F.col("len"), max_edits, False, chars_an_edit)).alias("k")).select(F.col("h").alias("a"), "k.key", "k.ahead", "k.behind")
+    probes = distinct.select("h", F.explode(keys(F.col("line"), F.col("len"), max_edits, True, chars_an_edit)).alias("k")).select(F.col("h").alias("b"), "k.key", "k.delta", F.col("k.ahead").alias("ahead_b"), F.col("k.behind").alias("behind_b"))
     probes = probes.join(index, "key")
     other = F.lit(True) if max_edits > 1 else (F.col("ahead") == F.col("ahead_b")) | (F.col("behind") == F.col("behind_b"))
     found = probes.where(F.when(F.col("delta") == 0, F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b")) & other).select("a", "b").distinct()
     of = lambda c: distinct.select(F.col("h").alias(c), F.col("line").alias(f"line_{c}"))
-    links = found.join(of("a"), "a").join(of("b"), "b").where(within_edits(F.col("line_a"), F.col("line_b"), max_edits)).select("a", "b")
+    a, b = F.col("line_a"), F.col("line_b")
+    allowed = threshold(F.least(F.length(a), F.length(b)), max_edits, chars_an_edit)
+    near = within_edits(a, b, max_edits) if max_edits <= BANDED and chars_an_edit is None else F.levenshtein(a, b, max_edits).between(F.lit(0), allowed)
+    links = found.join(of("a"), "a").join(of("b"), "b").where(near).select("a", "b")
     return connected_components(links).select(F.col("node").alias("h"), F.col("component").alias("class"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_chars: int = 30) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_chars: int = 30, chars_an_edit: int | None = None) -> DataFrame:
     """Keep the first of each class of near-duplicate lines in all documents (smallest id, then place), take out the others.
 
+    Two lines are near if they are max_edits apart or less; with chars_an_edit, one edit for so many characters of the shorter line, from 1 to max_edits.
     All rows and columns of docs stay; text_col is the text without those lines, _lines_removed their number. Lines of under min_chars characters (after trimming) are left alone, and so is
     a document whose every line is the first of its kind. Null texts stay null, empty ones empty; a text may become empty. Null ids come before others. Rows that
     repeat an id are one document: a line in both counts as one occurrence, and what is taken out is taken out of both. An empty table gives an empty result. Columns named _lines_removed,
     _gone or _doc are replaced.
     """
     lines = occurrences(docs, id_col, text_col, min_chars)
-    classes = line_classes(lines, max_edits)
+    classes = line_classes(lines, max_edits, chars_an_edit)
     places = lines.select("doc", "at", "h").join(classes, "h", "left").select("doc", "at", F.coalesce("class", "h").alias("class"))
     firsts = places.groupBy("class").agg(F.min(F.struct("doc", "at")).alias("first"), F.max(F.struct("doc", "at")).alias("last")).where("not (first <=> last)").select("class", "first")
     gone = places.join(firsts, "class").where(~F.struct("doc", "at").eqNullSafe(F.col("first"))).groupBy("doc").agg(F.collect_set("at").alias("_gone"))

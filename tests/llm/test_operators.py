@@ -20,6 +20,7 @@ from querypulse.llm.lm import score_texts
 from querypulse.llm.mixing import mix_sources, temperature_weights
 from querypulse.llm.ngram_join import ngram_components
 from querypulse.llm.packing import fit, pack_hierarchical, powers
+from querypulse.llm.queries import QUERIES
 from querypulse.llm.quotes import link_quotes, unquoted_conversations
 from querypulse.llm.tokens import PrefixCounter, count_at, longest_prefix, prefix_token_counts
 from querypulse.llm.toxicity import fit_toxicity, fold, score_toxicity
@@ -209,6 +210,32 @@ def test_line_dedup_is_brute_force(spark, most):
     assert dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_line_classes_by_length_are_brute_force(spark):
+    """The query's threshold: an edit for 32 characters, up to 8."""
+    random.seed(11)
+    base = ["".join(random.choice("abcdefgh ") for _ in range(n)).strip().ljust(30, "x") for n in (34, 63, 64, 70, 130, 200, 257, 300, 420)]
+    lines = sorted({edited(x, 10).strip() for x in base for _ in range(14)})
+    lines = [x for x in lines if len(x) >= 30]
+    near = {(x, y) for x in lines for y in lines if x < y and distance(x, y) <= max(1, min(8, min(len(x), len(y)) // 32))}
+    assert any(distance(x, y) > 5 for x, y in near)
+    of = {x: x for x in lines}
+    for x, y in near:
+        gone, stay = of[x], of[y]
+        of = {k: stay if v == gone else v for k, v in of.items()}
+    want = {frozenset(k for k, v in of.items() if v == c) for c in set(of.values())}
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], SCHEMA)
+    kept = {r.text for r in dedup_lines(docs, max_edits=8, chars_an_edit=32).collect() if r.text}
+    assert kept == {min(c) for c in want}
+
+
+def test_line_dedup_query_takes_near_copies(spark, tmp_path):
+    line = "a paragraph of some length in which one single word is not what it was in the copy that came before it, as happens with edited pages; " * 2
+    docs = [(1, line + "end"), (2, line.replace("single", "changed", 1) + "end"), (3, "something else that is long enough to count as a line")]
+    spark.createDataFrame(docs, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.lines_removed, r.text) for r in QUERIES["op7_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {1: (0, docs[0][1]), 2: (1, ""), 3: (0, docs[2][1])}
+
+
 def test_mixing(spark):
     rows = [(k, "big" if k % 10 < 7 else f"s{k % 10}", "a b c d") for k in range(400)] + [(1000, None, "x"), (1001, "s7", None), (1002, "none", ""), (None, "s8", "y z")]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")

@@ -1,7 +1,7 @@
 """Conversations without quotes, in DataFrame functions only.
 
-Leading marks give each line's quote level; consecutive lines of a level are a passage. Normalised quoted lines are hashed and joined to the messages that said them first;
-a passage belongs to the message that most of its lines come from. The outermost quote tells what a message replies to.
+Leading marks give each line's quote level; consecutive lines of a level are a passage. Normalised quoted lines are hashed and joined to all messages that say them; they vote,
+rare lines more than common ones, and a passage belongs to the message of most votes. The outermost quote tells what a message replies to.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from .shipping import stored
 
+#: The votes of a line that one message says; one that m messages say has this / m.
+VOTES = 1 << 40
 MARKS = r"^\s*(>[\s>]*)"
 
 
@@ -44,24 +46,37 @@ def quoted_passages(lines: DataFrame) -> DataFrame:
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
     """(conv, turn, passage, level, n_lines, matched, source_conv, source_turn): for each quoted passage the message it comes from, or nulls.
 
-    A line's source is the first earlier turn of its conversation that says it, else the first message of any conversation (smallest conv, turn) that does, never its own message. Of
-    several sources of a passage the one of most lines counts, then the same conversation, then the smallest.
+    Every message that says a line of the passage gets votes for it, its own message and later turns of its conversation aside: they are taken only if nothing else says a line (later turns), or
+    never (its own). The most votes count, then the most lines, then the same conversation, then the smallest (conv, turn).
     """
     lines = message_lines(messages, conv_col, turn_col, text_col).where("conv is not null and turn is not null")
-    quotes = quoted_passages(lines)
-    wanted = quotes.select("h").distinct()
-    said = lines.where("level = 0 and h is not null").select("conv", "turn", "h").join(wanted, "h", "left_semi")
-    near = said.groupBy("conv", "h").agg(F.min("turn").alias("near"))
-    far = said.groupBy("h").agg(F.min(F.struct("conv", "turn")).alias("far"), F.max(F.struct("conv", "turn")).alias("other"))
-    found = quotes.join(near, ["conv", "h"], "left").join(far, "h", "left")
-    own = lambda x: (F.col(f"{x}.conv") == F.col("conv")) & (F.col(f"{x}.turn") == F.col("turn"))
-    same = F.struct(F.col("conv").alias("conv"), F.col("near").alias("turn"))
-    source = F.when(F.col("near") < F.col("turn"), same).when(F.col("far").isNotNull() & ~own("far"), F.col("far")).when(F.col("other").isNotNull() & ~own("other"), F.col("other"))
-    votes = found.withColumn("src", source).groupBy("conv", "turn", "passage", "level", "src").agg(F.count("*").alias("n"))
-    at_home = F.when(F.col("src.conv") == F.col("conv"), 0).otherwise(1)
-    best = F.min(F.when(F.col("src").isNotNull(), F.struct((-F.col("n")).alias("o"), at_home.alias("home"), "src.conv", "src.turn", "n")))
-    passages = votes.groupBy("conv", "turn", "passage", "level").agg(F.sum("n").alias("n_lines"), best.alias("b"))
-    return passages.select("conv", "turn", "passage", "level", "n_lines", F.coalesce("b.n", F.lit(0)).alias("matched"), F.col("b.conv").alias("source_conv"), F.col("b.turn").alias("source_turn"))
+    quotes = quoted_passages(lines).groupBy("conv", "turn", "passage", "level").agg(F.array_sort(F.collect_list("h")).alias("hs"))
+    passages = stored(quotes.select("conv", "turn", "passage", "level", F.size("hs").cast("long").alias("n_lines"), F.md5(F.array_join("hs", ",")).alias("content"), "hs"))
+    # What is quoted often is looked up once.
+    contents = passages.groupBy("content").agg(F.first("hs").alias("hs")).select("content", F.explode("hs").alias("h")).groupBy("content", "h").agg(F.count("*").alias("times"))
+    said = stored(lines.where("level = 0 and h is not null").select("conv", "turn", "h").join(contents.select("h").distinct(), "h", "left_semi").distinct())
+    rarity = said.groupBy("h").agg(F.floor(F.lit(VOTES) / F.count("*")).alias("votes"), (F.min("conv") != F.max("conv")).alias("wide"))
+    weighed = stored(contents.join(rarity, "h").withColumn("votes", F.col("votes") * F.col("times")))
+    made = (F.sum("votes").alias("votes"), F.sum("times").alias("n"))
+    ranked = lambda home: F.struct((-F.col("votes")).alias("o"), (-F.col("n")).alias("p"), F.lit(home).alias("home"), "conv", "turn")
+    # Two conversations at least say the rarest line of several conversations. Lines that together weigh less cannot bring in a better message, however often they are said.
+    lightest = F.sum("votes").over(Window.partitionBy("content").orderBy("votes", "h").rowsBetween(Window.unboundedPreceding, 0))
+    certain = F.max(F.when(F.col("wide"), F.col("votes"))).over(Window.partitionBy("content"))
+    leading = weighed.withColumn("sum", lightest).withColumn("certain", certain).where("certain is null or sum >= certain").select("content", "h")
+    candidates = leading.join(said, "h").select("content", "conv", "turn").distinct()
+    everywhere = candidates.join(said, ["conv", "turn"]).join(weighed, ["content", "h"]).groupBy("content", "conv", "turn").agg(*made)
+    by_conv = everywhere.groupBy("content", "conv").agg(F.min(ranked(1)).alias("b")).withColumn("_r", F.row_number().over(Window.partitionBy("content").orderBy("b"))).where("_r <= 2")
+    far = by_conv.groupBy("content").agg(F.max(F.when(F.col("_r") == 1, F.col("b"))).alias("one"), F.max(F.when(F.col("_r") == 2, F.col("b"))).alias("two"))
+    at_home = passages.select("conv", "content").distinct().join(weighed, "content").join(said, ["conv", "h"]).groupBy("conv", "content", "turn").agg(*made)
+    asked = passages.select("conv", "content", "turn").distinct()
+    both = at_home.select("conv", "content", "turn", ranked(0).alias("b")).unionByName(asked.withColumn("b", F.lit(None)), allowMissingColumns=True)
+    turns = lambda order: Window.partitionBy("conv", "content").orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
+    number = F.col("turn").cast("long")
+    home = both.withColumn("early", F.min("b").over(turns(number))).withColumn("late", F.min("b").over(turns(-number))).where("b is null").drop("b")
+    found = passages.join(home, ["conv", "content", "turn"]).join(far, "content", "left")
+    other = F.when(F.col("one.conv") != F.col("conv"), F.col("one")).otherwise(F.col("two"))
+    best = found.withColumn("b", F.coalesce(F.least("early", other), F.col("late")))
+    return best.select("conv", "turn", "passage", "level", "n_lines", F.coalesce(-F.col("b.p"), F.lit(0).cast("long")).alias("matched"), F.col("b.conv").alias("source_conv"), F.col("b.turn").alias("source_turn"))
 
 
 def reply_order(parents: DataFrame) -> DataFrame:
@@ -103,7 +118,7 @@ def unquoted_conversations(messages: DataFrame, conv_col: str = "conv_id", turn_
     return done.unionByName(odd).withColumnsRenamed({"conv": conv_col, "turn": turn_col, "role": role_col, "text": text_col})
 
 
-#: DuckDB SQL for unquoted_conversations(conversations).
+#: DuckDB SQL for unquoted_conversations(conversations), for quoted lines that one message says: of several it takes the first only.
 ORACLE_SQL = r"""WITH RECURSIVE m AS (SELECT conv, turn, (min(r)).role AS role, (min(r)).text AS text FROM (SELECT conv_id AS conv, turn, {'role': role, 'text': text} AS r FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL) GROUP BY conv, turn),
 ln0 AS (SELECT conv, turn, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM m WHERE text IS NOT NULL),
 ln AS (SELECT conv, turn, k, line, length(mk) - length(replace(mk, '>', '')) AS level, lower(trim(regexp_replace(regexp_replace(line, '^\s*(>[\s>]*)', ''), '\s+', ' ', 'g'))) AS norm FROM (SELECT *, regexp_extract(line, '^\s*(>[\s>]*)', 1) AS mk FROM ln0)),

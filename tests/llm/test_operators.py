@@ -272,6 +272,31 @@ def test_quotes(spark):
     assert unquoted_conversations(df.where("false")).count() == 0
 
 
+def test_quotes_vote_over_all_messages(spark):
+    """Lines that several messages say: each passage against the votes counted in plain Python."""
+    random.seed(12)
+    pool = ["Hi.", "Thanks."] + [f"point {k}" for k in range(14)]
+    talk = [(0, 1, "Hi.\nalpha"), (0, 3, "Hi.\nalpha\nbeta"), (0, 5, "> Hi.\n> alpha\n> beta\nyes"), (0, 6, "Hi.\nalpha\nbeta\ngamma"), (9, 0, "> gamma\n> Hi.")]
+    for c in range(1, 7):
+        for k in range(12):
+            own, quoted = random.sample(pool, random.randint(1, 3)), random.choices(pool, k=random.randint(0, 4))
+            talk.append((c, k, "\n".join([*(f"> {q}" for q in quoted), *own])))
+    says = {(c, k): {x for x in t.split("\n") if x[0] != ">"} for c, k, t in talk}
+    m = Counter(x for own in says.values() for x in own)
+    want = {}
+    for c, k, t in talk:
+        quoted = [x[2:] for x in t.split("\n") if x[0] == ">"]
+        rank = lambda at: (-sum((1 << 40) // m[x] for x in quoted if x in says[at]), -sum(x in says[at] for x in quoted), at[0] != c, at)  # noqa: B023, E731
+        hit = [at for at in says if at != (c, k) and says[at] & set(quoted)]
+        best = min([at for at in hit if at[0] != c or at[1] < k] or hit, key=rank, default=(None, None))
+        if quoted:
+            want[c, k] = (len(quoted), -rank(best)[1] if hit else 0, *best)
+    df = spark.createDataFrame([(c, k, "u", t) for c, k, t in talk], "conv_id long, turn long, role string, text string")
+    assert {(r.conv, r.turn): (r.n_lines, r.matched, r.source_conv, r.source_turn) for r in link_quotes(df).collect()} == want
+    assert want[0, 5] == (3, 3, 0, 3) and want[9, 0] == (2, 2, 0, 6)
+    assert unquoted_conversations(df).where("conv_id = 0 and turn = 5").first().reply_to == 3
+
+
 def test_nearest_recall(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((1500, 24)) + np.repeat(rng.standard_normal((10, 24)) * 2, 150, axis=0)

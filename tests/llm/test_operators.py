@@ -321,6 +321,30 @@ def test_nearest_recall(spark):
     assert graph_search(nodes, edges, nodes.select(F.col("id").alias("q"))).count() == 0
 
 
+def test_nearest_of_skewed_vectors(spark):
+    """Most vectors around one direction, some elsewhere, alone in their buckets, and a small tight group: every query finds 20, nearly all of them right."""
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.standard_normal((1200, 16)) * 0.1 + 3, rng.standard_normal((60, 16)) * 3, rng.standard_normal((1, 16)) + rng.standard_normal((30, 16)) * 0.01]).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    nodes, edges = neighbour_graph(df, bucket=4)
+    asked = nodes.where("id >= 1200").select(F.col("id").alias("q"))
+    got = graph_search(nodes, edges, asked).toPandas()
+    hits = 0
+    for q in range(1200, len(x)):
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -np.inf
+        mine = got[got.query_id == q]
+        assert sorted(mine["rank"]) == list(range(1, 21)), q
+        hits += len(set(mine.vec_id) & set(np.argsort(-s)[:20]))
+    assert hits / (20 * (len(x) - 1200)) >= 0.9
+    none = graph_search(nodes, edges.where("false"), asked.where("q % 9 = 0"), entries=0).toPandas()  # no way at all: scanned
+    for q, mine in none.groupby("query_id"):
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -np.inf
+        assert np.allclose(mine.sort_values("rank").score, np.sort(s)[::-1][:20])
+    assert none.query_id.nunique() == sum(k % 9 == 0 for k in range(1200, len(x)))
+
+
 def test_lm_scores(spark):
     random.seed(8)
     rows = [(k, " ".join(random.choice(["the cat sat", "on a mat", "Dogs bark", "birds sing well"]) for _ in range(20))) for k in range(120)] + [(200, None), (201, ""), (None, "cat cat"), (201, "")]

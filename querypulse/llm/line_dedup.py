@@ -1,8 +1,11 @@
 """Near-duplicate lines by segment partition, in DataFrame functions only.
 
-A line is cut into threshold + 1 segments. Within the threshold of edits one segment stays whole and lies near its place, so a line of length n is looked up
-by few substrings in the index of lines of lengths n - threshold to n. The threshold may grow with the length: that of the shorter line holds for a pair. Of what is found, a banded
-bit-parallel simulation tells the edits apart, beyond BANDED edits Spark's own banded distance.
+A line is a sequence of units, words or characters. Lines of a length class are cut into threshold + 1 segments of a size of the class's own, the first half of them told from the
+line's beginning, the others from its end. Within the threshold of edits one segment stays whole and is shifted by no more than the edits that can stand before it (or behind it), so a
+line is looked up by few substrings, whatever the other's length in the class; near the lower end of its class it asks for the class below as well. Of lines that share a substring, a banded
+bit-parallel simulation tells the edits apart (for characters, beyond BANDED edits, Spark's own banded distance).
+
+Only numbers are dealt out: 64 bits for a substring, 128 for a line. Texts are fetched for lines that share a substring with another one.
 """
 
 from __future__ import annotations
@@ -13,22 +16,42 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .shipping import stored
 
-#: Beyond so many edits the simulation's expression is larger than the distance it replaces.
+#: Beyond so many edits of characters the simulation's expression is larger than the distance it replaces.
 BANDED = 2
-PROBE = "array<struct<key:bigint,delta:int,ahead:int,behind:int>>"
+#: So many lines that share a substring are compared each with each; more are compared with one of them, then told apart by substrings of what remains.
+FEW = 16
+#: After so many refinements lines of one group agree in all but a few units; those that are in different classes still are compared.
+LEVELS = 4
+#: What holds more than this share of all rows is joined by broadcast: so many keys at most.
+MOST_HEAVY = 100_000
+
+
+def hot_join(rows: DataFrame, few: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join; few has a row for each key and in weight its number of rows. Keys heavier than total / MOST_HEAVY, so MOST_HEAVY of them at most, are broadcast; the others are dealt out evenly."""
+    bound = max(1000, total // MOST_HEAVY)
+    heavy, light = F.broadcast(few.where(F.col(weight) > bound).drop(weight)), few.where(F.col(weight) <= bound).drop(weight)
+    return rows.join(heavy, on).unionByName(rows.join(heavy.select(*on), on, "left_anti").join(light, on))
 
 
-def within_edits(a: Column, b: Column, most: int) -> Column:
-    """Whether two texts are at most so many edits apart; null if one is null.
+def units_of(line: Column, unit: str) -> Column:
+    """What an edit adds, takes or replaces: words between single blanks, or characters."""
+    return F.split(line, " " if unit == "word" else "", -1)
 
-    For each number of edits a word of 2 most + 1 bits holds the rows of the band that are reached; one step for each letter of b
+
+def within_edits(a: Column, b: Column, most: int, unit: str = "char", allowed: Column | None = None) -> Column:
+    """Whether two texts are at most so many edits apart (with allowed: at most that many, which is most or less); null if one is null.
+
+    For each number of edits a word of 2 most + 1 bits holds the rows of the band that are reached; one step for each unit of b
     moves them: by a match or a substitution (same bit), an insertion (to the right), a deletion (to the left).
     """
     width = 2 * most + 1
     full = (1 << width) - 1
-    n, m = F.length(a), F.length(b)
-    first, second = F.split(a, ""), F.split(b, "")
-    # Beside each letter of b the letters of a that its band meets, so that a step looks nothing up.
+    first, second = units_of(a, unit), units_of(b, unit)
+    if unit == "char":
+        n, m = F.length(a), F.length(b)
+    else:
+        n, m = F.size(first), F.size(second)
+    # Beside each unit of b the units of a that its band meets, so that a step looks nothing up.
     bands = [F.concat(F.array_repeat(F.lit(None).cast("string"), most - t), first) if t < most else F.slice(first, t - most + 1, F.greatest(n, F.lit(1))) for t in range(width)]
     rows = F.slice(F.arrays_zip(second.alias("b"), *(x.alias(f"a{t}") for t, x in enumerate(bands))), 1, m)
     start = F.struct(*(F.lit(sum(1 << (most + t) for t in range(d + 1))).cast("long").alias(f"r{d}") for d in range(most + 1)))
@@ -51,103 +74,168 @@ def within_edits(a: Column, b: Column, most: int) -> Column:
         return F.struct(*(r.alias(f"r{d}") for d, r in enumerate(new)))
 
     end = F.aggregate(rows, start, step)
-    near = F.getbit(end[f"r{most}"], F.greatest(F.least(n - m + most, F.lit(width - 1)), F.lit(0)).cast("int")) == 1
-    return F.when(F.abs(n - m) > most, F.lit(False)).when(n.isNotNull() & m.isNotNull(), near)
-
-
-def threshold(length: Column, most: int, chars_an_edit: int | None) -> Column:
-    """The edits allowed to a line: most, or one for so many characters, from 1 to most."""
-    return F.lit(most) if chars_an_edit is None else F.greatest(F.lit(1), F.least(F.lit(most), F.floor(length / chars_an_edit).cast("int")))
-
-
-def segment_keys(line: Column, length: Column, most: int, chars_an_edit: int | None, probe: bool) -> Column:
-    """As keys(), for any threshold."""
-
-    def of_length(delta: Column) -> Column:
-        total = length - delta
-        allowed = threshold(total, most, chars_an_edit)
-        parts = allowed + 1
-
-        def of_segment(i: Column) -> Column:
-            short, extra = F.floor(total / parts).cast("int"), total % parts
-            start = short * i + F.greatest(F.lit(0), i - parts + extra)
-            size = short + F.when(i >= parts - extra, 1).otherwise(0)
-            low, high = (F.greatest(-i, delta - (allowed - i)), F.least(i, delta + (allowed - i))) if probe else (F.lit(0), F.lit(0))
-            row = lambda shift: F.struct(F.xxhash64(total, i, F.substring(line, start + shift + 1, size)).alias("key"), delta.alias("delta"), F.lit(0).alias("ahead"), F.lit(0).alias("behind"))
-            return F.transform(F.filter(F.sequence(low, high), lambda shift: (start + shift >= 0) & (start + shift + size <= length)), row)
-
-        return F.when((delta <= allowed) & (total >= parts), F.flatten(F.transform(F.sequence(F.lit(0), allowed), of_segment))).otherwise(F.array().cast(PROBE))
-
-    return F.flatten(F.transform(F.sequence(F.lit(0), threshold(length, most, chars_an_edit)) if probe else F.array(F.lit(0)), of_length)).cast(PROBE)
-
-
-def keys(line: Column, length: Column, most: int, probe: bool, chars_an_edit: int | None = None) -> Column:
-    """The segments of a line as an indexed one, or the substrings by which a line looks for shorter or equal ones."""
-    if most > 1:
-        return segment_keys(line, length, most, chars_an_edit, probe)
-    parts = most + 1
-    out = []
-    part = lambda start, n: F.substring(line, start + 1, n)
-    for delta in range(most + 1) if probe else (0,):
-        total = length - delta  # length of the indexed line
-        short, extra = F.floor(total / parts).cast("int"), (total % parts).cast("int")
-        for i in range(parts):
-            start = short * i + F.greatest(F.lit(0), F.lit(i - parts) + extra)
-            size = short + F.when(F.lit(i) >= F.lit(parts) - extra, 1).otherwise(0)
-            low, high = max(-i, delta - (most - i)), min(i, delta + (most - i))
-            for shift in range(low, high + 1) if probe else (0,):
-                # With one edit, the other half agrees in its outer or its inner quarter too.
-                rest = total - size
-                outer, inner = F.floor(rest / 2).cast("int"), rest - F.floor(rest / 2).cast("int")
-                if i == 0:
-                    own = length - (start + shift) - size  # what follows the first half
-                    ahead, behind = F.hash(part(start + shift + size, inner)), F.hash(part(start + shift + size + own - outer, outer))
-                else:
-                    ahead, behind = F.hash(part(F.lit(0), outer)), F.hash(part(start + shift - inner, inner))
-                row = F.struct(F.xxhash64(total.cast("int"), F.lit(i), part(start + shift, size)).alias("key"), F.lit(delta).alias("delta"), ahead.alias("ahead"), behind.alias("behind"))
-                out.append(F.when((total >= parts) & (start + shift >= 0) & (start + shift + size <= length), row))
-    return F.array_compact(F.array(*out)).cast(PROBE)
+    row = end[f"r{most}"]
+    for d in range(most if allowed is not None else 0):
+        row = F.when(allowed == d, end[f"r{d}"]).otherwise(row)
+    near = F.getbit(row, F.greatest(F.least(n - m + most, F.lit(width - 1)), F.lit(0)).cast("int")) == 1
+    return F.when(F.abs(n - m) > most, F.lit(False)).when(a.isNotNull() & b.isNotNull(), near)
+
+
+def lower_end(n: Column) -> Column:
+    """The least length of the class of n: 1, 2, 3, 4, 6, 8, 12, 16, 24 ..."""
+    step = F.call_function("shiftleft", F.lit(1), F.greatest(F.lit(0), F.length(F.bin(n)) - 2))
+    return n - n % step
+
+
+def threshold(low: Column, most: int, units_an_edit: int) -> Column:
+    """The edits allowed in a class, from its least length."""
+    return F.least(F.lit(most), F.floor(low / units_an_edit).cast("int"))
+
+
+def with_segments(rows: DataFrame, most: int, units_an_edit: int, edits: Column | None = None, places: bool = False) -> DataFrame:
+    """rows (with units: array<string>) and keys: numbers of the substrings a line is looked up by, null where there is none, the last bit set for a segment of its own class.
+
+    With edits, that many are allowed instead of what the class allows. With places, structs of key, start, length and edits.
+    """
+    rows = rows.withColumn("_n", F.size("units")).withColumn("_low", lower_end(F.col("_n"))).withColumn("_low1", F.when(F.col("_low") > 1, lower_end(F.col("_low") - 1)).otherwise(0))
+    for k, low in enumerate(("_low", "_low1")):
+        rows = rows.withColumn(f"_t{k}", F.when(F.col(low) > edits, edits).otherwise(0) if edits is not None else threshold(F.col(low), most, units_an_edit)).withColumn(f"_s{k}", F.floor(F.col(low) / (F.col(f"_t{k}") + 1)).cast("int"))
+    n, out = F.col("_n"), []
+    for k, low in enumerate(("_low", "_low1")):
+        t, size = F.col(f"_t{k}"), F.col(f"_s{k}")
+        asked = (t > 0) if k == 0 else (t > 0) & (n - t < F.col("_low"))
+        for side, sides in (("b", most // 2), ("e", (most - 1) // 2)):
+            for i in range(sides + 1):
+                for shift in range(-i, i + 1):
+                    start = size * i + shift if side == "b" else n - size * (i + 1) + shift
+                    there = asked & (t >= 2 * i if side == "b" else t > 2 * i)
+                    if shift or k:
+                        there = there & (start >= 0) & (start + size <= n)
+                    key = F.xxhash64(F.lit(f"{side}{i}"), F.col(low), F.slice("units", start + 1, size)).bitwiseAND(F.lit(-2).cast("long"))
+                    if k == 0 and shift == 0:
+                        key = key.bitwiseOR(F.lit(1).cast("long"))
+                    out.append(F.when(there, F.struct(key.alias("key"), start.alias("start"), size.alias("length"), t.alias("edits")) if places else key))
+    return rows.withColumn("keys", F.array(*out)).drop("_n", "_low", "_low1", "_t0", "_t1", "_s0", "_s1")
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(doc, at, line, h, len) of the lines that count: trimmed, of at least min_chars characters."""
+    """(doc, at, line, h, g) of the lines that count: trimmed, not empty, of at least min_chars characters. h and g are their number."""
     rows = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("at", "line"))
-    line = F.trim(F.col("line"))
-    return rows.select("doc", "at", line.alias("line"), F.xxhash64(line).alias("h"), F.length(line).alias("len")).where(F.col("len") >= min_chars)
-
-
-def line_classes(lines: DataFrame, max_edits: int = 1, chars_an_edit: int | None = None) -> DataFrame:
-    """(h, class) for lines that are within the threshold of another line, over chains; lines alone of their kind are left out. lines: h, line, len."""
-    distinct = stored(lines.select("h", "line", "len").dropDuplicates(["h"]))
-    index = distinct.select("h", F.explode(keys(F.col("line"), F.col("len"), max_edits, False, chars_an_edit)).alias("k")).select(F.col("h").alias("a"), "k.key", "k.ahead", "k.behind")
-    probes = distinct.select("h", F.explode(keys(F.col("line"), F.col("len"), max_edits, True, chars_an_edit)).alias("k")).select(F.col("h").alias("b"), "k.key", "k.delta", F.col("k.ahead").alias("ahead_b"), F.col("k.behind").alias("behind_b"))
-    probes = probes.join(index, "key")
-    other = F.lit(True) if max_edits > 1 else (F.col("ahead") == F.col("ahead_b")) | (F.col("behind") == F.col("behind_b"))
-    found = probes.where(F.when(F.col("delta") == 0, F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b")) & other).select("a", "b").distinct()
-    of = lambda c: distinct.select(F.col("h").alias(c), F.col("line").alias(f"line_{c}"))
-    a, b = F.col("line_a"), F.col("line_b")
-    allowed = threshold(F.least(F.length(a), F.length(b)), max_edits, chars_an_edit)
-    near = within_edits(a, b, max_edits) if max_edits <= BANDED and chars_an_edit is None else F.levenshtein(a, b, max_edits).between(F.lit(0), allowed)
-    links = found.join(of("a"), "a").join(of("b"), "b").where(near).select("a", "b")
-    return connected_components(links).select(F.col("node").alias("h"), F.col("component").alias("class"))
+    rows = rows.select("doc", "at", F.trim("line").alias("line")).where(F.length("line") >= max(1, min_chars))
+    return rows.select("doc", "at", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("g"), F.col("line")).alias("g"))
+
+
+def split_last(keys: Column) -> tuple[Column, Column]:
+    """A key without its last bit, and the bit: whether it is of a segment of the line's own class."""
+    return keys.bitwiseAND(F.lit(-2).cast("long")), keys.bitwiseAND(F.lit(1).cast("long")).cast("int")
+
 
+def grouped_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From (key, own, h, ...): pairs (a, b) to compare; and the members of groups of more than FEW, of which only pairs with the least line are among them."""
+    sizes = stored(members.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("least")))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    told = stored(hot_join(members, sizes.withColumn("_w", F.col("n")), ["key"], "_w", total))
+    side = lambda c: told.where(F.col("n") <= FEW).select("key", F.col("h").alias(c), F.col("own").alias(f"own_{c}"))
+    pairs = side("a").join(side("b"), "key").where("a < b and (own_a = 1 or own_b = 1)").select("a", "b")
+    large = told.where(F.col("n") > FEW)
+    return pairs.unionByName(large.where("h <> least").select(F.col("least").alias("a"), F.col("h").alias("b"))).distinct(), large
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_chars: int = 30, chars_an_edit: int | None = None) -> DataFrame:
+
+def near_links(lines: DataFrame, members: DataFrame, most: int, units_an_edit: int, unit: str) -> DataFrame:
+    """(a, b): links that join all lines within the threshold of each other. lines: h, line; members: (key, own, h) of those that share a substring."""
+    text = lambda c: lines.select(F.col("h").alias(c), F.col("line").alias(f"line_{c}"))
+    a, b = F.col("line_a"), F.col("line_b")
+    n = F.least(F.size(units_of(a, unit)), F.size(units_of(b, unit))) if unit == "word" else F.least(F.length(a), F.length(b))
+    allowed = threshold(lower_end(n), most, units_an_edit)
+    near = F.levenshtein(a, b, most).between(F.lit(0), allowed) if unit == "char" and most > BANDED else within_edits(a, b, most, unit, allowed)
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        return stored(pairs.join(text("a"), "a").join(text("b"), "b").where(near).select("a", "b"))
+
+    pairs, large = grouped_pairs(members)
+    links = compared(pairs)
+    for level in range(LEVELS):
+        if large.isEmpty():
+            return links
+        # Groups whose lines are of one class by now are done. Of the others, what remains beside the shared substring is cut anew, as it can differ by the threshold too.
+        label = connected_components(links).withColumnsRenamed({"node": "h", "component": "label"})
+        open_ = stored(large.join(label, "h", "left").withColumn("label", F.coalesce("label", "h")))
+        mixed = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("_w")).where("lo <> hi").select("key", "_w")
+        open_ = stored(hot_join(open_, mixed, ["key"], "_w", open_.count()))
+        if open_.isEmpty():
+            return links
+        if level == LEVELS - 1:
+            one, two = open_.select("key", F.col("h").alias("a"), F.col("label").alias("la")), open_.select("key", F.col("h").alias("b"), F.col("label").alias("lb"))
+            return links.unionByName(compared(one.join(two, "key").where("a < b and la <> lb").select("a", "b").distinct()))
+        if level == 0:
+            whole = open_.select("key", "h").distinct().join(lines, "h").select("key", "h", units_of(F.col("line"), unit).alias("units"))
+            found = with_segments(whole, most, units_an_edit, places=True).withColumn("k", F.explode("keys")).where(split_last(F.col("k.key"))[0] == F.col("key"))
+            open_ = found.select("key", "h", rest("k"), F.col("k.edits").alias("edits"))
+        again = with_segments(open_.select("key", "h", "units", "edits"), most, units_an_edit, F.col("edits"), places=True)
+        # of so few units that edits and segments are not told apart: one more group of them all
+        short = F.when(F.size("units") <= 2 * F.col("edits"), F.struct(F.lit(1).cast("long").alias("key"), F.lit(0).alias("start"), F.lit(0).alias("length"), F.col("edits")))
+        cut = again.withColumn("k", F.explode(F.concat("keys", F.array(short)))).where("k is not null")
+        key, own = split_last(F.col("k.key"))
+        members = stored(cut.select(F.xxhash64("key", key).alias("key"), own.alias("own"), "h", rest("k"), "edits").groupBy("key", "h", "units", "edits").agg(F.max("own").alias("own")))
+        pairs, large = grouped_pairs(members)
+        links = stored(links.unionByName(compared(pairs)))
+    return links
+
+
+def rest(k: str) -> Column:
+    """units without the substring k."""
+    return F.concat(F.slice("units", 1, F.col(f"{k}.start")), F.slice("units", F.col(f"{k}.start") + F.col(f"{k}.length") + 1, F.greatest(F.size("units"), F.lit(1)))).alias("units")
+
+
+def marked_lines(docs: DataFrame, id_col: str, text_col: str, max_edits: int, units_an_edit: int, unit: str, min_chars: int) -> DataFrame:
+    """(doc, at) of the lines to take out: all but the first of each class."""
+    lines = occurrences(docs, id_col, text_col, min_chars)
+    if max_edits:
+        lines = with_segments(lines.withColumn("units", units_of(F.col("line"), unit)), max_edits, units_an_edit)
+    lines = stored(lines.drop("line", "units"))
+    place = F.struct("doc", "at")
+    total = lines.count()
+    same = stored(lines.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"))
+    marks = same.select("h", "g", "n", "first")
+    if max_edits:
+        key, own = split_last(F.col("k"))
+        asked = lines.select("h", "g", "doc", "at", F.explode("keys").alias("k")).where("k is not null").select(key.alias("key"), own.alias("own"), "h", "g", "doc", "at")
+        shared = stored(asked.groupBy("key").agg(F.max("own").alias("own"), F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("_w")).where("own = 1 and lo <> hi").select("key", "_w"))
+        # A line said very often is looked up by its first place only.
+        found = hot_join(asked, shared, ["key"], "_w", total).groupBy("key", "h", "g").agg(F.max("own").alias("own"), F.min(place).alias("first"))
+        found = stored(found)
+        places = stored(found.groupBy("h", "g").agg(F.min("first").alias("first")))
+        wanted = places.select(F.col("first.doc").alias("doc"), F.col("first.at").alias("at"), "h").where("doc is not null")
+        held = docs.where(F.col(id_col).isNotNull()).join(wanted.select(F.col("doc").alias(id_col)).distinct(), id_col, "left_semi")
+        null = docs.where(F.col(id_col).isNull())
+        texts = stored(occurrences(held.select(id_col, text_col), id_col, text_col, min_chars).drop("g").join(wanted, ["doc", "at", "h"]).select("h", "line").unionByName(
+            occurrences(null.select(id_col, text_col), id_col, text_col, min_chars).join(places.where("first.doc is null").select("h", "g"), ["h", "g"], "left_semi").select("h", "line")).dropDuplicates(["h"]))
+        kinds = connected_components(near_links(texts, found.select("key", "own", "h").distinct(), max_edits, units_an_edit, unit))
+        classes = stored(places.join(kinds.select(F.col("node").alias("h"), F.col("component").alias("class")), "h"))
+        firsts = classes.groupBy("class").agg(F.min("first").alias("class_first"))
+        linked = classes.join(firsts, "class").select("h", "g", "class_first")
+        marks = marks.join(linked, ["h", "g"], "full").select("h", "g", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("class_first", "first").alias("first"))
+    marks = stored(marks)
+    return hot_join(lines.select("h", "g", "doc", "at"), marks, ["h", "g"], "n", total).where(~place.eqNullSafe(F.col("first"))).select("doc", "at")
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 2, units_an_edit: int = 12, unit: str = "word", min_chars: int = 1) -> DataFrame:
     """Keep the first of each class of near-duplicate lines in all documents (smallest id, then place), take out the others.
 
-    Two lines are near if they are max_edits apart or less; with chars_an_edit, one edit for so many characters of the shorter line, from 1 to max_edits.
-    All rows and columns of docs stay; text_col is the text without those lines, _lines_removed their number. Lines of under min_chars characters (after trimming) are left alone, and so is
-    a document whose every line is the first of its kind. Null texts stay null, empty ones empty; a text may become empty. Null ids come before others. Rows that
-    repeat an id are one document: a line in both counts as one occurrence, and what is taken out is taken out of both. An empty table gives an empty result. Columns named _lines_removed,
-    _gone or _doc are replaced.
+    Two lines are near if they are equal but for blanks at their ends, or apart by no more edits than the shorter one's length class allows: one for units_an_edit (4 or more) of the class's
+    least length (see lower_end), max_edits at most; 0: exact repeats only. An edit adds, takes or replaces a unit: a word between single blanks, or a character (unit="char"). Classes are joined over
+    chains. Blank lines and lines of under min_chars characters are left alone; so is a document whose every line is the first of its kind.
+
+    All rows and columns of docs stay; text_col is the text without those lines, _lines_removed their number (a column of that name is replaced). Null texts stay null, empty ones empty; a text may become empty.
+    Null ids come before others. Rows that repeat an id are one document: a line in both counts as one occurrence, and what is taken out is taken out of both. An empty table gives an empty result.
+    Very long lines are cut and compared like others, as a whole. Exact repeats are told by 128 bits; a class is numbered by 64.
     """
-    lines = occurrences(docs, id_col, text_col, min_chars)
-    classes = line_classes(lines, max_edits, chars_an_edit)
-    places = lines.select("doc", "at", "h").join(classes, "h", "left").select("doc", "at", F.coalesce("class", "h").alias("class"))
-    firsts = places.groupBy("class").agg(F.min(F.struct("doc", "at")).alias("first"), F.max(F.struct("doc", "at")).alias("last")).where("not (first <=> last)").select("class", "first")
-    gone = places.join(firsts, "class").where(~F.struct("doc", "at").eqNullSafe(F.col("first"))).groupBy("doc").agg(F.collect_set("at").alias("_gone"))
-    kept = docs.drop("_gone", "_doc").join(gone.withColumnRenamed("doc", "_doc"), F.col(id_col).eqNullSafe(F.col("_doc")), "left")
-    parts = F.split(F.col(text_col).cast("string"), "\n", -1)
-    cleaned = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    text = F.when(F.col("_gone").isNull() | F.col(text_col).isNull(), F.col(text_col).cast("string")).otherwise(cleaned)
-    return kept.withColumn("_lines_removed", F.when(F.col(text_col).isNull(), 0).otherwise(F.coalesce(F.size("_gone"), F.lit(0)))).withColumn(text_col, text).select(*[c for c in docs.columns if c not in ("_gone", "_doc", "_lines_removed")], "_lines_removed")
+    if units_an_edit < 4 or unit not in ("word", "char"):
+        raise ValueError("an edit for 4 units or more, words or characters")
+    gone = marked_lines(docs, id_col, text_col, max_edits, units_an_edit, unit, min_chars).groupBy("doc").agg(F.collect_set("at").alias("at"))
+    own = F.struct(F.lit(0).alias("_"), *(F.col(c) for c in docs.columns if c not in (text_col, "_lines_removed")))  # in a struct no name can clash
+    kept = docs.select(F.col(id_col).alias("doc"), own.alias("own"), F.col(text_col).cast("string").alias("text")).join(gone.withColumnRenamed("doc", "gone_doc"), F.col("doc").eqNullSafe(F.col("gone_doc")), "left")
+    cleaned = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("at", i)), "\n")
+    text = F.when(F.col("at").isNull() | F.col("text").isNull(), F.col("text")).otherwise(cleaned)
+    removed = F.when(F.col("text").isNull(), 0).otherwise(F.coalesce(F.size("at"), F.lit(0)))
+    return kept.select(*(text.alias(c) if c == text_col else F.col("own")[c].alias(c) for c in docs.columns if c != "_lines_removed"), removed.alias("_lines_removed"))

@@ -61,8 +61,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the lines that repeat an earlier one, up to an edit for 32 characters and 8 edits."""
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), max_edits=8, min_chars=30, chars_an_edit=32).withColumnRenamed("_lines_removed", "lines_removed")
+    """All documents without the lines that repeat an earlier one, up to a word in 12 and two words; repeats of lines of any length."""
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), max_edits=2, units_an_edit=12).withColumnRenamed("_lines_removed", "lines_removed")
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from querypulse.llm import lm, media
+from querypulse.llm import line_dedup, lm, media
 from querypulse.llm.ann import graph_search, neighbour_graph
 from querypulse.llm.components import connected_components
 from querypulse.llm.line_dedup import dedup_lines, within_edits
@@ -44,6 +45,16 @@ def test_prefix_counts_are_the_librarys():
         assert c.prefixes(s).tolist() == [len(t.encode(s[:k], add_special_tokens=False).ids) for k in range(1, len(s) + 1)], repr(s)
 
 
+def test_prefix_counts_of_long_runs():
+    """Runs of white space, signs and letters take time in proportion to their length."""
+    c, t = PrefixCounter(BYTE), Tokenizer.from_file(BYTE)
+    began = time.time()
+    for s in (" " * 1_000_000, " \t" * 200_000, "\n" * 200_000 + "x", "-" * 200_000, "a" * 200_000):
+        p = c.prefixes(s)
+        assert len(p) == len(s) and p[-1] == len(t.encode(s, add_special_tokens=False).ids) and p[4999] == len(t.encode(s[:5000], add_special_tokens=False).ids)
+    assert time.time() - began < 30
+
+
 def test_prefix_counts_of_odd_rows(spark):
     rows = prefix_token_counts(frame(spark, ODD_ROWS), BYTE, limits=(5, 512), with_prefixes=True)
     got = sorted(((r.doc_id or 0, r.n_bytes, r.n_tokens, r.cuts) for r in rows.collect()), key=str)
@@ -185,47 +196,93 @@ def test_banded_distance(spark):
         assert all(r.w == (distance(r.a, r.b) <= k) for r in df.select("a", "b", within_edits(F.col("a"), F.col("b"), k).alias("w")).collect())
 
 
-@pytest.mark.parametrize("most", [1, 2])
-def test_line_dedup_is_brute_force(spark, most):
-    random.seed(6)
-    base = ["".join(random.choice("abcdefgh ") for _ in range(random.randint(30, 50))) for _ in range(20)]
-    rows = [(d, "\n".join(edited(random.choice(base), 2) if random.random() < 0.8 else "short" for _ in range(5))) for d in range(40)] + [(90, None), (91, ""), (92, base[0]), (92, base[0])]
-    lines = sorted({x.strip() for _, t in rows for x in (t or "").split("\n") if len(x.strip()) >= 30})
+def low(n):
+    step = 1 << max(0, n.bit_length() - 2)
+    return n - n % step
+
+
+def brute_lines(rows, most, per, unit, min_chars=1):
+    """Texts without the lines that are not the first of their class, every line against every other."""
+    cut = (lambda x: x.split(" ")) if unit == "word" else list
+    lines = sorted({y for _, t in rows for x in (t or "").split("\n") if len(y := x.strip(" ")) >= min_chars})
     of = {x: x for x in lines}
     for i, x in enumerate(lines):
         for y in lines[:i]:
-            if of[x] != of[y] and abs(len(x) - len(y)) <= most and distance(x, y) <= most:
+            a, b = cut(x), cut(y)
+            allowed = min(most, low(min(len(a), len(b))) // per)
+            if of[x] != of[y] and abs(len(a) - len(b)) <= allowed and distance(a, b) <= allowed:
                 gone, stay = of[x], of[y]
                 of = {k: stay if v == gone else v for k, v in of.items()}
     seen, want = {}, []
     for d, t in sorted(rows, key=lambda r: r[0]):
         kept = []
         for at, x in enumerate((t or "").split("\n")):
-            kind = of.get(x.strip())
+            kind = of.get(x.strip(" "))
             if kind is None or seen.setdefault(kind, (d, at)) == (d, at):
                 kept.append(x)
         want.append((d, None if t is None else "\n".join(kept)))
-    got = [(r.doc_id, r.text) for r in dedup_lines(frame(spark, rows), max_edits=most).collect()]
-    assert Counter(got) == Counter(want)
+    return Counter(want)
+
+
+@pytest.mark.parametrize("most", [1, 2])
+def test_line_dedup_is_brute_force(spark, most):
+    random.seed(6)
+    base = ["".join(random.choice("abcdefgh ") for _ in range(random.randint(30, 50))) for _ in range(20)]
+    rows = [(d, "\n".join(edited(random.choice(base), 2) if random.random() < 0.8 else "short" for _ in range(5))) for d in range(40)] + [(90, None), (91, ""), (92, base[0]), (92, base[0])]
+    got = [(r.doc_id, r.text) for r in dedup_lines(frame(spark, rows), max_edits=most, units_an_edit=4, unit="char", min_chars=30).collect()]
+    assert Counter(got) == brute_lines(rows, most, 4, "char", 30)
     assert dedup_lines(frame(spark, [])).count() == 0
 
 
-def test_line_classes_by_length_are_brute_force(spark):
-    """The query's threshold: an edit for 32 characters, up to 8."""
+def reworded(words, most, pool):
+    w = list(words)
+    for _ in range(random.randint(0, most)):
+        k, o = random.randrange(len(w) + 1), random.random()
+        if o < 0.3:
+            w.insert(k, random.choice(pool))
+        elif k < len(w):
+            w[k : k + 1] = [] if o < 0.5 else [random.choice(pool)]
+    return " ".join(w)
+
+
+@pytest.mark.parametrize(("most", "few"), [(2, 16), (3, 3)])
+def test_line_dedup_of_words_is_brute_force(spark, monkeypatch, most, few):
+    """Words as units, lines of all classes' ends, frequent words, short lines, and templates: many lines that share most of their words and are no copies. With few = 3 groups are refined."""
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    random.seed(most)
+    pool = [f"w{k}" for k in range(60)] + ["a", "b"] * 20
+    base = [[random.choice(pool) for _ in range(n)] for n in (1, 2, 5, 7, 8, 11, 12, 13, 15, 16, 17, 23, 24, 25, 31, 32, 33, 47, 48, 49, 64, 90, 130)]
+    template = [random.choice(pool) for _ in range(40)]
+    rows = []
+    for d in range(40):
+        here = [reworded(random.choice(base), 3, pool) for _ in range(4)]
+        t = list(template)
+        for k in range(20, 20 + random.randint(1, 9)):
+            t[k] = f"x{random.randrange(30)}"
+        rows.append((d, "\n".join([*here, "  " + " ".join(t), "", "}"])))
+    rows += [(90, None), (91, ""), (92, "a  b\na  b "), (93, "a  b\n  ")]
+    got = [(r.doc_id, r.text) for r in dedup_lines(frame(spark, rows), max_edits=most, units_an_edit=8).collect()]
+    assert Counter(got) == brute_lines(rows, most, 8, "word")
+
+
+def test_line_dedup_of_many_edits_is_brute_force(spark):
+    """An edit for 32 characters, up to 8."""
     random.seed(11)
     base = ["".join(random.choice("abcdefgh ") for _ in range(n)).strip().ljust(30, "x") for n in (34, 63, 64, 70, 130, 200, 257, 300, 420)]
-    lines = sorted({edited(x, 10).strip() for x in base for _ in range(14)})
-    lines = [x for x in lines if len(x) >= 30]
-    near = {(x, y) for x in lines for y in lines if x < y and distance(x, y) <= max(1, min(8, min(len(x), len(y)) // 32))}
-    assert any(distance(x, y) > 5 for x, y in near)
-    of = {x: x for x in lines}
-    for x, y in near:
-        gone, stay = of[x], of[y]
-        of = {k: stay if v == gone else v for k, v in of.items()}
-    want = {frozenset(k for k, v in of.items() if v == c) for c in set(of.values())}
-    docs = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], SCHEMA)
-    kept = {r.text for r in dedup_lines(docs, max_edits=8, chars_an_edit=32).collect() if r.text}
-    assert kept == {min(c) for c in want}
+    rows = [(k, x) for k, x in enumerate(sorted({edited(x, 10).strip() for x in base for _ in range(14)}))]
+    got = [(r.doc_id, r.text) for r in dedup_lines(frame(spark, rows), max_edits=8, units_an_edit=32, unit="char").collect()]
+    want = brute_lines(rows, 8, 32, "char")
+    assert Counter(got) == want and 9 < sum(x != "" for _, x in want) < len(rows)
+
+
+def test_line_dedup_of_long_lines_and_odd_rows(spark):
+    long = " ".join(f"w{k % 997}" for k in range(20_000))
+    rows = [(1, long), (2, long + " more"), (3, "x\n" + long.replace("w5 ", "", 1)), (4, "yes"), (5, " yes\n\n\n"), (None, "yes"), (None, None), (6, long[:-4])]
+    docs = spark.createDataFrame([(*r, "k", "g", 7) for r in rows], SCHEMA + ", key string, gone_doc string, _lines_removed int")
+    got = sorted(((r.doc_id, r.text, r._lines_removed) for r in dedup_lines(docs).collect()), key=lambda r: (r[0] or 0, str(r[1])))
+    assert got == [(None, None, 0), (None, "yes", 0), (1, long, 0), (2, "", 1), (3, "x", 1), (4, "", 1), (5, "\n\n", 1), (6, "", 1)]
+    with pytest.raises(ValueError):
+        dedup_lines(docs, units_an_edit=3)
 
 
 def test_line_dedup_query_takes_near_copies(spark, tmp_path):

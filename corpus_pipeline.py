@@ -27,8 +27,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that repeat an earlier one up to an edit for 32 characters and 8 edits; n_chars follows the text. A text may become empty."""
-    return dedup_lines(docs.select(COLUMNS), max_edits=8, min_chars=30, chars_an_edit=32).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)).select(COLUMNS)
+    """All documents, without lines that repeat an earlier one, up to a word in 12 and two words; n_chars follows the text. A text may become empty."""
+    kept = dedup_lines(docs.select(COLUMNS), max_edits=2, units_an_edit=12)
+    n_chars = F.when(F.col("text").isNull(), F.lit(None)).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return kept.withColumn("n_chars", n_chars).select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Hierarchical packing of tokenised documents into windows of a few lengths.
 
-Every document is cut into full windows and a rest; the rest is routed to the smallest tier that holds it. Tiers are packed from the longest
-down, so that gaps in long windows take documents of shorter tiers (best fit); the shortest tier fills what is left, cut where needed. What remains at the end
+Every document is cut into full windows and a rest; the rest is routed to the smallest tier that holds it and packed in windows of that tier's size. Tiers are packed from the longest
+down, so that gaps in long windows take documents of shorter tiers (best fit); the shortest tier fills what is left, cut where needed, and its own windows. What remains at the end
 of a partition becomes windows of powers of two. Windows of a block are then dealt into step groups of even attention cost.
 Each input partition packs its own documents in blocks of bounded size: no shuffle, no state that grows with the table.
 """
@@ -13,6 +13,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -66,12 +67,12 @@ class WordIds:
                 known.clear()
                 known[""] = b""
             missing = {w for w, p in zip(words, parts, strict=True) if p is None}
-            # a word of letters and the mark after it are pieces of their own
-            stems = {w: (w[:-1], w[-1]) for w in missing if w[-1] in ",." and w[:-1].isalpha()}
+            # a word of plain letters, which lower-casing leaves letters, and the mark after it are pieces of their own
+            stems = {w: (w[:-1], w[-1]) for w in missing if w[-1] in ",." and self.plain.fullmatch(w[:-1])}
             if lacking := [w for w in {*(missing - stems.keys()), *(x for pair in stems.values() for x in pair)} if w not in known]:
                 self.add(lacking)
             known.update((w, known[a] + known[b]) for w, (a, b) in stems.items())
-            parts = [known[w] if p is None else p for w, p in zip(words, parts, strict=True)] if len(known) > len(missing) else list(map(known.__getitem__, words))
+            parts = [known[w] if p is None else p for w, p in zip(words, parts, strict=True)]
         return b"".join(parts)
 
 
@@ -87,28 +88,31 @@ def word_ids(path: str) -> WordIds:
 Piece = tuple[int, int, int]  # document of the block, start, length
 
 
-def fit(rests: list[Piece], window: int, tiers: tuple[int, ...]) -> list[list[Piece]]:
-    """Windows for pieces shorter than window: all full but the last."""
-    by_tier: list[list[Piece]] = [[] for _ in (*tiers, window)]
+def fit(rests: list[Piece], window: int, tiers: tuple[int, ...]) -> tuple[list[list[Piece]], list[Piece]]:
+    """Windows for pieces shorter than window, each full at its tier's size; and the pieces of one that is not."""
+    sizes = (*tiers, window)
+    by_tier: list[list[Piece]] = [[] for _ in sizes]
     for p in rests:
-        by_tier[bisect_left(tiers, p[2])].append(p)
+        by_tier[bisect_left(sizes, p[2])].append(p)
     windows: list[list[Piece]] = []
     gaps: list[tuple[int, int]] = []  # gap, window; ascending
-    for tier in by_tier[:0:-1]:
+    for size, tier in zip(sizes[:0:-1], by_tier[:0:-1], strict=True):
         for p in sorted(tier, key=lambda p: (-p[2], p)):
             k = bisect_left(gaps, (p[2], -1))
-            gap, w = gaps.pop(k) if k < len(gaps) else (window, len(windows))
+            gap, w = gaps.pop(k) if k < len(gaps) else (size, len(windows))
             if w == len(windows):
                 windows.append([])
             windows[w].append(p)
             if gap > p[2]:
                 insort(gaps, (gap - p[2], w))
     filler = sorted(by_tier[0], key=lambda p: (p[2], p))  # the longest is taken first
+    left: list[Piece] = []
     while gaps:
         gap, w = gaps.pop(0)
         while gap:
             if not filler:
                 if not gaps:
+                    left, windows[w] = windows[w], []
                     break
                 filler = windows[gaps[-1][1]]  # the emptiest window goes to fill the others
                 windows[gaps.pop()[1]] = []
@@ -118,15 +122,18 @@ def fit(rests: list[Piece], window: int, tiers: tuple[int, ...]) -> list[list[Pi
                 filler.append((d, start + gap, n - gap))
             gap -= min(n, gap)
     while filler:
-        room, new = window, []
+        room, new = sizes[0], []
         while room and filler:
             d, start, n = filler.pop()
             new.append((d, start, min(n, room)))
             if n > room:
                 filler.append((d, start + room, n - room))
             room -= min(n, room)
-        windows.append(new)
-    return sorted((w for w in windows if w), key=lambda w: -sum(p[2] for p in w))
+        if room:
+            left = new
+        else:
+            windows.append(new)
+    return [w for w in windows if w], left
 
 
 def powers(pieces: list[Piece]) -> list[list[Piece]]:
@@ -146,6 +153,18 @@ def powers(pieces: list[Piece]) -> list[list[Piece]]:
     return out
 
 
+def step_groups(costs: list[int], group: int) -> list[int]:
+    """The group of each window, group windows in one at most: the dearest windows first, each to the cheapest group that has room."""
+    groups = [(0, 0, k) for k in range(-(-len(costs) // group))]  # cost, windows, number
+    out = [0] * len(costs)
+    for w in sorted(range(len(costs)), key=lambda w: (-costs[w], w)):
+        cost, n, k = heappop(groups)
+        out[w] = k
+        if n + 1 < group:
+            heappush(groups, (cost + costs[w], n + 1, k))
+    return out
+
+
 def pack_hierarchical(
     docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, tiers: tuple[int, ...] = (256, 512, 1024), end_id: int | None = 1, group: int = 8, with_ids: bool = False
 ) -> DataFrame:
@@ -153,13 +172,13 @@ def pack_hierarchical(
 
     Returns id_col, start (ids of the document before it), length, ids_crc32 (little-endian unsigned 32-bit ids), doc_tokens, sequence_id, offset, tier (the
     smallest of tiers and window that holds the sequence), step_group (sequences of a group go into one step; group of them, of even attention cost),
-    sequence_tokens and, if with_ids, ids: array<int>. window is a power of two. A sequence holds window ids or, at the end of a partition, a smaller power of two.
+    sequence_tokens and, if with_ids, ids: array<int>. window and tiers are powers of two. A sequence is full at the size of a tier or of window or, at the end of a partition, at a smaller power of two.
 
     A null or empty text is its end id alone; without end_id it gives no row. Null ids and repeated rows are packed as documents of their own. An empty table gives an
     empty result. Other columns are not read. A very long text is cut into full windows as any other; a task holds BLOCK tokens or one document if that is longer.
     """
-    if window & (window - 1) or any(x >= window for x in tiers) or sorted(tiers) != list(tiers):
-        raise ValueError("window must be a power of two, tiers ascending and smaller")
+    if any(x & (x - 1) or x < 1 for x in (*tiers, window)) or sorted({*tiers, window}) != [*tiers, window]:
+        raise ValueError("window and tiers must be powers of two, tiers ascending and smaller")
     ship(docs.sparkSession)
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group", "sequence_tokens"]
     schema = T.StructType([docs.schema[id_col], *(T.StructField(n, T.LongType()) for n in names), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
@@ -179,17 +198,14 @@ def pack_hierarchical(
             lengths = [len(x) >> 2 for x in ids]
             full = [[(d, k, window)] for d, n in enumerate(lengths) if (d,) not in whole for k in range(0, n - n % window, window)]
             rests = [(d, n - n % window, n % window) for d, n in enumerate(lengths) if n % window and (d,) not in whole] + carried
-            packed = fit(rests, window, tiers)
-            left = packed.pop() if packed and sum(p[2] for p in packed[-1]) < window else []
+            packed, left = fit(rests, window, tiers)
             packed = full + packed
             carried = []
             if left and last:
                 packed += powers(left)
             elif left:
                 carried = left
-            cost = sorted(range(len(packed)), key=lambda w: (-sum(p[2] ** 2 for p in packed[w]), w))
-            groups = -(-len(packed) // group)
-            row = {w: (k % groups if k // groups % 2 == 0 else groups - 1 - k % groups) for k, w in enumerate(cost)}  # dealt there and back
+            row = step_groups([sum(p[2] ** 2 for p in pieces) for pieces in packed], group)
             out: dict[str, list] = {n: [] for n in ["key", *names, "ids"]}
             for w, pieces in enumerate(packed):
                 offset, total = 0, sum(p[2] for p in pieces)

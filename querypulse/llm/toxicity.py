@@ -7,6 +7,7 @@ Entries and weights are learned from labelled rows: words and word beginnings th
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from collections import Counter
@@ -38,24 +39,37 @@ DEFAULT_WEIGHT = 3.0
 
 #: About so many labelled rows are learned from (those of the smallest hashes); all if there are fewer.
 MAX_TRAIN = 20_000
-#: Most entries of a lexicon, the heaviest stay; the bound of what goes to the workers.
-MAX_ENTRIES = 5_000
 SHORTEST, LONGEST = 4, 12
 
 _accents = {c: unicodedata.normalize("NFKD", chr(c))[0] for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0xFF01, 0xFF5F)] if unicodedata.normalize("NFKD", chr(c))[0] != chr(c)}
 _table = _accents | {ord(k): v for k, v in LOOKALIKES.items()} | {ord(" "): " "}
-_stands = re.compile(r"[0-9@$!|+](?=[\w@$!|+]*[a-z])|(?<=[a-z])[0-9@$](?![\w@$])")
+_runs = re.compile(r"(?<![\w@$!|+])[^\W0-9]*+[0-9@$!|+][\w@$!|+]*+")  # runs of letters and signs that hold a sign
+_signs_table = str.maketrans(SIGNS)
+_last_letter = re.compile("[a-z]")
 _words = re.compile(r"[^\W_]+")
 _signs = re.compile(r"[0-9@$!|+]")
 
 
+def letters_for_signs(run: re.Match) -> str:
+    """Signs before the last letter of a run stand for letters; so does one right behind it, unless more letters, digits or such signs follow."""
+    run = run[0]
+    back = _last_letter.search(run[::-1])
+    if not back:
+        return run
+    last = len(run) - 1 - back.start()
+    tail = run[last + 1 :]
+    if tail[:1] and tail[0] in "0123456789@$" and not (tail[1:2] and (tail[1] in "@$_" or tail[1].isalnum())):
+        tail = SIGNS.get(tail[0], tail[0]) + tail[1:]
+    return run[:last].translate(_signs_table) + run[last] + tail
+
+
 def fold(text: str) -> str:
-    """Folded words, each between single blanks."""
+    """Folded words, each between single blanks; in time in proportion to the text, whatever its runs of digits or letters."""
     low = text.lower()
     if not low.isascii():
         low = low.translate(_table)
     if _signs.search(low):
-        low = _stands.sub(lambda m: SIGNS.get(m[0], m[0]), low)
+        low = _runs.sub(letters_for_signs, low)
     return f" {' '.join(_words.findall(low))} ".replace("l", "i")
 
 
@@ -99,7 +113,14 @@ def matches(automaton: ahocorasick.Automaton, folded: str) -> list[tuple[str, fl
                 spared.append((start, end))
             elif start not in found or found[start][1] < weight:
                 found[start] = entry, weight
-    return [m for s, m in sorted(found.items()) if not any(a <= s < b for a, b in spared)]
+    kept, spared, k, reach = [], sorted(spared), 0, -1
+    for start in sorted(found):
+        while k < len(spared) and spared[k][0] <= start:
+            reach = max(reach, spared[k][1])
+            k += 1
+        if start >= reach:
+            kept.append(found[start])
+    return kept
 
 
 def features(weight: np.ndarray, n_words: np.ndarray) -> np.ndarray:
@@ -139,7 +160,7 @@ def learn_lexicon(rows: DataFrame, min_docs: int = 6, min_weight: float = 1.5) -
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["e", "n"])
 
     toxic = rows.where("_y = 1").select("_text").mapInArrow(beginnings, counted).groupBy("e").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs)
-    pos = {r["e"]: r["n"] for r in toxic.orderBy(F.desc("n"), "e").limit(20 * MAX_ENTRIES).collect()}  # bounded by the sample and the limit
+    pos = {r["e"]: r["n"] for r in toxic.collect()}  # bounded by the sample: a text has so many words, and min_docs of them must share one
     if not pos:
         return {}
     raw = sorted(pos)
@@ -166,13 +187,11 @@ def learn_lexicon(rows: DataFrame, min_docs: int = 6, min_weight: float = 1.5) -
         if any(e.startswith(x) for x in (e[:n] for n in range(2, len(e))) if x in kept):
             continue
         longest = 0
-        for other in strong[k + 1 :]:
-            if not other.startswith(e):
-                break
+        for other in itertools.takewhile(lambda x: x.startswith(e), itertools.islice(strong, k + 1, None)):  # noqa: B023
             longest = max(longest, pos[other])
         if longest < 0.9 * pos[e]:
             kept[e] = weight[e]
-    return dict(sorted(kept.items(), key=lambda x: (-x[1] * np.log1p(pos[x[0]]), x[0]))[:MAX_ENTRIES])
+    return kept
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = None, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN, exceptions: tuple[str, ...] = EXCEPTIONS) -> ToxicityModel:

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from querypulse.llm import line_dedup, lm, media
+from querypulse.llm import line_dedup, lm, media, packing, toxicity
 from querypulse.llm.ann import graph_search, neighbour_graph
 from querypulse.llm.components import connected_components
 from querypulse.llm.line_dedup import dedup_lines, within_edits
@@ -99,11 +99,49 @@ def test_packing_fits():
     random.seed(2)
     for _ in range(100):
         rests = [(d, 0, random.randint(1, 2047)) for d in range(random.randint(0, 60))]
-        windows = fit(rests, 2048, (256, 512, 1024))
-        pieces = sorted(p for w in windows for p in w)
-        assert sum(p[2] for p in pieces) == sum(p[2] for p in rests) and all(sum(p[2] for p in w) == 2048 for w in windows[:-1])
-        if windows:
-            assert all((n := sum(p[2] for p in w)) & (n - 1) == 0 for w in powers(windows[-1]))
+        windows, left = fit(rests, 2048, (256, 512, 1024))
+        pieces = sorted(p for w in [*windows, left] for p in w)
+        at = {}
+        for d, start, n in pieces:
+            assert start == at.get(d, 0)
+            at[d] = start + n
+        assert at == {d: n for d, _, n in rests} and all(sum(p[2] for p in w) in (256, 512, 1024, 2048) for w in windows)
+        assert all((n := sum(p[2] for p in w)) & (n - 1) == 0 for w in powers(left)) and sum(p[2] for w in powers(left) for p in w) == sum(p[2] for p in left)
+
+
+def test_packing_tiers(spark, monkeypatch):
+    """Each tier has windows of its size, whole documents mostly; step groups cost about the same; pieces carried over blocks stay in order."""
+    monkeypatch.setattr(packing, "BLOCK", 20_000)
+    random.seed(13)
+    t = Tokenizer.from_file(WORD)
+    rows = [(k, " ".join(random.choice(["tree", "river", "stone", "sky"]) for _ in range(random.choice([100, 300, 300, 300, 300, 700, 1500, 3000])))) for k in range(160)]
+    made = pack_hierarchical(spark.createDataFrame(rows, SCHEMA).coalesce(1), WORD, with_ids=True).toPandas()
+    sizes = made.groupby("sequence_id").agg(n=("length", "sum"), tier=("tier", "first"), group=("step_group", "first"))
+    assert {256, 512, 1024, 2048} <= set(sizes.n) and (sizes.n <= sizes.tier).all() and (sizes.n == sizes.tier).mean() > 0.9
+    for k, text in rows:
+        mine = made[made.doc_id == k].sort_values("start")
+        assert [x for ids in mine.ids for x in ids] == [*t.encode(text, add_special_tokens=False).ids, 1] and mine.start.tolist() == [0, *mine.length.cumsum()[:-1]]
+
+
+def test_step_groups():
+    random.seed(15)
+    costs = [random.choice([256, 512, 1024, 2048]) * random.randint(100, 2000) for _ in range(801)]
+    rows = packing.step_groups(costs, 8)
+    by = Counter()
+    for c, k in zip(costs, rows, strict=True):
+        by[k] += c
+    assert max(Counter(rows).values()) <= 8 and len(by) == 101 and max(by.values()) <= 1.5 * sum(costs) / 101 and packing.step_groups([], 8) == []
+
+
+def test_packing_ids_are_the_librarys():
+    """Letters whose lower case is no letter, marks that stand alone or compose, letters of other scripts, all punctuation."""
+    random.seed(14)
+    t, w = Tokenizer.from_file(WORD), packing.WordIds(WORD)
+    parts = ["İ", "KAYSERİ", "a\u0301", "\u0307", "e\u0308.", "ſ", "ß", "ŉ", "ǰ", "日本", "\u0345", "ñ", "É", "İ,", "n't", "'s", "12", "3.5", "x", "Word", "…", "—", "\xa0", "\t", "\u200d", "ﬁ", "Å", "Ω", "🙂"] + list("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+    strings = ["".join(random.choice(parts) + random.choice(["", "", " ", ",", ".", "\n"]) for _ in range(random.randint(0, 8))) for _ in range(20_000)]
+    for s in strings:
+        want = t.encode(s, add_special_tokens=False).ids
+        assert np.frombuffer(w.ids(s), "<u4").tolist() == want, repr(s)
 
 
 def test_packing_table(spark):
@@ -453,6 +491,31 @@ def test_folding():
     assert fold("") == "  "
 
 
+def test_folding_takes_linear_time():
+    began = time.time()
+    for s in ("7" * 1_000_000, "a" * 1_000_000, "a1" * 500_000, "1!" * 500_000, "é$" * 300_000, "trash can idiot " * 60_000):
+        m = toxicity.matches(toxicity.ToxicityModel({" idiot": 1.0, " trash": 2.0}).automaton(), fold(s))
+        assert len(m) == (60_000 if "idiot" in s else 0)
+    assert time.time() - began < 8
+
+
+def test_matches_are_those_of_plain_search():
+    """Every word start against every entry; equal weights, entries that begin alike, exceptions that overlap."""
+    random.seed(16)
+    entries = {" ab": 1.0, " abc": 1.0, " abcd ": 3.0, " b": 0.5, " ca": 2.0, " ca b": 2.0}
+    model = toxicity.ToxicityModel(entries, ("ab c", "c abc a", "b b"))
+    phrases = [fold(p) for p in model.exceptions]
+    for _ in range(400):
+        text = fold(" ".join(random.choice(["a", "ab", "abc", "abcd", "b", "ca", "c", "cab"]) for _ in range(random.randint(0, 14))))
+        spared = {k for p in phrases for at in range(len(text)) if text.startswith(p, at) for k in range(at, at + len(p) - 1)}
+        want = []
+        for at in range(len(text)):
+            hits = [w for e, w in entries.items() if text.startswith(e, at)]
+            if hits and at not in spared:
+                want.append(max(hits))
+        assert [w for _, w in toxicity.matches(model.automaton(), text)] == want, text
+
+
 def test_toxicity(spark):
     random.seed(9)
     words = ["alpha", "beta", "gamma", "delta", "table", "river"]
@@ -468,4 +531,6 @@ def test_toxicity(spark):
     got = {r.doc_id: r.toxicity for r in score_toxicity(docs, model).collect()}
     assert all(got[k].predicted == int(k % 4 == 0) for k in range(600) if k % 3 == 0)
     assert got[1002].predicted == 1 and got[1003].predicted == 0 and got[1000].score == got[1001].score < 0.3 and got[1000].n_words == 0
+    twice = score_toxicity(docs.unionByName(docs), model).where("doc_id = 4").select("toxicity").collect()
+    assert twice == [(got[4],)] * 2
     assert fit_toxicity(docs, labels.where("false")).n_train == 0 and score_toxicity(docs.where("false"), model).count() == 0

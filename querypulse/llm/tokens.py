@@ -14,6 +14,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -27,8 +28,8 @@ from .shipping import ship, texts
 # Fixed value: the split pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Chunks that a worker remembers; beyond that it starts anew, which costs time and changes no result.
-REMEMBERED = 800_000
+#: Chunks that a worker remembers (some 200 bytes each); beyond that it starts anew, which costs time and changes no result.
+REMEMBERED = 1_500_000
 #: A chunk of more characters is counted on its own and not remembered.
 LONG_CHUNK = 4_000
 
@@ -71,13 +72,14 @@ class PrefixCounter:
         self.made = {new: (rank, a, b) for (a, b), (rank, new) in self.merges.items()}
         self.single = len(self.made) == len(self.merges)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.longest = max(map(len, self.vocab))
+        self.ends = ahocorasick.Automaton()  # gives the tokens that end at each byte
+        for b, i in self.vocab.items():
+            self.ends.add_word(b.decode("latin-1"), (i, len(b)))
+        self.ends.make_automaton()
         self.pattern, self.blank = regex.compile(PATTERN), regex.compile(r"\s+")
         self.fits: dict[tuple[int, int], bool] = {}
-        self.alone: dict[int, bool] = {}
         self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.tables: dict[bytes, tuple[array, array]] = {}
+        self.pieces: dict[str, array] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """Plain BPE by rank; used on two tokens at a time only."""
@@ -106,43 +108,28 @@ class PrefixCounter:
             else:  # of equal ranks the left one is merged first, so the right one is undone first
                 limit, right = b[0] + 1, b[1]
 
-    def piece(self, text: str) -> tuple[int, ...]:
-        """Counts at each character prefix (from 1) of one piece. The table of a known shorter prefix is taken up where it ends."""
+    def piece(self, text: str) -> array:
+        """Counts at each character prefix (from 1) of one piece, in time and memory in proportion to its length and the tokens in it."""
         data = text.encode()
-        n, vocab, fits = len(data), self.vocab, self.fits
-        last, count = array("i", (-1,)), array("i", (0,))  # arrays, so that the collector has nothing to walk
-        for k in range(n - 1, max(1, n - 12), -1):
-            found = self.tables.get(data[:k])
-            if found is not None:
-                last, count = found[0][:], found[1][:]
-                break
-        for end in range(len(count), n + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = vocab.get(data[start:end])
-                if token is None:
-                    continue
-                before = last[start]
-                if before < 0:
-                    if start:
-                        continue
-                    ok = self.alone.get(token)
-                    if ok is None:
-                        ok = self.alone[token] = self.merged(data[start:end]) == [token]
-                else:
-                    ok = fits.get((before, token))
-                    if ok is None:
-                        ok = fits[before, token] = self.fit(before, token)
-                if ok:
-                    last.append(token)
-                    count.append(count[start] + 1)
-                    break
-        if n <= 48:
-            if len(self.tables) >= REMEMBERED // 2:
-                self.tables.clear()
-            self.tables[data] = last, count
+        n, fits = len(data), self.fits
+        last, count, done = [-1] * (n + 1), [0] * (n + 1), -1
+        for end, (token, length) in self.ends.iter(data.decode("latin-1")):
+            if end == done:
+                continue
+            start = end + 1 - length
+            pair = last[start], token
+            ok = fits.get(pair)
+            if ok is None:
+                if len(fits) >= 2 * REMEMBERED:
+                    fits.clear()
+                ok = fits[pair] = self.fit(*pair) if start else self.merged(self.bytes_of[token]) == [token]
+            if ok:
+                done = end
+                last[end + 1] = token
+                count[end + 1] = count[start] + 1
         if n == len(text):
-            return tuple(count[1:])
-        return tuple(count[e] for e in range(1, n + 1) if e == n or data[e] & 0xC0 != 0x80)
+            return array("i", count[1:])
+        return array("i", [count[e] for e in range(1, n + 1) if e == n or data[e] & 0xC0 != 0x80])
 
     def shape(self, text: str) -> str:
         """The text with characters that are newer than Unicode 3.2 as a letter, digit or mark, whichever the library takes them for."""
@@ -156,12 +143,12 @@ class PrefixCounter:
 
         return self.newer.sub(kind, text)
 
-    def known(self, piece: str) -> tuple[int, ...]:
+    def known(self, piece: str) -> array:
         found = self.pieces.get(piece)
         if found is None:
             found = self.piece(piece)
             if len(piece) <= 64:
-                if len(self.pieces) >= REMEMBERED // 2:
+                if len(self.pieces) >= REMEMBERED // 8:
                     self.pieces.clear()
                 self.pieces[piece] = found
         return found
@@ -169,19 +156,17 @@ class PrefixCounter:
     def ordinary(self, text: str) -> np.ndarray:
         """Counts at each prefix of a text without special strings, whatever its white space."""
         out = np.zeros(len(text), np.int64)
-        total, blank_from, before_blank = 0, -1, 0
+        total, blank_to = 0, 0
         for m in self.pattern.finditer(self.shape(text)):
             a, b = m.span()
             word = text[a:b]
             counts = self.known(word)
             lead = len(word) if self.blank.fullmatch(word) else int(word[0] == " ")
-            if lead:  # a prefix that ends in white space has the whole run as its last piece
-                if blank_from < 0:
-                    blank_from, before_blank = a, total
-                for e in range(a + 1, a + lead + 1):
-                    out[e - 1] = before_blank + (self.known(text[blank_from:e])[-1] if e - blank_from <= 64 else self.piece(text[blank_from:e])[-1])
+            if lead and a >= blank_to:  # a prefix that ends in white space has the run so far as its last piece, so one table of the whole run answers for them all
+                run = self.blank.match(text, a)[0]
+                blank_to = a + len(run)
+                out[a:blank_to] = np.asarray(self.known(run)) + total
             if lead < len(word):
-                blank_from = -1
                 out[a + lead : b] = np.asarray(counts[lead:]) + total
                 if word[0] == "'" and len(word) > 1 and word[1].isalpha():  # a contraction that is cut
                     out[a] = total + self.known("'")[-1]
@@ -193,18 +178,24 @@ class PrefixCounter:
     def chunk(self, text: str) -> bytes:
         """Counts of a chunk of prefixes(), as unsigned 16-bit numbers: white space stands only before its first word."""
         if text[1:].isalpha() and text[0] == " ":
-            return array("H", self.known(text)).tobytes()
+            return array("H", self.piece(text)).tobytes()  # a chunk is remembered as such
         if "'" in text:
             return array("H", self.ordinary(text).tolist()).tobytes()
-        counts: list[int] = []
+        counts = array("H")
         for word in self.pattern.findall(text):
-            found = self.known(word)
+            if word[0] == " " and word[1:].isalpha():
+                found = self.chunks.get(word[1:])
+                if found is None:
+                    found = self.chunks[word[1:]] = self.chunk(word)
+                found = array("H", found)
+            else:
+                found = self.known(word)
             if counts:
                 total = counts[-1]
-                counts += [total + x for x in found]
+                counts.extend([total + x for x in found])
             else:
-                counts = list(found)
-        return array("H", counts).tobytes()
+                counts = array("H", found)
+        return counts.tobytes()
 
     def prefixes(self, text: str) -> np.ndarray:
         """Counts at each character prefix (from 1); exactly what the library gives for text[:k], without added tokens."""

@@ -18,10 +18,10 @@ from .shipping import stored
 
 #: Beyond so many edits of characters the simulation's expression is larger than the distance it replaces.
 BANDED = 2
-#: So many lines that share a substring are compared each with each; more are compared with one of them, then told apart by substrings of what remains.
-FEW = 16
-#: After so many refinements lines of one group agree in all but a few units; those that are in different classes still are compared.
-LEVELS = 4
+#: So many lines that share a substring are compared each with each; more are compared with one of them and, if some are not near it, told apart by substrings of what remains.
+FEW = 32
+#: After so many refinements lines of one group agree in most of their units; those that are not near the one are compared with the others.
+LEVELS = 3
 #: What holds more than this share of all rows is joined by broadcast: so many keys at most.
 MOST_HEAVY = 100_000
 
@@ -38,19 +38,16 @@ def units_of(line: Column, unit: str) -> Column:
     return F.split(line, " " if unit == "word" else "", -1)
 
 
-def within_edits(a: Column, b: Column, most: int, unit: str = "char", allowed: Column | None = None) -> Column:
-    """Whether two texts are at most so many edits apart (with allowed: at most that many, which is most or less); null if one is null.
+def within_edits(a: Column, b: Column, most: int, unit: str | None = "char", allowed: Column | None = None) -> Column:
+    """Whether two texts (or, without unit, two arrays of units) are at most so many edits apart (with allowed: at most that many, which is most or less); null if one is null.
 
     For each number of edits a word of 2 most + 1 bits holds the rows of the band that are reached; one step for each unit of b
     moves them: by a match or a substitution (same bit), an insertion (to the right), a deletion (to the left).
     """
     width = 2 * most + 1
     full = (1 << width) - 1
-    first, second = units_of(a, unit), units_of(b, unit)
-    if unit == "char":
-        n, m = F.length(a), F.length(b)
-    else:
-        n, m = F.size(first), F.size(second)
+    first, second = (units_of(a, unit), units_of(b, unit)) if unit else (a, b)
+    n, m = (F.length(a), F.length(b)) if unit == "char" else (F.size(first), F.size(second))
     # Beside each unit of b the units of a that its band meets, so that a step looks nothing up.
     bands = [F.concat(F.array_repeat(F.lit(None).cast("string"), most - t), first) if t < most else F.slice(first, t - most + 1, F.greatest(n, F.lit(1))) for t in range(width)]
     rows = F.slice(F.arrays_zip(second.alias("b"), *(x.alias(f"a{t}") for t, x in enumerate(bands))), 1, m)
@@ -73,10 +70,13 @@ def within_edits(a: Column, b: Column, most: int, unit: str = "char", allowed: C
             new.append(r)
         return F.struct(*(r.alias(f"r{d}") for d, r in enumerate(new)))
 
-    end = F.aggregate(rows, start, step)
-    row = end[f"r{most}"]
-    for d in range(most if allowed is not None else 0):
-        row = F.when(allowed == d, end[f"r{d}"]).otherwise(row)
+    def of_allowed(end: Column) -> Column:
+        row = end[f"r{most}"]
+        for d in range(most if allowed is not None else 0):
+            row = F.when(allowed == d, end[f"r{d}"]).otherwise(row)
+        return row
+
+    row = F.aggregate(rows, start, step, of_allowed)
     near = F.getbit(row, F.greatest(F.least(n - m + most, F.lit(width - 1)), F.lit(0)).cast("int")) == 1
     return F.when(F.abs(n - m) > most, F.lit(False)).when(a.isNotNull() & b.isNotNull(), near)
 
@@ -130,47 +130,50 @@ def split_last(keys: Column) -> tuple[Column, Column]:
     return keys.bitwiseAND(F.lit(-2).cast("long")), keys.bitwiseAND(F.lit(1).cast("long")).cast("int")
 
 
-def grouped_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+def grouped_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """From (key, own, h, ...): pairs (a, b) to compare; and the members of groups of more than FEW, of which only pairs with the least line are among them."""
     sizes = stored(members.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("least")))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    told = stored(hot_join(members, sizes.withColumn("_w", F.col("n")), ["key"], "_w", total))
+    total, most = sizes.agg(F.sum("n"), F.max("n")).first()
+    told = stored(hot_join(members, sizes.withColumn("_w", F.col("n")), ["key"], "_w", total or 0))
     side = lambda c: told.where(F.col("n") <= FEW).select("key", F.col("h").alias(c), F.col("own").alias(f"own_{c}"))
     pairs = side("a").join(side("b"), "key").where("a < b and (own_a = 1 or own_b = 1)").select("a", "b")
+    if (most or 0) <= FEW:
+        return pairs.distinct(), None
     large = told.where(F.col("n") > FEW)
     return pairs.unionByName(large.where("h <> least").select(F.col("least").alias("a"), F.col("h").alias("b"))).distinct(), large
 
 
 def near_links(lines: DataFrame, members: DataFrame, most: int, units_an_edit: int, unit: str) -> DataFrame:
-    """(a, b): links that join all lines within the threshold of each other. lines: h, line; members: (key, own, h) of those that share a substring."""
-    text = lambda c: lines.select(F.col("h").alias(c), F.col("line").alias(f"line_{c}"))
-    a, b = F.col("line_a"), F.col("line_b")
-    n = F.least(F.size(units_of(a, unit)), F.size(units_of(b, unit))) if unit == "word" else F.least(F.length(a), F.length(b))
-    allowed = threshold(lower_end(n), most, units_an_edit)
-    near = F.levenshtein(a, b, most).between(F.lit(0), allowed) if unit == "char" and most > BANDED else within_edits(a, b, most, unit, allowed)
+    """(a, b): links that join all lines within the threshold of each other. lines: h, line (each h once); members: (key, own, h) of those that share a substring."""
+    whole = unit == "char" and most > BANDED
+    lines = stored(lines.select("h", F.col("line") if whole else F.lit(None).cast("string").alias("line"), units_of(F.col("line"), unit).alias("units")))
+    text = lambda c: lines.select(F.col("h").alias(c), F.col("line" if whole else "units").alias(f"x_{c}"), F.size("units").alias(f"n_{c}"))
+    a, b = F.col("x_a"), F.col("x_b")
+    allowed = threshold(lower_end(F.col("n")), most, units_an_edit)
+    near = F.levenshtein(a, b, most).between(F.lit(0), F.col("allowed")) if whole else within_edits(a, b, most, None, F.col("allowed"))
 
     def compared(pairs: DataFrame) -> DataFrame:
-        return stored(pairs.join(text("a"), "a").join(text("b"), "b").where(near).select("a", "b"))
+        both = pairs.join(text("a"), "a").join(text("b"), "b").withColumn("n", F.least("n_a", "n_b")).withColumn("allowed", allowed)
+        return stored(both.where(F.abs(F.col("n_a") - F.col("n_b")) <= F.col("allowed")).where(near).select("a", "b"))
 
     pairs, large = grouped_pairs(members)
-    links = compared(pairs)
-    for level in range(LEVELS):
-        if large.isEmpty():
-            return links
-        # Groups whose lines are of one class by now are done. Of the others, what remains beside the shared substring is cut anew, as it can differ by the threshold too.
-        label = connected_components(links).withColumnsRenamed({"node": "h", "component": "label"})
-        open_ = stored(large.join(label, "h", "left").withColumn("label", F.coalesce("label", "h")))
-        mixed = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("_w")).where("lo <> hi").select("key", "_w")
-        open_ = stored(hot_join(open_, mixed, ["key"], "_w", open_.count()))
+    links = now = compared(pairs)
+    for level in range(LEVELS + 1):
+        if large is None:
+            break
+        # Groups whose lines all are near the least one are joined. Of the others, what remains beside the shared substring is cut anew, as it can differ by the threshold too.
+        far = large.where("h <> least").join(now.select(F.col("a").alias("least"), F.col("b").alias("h")), ["least", "h"], "left_anti")
+        open_ = stored(hot_join(large, far.groupBy("key").agg(F.first("n").alias("_w")), ["key"], "_w", large.count()))
         if open_.isEmpty():
-            return links
-        if level == LEVELS - 1:
-            one, two = open_.select("key", F.col("h").alias("a"), F.col("label").alias("la")), open_.select("key", F.col("h").alias("b"), F.col("label").alias("lb"))
-            return links.unionByName(compared(one.join(two, "key").where("a < b and la <> lb").select("a", "b").distinct()))
+            break
+        if level == LEVELS:
+            one, two = far.select("key", F.col("h").alias("x")), open_.select("key", F.col("h").alias("y"))
+            links = links.unionByName(compared(one.join(two, "key").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))
+            break
         if level == 0:
-            whole = open_.select("key", "h").distinct().join(lines, "h").select("key", "h", units_of(F.col("line"), unit).alias("units"))
-            found = with_segments(whole, most, units_an_edit, places=True).withColumn("k", F.explode("keys")).where(split_last(F.col("k.key"))[0] == F.col("key"))
-            open_ = found.select("key", "h", rest("k"), F.col("k.edits").alias("edits"))
+            known = open_.select("key", "h").distinct().join(lines.select("h", "units"), "h")
+            found = with_segments(known, most, units_an_edit, places=True).withColumn("k", F.explode("keys")).where(split_last(F.col("k.key"))[0] == F.col("key"))
+            open_ = stored(found.select("key", "h", rest("k"), F.col("k.edits").alias("edits")))
         again = with_segments(open_.select("key", "h", "units", "edits"), most, units_an_edit, F.col("edits"), places=True)
         # of so few units that edits and segments are not told apart: one more group of them all
         short = F.when(F.size("units") <= 2 * F.col("edits"), F.struct(F.lit(1).cast("long").alias("key"), F.lit(0).alias("start"), F.lit(0).alias("length"), F.col("edits")))
@@ -178,7 +181,8 @@ def near_links(lines: DataFrame, members: DataFrame, most: int, units_an_edit: i
         key, own = split_last(F.col("k.key"))
         members = stored(cut.select(F.xxhash64("key", key).alias("key"), own.alias("own"), "h", rest("k"), "edits").groupBy("key", "h", "units", "edits").agg(F.max("own").alias("own")))
         pairs, large = grouped_pairs(members)
-        links = stored(links.unionByName(compared(pairs)))
+        now = compared(pairs)
+        links = links.unionByName(now)
     return links
 
 

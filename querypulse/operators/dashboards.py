@@ -34,7 +34,7 @@ def latency_series(rollups: DataFrame, rng: Range, service: str | None = None, i
 
 
 def relevance_series(rollups: DataFrame, rng: Range, service: str | None = None, interval: str = "1m") -> DataFrame:
-    return _buckets(rollups.where("relevance_avg is not null"), rng, service, interval).agg(nearest(F.avg("relevance_avg"), 4).alias("relevance_avg"), nearest(F.avg("relevance_p10"), 4).alias("relevance_p10"))
+    return _buckets(rollups.where("relevance_avg is not null"), rng, service, interval).agg(nearest(F.avg("relevance_avg"), 4).alias("relevance_avg"), nearest(F.avg("relevance_p10"), 4).alias("relevance_p10"), F.sum("query_count").alias("queries"))
 
 
 def error_series(rollups: DataFrame, rng: Range, service: str | None = None, interval: str = "1m") -> DataFrame:

@@ -40,10 +40,11 @@ def baseline_breaches(tree: DataFrame, baselines: DataFrame, ratio: float = BREA
 
 
 def retry_storms(tree: DataFrame, least: int = RETRIES) -> DataFrame:
-    """Parents that call the same operation again and again."""
+    """Operations that one parent calls again and again: the service and operation are those called, the span is the parent."""
     calls = tree.where("up is not null").groupBy("trace_id", F.col("up").alias("span_id"), F.col("service").alias("to_service"), F.col("operation").alias("to_operation")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    rows = calls.join(tree, ["trace_id", "span_id"])
-    return rows.select(*_row("retry_storm", F.least(F.lit(0.85), 0.4 + 0.1 * F.col("n")), {"calls": F.col("n"), "service": F.col("to_service"), "operation": F.col("to_operation")}, F.format_string("%s called %s %s %d times", "service", "to_service", "to_operation", "n")))
+    parents = tree.select("trace_id", "span_id", "start_time", F.col("operation").alias("by_operation"))
+    rows = calls.join(parents, ["trace_id", "span_id"]).withColumnsRenamed({"to_service": "service", "to_operation": "operation"})
+    return rows.select(*_row("retry_storm", F.least(F.lit(0.85), 0.4 + 0.1 * F.col("n")), {"call_count": F.col("n"), "parent_operation": F.col("by_operation")}, F.format_string("%s %s ran %d times below one %s", "service", "operation", "n", "by_operation")))
 
 
 def cache_misses(tree: DataFrame) -> DataFrame:
@@ -89,15 +90,18 @@ def finding_counts(found: DataFrame) -> DataFrame:
 
 
 def debug_bundle(events: DataFrame, tree: DataFrame, ranked: DataFrame, baselines: DataFrame, query_id: str | None = None) -> DataFrame:
-    """A row for each query that has an event or spans: its newest event, trace, hotspot, findings and baseline. An unknown query gives no row."""
+    """A row for each query that has an event or spans: its newest event, summary, findings with evidence by rank, hotspot, trace as JSON and baseline. An unknown query gives no row."""
     from querypulse.operators.replay import newest_events
-    from querypulse.operators.traces import slowest_service
+    from querypulse.operators.traces import slowest_service, trace_json
 
     rows = tree if query_id is None else tree.where(F.col("query_id") == F.lit(query_id))
     evs = events if query_id is None else events.where(F.col("query_id") == F.lit(query_id))
     traces = rows.groupBy("query_id", "trace_id").agg(F.count("*").alias("spans"), F.max("cyclic").alias("cyclic"))
     hot = slowest_service(rows).withColumnsRenamed({"service": "hotspot", "self_time_ms": "hotspot_ms"})
-    listed = ranked.groupBy("trace_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "kind"))), lambda x: x["kind"]).alias("findings"))
+    said = F.struct("rank", "kind", "service", "span_id", "confidence", F.col("summary").alias("said"), F.map_entries("evidence").alias("evidence"))
+    listed = ranked.groupBy("trace_id").agg(F.sort_array(F.collect_list(said)).alias("findings"))
     newest = newest_events(evs).select("query_id", "service", "status", "latency_ms")
-    joined = newest.join(traces, "query_id", "full").join(hot, "trace_id", "left").join(listed, "trace_id", "left").join(F.broadcast(baselines), "service", "left")
-    return joined.select("query_id", "service", "status", "latency_ms", "trace_id", "spans", "cyclic", "hotspot", "hotspot_ms", F.coalesce("findings", F.array().cast("array<string>")).alias("findings"), "baseline_p95")
+    joined = newest.join(traces, "query_id", "full").join(hot, "trace_id", "left").join(listed, "trace_id", "left").join(trace_json(rows), "trace_id", "left").join(baselines, "service", "left")
+    kinds = F.coalesce(F.transform("findings", lambda x: x["kind"]), F.array().cast("array<string>"))
+    summary = F.coalesce(F.get("findings", F.lit(0))["said"], F.lit(UNREMARKABLE))
+    return joined.select("query_id", "service", "status", "latency_ms", "trace_id", "spans", "cyclic", "hotspot", "hotspot_ms", summary.alias("summary"), kinds.alias("kinds"), "findings", "trace", "baseline_p95")

@@ -64,12 +64,31 @@ def histogram_quantile(buckets: DataFrame, q: float, by: tuple[str, ...] = ()) -
 
 
 def evaluate_alert(df: DataFrame, predicate: Column, hold_seconds: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """Adds state: inactive, pending, or firing once the condition has held for hold_seconds without a false sample in between."""
-    w = Window.partitionBy(*by).orderBy("ts") if by else Window.partitionBy(F.lit(0)).orderBy("ts")
-    rows = df.withColumn("_ok", F.coalesce(predicate, F.lit(False))).withColumn("_run", F.sum(F.when(F.col("_ok"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    run = Window.partitionBy(*by, "_run", "_ok")
-    held = F.unix_seconds("ts") - F.min(F.unix_seconds("ts")).over(run)
-    return rows.withColumn("state", F.when(~F.col("_ok"), "inactive").when(held >= hold_seconds, "firing").otherwise("pending")).drop("_ok", "_run")
+    """Adds state: inactive, pending, or firing once the condition has held for hold_seconds without a false sample in between.
+
+    Samples are judged day by day, so a long series is many tasks; what one day hands to the next is a row a day: its last false sample, or else its first true one.
+    """
+    ok = F.coalesce(predicate, F.lit(False))
+    rows = df.withColumns({"_ok": ok, "_day": F.floor(F.unix_seconds("ts") / 86_400), "_t": F.unix_seconds("ts")})
+    within = Window.partitionBy(*by, "_day").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    # a run of true samples begins with the first one after the last false one, of this day or of days before
+    number = F.row_number().over(Window.partitionBy(*by, "_day").orderBy("ts"))
+    rows = rows.withColumn("_n", number).withColumn("_false", F.max(F.when(~F.col("_ok"), F.col("_n"))).over(within))
+    first = F.min(F.when(F.col("_ok"), F.col("_t"))).over(Window.partitionBy(*by, "_day", "_false"))
+    rows = rows.withColumn("_first", first)
+    days = rows.groupBy(*by, "_day").agg(F.max(F.when(~F.col("_ok"), F.col("_n"))).alias("_last"), F.max_by("_first", "_n").alias("_open"), F.max_by("_ok", "_n").alias("_ends_true"))
+    order = Window.partitionBy(*by, F.lit(0)).orderBy("_day")
+    blocked = F.sum(F.when(F.col("_last").isNull(), 0).otherwise(1)).over(order)
+    days = days.withColumn("_block", blocked)
+    # within days of one block there is no false sample but in the first, so the run of its end goes on
+    start = F.min(F.when(F.col("_ends_true"), F.col("_open"))).over(Window.partitionBy(*by, F.lit(0), "_block").orderBy("_day"))
+    days = days.withColumn("_start", start).withColumn("_carried", F.lag("_start").over(order))
+    keys = [*by, "_day"]
+    carried = days.select(*(F.col(k).alias(f"_of_{k}") for k in keys), "_carried")
+    joined = rows.join(carried, reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys)))
+    since = F.when(F.col("_false").isNull(), F.coalesce("_carried", "_first")).otherwise(F.col("_first"))
+    held = F.col("_t") - since
+    return joined.withColumn("state", F.when(~F.col("_ok"), "inactive").when(held >= hold_seconds, "firing").otherwise("pending")).select(*df.columns, "state")
 
 
 def both_series(a: DataFrame, b: DataFrame) -> DataFrame:

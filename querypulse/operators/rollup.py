@@ -41,10 +41,11 @@ def stream_rollup(events: DataFrame, window_seconds: int = 60, grace_seconds: in
 
 
 def dedupe_events(events: DataFrame, key: str = "event_id", grace: str = "5 seconds") -> DataFrame:
-    """Events delivered again count once; a stream remembers keys for the time of its watermark."""
+    """Events delivered again count once: of different copies the least by value, in a stream the first to come (keys are remembered for the time of its watermark)."""
     if events.isStreaming:
         return events.withWatermark("timestamp", grace).dropDuplicatesWithinWatermark([key])
-    return events.dropDuplicates([key])
+    own = [c for c in events.columns if c != key and events.schema[c].dataType.typeName() not in ("map", "variant")]
+    return events.groupBy(key).agg(F.min(F.struct(*own)).alias("_e")).select(*(F.col(key) if c == key else F.col(f"_e.`{c}`") for c in events.columns if c == key or c in own)) if len(own) + 1 == len(events.columns) else events.dropDuplicates([key])
 
 
 def repair_late(events: DataFrame, late: DataFrame, window_seconds: int = 60, inserted_at: datetime | None = None) -> DataFrame:
@@ -62,6 +63,14 @@ def open_windows(events: DataFrame, window_seconds: int = 60, grace_seconds: int
     return spans.crossJoin(F.broadcast(mark)).where(F.col("w.end") > F.col("_m") - F.make_dt_interval(secs=F.lit(float(grace_seconds)))).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "service")
 
 
+def flush_open(events: DataFrame, window_seconds: int = 60, grace_seconds: int = 5) -> DataFrame:
+    """Rollups of the windows that still take events, so that nothing is lost when a job is shut down. Together with what a stream put out they are all windows."""
+    mark = events.agg(F.max("timestamp").alias("_m"))
+    end = window_start(F.col("timestamp"), window_seconds) + F.make_dt_interval(secs=F.lit(float(window_seconds)))
+    late = events.crossJoin(F.broadcast(mark)).where(end > F.col("_m") - F.make_dt_interval(secs=F.lit(float(grace_seconds)))).drop("_m")  # one row
+    return metric_rollup(late, window_seconds)
+
+
 def rollup_rows(rollups: DataFrame) -> DataFrame:
     """Rounded half to even for storage: latencies to 3 digits, rates and relevance to 6."""
     digits = {"latency_p50": 3, "latency_p95": 3, "latency_p99": 3, "latency_avg": 3, "latency_max": 3, "error_rate": 6, "relevance_avg": 6, "relevance_p10": 6, "cache_hit_rate": 6}

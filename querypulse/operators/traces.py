@@ -13,6 +13,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file:///tmp/spark-{uuid.uuid4().hex[:10]}"
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/traces-{uuid.uuid4().hex}"
@@ -92,10 +94,10 @@ def trace_summary(tree: DataFrame) -> DataFrame:
 
 
 def slowest_service(tree: DataFrame) -> DataFrame:
-    """Of each trace the service of the most self time; of equal ones the first by name."""
-    sums = tree.groupBy("trace_id", "service").agg(F.sum("self_time_ms").alias("ms"))
+    """Of each trace the service of the most self time; of equal ones the first by name. Times are summed as decimals, so that no order of rows matters."""
+    sums = tree.groupBy("trace_id", "service").agg(F.sum(F.col("self_time_ms").cast("decimal(28,6)")).alias("ms"))
     best = sums.groupBy("trace_id").agg(F.min(F.struct((-F.col("ms")).alias("o"), "service", "ms")).alias("b"))
-    return best.select("trace_id", F.col("b.service").alias("service"), F.round("b.ms", 3).alias("self_time_ms"))
+    return best.select("trace_id", F.col("b.service").alias("service"), F.round("b.ms", 3).cast("double").alias("self_time_ms"))
 
 
 def waterfall(tree: DataFrame) -> DataFrame:
@@ -107,10 +109,21 @@ def waterfall(tree: DataFrame) -> DataFrame:
 
 
 def trace_json(tree: DataFrame) -> DataFrame:
-    """A JSON array of spans in preorder for each trace."""
-    span = F.struct("path", "span_id", "parent_span_id", "depth", "service", "operation", "duration_ms", F.round("self_time_ms", 3).alias("self_time_ms"), "status")
-    rows = tree.groupBy("trace_id").agg(F.sort_array(F.collect_list(span)).alias("s"))
-    return rows.select("trace_id", F.to_json(F.transform("s", lambda x: x.dropFields("path"))).alias("trace"))
+    """(trace_id, trace): each trace as JSON, its spans nested as children in the order of their starts. Corrupt traces have none.
+
+    Spans are written in preorder; the depths of neighbours tell how many open spans end between them. A trace is one row, as long as its spans together.
+    """
+    own = F.to_json(F.struct("span_id", "parent_span_id", "service", "operation", F.date_format("start_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("start_time"), "duration_ms", F.round("self_time_ms", 3).alias("self_time_ms"), "status", "depth", (F.col("parent_state") == "orphan").alias("orphaned"), "attributes"), {"ignoreNullFields": "false"})
+    opened = F.concat(F.expr("substring({0}, 1, length({0}) - 1)".format("_own")), F.lit(',"children":['))
+    rows = tree.where("not cyclic").withColumn("_own", own).groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct("path", "depth", opened.alias("opened")))).alias("s"))
+
+    def placed(x: Column, k: Column) -> Column:
+        last, following = F.get("s", k - 1)["depth"], F.coalesce(F.get("s", k + 1)["depth"], F.lit(0))
+        return F.concat(F.when(x["depth"] <= last, ",").otherwise(""), x["opened"], F.repeat(F.lit("]}"), x["depth"] - following + 1))
+
+    head = trace_summary(tree).select("trace_id", F.to_json(F.struct("trace_id", "span_count", "orphan_count", F.col("total_ms").alias("total_duration_ms"), "services")).alias("head"))
+    body = F.array_join(F.transform("s", placed), "")
+    return rows.join(head, "trace_id").select("trace_id", F.concat(F.expr("substring(head, 1, length(head) - 1)"), F.lit(',"roots":['), body, F.lit("]}")).alias("trace"))
 
 
 def spans_for_trace(spans: DataFrame, trace_id: str) -> DataFrame:

@@ -99,8 +99,12 @@ def validate_spans(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def validate_anomalies(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid rows, rejected rows with violations): names of 1 to 64 characters, a window that ends after it starts, a count and a spread that are there and not negative, a known severity."""
     c = F.col
-    rules = [(~F.coalesce(c("window_end") > c("window_start"), F.lit(False)), "window_end: not after window_start"), (c("baseline_stddev") < 0, "baseline_stddev: negative"), (c("sample_count") < 0, "sample_count: negative"), (~c("severity").isin(*SEVERITIES), "severity: unknown")]
+    rules = [(F.coalesce(F.length(n), F.lit(0)) < 1, f"{n}: missing") for n in ("service", "metric")] + [(F.length(n) > 64, f"{n}: longer than 64") for n in ("service", "metric")] + [
+        (~F.coalesce(c("window_end") > c("window_start"), F.lit(False)), "window_end: not after window_start"), (c("baseline_stddev").isNull() | (c("baseline_stddev") < 0), "baseline_stddev: missing or negative"),
+        (c("sample_count").isNull() | (c("sample_count") < 0), "sample_count: missing or negative"), (c("severity").isNull() | ~c("severity").isin(*SEVERITIES), "severity: unknown"),
+    ]
     return _judged(df, rules)
 
 

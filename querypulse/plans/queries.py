@@ -107,9 +107,9 @@ def latency_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(sec("bucket"), *[c for c in s.columns if c != "bucket"])
 
 
-@query(f"WITH {RU} SELECT ws - ws % 86400 AS bucket, service, round(avg(relevance_avg) + 1e-9, 4) AS relevance_avg, round(avg(relevance_p10) + 1e-9, 4) AS relevance_p10 FROM ru WHERE {IN_RANGE} AND relevance_avg IS NOT NULL GROUP BY ALL")
+@query(f"WITH {RU} SELECT ws - ws % 86400 AS bucket, service, round(avg(relevance_avg) + 1e-9, 4) AS relevance_avg, round(avg(relevance_p10) + 1e-9, 4) AS relevance_p10, sum(query_count)::BIGINT AS queries FROM ru WHERE {IN_RANGE} AND relevance_avg IS NOT NULL GROUP BY ALL")
 def relevance_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dashboards.relevance_series(rollups(spark, sf_dir), RANGE, interval="1d").select(sec("bucket"), "service", "relevance_avg", "relevance_p10")
+    return dashboards.relevance_series(rollups(spark, sf_dir), RANGE, interval="1d").select(sec("bucket"), "service", "relevance_avg", "relevance_p10", "queries")
 
 
 @query(f"WITH {RU} SELECT ws - ws % 86400 AS bucket, service, sum(query_count)::BIGINT AS query_count, sum(error_count)::BIGINT AS error_count, round(sum(error_count) / nullif(sum(query_count), 0)::DOUBLE, 6) AS error_rate, CASE WHEN sum(error_count) / sum(query_count)::DOUBLE >= 0.05 THEN 'bad' WHEN sum(error_count) / sum(query_count)::DOUBLE >= 0.01 THEN 'warn' ELSE 'good' END AS tone FROM ru WHERE {IN_RANGE} GROUP BY ALL")
@@ -191,22 +191,22 @@ def latest_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.latest_by(views.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), ("o_custkey",), "o_orderkey")
 
 
-@query("SELECT c_custkey AS k, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS v FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0")
+@query("SELECT c_custkey AS k, c_name AS name, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 3 <> 0 THEN 0 ELSE 1 END AS v FROM customer")
 def upsert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
-    new = c.where("k % 3 = 0").select("k", F.when(F.col("k") % 2 == 0, F.lit("changed")).otherwise(F.col("name")).alias("name"), F.lit(1).alias("v"))
+    new = c.where("k % 2 <> 0 or k % 3 = 0").select("k", F.when(F.col("k") % 2 == 0, F.lit("changed")).otherwise(F.col("name")).alias("name"), F.lit(1).alias("v"))
     return tables.upsert(c.where("k % 2 = 0").withColumn("v", F.lit(0)), new, ("k",), keep=("name",))
 
 
-@query("SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'old' ELSE 'new' END AS v FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0")
+@query("SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'old' ELSE 'new' END AS v FROM customer")
 def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
-    return tables.insert_if_absent(c.where("k % 2 = 0").withColumn("v", F.lit("old")), c.where("k % 3 = 0").withColumn("v", F.lit("new")), ("k",))
+    return tables.insert_if_absent(c.where("k % 2 = 0").withColumn("v", F.lit("old")), c.where("k % 2 <> 0 or k % 3 = 0").withColumn("v", F.lit("new")), ("k",))
 
 
-@query("SELECT count(*) AS kept FROM events WHERE ts > TIMESTAMP '2024-01-13'")
+@query("SELECT 'e-' || event_id AS event_id FROM events WHERE ts > TIMESTAMP '2024-01-13'")
 def expire_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.expire(views.search_events(spark, sf_dir), "timestamp", 7, AS_OF).agg(F.count("*").alias("kept"))
+    return tables.expire(views.search_events(spark, sf_dir), "timestamp", 7, AS_OF).select("event_id")
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,32 +216,153 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("n", "event_id", "query_id", "service", F.lit("words").alias("query"), stamp.alias("timestamp"), F.when(F.col("n") % 7 == 0, -1.0).otherwise(F.col("latency_ms")).alias("latency_ms"), "status", "result_count", "relevance_score", F.when(F.col("n") % 13 != 0, F.col("error_type")).alias("error_type"), F.lit(None).cast("string").alias("error_message"), F.concat(F.lit("r-"), F.floor(F.col("n") / 100).cast("string")).alias("request_id"), (F.col("n") % 100).alias("index_in_batch"))
 
 
-@query("SELECT (event_id % 7 = 0)::INT + (event_id % 11 = 0)::INT + (event_type = 'error' AND event_id % 13 = 0)::INT AS violations, count(*) AS events FROM events GROUP BY 1")
+FAULTS = "concat_ws('; ', CASE WHEN event_id % 7 = 0 THEN 'latency_ms: not within 0 and 600000' END, CASE WHEN event_id % 11 = 0 THEN 'timestamp: no time with a zone' END, CASE WHEN event_type = 'error' AND event_id % 13 = 0 THEN 'error_type: missing for a failure' END)"
+
+
+@query(f"SELECT event_id AS n, {FAULTS} AS violations FROM events")
 def validate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     good, bad = validate.validate_events(raw_events(spark, sf_dir))
-    return good.select(F.lit(0).alias("violations")).unionByName(bad.select(F.size("violations").alias("violations"))).groupBy("violations").agg(F.count("*").alias("events"))
+    return good.select("n", F.lit("").alias("violations")).unionByName(bad.select("n", F.array_join("violations", "; ").alias("violations")))
 
 
-@query("SELECT 'r-' || (event_id // 100) AS request_id, count(*) FILTER (NOT bad) AS accepted, count(*) FILTER (bad) AS rejected FROM (SELECT event_id, event_id % 7 = 0 OR event_id % 11 = 0 OR (event_type = 'error' AND event_id % 13 = 0) AS bad FROM events) GROUP BY 1")
+@query(f"WITH j AS (SELECT event_id // 100 AS r, event_id % 100 AS i, {FAULTS} AS f FROM events) SELECT 'r-' || r AS request_id, count(*) FILTER (f = '') AS accepted, count(*) FILTER (f <> '') AS rejected, coalesce(string_agg('event ' || i || ': ' || string_split(f, '; ')[1], ' | ' ORDER BY i) FILTER (f <> ''), '') AS errors FROM j GROUP BY r")
 def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = validate.batch_size_gate(raw_events(spark, sf_dir))
-    return validate.ingest_summary(validate.validate_events(raw)[1], raw).select("request_id", "accepted", "rejected")
+    return validate.ingest_summary(validate.validate_events(raw)[1], raw).select("request_id", "accepted", "rejected", F.array_join("errors", " | ").alias("errors"))
+
 
+@query("SELECT 'r-' || (event_id // 700) AS batch, count(*) AS entries FROM events GROUP BY 1 HAVING count(*) <= 500")
+def batch_size_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of 700 are refused whole, what is left over at the end passes."""
+    e = views.table(spark, sf_dir, "events").select(F.concat(F.lit("r-"), F.floor(F.col("event_id") / 700).cast("string")).alias("batch"))
+    return validate.batch_size_gate(e, by="batch").groupBy("batch").agg(F.count("*").alias("entries"))
 
-@query("SELECT CASE WHEN event_type = 'error' THEN 'errors' ELSE 'events' END AS topic, count(*) AS records FROM events GROUP BY 1")
+
+@query(f"SELECT 'q-' || event_id AS key, CASE WHEN event_type = 'error' THEN 'errors' ELSE 'events' END AS topic, 'e-' || event_id AS event_id FROM events")
 def route_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.to_topic(views.search_events(spark, sf_dir), "events").groupBy("topic").agg(F.count("*").alias("records"))
+    return tables.to_topic(views.search_events(spark, sf_dir), "events").select("key", "topic", F.get_json_object("value", "$.event_id").alias("event_id"))
 
 
-@query("SELECT kind, count(*) AS records FROM (SELECT CASE event_id % 4 WHEN 0 THEN 'spans' WHEN 1 THEN 'results' WHEN 2 THEN 'events' ELSE 'invalid' END AS kind FROM events) GROUP BY 1")
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'spans' WHEN 1 THEN 'results' WHEN 2 THEN 'events' ELSE 'invalid' END AS kind FROM events")
 def route_by_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id")
     shapes = F.when(n % 4 == 0, '{"span_id": "s", "operation": "o", "latency_ms": 1}').when(n % 4 == 1, '{"query_id": "q", "results": []}').when(n % 4 == 2, '{"query_id": "q", "results": [], "latency_ms": 2}').otherwise("{broken")
-    routed = validate.route_by_shape(views.table(spark, sf_dir, "events").select(shapes.alias("value")))
-    parts = [df.agg(F.lit(k).alias("kind"), F.count("*").alias("records")) for k, df in routed.items()]
+    routed = validate.route_by_shape(views.table(spark, sf_dir, "events").select("event_id", shapes.alias("value")))
+    parts = [df.select("event_id", F.lit(k).alias("kind")) for k, df in routed.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
+def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sound events as they come in, received 250 ms after their time where their number is even, without metadata where it is odd."""
+    e = views.search_events(spark, sf_dir).withColumn("n", F.substring("event_id", 3, 20).cast("long"))
+    none = F.lit(None).cast("string")
+    at = F.timestamp_micros(F.unix_micros(F.date_trunc("second", "timestamp")) + 250_000)
+    metadata = F.when(F.col("n") % 2 == 0, F.create_map(F.lit("received_at"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")))
+    return e.select("n", "event_id", "query_id", none.alias("trace_id"), none.alias("span_id"), "service", F.lit("words").alias("query"), none.alias("index"), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), "latency_ms", "status", "result_count", "relevance_score", "cache_hit", none.alias("user_id"), none.alias("session_id"), "error_type", none.alias("error_message"), metadata.alias("metadata"))
+
+
+@query("SELECT 'e-' || event_id AS event_id, '' AS trace_id, '' AS index_name, epoch_ms(date_trunc('second', ts)) AS at_ms, epoch_ms(date_trunc('second', ts)) + CASE WHEN event_id % 2 = 0 THEN 250 ELSE 0 END AS received_ms, CASE WHEN event_id % 2 = 0 THEN 250 ELSE 0 END AS skew_ms, (event_type = 'view')::INT AS cache_hit, CASE WHEN event_type = 'error' THEN 'Upstream' ELSE '' END AS error_type FROM events")
+def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = validate.event_rows(stored_events(spark, sf_dir))
+    return rows.select("event_id", "trace_id", "index_name", F.unix_millis("timestamp").alias("at_ms"), F.unix_millis("received_at").alias("received_ms"), validate.clock_skew_ms().cast("int").alias("skew_ms"), "cache_hit", "error_type")
+
+
+@query("SELECT 'e-' || event_id AS event_id, CASE WHEN event_id % 2 = 0 THEN 't-' || event_id ELSE 'fallback' END AS trace_id, '2024-01-20T00:00:00.000Z' AS received_at FROM events")
+def enrich_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = stored_events(spark, sf_dir).withColumn("trace_id", F.when(F.col("n") % 2 == 0, F.concat(F.lit("t-"), F.col("n").cast("string"))).otherwise(""))
+    return validate.enrich(e, AS_OF, F.lit("fallback")).select("event_id", "trace_id", F.col("metadata")["received_at"].alias("received_at"))
+
+
+@query("SELECT 'e-' || event_id AS event_id, 'svc-' || (user_id % 4) AS service, value AS latency_ms, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status, CASE WHEN event_id % 3 = 0 THEN 'surprise' ELSE '' END AS unknown_fields FROM events")
+def decode_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events to JSON and back; every third has a field that no schema knows."""
+    e = stored_events(spark, sf_dir)
+    plain = validate.encode_json(e.where("n % 3 <> 0").drop("n")).unionByName(validate.encode_json(e.where("n % 3 = 0").drop("n").withColumn("surprise", F.lit(1))))
+    return validate.decode_events(plain).select("event_id", "service", "latency_ms", "status", F.array_join("unknown_fields", ",").alias("unknown_fields"))
+
+
+def events_with_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as events that list their lines as results; titles are missing."""
+    found = views.query_results(spark, sf_dir).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), "document_id"))).alias("r"))
+    results = F.transform("r", lambda x: F.struct(x["document_id"].alias("document_id"), x["rank"].alias("rank"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("title")))
+    return found.select("query_id", F.lit("gateway").alias("service"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"), results.alias("results"), F.size("r").alias("result_count"))
+
+
+LINES = "ln AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn FROM lineitem)"
+
+
+@query(f"WITH {LINES} SELECT 'q-' || l_orderkey AS query_id, l_partkey::VARCHAR AS document_id, rn::INT AS rank, 0.0::DOUBLE AS score, '' AS title, epoch(TIMESTAMP '2024-01-01')::BIGINT AS timestamp FROM ln")
+def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.result_rows(events_with_results(spark, sf_dir)).select("query_id", "document_id", "rank", "score", "title", sec("timestamp"))
+
+
+@query(f"WITH {LINES} SELECT 'q-' || l_orderkey AS key, count(*) AS results, max(l_partkey) FILTER (rn = 1)::VARCHAR AS first_document FROM ln GROUP BY l_orderkey")
+def result_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = validate.result_records(events_with_results(spark, sf_dir))
+    return rows.select("key", F.json_array_length(F.get_json_object("value", "$.results")).cast("long").alias("results"), F.get_json_object("value", "$.results[0].document_id").alias("first_document"))
+
+
+@query(f"WITH {LINES}, d AS (SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY rn) AS ids FROM ln GROUP BY 1) SELECT 'q-' || l_orderkey AS query_id, ids AS document_ids FROM d")
+def documents_for_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.documents_in_order(views.query_results(spark, sf_dir)).select("query_id", F.array_join("document_ids", ",").alias("document_ids"))
+
+
+@query(f"WITH {SP} SELECT trace_id, span_id, coalesce(parent, '') AS parent_span_id, us AS start_us, ms AS duration_ms, status FROM sp")
+def span_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans as they come in, validated, in their storage form."""
+    raw = views.order_spans(spark, sf_dir).withColumn("start_time", F.date_format("start_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    rows = validate.span_rows(validate.validate_spans(raw)[0])
+    return rows.select("trace_id", "span_id", "parent_span_id", F.unix_micros("start_time").alias("start_us"), "duration_ms", "status")
+
+
+@query(f"WITH {SP} SELECT trace_id, span_id, CASE WHEN span_id LIKE 'l-%-3' THEN 'duration_ms: not within 0 and 600000' ELSE 'start_time: no time with a zone' END AS violations FROM sp WHERE span_id LIKE 'l-%-3' OR span_id LIKE 'l-%-4'")
+def validate_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each third line's span has a negative duration, each fourth's no zone."""
+    s = views.order_spans(spark, sf_dir)
+    zone = F.when(F.col("span_id").endswith("-4") & ~F.col("span_id").startswith("o-"), "").otherwise("Z")
+    third = F.col("span_id").endswith("-3") & ~F.col("span_id").startswith("o-")
+    raw = s.withColumns({"start_time": F.concat(F.date_format("start_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), zone), "duration_ms": F.when(third, -1.0).otherwise(F.col("duration_ms"))})
+    return validate.validate_spans(raw)[1].select("trace_id", "span_id", F.array_join("violations", "; ").alias("violations"))
+
+
+@query(f"WITH {AN} SELECT service, metric, strftime(make_timestamp(ws * 1000000), '%Y-%m-%d %H:%M:%S') AS window_start, strftime(make_timestamp(we * 1000000), '%Y-%m-%d %H:%M:%S') AS window_end, '2024-01-20 00:00:00.000' AS detected_at FROM an")
+def anomaly_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = validate.validate_anomalies(anomalies(spark, sf_dir))[0].withColumn("detected_at", F.lit(AS_OF))
+    return validate.anomaly_rows(found).select("service", "metric", "window_start", "window_end", "detected_at")
+
+
+@query(f"WITH {AN} SELECT service, metric, ws AS window_start, CASE (ws // 21600) % 3 WHEN 0 THEN 'service: missing' WHEN 1 THEN 'sample_count: missing or negative; severity: unknown' ELSE '' END AS violations FROM (SELECT CASE WHEN (ws // 21600) % 3 = 0 THEN '' ELSE service END AS service, metric, ws FROM an)")
+def validate_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = anomalies(spark, sf_dir).withColumn("k", F.floor(F.unix_seconds("window_start") / SIX_HOURS) % 3)
+    a = a.withColumns({"service": F.when(F.col("k") == 0, "").otherwise(F.col("service")), "sample_count": F.when(F.col("k") != 1, F.col("sample_count")), "severity": F.when(F.col("k") == 1, "odd").otherwise(F.col("severity"))})
+    good, bad = validate.validate_anomalies(a)
+    return good.select("service", "metric", sec("window_start"), F.lit("").alias("violations")).unionByName(bad.select("service", "metric", sec("window_start"), F.array_join("violations", "; ").alias("violations")))
+
+
+@query(f"WITH {RU} SELECT ws AS window_start, service, query_count, round(latency_p95, 9) AS latency_p95 FROM ru WHERE ws + 21600 > (SELECT epoch(max(timestamp)) - 5 FROM ev)")
+def flush_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.flush_open(views.search_events(spark, sf_dir), SIX_HOURS).select(sec("window_start"), "service", "query_count", *r9("latency_p95"))
+
+
+@query(f"WITH {EV} SELECT event_id, service, status FROM ev")
+def dedupe_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events delivered twice, the second time with another latency."""
+    e = views.search_events(spark, sf_dir)
+    return rollup.dedupe_events(e.unionByName(e.withColumn("latency_ms", F.col("latency_ms") + 1))).select("event_id", "service", "status")
+
+
+@query(f"WITH {EV} SELECT query_id, latency_ms, status, result_count FROM (SELECT ev.*, CAST(json_extract_string(props, '$.k') AS INT) AS result_count FROM ev JOIN events ON 'e-' || events.event_id = ev.event_id)")
+def original_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.original_runs(views.search_events(spark, sf_dir), views.query_results(spark, sf_dir)).select("query_id", "latency_ms", "status", "result_count")
+
+
+@query(f"WITH {SP}, q AS (SELECT 'q-' || min(o_orderkey) AS id FROM orders WHERE o_orderkey % 10 <> 0) SELECT trace_id, span_id, us AS start_us FROM sp WHERE 'q-' || substr(trace_id, 3) = (SELECT id FROM q)")
+def spans_for_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of the first query that has a root, looked up among all."""
+    first = views.table(spark, sf_dir, "orders").where("o_orderkey % 10 <> 0").agg(F.min("o_orderkey")).first()[0]
+    return traces.spans_for_query(views.order_spans(spark, sf_dir), f"q-{first}").select("trace_id", "span_id", F.unix_micros("start_time").alias("start_us"))
+
+
 @query(f"WITH {SP} SELECT trace_id, span_id, state AS parent_state, CASE WHEN state = 'child' THEN 1 ELSE 0 END AS depth, round(self_ms, 6) AS self_time_ms, n_children FROM tr")
 def assemble_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.assemble_traces(views.order_spans(spark, sf_dir)).select("trace_id", "span_id", "parent_state", "depth", F.round("self_time_ms", 6).alias("self_time_ms"), "n_children")
@@ -265,9 +386,18 @@ def critical_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.critical_path(traces.assemble_traces(views.order_spans(spark, sf_dir))).select("trace_id", "depth", "span_id")
 
 
-@query(f"WITH {SP}, s AS (SELECT trace_id, service, sum(self_ms) AS v FROM tr GROUP BY ALL) SELECT trace_id, round(max(v) + 1e-9, 3) AS self_time_ms FROM s GROUP BY trace_id")
+@query(f"WITH {SP}, s AS (SELECT trace_id, service, sum(self_ms::DECIMAL(28, 6)) AS v FROM tr GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY v DESC, service) AS r FROM s) SELECT trace_id, service, round(v, 3)::DOUBLE AS self_time_ms FROM o WHERE r = 1")
 def slowest_service(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traces.slowest_service(traces.assemble_traces(views.order_spans(spark, sf_dir))).select("trace_id", "self_time_ms")
+    return traces.slowest_service(traces.assemble_traces(views.order_spans(spark, sf_dir)))
+
+
+@query(f"WITH {SP} SELECT trace_id, sm.span_count AS spans, sm.orphan_count, string_agg(span_id, ',' ORDER BY CASE WHEN up IS NULL THEN us ELSE root_us END, CASE WHEN up IS NULL THEN span_id ELSE up END, up IS NOT NULL, us, span_id) AS preorder FROM (SELECT tr.*, r.us AS root_us FROM tr LEFT JOIN sp r ON r.trace_id = tr.trace_id AND r.span_id = tr.up) JOIN sm USING (trace_id) GROUP BY ALL")
+def trace_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested traces as JSON; compared by their numbers and the order of their spans."""
+    t = traces.trace_json(traces.assemble_traces(views.order_spans(spark, sf_dir)))
+    kids = F.from_json("trace", "span_count bigint, orphan_count bigint, roots array<struct<span_id: string, children: array<struct<span_id: string>>>>")
+    ids = F.flatten(F.transform(F.col("k.roots"), lambda r: F.concat(F.array(r["span_id"]), F.transform(r["children"], lambda c: c["span_id"]))))
+    return t.select("trace_id", kids.alias("k")).select("trace_id", F.col("k.span_count").alias("spans"), F.col("k.orphan_count").alias("orphan_count"), F.array_join(ids, ",").alias("preorder"))
 
 
 @query(f"WITH {SP}, b AS (SELECT trace_id, min(us / 1000.0) AS lo, greatest(1, max(us / 1000.0 + ms) - min(us / 1000.0)) AS total FROM tr GROUP BY ALL) SELECT trace_id, span_id, round((us / 1000.0 - lo) / total * 100, 2) AS offset_pct, round(greatest(0.5, ms / total * 100), 2) AS width_pct FROM tr JOIN b USING (trace_id)")
@@ -292,6 +422,17 @@ FOUND = f"""{SP}, base AS (SELECT service, avg(ms) AS b FROM tr GROUP BY service
   UNION ALL SELECT trace_id, 'cache_miss', arg_max(span_id, ms), 0.5 FROM tr WHERE miss GROUP BY trace_id)"""
 
 
+@query(f"WITH {FOUND} SELECT trace_id, kind, span_id, round(confidence + 1e-9, 2) AS confidence FROM f")
+def finding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(spark, sf_dir)[2].select("trace_id", "kind", "span_id", F.round(F.col("confidence") + 1e-9, 2).alias("confidence"))
+
+
+@query(f"WITH {SP} SELECT trace_id, up AS span_id, service, operation, count(*) AS calls FROM tr WHERE up IS NOT NULL GROUP BY ALL HAVING count(*) >= 3")
+def retry_storms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = findings.retry_storms(traces.assemble_traces(views.order_spans(spark, sf_dir)))
+    return rows.select("trace_id", "span_id", "service", "operation", F.col("evidence")["call_count"].cast("long").alias("calls"))
+
+
 @query(f"WITH {FOUND} SELECT kind, count(*) AS findings, count(DISTINCT trace_id) AS traces, count(*) FILTER (confidence > 0.7) AS sure FROM f GROUP BY kind")
 def finding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _ranked(spark, sf_dir)[2]
@@ -315,12 +456,13 @@ def confidence_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(spark, sf_dir)[2].groupBy(confidence_band(F.col("confidence")).alias("band")).agg(F.count("*").alias("findings"))
 
 
-@query(f"WITH {SP} SELECT 'q-' || o_orderkey AS query_id, coalesce(s.span_count, 0) AS spans, o_totalprice / 1000 AS latency_ms FROM orders LEFT JOIN sm s ON s.trace_id = 't-' || o_orderkey")
+@query(f"WITH {FOUND}, hv AS (SELECT trace_id, service, sum(self_ms::DECIMAL(28, 6)) AS v FROM tr GROUP BY ALL), hot AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY v DESC, service) AS r FROM hv), ks AS (SELECT trace_id, string_agg(kind, ',' ORDER BY kind) AS kinds FROM f GROUP BY 1) SELECT 'q-' || o_orderkey AS query_id, coalesce(s.span_count, 0) AS spans, o_totalprice / 1000 AS latency_ms, coalesce(kinds, '') AS kinds, hot.service AS hotspot, round(hot.v, 3)::DOUBLE AS hotspot_ms FROM orders LEFT JOIN sm s ON s.trace_id = 't-' || o_orderkey LEFT JOIN ks ON ks.trace_id = s.trace_id LEFT JOIN hot ON hot.trace_id = s.trace_id AND hot.r = 1")
 def debug_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree, baselines, found = _ranked(spark, sf_dir)
     o = views.table(spark, sf_dir, "orders")
     events = o.select(F.concat(F.lit("q-"), F.col("o_orderkey").cast("string")).alias("query_id"), F.lit("gateway").alias("service"), F.lit("ok").alias("status"), (F.col("o_totalprice") / 1000).alias("latency_ms"), F.col("o_orderdate").cast("timestamp").alias("timestamp"))
-    return findings.debug_bundle(events, tree, found, baselines).select("query_id", F.coalesce("spans", F.lit(0)).alias("spans"), "latency_ms")
+    b = findings.debug_bundle(events, tree, found, baselines)
+    return b.select("query_id", F.coalesce("spans", F.lit(0)).alias("spans"), "latency_ms", F.array_join(F.array_sort("kinds"), ",").alias("kinds"), "hotspot", "hotspot_ms")
 
 
 RUNS = """ln AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn FROM lineitem), d AS (SELECT l_orderkey AS o, list(DISTINCT l_partkey::VARCHAR) AS ids, count(*) AS n FROM ln GROUP BY 1),
@@ -336,12 +478,12 @@ def diff_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("query_id", "latency_delta_ms", "latency_ratio", F.col("count_delta").cast("long").alias("count_delta"), *(F.size(c).cast("long").alias(f"n_{c}") for c in ("common", "added", "removed")), "status_changed", "verdict")
 
 
-@query("SELECT CASE WHEN c % 5 = 0 THEN 'failed' ELSE 'succeeded' END AS state, count(*) AS jobs FROM (SELECT DISTINCT o_custkey AS c FROM orders) GROUP BY 1")
+@query("SELECT 'j-c-' || c AS id, 'c-' || c AS query_id, CASE WHEN c % 5 = 0 THEN 'failed' ELSE 'succeeded' END AS state, CASE WHEN c % 5 = 0 THEN 'no replay result' END AS error FROM (SELECT DISTINCT o_custkey AS c FROM orders)")
 def replay_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = views.order_runs(spark, sf_dir)
     jobs = a.select(F.concat(F.lit("j-"), "query_id").alias("id"), "query_id")
     there = b.where(F.substring("query_id", 3, 20).cast("long") % 5 != 0)
-    return replay.replay_outcomes(jobs, a, there).groupBy("state").agg(F.count("*").alias("jobs"))
+    return replay.replay_outcomes(jobs, a, there).select("id", "query_id", "state", "error")
 
 
 CT = f"{EV}, h AS (SELECT service, status, epoch(date_trunc('hour', timestamp))::BIGINT AS ts, count(*) AS n FROM ev GROUP BY ALL), inc AS (SELECT service, status, ts, sum(CASE WHEN first THEN 0 ELSE n END) OVER (PARTITION BY service, status ORDER BY ts RANGE BETWEEN 21599 PRECEDING AND CURRENT ROW) AS v FROM (SELECT *, row_number() OVER (PARTITION BY service, status ORDER BY ts) = 1 AS first FROM h))"

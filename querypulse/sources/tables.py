@@ -33,8 +33,19 @@ def write_table(df: DataFrame, path: str, table: str, mode: str = "append") -> N
 
 
 def stream_to_table(df: DataFrame, path: str, table: str, checkpoint: str):
-    """Append each micro-batch; the checkpoint keeps the offsets."""
-    return df.writeStream.foreachBatch(lambda batch, _: write_table(batch, path, table)).option("checkpointLocation", checkpoint)
+    """Append each micro-batch; the checkpoint keeps the offsets. A batch that is run again after a failure replaces what it wrote: it has a partition of its own, by its number."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        dated = batch.withColumn("event_date", F.to_date(TIME_COLUMN[table])).withColumn("batch", F.lit(number))
+        rows = dated.sortWithinPartitions("event_date", *SORT_KEYS[table]).write.option("partitionOverwriteMode", "dynamic")
+        rows.mode("overwrite").partitionBy("batch", "event_date").parquet(f"{path}/{table}")
+
+    return df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+
+
+def stream_to_topics(df: DataFrame, kind: str, servers: str, checkpoint: str):
+    """Publish a stream of records to their topics."""
+    return to_topic(df, kind).writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("checkpointLocation", checkpoint)
 
 
 def read_table(spark: SparkSession, path: str, table: str, schema: T.StructType | None = None, time_range: tuple[datetime, datetime] | None = None) -> DataFrame:
@@ -57,8 +68,9 @@ def expire_table(df: DataFrame, table: str, as_of: datetime) -> DataFrame:
 
 
 def latest_by(df: DataFrame, keys: tuple[str, ...], version: str) -> DataFrame:
-    """The row of the highest version for each key."""
-    by = Window.partitionBy(*keys).orderBy(F.desc(version))
+    """The row of the highest version for each key; of equal versions the largest by its other values."""
+    others = [c for c in df.columns if c not in (*keys, version) and df.schema[c].dataType.typeName() not in ("map", "variant")]
+    by = Window.partitionBy(*keys).orderBy(F.desc(version), *map(F.desc, others))
     return df.withColumn("_r", F.row_number().over(by)).where("_r = 1").drop("_r")
 
 

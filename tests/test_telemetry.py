@@ -108,7 +108,13 @@ def test_traces(spark):
     assert all(got["loop", i].cyclic and got["loop", i].depth is None for i in "xyz") and got["self", "me"].cyclic and not got["t", "a"].cyclic
     assert [r.span_id for r in traces.critical_path(tree).where("trace_id = 't'").orderBy("depth").collect()] == ["a", "b", "c"]
     assert (traces.slowest_service(tree).where("trace_id = 't'").first().service, traces.trace_summary(tree).where("trace_id = 't'").first().orphan_count) == ("rank", 1)
-    assert len(json.loads(traces.trace_json(tree).where("trace_id = 't'").first().trace)) == 4
+    shown = {r.trace_id: json.loads(r.trace) for r in traces.trace_json(tree).collect()}
+    nested = lambda x: (x["span_id"], [nested(c) for c in x["children"]])
+    assert [nested(r) for r in shown["t"]["roots"]] == [("a", [("b", [("c", [])])]), ("lost", [])] and shown["t"]["span_count"] == 4 and set(shown) == {"t", "deep"}
+    deep = shown["deep"]["roots"][0]
+    for k in range(21):
+        assert deep["span_id"] == f"d{k}" and deep["depth"] == k
+        deep = deep["children"][0] if k < 20 else None
 
 
 def test_findings(spark):
@@ -117,6 +123,7 @@ def test_findings(spark):
     baselines = spark.createDataFrame([("search-api", 400.0)], "service string, baseline_p95 double")
     ranked = findings.rank_findings(findings.findings(tree, baselines)).orderBy("rank").collect()
     assert [r.kind for r in ranked] == ["error_span", "baseline_breach", "slow_span", "retry_storm", "fan_out", "cache_miss"]
+    assert (ranked[3].service, ranked[3].operation, ranked[3].span_id, ranked[3].evidence["parent_operation"]) == ("search-api", "same", "r", "search")
     assert ranked[0].evidence["message"] == "boom" and ranked[1].confidence == 0.68 and ranked[3].confidence == 0.7
     said = {r.trace_id: r.summary for r in findings.summarise(tree, findings.rank_findings(findings.findings(tree, baselines))).collect()}
     assert said["calm"] == findings.UNREMARKABLE and "failed" in said["t"]
@@ -152,6 +159,13 @@ def test_monitoring(spark):
     assert [r.increase for r in monitoring.counter_increase(samples, 600).orderBy("ts").collect()] == [0, 2, 5, 7]
     states = lambda values: [r.state for r in monitoring.evaluate_alert(spark.createDataFrame([(at(minutes=k), float(v)) for k, v in enumerate(values)], "ts timestamp, value double"), F.col("value") > 0, 300).orderBy("ts").collect()]
     assert states([1, 1, 1, 1, 1, 0]) == ["pending"] * 5 + ["inactive"] and states([1] * 6)[-1] == "firing"
+    days = [(timedelta(hours=5 * k), v) for k, v in enumerate([1, 1, 0, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 1, 1, 1, 1, 1, 1, 0, 0, 1])]
+    got = monitoring.evaluate_alert(spark.createDataFrame([(BASE + d, float(v)) for d, v in days], "ts timestamp, value double"), F.col("value") > 0, 90_000).orderBy("ts").collect()
+    since, want = None, []
+    for d, v in days:
+        since = (d if since is None else since) if v else None
+        want.append("inactive" if since is None else "firing" if (d - since).total_seconds() >= 90_000 else "pending")
+    assert [r.state for r in got] == want and "firing" in want
     le = spark.createDataFrame([(BASE, b, c) for b, c in ((10.0, 5.0), (20.0, 10.0), (float("inf"), 10.0))], "ts timestamp, le double, cumulative double")
     assert monitoring.histogram_quantile(le, 0.75).first().value == 15
     alerts = spark.createDataFrame([(BASE, "ServiceDown", "critical", "j", "a"), (BASE, "Slow", "warning", "j", "a"), (BASE, "Slow", "warning", "k", "a")], "ts timestamp, alertname string, severity string, job string, service string")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shipping import stored
+from .shipping import hot_join, stored
 
 #: Beyond so many edits of characters the simulation's expression is larger than the distance it replaces.
 BANDED = 2
@@ -22,15 +22,6 @@ BANDED = 2
 FEW = 32
 #: After so many refinements lines of one group agree in most of their units; those that are not near the one are compared with the others.
 LEVELS = 3
-#: What holds more than this share of all rows is joined by broadcast: so many keys at most.
-MOST_HEAVY = 100_000
-
-
-def hot_join(rows: DataFrame, few: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
-    """Inner join; few has a row for each key and in weight its number of rows. Keys heavier than total / MOST_HEAVY, so MOST_HEAVY of them at most, are broadcast; the others are dealt out evenly."""
-    bound = max(1000, total // MOST_HEAVY)
-    heavy, light = F.broadcast(few.where(F.col(weight) > bound).drop(weight)), few.where(F.col(weight) <= bound).drop(weight)
-    return rows.join(heavy, on).unionByName(rows.join(heavy.select(*on), on, "left_anti").join(light, on))
 
 
 def units_of(line: Column, unit: str) -> Column:

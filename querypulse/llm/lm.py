@@ -81,11 +81,12 @@ def bucket_of(numbers: np.ndarray, buckets: int) -> np.ndarray:
     return (numbers >> U(40)) % U(buckets)
 
 
-def cuts_of(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """(order by bucket, (bucket, start, end) of those that are there)."""
+def cuts_of(bucket: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """(order by bucket, (bucket, start, end) of those that are there), whatever the number of buckets."""
     order = np.argsort(bucket, kind="stable")
-    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
-    return order, [(k, bounds[k], bounds[k + 1]) for k in range(buckets) if bounds[k] < bounds[k + 1]]
+    ordered = bucket[order]
+    starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(order) else np.zeros(0, np.int64)
+    return order, list(zip(ordered[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)], strict=False))
 
 
 def bigrams_sent(u: np.ndarray, s: np.ndarray, doc: np.ndarray, train: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
@@ -93,7 +94,7 @@ def bigrams_sent(u: np.ndarray, s: np.ndarray, doc: np.ndarray, train: np.ndarra
     numbers, at = np.unique(pairs(u, s, doc)[1], return_inverse=True)
     counts = np.bincount(at[train], minlength=len(numbers)).astype(np.uint32)
     once = np.argsort(counts != 1, kind="stable")
-    order, there = cuts_of(bucket_of(numbers[once], buckets), buckets)
+    order, there = cuts_of(bucket_of(numbers[once], buckets))
     order = once[order]
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
@@ -108,7 +109,7 @@ def sent(table: DataFrame, what: str, buckets: int) -> DataFrame:
             for chunk, *raw in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 _, u, s, doc, train = opened(*raw)
                 if what == "words":
-                    order, there = cuts_of(bucket_of(u, buckets), buckets)
+                    order, there = cuts_of(bucket_of(u, buckets))
                     numbers, counts = u[order], np.bincount(s[train], minlength=len(u)).astype(np.uint32)[order]
                     n, c = [numbers[a:b].tobytes() for _, a, b in there], [counts[a:b].tobytes() for _, a, b in there]
                 else:

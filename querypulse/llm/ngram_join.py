@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from .components import connected_components
 from .hashing import mix, shingles, slices, words
-from .shipping import ship, stored
+from .shipping import hot_join, ship, stored
 
 U = np.uint64
 CHUNK_BYTES = 4 << 20
@@ -147,8 +147,9 @@ class Trie:
         ranked = [np.sort(x) for x in np.split(rank[inverse], cuts)]
         order = sorted(range(len(sets)), key=lambda k: ranked[k].tolist())
         self.sets, self.sizes, self.order = [ranked[k] for k in order], sizes[order], np.array(order)
-        self.percent, self.width = percent, len(values)
-        self.label = np.arange(len(sets))
+        self.percent = percent
+        self.label = list(range(len(sets)))  # union-find over positions in order
+        self.same: list[bool] = []
         self.nodes: list[tuple] = []  # run, first set, end of sets, sizes' least and most, most members below, children
         self.root = self.grow(0, len(sets), 0)
 
@@ -185,38 +186,54 @@ class Trie:
     def enough(self, overlap: int, a: int, b: int) -> bool:
         return (100 + self.percent) * overlap >= self.percent * (a + b)
 
+    def find(self, x: int) -> int:
+        label = self.label
+        while label[x] != x:
+            label[x] = x = label[label[x]]
+        return x
+
+    def one_class(self, at: int) -> bool:
+        """Whether all sets below a node are linked; remembered once they are, as links only grow. Of a large node that is not known, the nodes below are asked."""
+        _, lo, hi, *_, children = self.nodes[at]
+        if not self.same[at]:
+            if hi - lo <= 32 or not children:
+                first = self.find(lo)
+                self.same[at] = all(self.find(y) == first for y in range(lo + 1, hi))
+            else:
+                own = self.nodes[children[0]][1] == lo  # no set ends here
+                self.same[at] = own and all(self.same[c] for c in children) and len({self.find(self.nodes[c][1]) for c in children}) == 1
+        return self.same[at]
+
     def links(self, queries: list[int] | None = None) -> list[tuple[int, int]]:
         """Links that join all linked sets, as positions in the given list; with queries, of those against all."""
         out = []
-        has = np.zeros(self.width + 1, np.int64)
         place = np.argsort(self.order)
+        self.same = [False] * len(self.nodes)
         for x in range(len(self.sets)) if queries is None else place[queries].tolist():
             mine = self.sets[x]
-            has[:] = 0
-            has[mine + 1] = 1
-            before = np.cumsum(has)  # before[r]: own members of a rank under r
             size = int(self.sizes[x])
             stack = [(self.root, 0)]
             while stack:
                 at, overlap = stack.pop()
                 run, lo, hi, least, most, below, children = self.nodes[at]
-                if (100 * least < self.percent * size and 100 * most < self.percent * size) or 100 * size < self.percent * least:
+                if 100 * most < self.percent * size or 100 * size < self.percent * least:
                     continue
-                if (self.label[lo:hi] == self.label[x]).all():
+                if self.one_class(at) and self.find(lo) == self.find(x):
                     continue
                 left = len(mine)
                 if len(run):
-                    overlap += int(has[run + 1].sum())
-                    left = len(mine) - int(before[run[-1] + 1])
+                    found = np.searchsorted(mine, run)
+                    overlap += int((mine[np.minimum(found, len(mine) - 1)] == run).sum())
+                    left = len(mine) - int(np.searchsorted(mine, run[-1], "right"))
                 elif at != self.root:
                     left = len(mine) - overlap
                 if not self.enough(overlap + min(left, below), size, max(least, -(-self.percent * size // 100))):
                     continue
                 end = hi if not children else self.nodes[children[0]][1]
                 for y in range(lo, end):
-                    if self.label[y] != self.label[x] and self.enough(overlap, size, int(self.sizes[y])):
+                    if self.enough(overlap, size, int(self.sizes[y])) and (a := self.find(y)) != (b := self.find(x)):
                         out.append((int(self.order[x]), int(self.order[y])))
-                        self.label[self.label == self.label[y]] = self.label[x]
+                        self.label[a] = b
                 stack += [(c, overlap) for c in children]
         return out
 
@@ -233,7 +250,8 @@ def trie_links(percent: int):
         if len(ids) > 1:
             trie = Trie([np.frombuffer(x.as_py(), U) for x in table["shared"]], n, percent)
             if "label" in table.column_names:
-                trie.label = np.unique(table["label"].to_numpy(), return_inverse=True)[1][trie.order]
+                first: dict[int, int] = {}
+                trie.label = [first.setdefault(v, k) for k, v in enumerate(table["label"].to_numpy()[trie.order].tolist())]
             found = trie.links(np.flatnonzero(table["side"].to_numpy() == 0).tolist() if "side" in table.column_names else None)
         return pa.table([pa.array([int(ids[i]) for i, _ in found], pa.int64()), pa.array([int(ids[j]) for _, j in found], pa.int64())], names=["a", "b"])
 
@@ -258,8 +276,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets = stored(back.groupBy("chunk").applyInArrow(joined_sets(percent), SETS))
 
     possible = sets.where("shared is not null and id is not null")
-    member = stored(possible.join(possible.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")), ["d1", "d2", "n"]).select("id", "rep", "n", "shared"))
-    reps = stored(member.where("id = rep").select("id", "n", "shared").dropDuplicates(["id", "n", "shared"]))
+    equal = ["d1", "d2", "n"]
+    classes = stored(possible.groupBy(*equal).agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min("shared").alias("shared")))  # equal sets are one
+    reps = classes.select("id", "n", "shared")
 
     postings = reps.mapInArrow(prefix_shingles(percent), T.StructType([T.StructField("id", T.LongType()), T.StructField("g", T.LongType())]))
     postings = stored(postings)
@@ -288,5 +307,6 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         met = pairs.join(labelled, ["grp", "block"]).groupBy("grp", "pair").applyInArrow(lambda t: trie_links(percent)(t), LINK)
         links = links.unionByName(met)
     linked = connected_components(links)
-    final = member.join(linked, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("component", "rep").alias("c")).groupBy("id").agg(F.min("c").alias("c"))
+    joined = classes.join(linked, F.col("id") == F.col("node"), "left").select(*equal, F.coalesce("component", "id").alias("c"), "copies")
+    final = hot_join(possible.select("id", *equal), joined, equal, "copies", sets.count()).groupBy("id").agg(F.min("c").alias("c"))
     return sets.join(final, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id"))

@@ -87,24 +87,30 @@ def mix_sources(
     Returns id_col, source_col, tokens, pass (from 0), block, place (0 to 1, by which blocks of all sources interleave in proportion) and the columns in keep.
     A source gets its whole passes, then whole blocks in the order of the next pass, then documents of one more block as long as they start within its target.
 
-    A null source is a source of its own. Null and empty texts count 0 tokens: they come with the passes of their block. Null ids and repeated rows are documents of their own, equal ones in
-    equal order. An empty table, or one without tokens, gives an empty result. keep must not name the other result columns (ValueError); other columns are not read.
+    A null source is a source of its own. Null and empty texts count 0 tokens: they come with the passes of their block; those of a source without any tokens come once. Null ids and repeated rows are
+    documents of their own, equal ones in equal order. An empty table gives an empty result. Very long texts are documents as others. keep must not name the other result columns (ValueError); other columns are not read.
     """
     own = [id_col, source_col, "tokens", "pass", "block", "place"]
     if set(keep) & set(own):
         raise ValueError(f"columns of these names are made: {own}")
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
     rows = docs.select(id_col, source_col, *keep, key.alias("_s"), words_by_blanks(F.col(text_col)).alias("tokens"))
-    totals = rows.groupBy(F.col("_s").alias("source")).agg(F.sum("tokens").alias("tokens"))
+    totals = stored(rows.groupBy(F.col("_s").alias("source")).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")))
+    zero = F.lit(0).cast("long")
+    silent = totals.where("tokens = 0").select(F.col("source").alias("_s"), F.greatest(F.lit(1), F.ceil(F.col("docs") / block_tokens)).alias("_blocks"), (zero + 1).alias("_full"), zero.alias("_rest"), zero.alias("_target"), zero.alias("_all"))
     plan = temperature_weights(totals, budget, target_entropy, max_repeats).select(
         F.col("source").alias("_s"), F.greatest(F.lit(1), F.ceil(F.col("tokens") / block_tokens)).alias("_blocks"), F.floor(F.col("target_tokens") / F.col("tokens")).alias("_full"), (F.col("target_tokens") % F.col("tokens")).alias("_rest"), F.col("target_tokens").alias("_target"), F.col("tokens").alias("_all"),
     )
-    plan = stored(plan)
+    plan = stored(plan.unionByName(silent))
     placed = rows.join(F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan, "_s").withColumn("block", draw(F.col("_blocks"), F.lit(seed), F.col(id_col)))
     blocks = placed.groupBy("_s", "block", "_full", "_rest", "_target", "_all").agg(F.sum("tokens").alias("_bt"))
     passes = blocks.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_full"))))
-    order = F.md5(F.concat_ws(":", F.lit(seed), "pass", "_s", "block"))
-    before = F.coalesce(F.sum("_bt").over(Window.partitionBy("_s", "pass").orderBy(order, "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # The running sum over a pass in two steps, so that a source of many blocks is many tasks: by the first three of 32 digits of the order, then within them.
+    passes = passes.withColumn("_o", F.md5(F.concat_ws(":", F.lit(seed), "pass", "_s", "block"))).withColumn("_head", F.substring("_o", 1, 3))
+    so_far = lambda x, w: F.coalesce(F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    heads = passes.groupBy("_s", "pass", "_head").agg(F.sum("_bt").alias("_ht")).select("_s", "pass", "_head", so_far("_ht", Window.partitionBy("_s", "pass").orderBy("_head")).alias("_hb"))
+    passes = passes.join(heads, ["_s", "pass", "_head"]).withColumn("_wb", so_far("_bt", Window.partitionBy("_s", "pass", "_head").orderBy("_o", "block")))
+    before = F.col("_hb") + F.col("_wb")
     passes = passes.withColumn("_left", F.when(F.col("pass") < F.col("_full"), F.col("_bt")).otherwise(F.col("_rest") - before)).withColumn("_before", before + F.col("pass") * F.col("_all")).where((F.col("pass") < F.col("_full")) | (F.col("_left") > 0))
     passes = passes.select("_s", "block", "pass", F.when(F.col("_left") < F.col("_bt"), F.col("_left")).alias("_cut"), ((F.col("_before") + F.col("_bt") / 2) / F.greatest(F.col("_target"), F.lit(1))).alias("place"))
     whole = placed.select("_s", "block", id_col, source_col, "tokens", *keep)
@@ -117,7 +123,7 @@ def mix_sources(
 
 #: DuckDB SQL for mix_sources(documents, target_entropy=0.95, max_repeats=4.0): same bisections over lists, same permutations by md5.
 ORACLE_SQL = """WITH RECURSIVE d AS (SELECT doc_id, source, CASE WHEN coalesce(length(text), 0) = 0 THEN 0 ELSE length(text) - length(translate(text, ' ' || chr(10), '')) + 1 END AS tokens, coalesce('=' || source, 'null') AS s FROM documents),
-t AS (SELECT s, sum(tokens)::BIGINT AS tokens FROM d GROUP BY s HAVING sum(tokens) > 0),
+t AS (SELECT s, sum(tokens)::BIGINT AS tokens FROM d GROUP BY s HAVING sum(tokens) > 0), z AS (SELECT s, count(*) AS n FROM d GROUP BY s HAVING sum(tokens) = 0),
 l AS (SELECT list(tokens::DOUBLE ORDER BY s) AS ts, list(s ORDER BY s) AS ss, sum(tokens)::DOUBLE AS total, ln(count(*)) * 0.95 AS goal FROM t),
 q AS (SELECT ts, ss, goal, list_transform(ts, lambda x: x / total) AS p FROM l),
 e(i, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL SELECT i + 1, CASE WHEN h >= goal THEN mid ELSE lo END, CASE WHEN h >= goal THEN hi ELSE mid END FROM (
@@ -128,9 +134,9 @@ c AS (SELECT ts, ss, p, CASE WHEN -list_sum(list_transform(p, lambda x: x * ln(x
 x AS (SELECT ts, ss, p, CASE WHEN list_max(list_transform(p, lambda y: pow(y, be - 1))) / list_min(list_transform(p, lambda y: pow(y, be - 1))) <= 4.0 + 1e-12 THEN be ELSE greatest(be, bf) END AS ex FROM c),
 r AS (SELECT ts, ss, list_transform(p, lambda y: pow(y, ex)) AS r FROM x), w AS (SELECT ts, ss, list_transform(r, lambda y: y / list_sum(r)) AS w FROM r),
 b AS (SELECT unnest(ss) AS s, unnest(ts)::BIGINT AS tk, unnest(w) AS w, (SELECT max(a) FROM (SELECT unnest(ts) / unnest(w) AS a FROM w)) AS budget FROM w),
-pl AS (SELECT s, greatest(1, ceil(tk / 100000.0))::BIGINT AS nb, round(w * budget - 1e-6)::BIGINT AS target, tk FROM b),
+pl AS (SELECT s, greatest(1, ceil(tk / 100000.0))::BIGINT AS nb, round(w * budget - 1e-6)::BIGINT AS target, tk FROM b UNION ALL SELECT s, greatest(1, ceil(n / 100000.0))::BIGINT, 0, 0 FROM z),
 pd AS (SELECT d.*, pl.*, ('0x' || substr(md5('1:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % nb AS block FROM d JOIN pl ON d.s = pl.s),
-bl AS (SELECT s, block, target, tk, target // tk AS fl, target % tk AS rest, sum(tokens)::BIGINT AS bt FROM pd GROUP BY ALL),
+bl AS (SELECT s, block, target, tk, CASE WHEN tk = 0 THEN 1 ELSE target // tk END AS fl, CASE WHEN tk = 0 THEN 0 ELSE target % tk END AS rest, sum(tokens)::BIGINT AS bt FROM pd GROUP BY ALL),
 ps AS (SELECT *, unnest(range(0, fl + 1)) AS pass FROM bl),
 o AS (SELECT *, coalesce(sum(bt) OVER (PARTITION BY s, pass ORDER BY md5('1:' || pass || ':' || s || ':' || block), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS bef FROM ps),
 k AS (SELECT s, block, pass, CASE WHEN pass >= fl AND rest - bef < bt THEN rest - bef END AS cut, (bef + pass * tk + bt / 2) / greatest(target, 1) AS place FROM o WHERE pass < fl OR rest - bef > 0),

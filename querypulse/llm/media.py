@@ -25,8 +25,8 @@ FIELD = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 SCHEMES = {1: "none", 5: "lzw", 8: "deflate", 32946: "deflate", 32773: "packbits"}
 CODES = {"none": 1, "lzw": 5, "deflate": 8, "packbits": 32773}
 
-#: Pages of more samples are reported, not decoded: what one row may take of a worker's memory.
-MAX_SAMPLES = 1 << 28
+#: Pages of more samples are reported, not decoded: more than a binary value of Spark can hold. Callers that read files of unknown origin may set less.
+MAX_SAMPLES = (1 << 31) - 1
 
 PAGE = T.StructType([
     T.StructField("number", T.IntegerType()), T.StructField("of", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()),
@@ -142,7 +142,12 @@ def unlzw(data: bytes) -> bytes:
 
 
 PACK = {"none": bytes, "packbits": packbits, "lzw": lzw, "deflate": lambda d: zlib.compress(d, 1)}
-UNPACK = {"none": bytes, "packbits": unpackbits, "lzw": unlzw, "deflate": lambda d: zlib.decompressobj().decompress(d)}
+UNPACK = {"none": bytes, "packbits": unpackbits, "lzw": unlzw}
+
+
+def unpacked(scheme: str, data: bytes, size: int) -> bytes:
+    """The bytes of a strip or tile; of a deflate stream no more than it should have."""
+    return zlib.decompressobj().decompress(data, max(1, size)) if scheme == "deflate" else UNPACK[scheme](data)
 
 
 def write_tiff(pages: list[np.ndarray], compression: str = "deflate", predictor: int = 2, rows: int = 256, tile: int | None = None) -> bytes:
@@ -162,7 +167,8 @@ def write_tiff(pages: list[np.ndarray], compression: str = "deflate", predictor:
                 if predictor == 2:
                     block = np.concatenate((block[:, :1], np.diff(block, axis=1)), axis=1)
                 offsets.append(len(out))
-                out += (packed := PACK[compression](block.tobytes()))
+                packed = b"".join(packbits(line.tobytes()) for line in block) if compression == "packbits" else PACK[compression](block.tobytes())  # PackBits runs end with their row
+                out += packed
                 counts.append(len(packed))
                 out += b"\0" * (len(out) % 2)
         tags = {WIDTH: [width], HEIGHT: [height], BITS: [8] * samples, COMPRESSION: [CODES[compression]], PHOTOMETRIC: [2 if samples == 3 else 1], SAMPLES: [samples], PLANAR: [1], PREDICTOR: [predictor]}
@@ -224,9 +230,9 @@ def page_of(data: bytes, order: str, tags: dict[int, tuple], max_samples: int) -
     for k in range(planes * across * down):
         plane, y, x = k // (across * down), k // across % down * step_y, k % across * step_x
         rows = step_y if tiled else min(step_y, height - y)
-        raw = UNPACK[scheme](data[offsets[k] : offsets[k] + counts[k]])
+        stride = -(-step_x * each * bits // 8)
+        raw = unpacked(scheme, data[offsets[k] : offsets[k] + counts[k]], rows * stride)
         if bits == 1:
-            stride = -(-step_x // 8)
             block = np.unpackbits(np.frombuffer(raw, np.uint8, rows * stride).reshape(rows, stride), axis=1)[:, :step_x, None]
         else:
             block = np.frombuffer(raw, kind, rows * step_x * each).reshape(rows, step_x, each)

@@ -18,9 +18,9 @@ from .shipping import hot_join, stored
 
 #: Beyond so many edits of characters the simulation's expression is larger than the distance it replaces.
 BANDED = 2
-#: So many lines that share a substring are compared each with each; more are compared with one of them and, if some are not near it, told apart by substrings of what remains.
-FEW = 32
-#: After so many refinements lines of one group agree in most of their units; those that are not near the one are compared with the others.
+#: Groups of so many lines that share a substring are compared pair by pair where the first comparison left several labels; larger ones are told apart by substrings of what remains.
+FEW = 16
+#: After so many refinements lines of one group agree in most of their units, and pairs of different labels are compared.
 LEVELS = 3
 
 
@@ -121,21 +121,12 @@ def split_last(keys: Column) -> tuple[Column, Column]:
     return keys.bitwiseAND(F.lit(-2).cast("long")), keys.bitwiseAND(F.lit(1).cast("long")).cast("int")
 
 
-def grouped_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """From (key, own, h, ...): pairs (a, b) to compare; and the members of groups of more than FEW, of which only pairs with the least line are among them."""
-    sizes = stored(members.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("least")))
-    total, most = sizes.agg(F.sum("n"), F.max("n")).first()
-    told = stored(hot_join(members, sizes.withColumn("_w", F.col("n")), ["key"], "_w", total or 0))
-    side = lambda c: told.where(F.col("n") <= FEW).select("key", F.col("h").alias(c), F.col("own").alias(f"own_{c}"))
-    pairs = side("a").join(side("b"), "key").where("a < b and (own_a = 1 or own_b = 1)").select("a", "b")
-    if (most or 0) <= FEW:
-        return pairs.distinct(), None
-    large = told.where(F.col("n") > FEW)
-    return pairs.unionByName(large.where("h <> least").select(F.col("least").alias("a"), F.col("h").alias("b"))).distinct(), large
-
-
 def near_links(lines: DataFrame, members: DataFrame, most: int, units_an_edit: int, unit: str) -> DataFrame:
-    """(a, b): links that join all lines within the threshold of each other. lines: h, line (each h once); members: (key, own, h) of those that share a substring."""
+    """(a, b): links that join all lines within the threshold of each other. lines: h, line (each h once); members: (key, own, h, copies) of those that share a substring.
+
+    In every group all lines are compared with the one of most copies, which others mostly are copies of; what is near it has its label, and pairs of one label need no comparison.
+    Of groups of several labels, those of few lines are compared pair by pair; in the others, what remains beside the shared substring is cut anew, as it can differ by the threshold too.
+    """
     whole = unit == "char" and most > BANDED
     lines = stored(lines.select("h", F.col("line") if whole else F.lit(None).cast("string").alias("line"), units_of(F.col("line"), unit).alias("units")))
     text = lambda c: lines.select(F.col("h").alias(c), F.col("line" if whole else "units").alias(f"x_{c}"), F.size("units").alias(f"n_{c}"))
@@ -144,36 +135,45 @@ def near_links(lines: DataFrame, members: DataFrame, most: int, units_an_edit: i
     near = F.levenshtein(a, b, most).between(F.lit(0), F.col("allowed")) if whole else within_edits(a, b, most, None, F.col("allowed"))
 
     def compared(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(text("a"), "a").join(text("b"), "b").withColumn("n", F.least("n_a", "n_b")).withColumn("allowed", allowed)
+        both = pairs.distinct().join(text("a"), "a").join(text("b"), "b").withColumn("n", F.least("n_a", "n_b")).withColumn("allowed", allowed)
         return stored(both.where(F.abs(F.col("n_a") - F.col("n_b")) <= F.col("allowed")).where(near).select("a", "b"))
 
-    pairs, large = grouped_pairs(members)
-    links = now = compared(pairs)
+    links: DataFrame | None = None
+    members = members.withColumn("label", F.col("h"))
     for level in range(LEVELS + 1):
-        if large is None:
-            break
-        # Groups whose lines all are near the least one are joined. Of the others, what remains beside the shared substring is cut anew, as it can differ by the threshold too.
-        far = large.where("h <> least").join(now.select(F.col("a").alias("least"), F.col("b").alias("h")), ["least", "h"], "left_anti")
-        open_ = stored(hot_join(large, far.groupBy("key").agg(F.first("n").alias("_w")), ["key"], "_w", large.count()))
-        if open_.isEmpty():
+        mixed = (F.min("label") != F.max("label")).alias("mixed")
+        sizes = stored(members.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("copies", "h", "label")).alias("first"), mixed).where("mixed").select("key", "n", F.col("first.h").alias("first"), F.col("first.label").alias("first_label")))
+        total = sizes.agg(F.sum("n")).first()[0]
+        if links is not None and not total:
             break
+        told = stored(hot_join(members, sizes.withColumn("_w", F.col("n")), ["key"], "_w", total or 0))
+        star = compared(told.where("label <> first_label").select(F.col("first").alias("a"), F.col("h").alias("b")))
+        links = star if links is None else links.unionByName(star)
+        # Labels are lines; who is near a first line takes over its label, and so on twice more.
+        told_near = told.join(star.select(F.col("a").alias("first"), F.col("b").alias("h")), ["first", "h"]).groupBy("h").agg(F.max("first_label").alias("to"))
+        step = stored(told_near)
+        for _ in range(2):
+            step = step.join(step.select(F.col("h").alias("to"), F.col("to").alias("on")), "to", "left").select("h", F.coalesce("on", "to").alias("to"))
+        told = stored(told.join(step, "h", "left").withColumn("label", F.coalesce("to", "label")).drop("to"))
+        still = told.groupBy("key").agg(F.count("*").alias("_w"), mixed).where("mixed").select("key", "_w")
+        told = stored(hot_join(told, still, ["key"], "_w", total or 0))
+        side = lambda c, rows: rows.where("h <> first").select("key", F.col("h").alias(c), F.col("own").alias(f"own_{c}"), F.col("label").alias(f"label_{c}"))
+        few = told if level == LEVELS else told.where(F.col("n") <= FEW)
+        pairs = side("a", few).join(side("b", few), "key").where("a < b and label_a <> label_b and (own_a = 1 or own_b = 1)").select("a", "b")
+        links = links.unionByName(compared(pairs))
         if level == LEVELS:
-            one, two = far.select("key", F.col("h").alias("x")), open_.select("key", F.col("h").alias("y"))
-            links = links.unionByName(compared(one.join(two, "key").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))
             break
+        many = told.where(F.col("n") > FEW)
         if level == 0:
-            known = open_.select("key", "h").distinct().join(lines.select("h", "units"), "h")
-            found = with_segments(known, most, units_an_edit, places=True).withColumn("k", F.explode("keys")).where(split_last(F.col("k.key"))[0] == F.col("key"))
-            open_ = stored(found.select("key", "h", rest("k"), F.col("k.edits").alias("edits")))
-        again = with_segments(open_.select("key", "h", "units", "edits"), most, units_an_edit, F.col("edits"), places=True)
+            found = with_segments(many.select("key", "h", "copies", "label").distinct().join(lines.select("h", "units"), "h"), most, units_an_edit, places=True)
+            many = found.withColumn("k", F.explode("keys")).where(split_last(F.col("k.key"))[0] == F.col("key")).select("key", "h", "copies", "label", rest("k"), F.col("k.edits").alias("edits"))
+            many = stored(many)
+        again = with_segments(many.select("key", "h", "copies", "label", "units", "edits"), most, units_an_edit, F.col("edits"), places=True)
         # of so few units that edits and segments are not told apart: one more group of them all
         short = F.when(F.size("units") <= 2 * F.col("edits"), F.struct(F.lit(1).cast("long").alias("key"), F.lit(0).alias("start"), F.lit(0).alias("length"), F.col("edits")))
         cut = again.withColumn("k", F.explode(F.concat("keys", F.array(short)))).where("k is not null")
         key, own = split_last(F.col("k.key"))
-        members = stored(cut.select(F.xxhash64("key", key).alias("key"), own.alias("own"), "h", rest("k"), "edits").groupBy("key", "h", "units", "edits").agg(F.max("own").alias("own")))
-        pairs, large = grouped_pairs(members)
-        now = compared(pairs)
-        links = links.unionByName(now)
+        members = stored(cut.select(F.xxhash64("key", key).alias("key"), own.alias("own"), "h", "copies", "label", rest("k"), "edits").groupBy("key", "h", "copies", "label", "units", "edits").agg(F.max("own").alias("own")))
     return links
 
 
@@ -197,7 +197,7 @@ def marked_lines(docs: DataFrame, id_col: str, text_col: str, max_edits: int, un
         asked = lines.select("h", "g", "doc", "at", F.explode("keys").alias("k")).where("k is not null").select(key.alias("key"), own.alias("own"), "h", "g", "doc", "at")
         shared = stored(asked.groupBy("key").agg(F.max("own").alias("own"), F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("_w")).where("own = 1 and lo <> hi").select("key", "_w"))
         # A line said very often is looked up by its first place only.
-        found = hot_join(asked, shared, ["key"], "_w", total).groupBy("key", "h", "g").agg(F.max("own").alias("own"), F.min(place).alias("first"))
+        found = hot_join(asked, shared, ["key"], "_w", total).groupBy("key", "h", "g").agg(F.max("own").alias("own"), F.min(place).alias("first"), F.count("*").alias("copies"))
         found = stored(found)
         places = stored(found.groupBy("h", "g").agg(F.min("first").alias("first")))
         wanted = places.select(F.col("first.doc").alias("doc"), F.col("first.at").alias("at"), "h").where("doc is not null")
@@ -205,7 +205,7 @@ def marked_lines(docs: DataFrame, id_col: str, text_col: str, max_edits: int, un
         null = docs.where(F.col(id_col).isNull())
         texts = stored(occurrences(held.select(id_col, text_col), id_col, text_col, min_chars).drop("g").join(wanted, ["doc", "at", "h"]).select("h", "line").unionByName(
             occurrences(null.select(id_col, text_col), id_col, text_col, min_chars).join(places.where("first.doc is null").select("h", "g"), ["h", "g"], "left_semi").select("h", "line")).dropDuplicates(["h"]))
-        kinds = connected_components(near_links(texts, found.select("key", "own", "h").distinct(), max_edits, units_an_edit, unit))
+        kinds = connected_components(near_links(texts, found.groupBy("key", "h").agg(F.max("own").alias("own"), F.sum("copies").alias("copies")), max_edits, units_an_edit, unit))
         classes = stored(places.join(kinds.select(F.col("node").alias("h"), F.col("component").alias("class")), "h"))
         firsts = classes.groupBy("class").agg(F.min("first").alias("class_first"))
         linked = classes.join(firsts, "class").select("h", "g", "class_first")

@@ -84,7 +84,7 @@ def threshold(low: Column, most: int, units_an_edit: int) -> Column:
 
 
 def with_segments(rows: DataFrame, most: int, units_an_edit: int, edits: Column | None = None, places: bool = False) -> DataFrame:
-    """rows (with units: array<string>) and keys: numbers of the substrings a line is looked up by, null where there is none, the last bit set for a segment of its own class.
+    """rows (with units: an array of words, characters or numbers) and keys: numbers of the substrings a line is looked up by, null where there is none, the last bit set for a segment of its own class.
 
     With edits, that many are allowed instead of what the class allows. With places, structs of key, start, length and edits.
     """
@@ -128,15 +128,19 @@ def near_links(lines: DataFrame, members: DataFrame, most: int, units_an_edit: i
     Of groups of several labels, those of few lines are compared pair by pair; in the others, what remains beside the shared substring is cut anew, as it can differ by the threshold too.
     """
     whole = unit == "char" and most > BANDED
-    lines = stored(lines.select("h", F.col("line") if whole else F.lit(None).cast("string").alias("line"), units_of(F.col("line"), unit).alias("units")))
-    text = lambda c: lines.select(F.col("h").alias(c), F.col("line" if whole else "units").alias(f"x_{c}"), F.size("units").alias(f"n_{c}"))
+    cut = lines.select("h", F.col("line") if whole else F.lit(None).cast("string").alias("line"), units_of(F.col("line"), unit).alias("units"))
+    lines = stored(cut.withColumn("nums", F.transform("units", lambda x: F.xxhash64(x))))  # numbers are smaller and sooner compared than words
+    text = lambda c: lines.select(F.col("h").alias(c), F.col("line" if whole else "nums").alias(f"x_{c}"), F.col("nums").alias(f"nums_{c}"), F.size("nums").alias(f"n_{c}"))
     a, b = F.col("x_a"), F.col("x_b")
     allowed = threshold(lower_end(F.col("n")), most, units_an_edit)
     near = F.levenshtein(a, b, most).between(F.lit(0), F.col("allowed")) if whole else within_edits(a, b, most, None, F.col("allowed"))
 
     def compared(pairs: DataFrame) -> DataFrame:
         both = pairs.distinct().join(text("a"), "a").join(text("b"), "b").withColumn("n", F.least("n_a", "n_b")).withColumn("allowed", allowed)
-        return stored(both.where(F.abs(F.col("n_a") - F.col("n_b")) <= F.col("allowed")).where(near).select("a", "b"))
+        both = both.where(F.abs(F.col("n_a") - F.col("n_b")) <= F.col("allowed"))
+        for one, other in (("a", "b"), ("b", "a")):  # an edit leaves at most one unit that the other line has not
+            both = both.where(F.size(F.array_except(f"nums_{one}", f"nums_{other}")) <= F.col("allowed"))
+        return stored(both.where(near).select("a", "b"))
 
     links: DataFrame | None = None
     members = members.withColumn("label", F.col("h"))
@@ -165,15 +169,15 @@ def near_links(lines: DataFrame, members: DataFrame, most: int, units_an_edit: i
             break
         many = told.where(F.col("n") > FEW)
         if level == 0:
-            found = with_segments(many.select("key", "h", "copies", "label").distinct().join(lines.select("h", "units"), "h"), most, units_an_edit, places=True)
-            many = found.withColumn("k", F.explode("keys")).where(split_last(F.col("k.key"))[0] == F.col("key")).select("key", "h", "copies", "label", rest("k"), F.col("k.edits").alias("edits"))
-            many = stored(many)
+            found = with_segments(many.select("key", "h", "copies", "label").distinct().join(lines.select("h", "units", "nums"), "h"), most, units_an_edit, places=True)
+            found = found.withColumn("k", F.explode("keys")).where(split_last(F.col("k.key"))[0] == F.col("key")).drop("units").withColumnRenamed("nums", "units")
+            many = stored(found.select("key", "h", "copies", "label", rest("k"), F.col("k.edits").alias("edits")))
         again = with_segments(many.select("key", "h", "copies", "label", "units", "edits"), most, units_an_edit, F.col("edits"), places=True)
         # of so few units that edits and segments are not told apart: one more group of them all
         short = F.when(F.size("units") <= 2 * F.col("edits"), F.struct(F.lit(1).cast("long").alias("key"), F.lit(0).alias("start"), F.lit(0).alias("length"), F.col("edits")))
-        cut = again.withColumn("k", F.explode(F.concat("keys", F.array(short)))).where("k is not null")
+        parts = again.withColumn("k", F.explode(F.concat("keys", F.array(short)))).where("k is not null")
         key, own = split_last(F.col("k.key"))
-        members = stored(cut.select(F.xxhash64("key", key).alias("key"), own.alias("own"), "h", "copies", "label", rest("k"), "edits").groupBy("key", "h", "copies", "label", "units", "edits").agg(F.max("own").alias("own")))
+        members = stored(parts.select(F.xxhash64("key", key).alias("key"), own.alias("own"), "h", "copies", "label", rest("k"), "edits").groupBy("key", "h", "copies", "label", "units", "edits").agg(F.max("own").alias("own")))
     return links
 
 

@@ -1,6 +1,7 @@
 """Words and word n-grams of whole Arrow text columns as 64-bit numbers, without a Python object for each word.
 
-Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z, over UTF-8 bytes. Two words get the same number only by a collision of 64 bits.
+Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z, over UTF-8 bytes. Words that nobody built for it get the same number
+with a chance of 1 in 2^64 a pair; long words can be built so (a polynomial modulo 2^64), and would count as one.
 """
 
 from __future__ import annotations

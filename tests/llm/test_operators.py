@@ -454,6 +454,22 @@ def test_nearest_recall(spark):
     assert graph_search(nodes, edges, nodes.select(F.col("id").alias("q"))).count() == 0
 
 
+def test_nearest_of_ties_norms_and_repeated_ids(spark):
+    """Few vectors, so that all are found: lengths of all sizes, equal vectors (the smaller id first), rows that repeat an id (the largest vector counts, once)."""
+    rng = np.random.default_rng(3)
+    x = (rng.integers(-3, 4, (45, 6)) * np.exp2(rng.integers(-3, 4, (45, 1)))).astype(np.float32)
+    x[~x.any(axis=1)] = 1
+    x[10:20] = x[0]
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(7, [-99.0] * 6), (7, x[7].tolist())]
+    nodes, edges = neighbour_graph(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = graph_search(nodes, edges, nodes.where("id % 20 = 0").select(F.col("id").alias("q"))).toPandas()
+    for q in (0, 20, 40):
+        s = x.astype(float) @ x[q].astype(float)
+        want = sorted((k for k in range(len(x)) if k != q), key=lambda k: (-s[k], k))[:20]  # noqa: B023
+        mine = got[got.query_id == q].sort_values("rank")
+        assert mine.vec_id.tolist() == want and np.array_equal(mine.score, s[want])
+
+
 def test_nearest_of_skewed_vectors(spark):
     """Most vectors around one direction, some elsewhere, alone in their buckets, and a small tight group: every query finds 20, nearly all of them right."""
     rng = np.random.default_rng(1)

@@ -97,7 +97,7 @@ def services_dim(spark: SparkSession, rows: tuple = OBJECTIVES) -> DataFrame:
 
 def slo_breaches(rollups: DataFrame, services: DataFrame) -> DataFrame:
     """Windows that miss an objective of their service; the dimension has a row for each service only."""
-    joined = rollups.join(F.broadcast(services), "service")
+    joined = rollups.join(services, "service")
     flags = joined.withColumns({"latency_breach": F.col("latency_p99") > F.col("slo_p99_ms"), "error_breach": F.col("error_rate") > F.col("slo_error_rate")})
     return flags.where("latency_breach or error_breach").select("service", "window_start", "latency_p99", "error_rate", "latency_breach", "error_breach")
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from querypulse.operators.traces import is_error, trace_summary
+from querypulse.operators.traces import checkpointed, is_error, trace_summary
 
 # Thresholds, the order of kinds, the sentence for traces without findings.
 SLOW_SHARE, SLOW_MS, RETRIES, FAN_OUT, BREACH_RATIO = 0.35, 100.0, 3, 8, 2.0
@@ -35,7 +35,7 @@ def slow_spans(tree: DataFrame, share: float = SLOW_SHARE, least_ms: float = SLO
 def baseline_breaches(tree: DataFrame, baselines: DataFrame, ratio: float = BREACH_RATIO) -> DataFrame:
     """Spans that last a multiple of their service's usual 95th percentile. baselines: a row for each service."""
     times = F.col("duration_ms") / F.col("baseline_p95")
-    rows = tree.join(F.broadcast(baselines), "service").where("baseline_p95 > 0").where(times >= ratio)
+    rows = tree.join(baselines, "service").where("baseline_p95 > 0").where(times >= ratio)
     return rows.select(*_row("baseline_breach", F.least(F.lit(0.95), 0.55 + times / 20), {"duration_ms": F.round("duration_ms", 3), "baseline_p95": F.round("baseline_p95", 3), "ratio": F.round(times, 3)}, F.format_string("%s %s took %.1f times its baseline", "service", "operation", times)))
 
 
@@ -66,8 +66,8 @@ def fan_outs(tree: DataFrame, least: int = FAN_OUT) -> DataFrame:
 
 
 def findings(tree: DataFrame, baselines: DataFrame, slow_share: float = SLOW_SHARE, slow_ms: float = SLOW_MS, retries: int = RETRIES, fan_out: int = FAN_OUT, breach_ratio: float = BREACH_RATIO) -> DataFrame:
-    """All rules over traces that are not corrupt."""
-    sound = tree.where("not cyclic")
+    """All rules over traces that are not corrupt. The tree is written once, as every rule reads it."""
+    sound = checkpointed(tree.where("not cyclic").drop("path"))
     parts = [error_spans(sound), baseline_breaches(sound, baselines, breach_ratio), slow_spans(sound, slow_share, slow_ms), retry_storms(sound, retries), missing_spans(sound), fan_outs(sound, fan_out), cache_misses(sound)]
     return reduce(DataFrame.unionByName, parts)
 

@@ -54,4 +54,4 @@ def replay_outcomes(jobs: DataFrame, original: DataFrame, replay: DataFrame, reg
 def safe_replay_targets(requests: DataFrame, allowlist: DataFrame) -> DataFrame:
     """Requests with their target: the one asked for, else the recorded service; it must be a plain service name on the allowlist (a short list of services)."""
     rows = requests.withColumn("target", F.coalesce(F.nullif(F.trim("candidate"), F.lit("")), F.col("recorded_service")))
-    return rows.where(F.col("target").rlike("^[a-z][a-z0-9-]{0,62}$")).join(F.broadcast(allowlist.select(F.col("service").alias("target")).distinct()), "target", "left_semi")
+    return rows.where(F.col("target").rlike("^[a-z][a-z0-9-]{0,62}$")).join(allowlist.select(F.col("service").alias("target")).distinct(), "target", "left_semi")

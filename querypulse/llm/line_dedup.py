@@ -10,6 +10,8 @@ Only numbers are dealt out: 64 bits for a substring, 128 for a line. Texts are f
 
 from __future__ import annotations
 
+from itertools import combinations, product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,10 +20,10 @@ from .shipping import hot_join, stored
 
 #: Beyond so many edits of characters the simulation's expression is larger than the distance it replaces.
 BANDED = 2
-#: Groups of so many lines that share a substring are compared pair by pair where the first comparison left several labels; larger ones are told apart by substrings of what remains.
+#: Groups of so many lines that share a substring are compared pair by pair where the first comparison left several labels; lines of larger ones are grouped anew.
 FEW = 16
-#: After so many refinements lines of one group agree in most of their units, and pairs of different labels are compared.
-LEVELS = 3
+#: The parts of a line that are left out in turn, up to two of them, when lines are grouped anew: what remains is three quarters and more.
+BLOCKS = 8
 
 
 def units_of(line: Column, unit: str) -> Column:
@@ -83,14 +85,11 @@ def threshold(low: Column, most: int, units_an_edit: int) -> Column:
     return F.least(F.lit(most), F.floor(low / units_an_edit).cast("int"))
 
 
-def with_segments(rows: DataFrame, most: int, units_an_edit: int, edits: Column | None = None, places: bool = False) -> DataFrame:
-    """rows (with units: an array of words, characters or numbers) and keys: numbers of the substrings a line is looked up by, null where there is none, the last bit set for a segment of its own class.
-
-    With edits, that many are allowed instead of what the class allows. With places, structs of key, start, length and edits.
-    """
+def with_segments(rows: DataFrame, most: int, units_an_edit: int) -> DataFrame:
+    """rows (with units: array<string>) and keys: numbers of the substrings a line is looked up by, null where there is none, the last bit set for a segment of its own class."""
     rows = rows.withColumn("_n", F.size("units")).withColumn("_low", lower_end(F.col("_n"))).withColumn("_low1", F.when(F.col("_low") > 1, lower_end(F.col("_low") - 1)).otherwise(0))
     for k, low in enumerate(("_low", "_low1")):
-        rows = rows.withColumn(f"_t{k}", F.when(F.col(low) > edits, edits).otherwise(0) if edits is not None else threshold(F.col(low), most, units_an_edit)).withColumn(f"_s{k}", F.floor(F.col(low) / (F.col(f"_t{k}") + 1)).cast("int"))
+        rows = rows.withColumn(f"_t{k}", threshold(F.col(low), most, units_an_edit)).withColumn(f"_s{k}", F.floor(F.col(low) / (F.col(f"_t{k}") + 1)).cast("int"))
     n, out = F.col("_n"), []
     for k, low in enumerate(("_low", "_low1")):
         t, size = F.col(f"_t{k}"), F.col(f"_s{k}")
@@ -103,12 +102,36 @@ def with_segments(rows: DataFrame, most: int, units_an_edit: int, edits: Column
                     if shift or k:
                         there = there & (start >= 0) & (start + size <= n)
                     key = F.xxhash64(F.lit(f"{side}{i}"), F.col(low), F.slice("units", start + 1, size)).bitwiseAND(F.lit(-2).cast("long"))
-                    if k == 0 and shift == 0:
-                        key = key.bitwiseOR(F.lit(1).cast("long"))
-                    out.append(F.when(there, F.struct(key.alias("key"), start.alias("start"), size.alias("length"), t.alias("edits")) if places else key))
+                    out.append(F.when(there, key.bitwiseOR(F.lit(int(k == 0 and shift == 0)).cast("long"))))
     return rows.withColumn("keys", F.array(*out)).drop("_n", "_low", "_low1", "_t0", "_t1", "_s0", "_s1")
 
 
+def with_blocks(rows: DataFrame, most: int, units_an_edit: int) -> DataFrame:
+    """rows (with units: an array) and key, own: a row for each way to leave out as many of BLOCKS parts of a line as there may be edits. What remains is the same in a line within the threshold:
+    what stands before the first part left out from the line's beginning, what stands behind the last one from its end, between them shifted by the edits before it.
+    """
+    parts = BLOCKS if most <= 2 else most + 2
+    rows = rows.withColumn("_n", F.size("units")).withColumn("_top", lower_end(F.col("_n")))
+    below = rows.where("_top > 1").withColumn("_low", lower_end(F.col("_top") - 1)).withColumn("_t", threshold(F.col("_low"), most, units_an_edit)).where("_t > 0 and _n - _t < _top").drop("_t")
+    both = rows.withColumn("_low", F.col("_top")).withColumn("_own", F.lit(1)).unionByName(below.withColumn("_own", F.lit(0))).drop("_top").withColumn("_size", F.floor(F.col("_low") / parts).cast("int"))
+    n, size, out = F.col("_n"), F.col("_size"), []
+    for left in combinations(range(parts), most):
+        gaps = [(j, (a + 1), (b - a - 1)) for j, (a, b) in enumerate(zip(left, left[1:], strict=False), 1) if b - a > 1]
+        tail = size * (parts - 1 - left[-1])
+        for shifts in product(*(range(-j, j + 1) for j, _, _ in gaps)):
+            blocks = [F.slice("units", 1, size * left[0])]
+            there = F.lit(True)
+            for (_, start, length), shift in zip(gaps, shifts, strict=True):
+                blocks.append(F.slice("units", size * start + shift + 1, size * length))
+                there = there & (size * start + shift >= 0) & (size * (start + length) + shift <= n - tail)
+            blocks.append(F.slice("units", n - tail + 1, tail))
+            key = F.xxhash64(F.lit(",".join(map(str, left))), "_low", *blocks).bitwiseAND(F.lit(-2).cast("long"))
+            out.append(F.when(there, key if any(shifts) else key.bitwiseOR(F.col("_own").cast("long"))))
+    key, own = split_last(F.col("k"))
+    done = both.withColumn("keys", F.array(*out)).drop("units", "_n", "_low", "_size", "_own").withColumn("k", F.explode("keys")).where("k is not null")
+    return done.withColumn("key", key).withColumn("own", own).drop("keys", "k")
+
+
 def occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """(doc, at, line, h, g) of the lines that count: trimmed, not empty, of at least min_chars characters. h and g are their number."""
     rows = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("at", "line"))
@@ -125,7 +148,7 @@ def near_links(lines: DataFrame, members: DataFrame, most: int, units_an_edit: i
     """(a, b): links that join all lines within the threshold of each other. lines: h, line (each h once); members: (key, own, h, copies) of those that share a substring.
 
     In every group all lines are compared with the one of most copies, which others mostly are copies of; what is near it has its label, and pairs of one label need no comparison.
-    Of groups of several labels, those of few lines are compared pair by pair; in the others, what remains beside the shared substring is cut anew, as it can differ by the threshold too.
+    Of groups of several labels, those of few lines are compared pair by pair. Lines of larger ones are grouped anew by most of their units (with_blocks), the same way: labels first, then pairs of different ones.
     """
     whole = unit == "char" and most > BANDED
     cut = lines.select("h", F.col("line") if whole else F.lit(None).cast("string").alias("line"), units_of(F.col("line"), unit).alias("units"))
@@ -144,7 +167,7 @@ def near_links(lines: DataFrame, members: DataFrame, most: int, units_an_edit: i
 
     links: DataFrame | None = None
     members = members.withColumn("label", F.col("h"))
-    for level in range(LEVELS + 1):
+    for level in (0, 1):
         mixed = (F.min("label") != F.max("label")).alias("mixed")
         sizes = stored(members.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("copies", "h", "label")).alias("first"), mixed).where("mixed").select("key", "n", F.col("first.h").alias("first"), F.col("first.label").alias("first_label")))
         total = sizes.agg(F.sum("n")).first()[0]
@@ -162,30 +185,15 @@ def near_links(lines: DataFrame, members: DataFrame, most: int, units_an_edit: i
         still = told.groupBy("key").agg(F.count("*").alias("_w"), mixed).where("mixed").select("key", "_w")
         told = stored(hot_join(told, still, ["key"], "_w", total or 0))
         side = lambda c, rows: rows.where("h <> first").select("key", F.col("h").alias(c), F.col("own").alias(f"own_{c}"), F.col("label").alias(f"label_{c}"))
-        few = told if level == LEVELS else told.where(F.col("n") <= FEW)
+        few = told.where(F.col("n") <= FEW) if level == 0 else told
         pairs = side("a", few).join(side("b", few), "key").where("a < b and label_a <> label_b and (own_a = 1 or own_b = 1)").select("a", "b")
         links = links.unionByName(compared(pairs))
-        if level == LEVELS:
-            break
-        many = told.where(F.col("n") > FEW)
         if level == 0:
-            found = with_segments(many.select("key", "h", "copies", "label").distinct().join(lines.select("h", "units", "nums"), "h"), most, units_an_edit, places=True)
-            found = found.withColumn("k", F.explode("keys")).where(split_last(F.col("k.key"))[0] == F.col("key")).drop("units").withColumnRenamed("nums", "units")
-            many = stored(found.select("key", "h", "copies", "label", rest("k"), F.col("k.edits").alias("edits")))
-        again = with_segments(many.select("key", "h", "copies", "label", "units", "edits"), most, units_an_edit, F.col("edits"), places=True)
-        # of so few units that edits and segments are not told apart: one more group of them all
-        short = F.when(F.size("units") <= 2 * F.col("edits"), F.struct(F.lit(1).cast("long").alias("key"), F.lit(0).alias("start"), F.lit(0).alias("length"), F.col("edits")))
-        parts = again.withColumn("k", F.explode(F.concat("keys", F.array(short)))).where("k is not null")
-        key, own = split_last(F.col("k.key"))
-        members = stored(parts.select(F.xxhash64("key", key).alias("key"), own.alias("own"), "h", "copies", "label", rest("k"), "edits").groupBy("key", "h", "copies", "label", "units", "edits").agg(F.max("own").alias("own")))
+            crowded = told.where(F.col("n") > FEW).select("h", "copies", "label").distinct().join(lines.select("h", F.col("nums").alias("units")), "h")
+            members = stored(with_blocks(crowded, most, units_an_edit).groupBy("key", "h", "copies", "label").agg(F.max("own").alias("own")))
     return links
 
 
-def rest(k: str) -> Column:
-    """units without the substring k."""
-    return F.concat(F.slice("units", 1, F.col(f"{k}.start")), F.slice("units", F.col(f"{k}.start") + F.col(f"{k}.length") + 1, F.greatest(F.size("units"), F.lit(1)))).alias("units")
-
-
 def marked_lines(docs: DataFrame, id_col: str, text_col: str, max_edits: int, units_an_edit: int, unit: str, min_chars: int) -> DataFrame:
     """(doc, at) of the lines to take out: all but the first of each class."""
     lines = occurrences(docs, id_col, text_col, min_chars)

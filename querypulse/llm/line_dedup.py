@@ -114,22 +114,22 @@ def with_blocks(rows: DataFrame, most: int, units_an_edit: int) -> DataFrame:
     rows = rows.withColumn("_n", F.size("units")).withColumn("_top", lower_end(F.col("_n")))
     below = rows.where("_top > 1").withColumn("_low", lower_end(F.col("_top") - 1)).withColumn("_t", threshold(F.col("_low"), most, units_an_edit)).where("_t > 0 and _n - _t < _top").drop("_t")
     both = rows.withColumn("_low", F.col("_top")).withColumn("_own", F.lit(1)).unionByName(below.withColumn("_own", F.lit(0))).drop("_top").withColumn("_size", F.floor(F.col("_low") / parts).cast("int"))
-    n, size, out = F.col("_n"), F.col("_size"), []
+    ways = []
     for left in combinations(range(parts), most):
-        gaps = [(j, (a + 1), (b - a - 1)) for j, (a, b) in enumerate(zip(left, left[1:], strict=False), 1) if b - a > 1]
-        tail = size * (parts - 1 - left[-1])
-        for shifts in product(*(range(-j, j + 1) for j, _, _ in gaps)):
-            blocks = [F.slice("units", 1, size * left[0])]
-            there = F.lit(True)
-            for (_, start, length), shift in zip(gaps, shifts, strict=True):
-                blocks.append(F.slice("units", size * start + shift + 1, size * length))
-                there = there & (size * start + shift >= 0) & (size * (start + length) + shift <= n - tail)
-            blocks.append(F.slice("units", n - tail + 1, tail))
-            key = F.xxhash64(F.lit(",".join(map(str, left))), "_low", *blocks).bitwiseAND(F.lit(-2).cast("long"))
-            out.append(F.when(there, key if any(shifts) else key.bitwiseOR(F.col("_own").cast("long"))))
-    key, own = split_last(F.col("k"))
-    done = both.withColumn("keys", F.array(*out)).drop("units", "_n", "_low", "_size", "_own").withColumn("k", F.explode("keys")).where("k is not null")
-    return done.withColumn("key", key).withColumn("own", own).drop("keys", "k")
+        inside = [range(-j, j + 1) if b - a > 1 else (0,) for j, (a, b) in enumerate(zip(left, left[1:], strict=False), 1)]
+        ways += [F.struct(F.array(*map(F.lit, left)).alias("left"), F.array(*map(F.lit, (0, *shifts))).alias("shift")) for shifts in product(*inside)]
+    n, size, left, shift = F.col("_n"), F.col("_size"), F.col("w.left"), F.col("w.shift")
+    tail = size * (parts - 1 - left[most - 1])
+    blocks, there, plain = [F.slice("units", 1, size * left[0])], F.lit(True), F.lit(True)
+    for j in range(1, most):
+        start, length = size * (left[j - 1] + 1) + shift[j], size * (left[j] - left[j - 1] - 1)
+        there, plain = there & (start >= 0) & (start + length <= n - tail), plain & (shift[j] == 0)
+        blocks.append(F.slice("units", F.greatest(start, F.lit(0)) + 1, length))
+    blocks.append(F.slice("units", n - tail + 1, tail))
+    key = F.xxhash64(left, "_low", *blocks).bitwiseAND(F.lit(-2).cast("long"))
+    own = F.when(plain, F.col("_own")).otherwise(0)
+    kept = [c for c in both.columns if c not in ("units", "_n", "_low", "_size", "_own")]
+    return both.withColumn("w", F.explode(F.array(*ways))).where(there).select(*kept, key.alias("key"), own.alias("own"))
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:

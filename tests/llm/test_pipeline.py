@@ -33,8 +33,8 @@ def planted():
     random.seed(21)
     pool = [f"word{k}" for k in range(300)]
     say = lambda n: " ".join(random.choice(pool) for _ in range(n))
-    clean = [(k, "\n".join(say(random.randint(3, 40)) for _ in range(random.randint(1, 4)))) for k in range(60)]
-    toxic = [(100 + k, f"{say(12)} grobian {say(3)}") for k in range(30)]
+    clean = [(k, "\n".join(say(random.randint(3, 40)) for _ in range(random.randint(1, 4)))) for k in range(60)] + [(1000 + k, say(8)) for k in range(240)]
+    toxic = [(100 + k, f"{say(12)} grobian {say(3)}") for k in range(40)]
     shared = say(30)
     repeats = [(200 + k, f"{say(20)}\n{shared if k % 2 else shared.replace('word1', 'other', 1)}\n{say(15)}") for k in range(6)]
     base = [random.choice(pool) for _ in range(200)]
@@ -46,7 +46,7 @@ def test_decisions(spark, tmp_path):
     clean, toxic, others = planted()
     rows = [*clean, *toxic, *others]
     docs = spark.createDataFrame([(i, t, "en", f"s{k % 7 // 3}", None if t is None else len(t)) for k, (i, t) in enumerate(rows)], SCHEMA)
-    spark.createDataFrame([(i, int(i >= 100)) for i, _ in clean + toxic], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(i, int((i, t) in toxic)) for i, t in clean + toxic], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     stages = dict(corpus_pipeline.STAGES)
     text = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
 

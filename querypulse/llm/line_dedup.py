@@ -107,10 +107,10 @@ def with_segments(rows: DataFrame, most: int, units_an_edit: int) -> DataFrame:
 
 
 def with_blocks(rows: DataFrame, most: int, units_an_edit: int) -> DataFrame:
-    """rows (with units: an array) and key, own: a row for each way to leave out as many of BLOCKS parts of a line as there may be edits. What remains is the same in a line within the threshold:
+    """rows (with units: an array) and key, own: a row for each way to leave out as many of a line's parts (BLOCKS; with more than two edits, one or two more than edits) as there may be edits. What remains is the same in a line within the threshold:
     what stands before the first part left out from the line's beginning, what stands behind the last one from its end, between them shifted by the edits before it.
     """
-    parts = BLOCKS if most <= 2 else most + 2
+    parts = BLOCKS if most <= 2 else most + 2 if most <= 4 else most + 1
     rows = rows.withColumn("_n", F.size("units")).withColumn("_top", lower_end(F.col("_n")))
     below = rows.where("_top > 1").withColumn("_low", lower_end(F.col("_top") - 1)).withColumn("_t", threshold(F.col("_low"), most, units_an_edit)).where("_t > 0 and _n - _t < _top").drop("_t")
     both = rows.withColumn("_low", F.col("_top")).withColumn("_own", F.lit(1)).unionByName(below.withColumn("_own", F.lit(0))).drop("_top").withColumn("_size", F.floor(F.col("_low") / parts).cast("int"))
@@ -189,6 +189,8 @@ def near_links(lines: DataFrame, members: DataFrame, most: int, units_an_edit: i
         pairs = side("a", few).join(side("b", few), "key").where("a < b and label_a <> label_b and (own_a = 1 or own_b = 1)").select("a", "b")
         links = links.unionByName(compared(pairs))
         if level == 0:
+            if told.where(F.col("n") > FEW).isEmpty():
+                break
             crowded = told.where(F.col("n") > FEW).select("h", "copies", "label").distinct().join(lines.select("h", F.col("nums").alias("units")), "h")
             members = stored(with_blocks(crowded, most, units_an_edit).groupBy("key", "h", "copies", "label").agg(F.max("own").alias("own")))
     return links

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quotes
+from . import collocations, decontamination, merkle, mixing, quotes
 from .ann import nearest
 from .line_dedup import dedup_lines
 from .lm import score_texts
@@ -89,6 +89,32 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "toxicity.score", "toxicity.predicted", "toxicity.n_words", F.size("toxicity.hits").alias("n_hits"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Merkle tree of all documents by language, and what becomes of each proof where n_chars is off by one in a seventh of them."""
+    docs = table(spark, sf_dir, "documents")
+    leaf = lambda n_chars: merkle.leaf_digest(*(n_chars if c == "n_chars" else F.col(c) for c in LEAF))
+    other = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, leaf(F.col("n_chars") + 1))
+    rows = merkle.merkle_manifest(docs.withColumn("other", other), LEAF, "lang", "doc_id", keep=("other",))
+    folded = merkle.folded(F.coalesce("keep.other", "leaf"), F.col("path"))
+    rows = rows.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 phrases of each language that stand out most, of 2 to 5 words that come 100 times or more."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that stand in runs of ten words of a benchmark item, and the items they are from."""
+    found = decontamination.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.array_join(F.array_sort(F.transform("leaks.items", lambda i: i.cast("string"))), ",")
+    return found.select("doc_id", "leaks.n_words", "leaks.n_hit", F.size("leaks.items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), (F.col("leaks.n_hit") > 0).alias("contaminated"))
+
+
+#: What a leaf of the manifest is made of, in order.
+LEAF = ("doc_id", "source", "lang", "n_chars", "text")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_tiff_pages": op2_tiff_pages,
@@ -100,6 +126,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest": op8_nearest,
     "op9_lm_scores": op9_lm_scores,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_collocations": op12_collocations,
+    "op13_decontamination": op13_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_quote_linking": quotes.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_quote_linking": quotes.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL, "op11_merkle_manifest": merkle.ORACLE_SQL, "op12_collocations": collocations.ORACLE_SQL, "op13_decontamination": decontamination.ORACLE_SQL}

@@ -14,10 +14,23 @@ def unpivot_metrics(rollups: DataFrame, metrics: tuple[str, ...] = WATCHED) -> D
     return rows.unpivot(["service", "window_start", "window_end", "samples"], list(metrics), "metric", "observed")
 
 
-def rolling_baseline(series: DataFrame, n: int = 30) -> DataFrame:
-    """Mean, population deviation and count of the n windows before each, of the same service and metric; gaps in time are skipped."""
-    before = Window.partitionBy("service", "metric").orderBy("window_start").rowsBetween(-n, -1)
-    return series.withColumns({"baseline_mean": F.avg("observed").over(before), "baseline_stddev": F.stddev_pop("observed").over(before), "sample_count": F.count("observed").over(before)})
+def rolling_baseline(series: DataFrame, n: int = 30, block_seconds: int = 604_800) -> DataFrame:
+    """Mean, population deviation and count of the n windows before each, of the same service and metric; gaps in time are skipped.
+
+    A long series is many tasks: it is cut into blocks of time, and each is given the last n windows before it. Those come from the ends of the n blocks before, as a block has a window at least.
+    """
+    keys = ["service", "metric", "_block"]
+    rows = series.withColumn("_block", F.floor(F.unix_seconds("window_start") / block_seconds))
+    back = Window.partitionBy(*keys).orderBy(F.desc("window_start"))
+    ends = rows.select(*keys, "window_start", "observed").withColumn("_r", F.row_number().over(back)).where(F.col("_r") <= n)
+    ends = ends.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("window_start", "observed"))).alias("_end"))
+    before = Window.partitionBy("service", "metric").orderBy("_block").rowsBetween(-n, -1)
+    halo = ends.withColumn("_h", F.flatten(F.collect_list("_end").over(before)))
+    halo = halo.select(*keys, F.explode(F.slice(F.reverse("_h"), 1, n)).alias("_h")).select(*keys, F.col("_h.window_start").alias("window_start"), F.col("_h.observed").alias("observed"))
+    both = rows.withColumn("_own", F.lit(True)).unionByName(halo, allowMissingColumns=True)
+    last = Window.partitionBy(*keys).orderBy("window_start").rowsBetween(-n, -1)
+    scored = both.withColumns({"baseline_mean": F.avg("observed").over(last), "baseline_stddev": F.stddev_pop("observed").over(last), "sample_count": F.count("observed").over(last)})
+    return scored.where("_own").drop("_own", "_block")
 
 
 def severity(z: Column, threshold: float, critical_multiplier: float = 2.0) -> Column:

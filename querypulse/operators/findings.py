@@ -15,60 +15,75 @@ PRIORITY = ("error_span", "baseline_breach", "slow_span", "retry_storm", "missin
 UNREMARKABLE = "No span stands out: the trace looks unremarkable."
 
 
-def _row(kind: str, confidence: Column, evidence: dict[str, Column], summary: Column) -> list[Column]:
+def _finding(kind: str, confidence: Column, evidence: dict[str, Column], summary: Column, span_id: Column | None = None, service: Column | None = None, operation: Column | None = None) -> Column:
     pairs = [x for k, v in evidence.items() for x in (F.lit(k), F.coalesce(v.cast("string"), F.lit("")))]
-    return [F.col("trace_id"), F.lit(kind).alias("kind"), F.col("span_id"), F.col("service"), F.col("operation"), F.round(confidence, 2).alias("confidence"), F.create_map(*pairs).alias("evidence"), summary.alias("summary"), F.col("start_time")]
+    own = lambda c, name: (F.col(name) if c is None else c).alias(name)
+    return F.struct(F.lit(kind).alias("kind"), own(span_id, "span_id"), own(service, "service"), own(operation, "operation"), F.round(confidence, 2).alias("confidence"), F.create_map(*pairs).alias("evidence"), summary.alias("summary"), F.col("start_time"))
 
 
-def error_spans(tree: DataFrame) -> DataFrame:
-    say = F.format_string("%s %s failed with status %s", "service", "operation", "status")
-    return tree.where(is_error(F.col("status"))).select(*_row("error_span", F.lit(0.95), {"status": F.col("status"), "duration_ms": F.round("duration_ms", 3), "message": F.col("attributes")["error.message"]}, say))
-
-
-def slow_spans(tree: DataFrame, share: float = SLOW_SHARE, least_ms: float = SLOW_MS) -> DataFrame:
-    """Spans that spend a large share of their trace by themselves."""
-    part = F.col("self_time_ms") / F.col("total_ms")
-    rows = tree.join(trace_summary(tree).select("trace_id", "total_ms"), "trace_id").where((F.col("total_ms") > 0) & (F.col("self_time_ms") >= least_ms)).where(part >= share)
-    return rows.select(*_row("slow_span", F.least(F.lit(0.9), 0.5 + part), {"self_time_ms": F.round("self_time_ms", 3), "share": F.round(part, 4)}, F.format_string("%s %s spent %.1f ms itself", "service", "operation", "self_time_ms")))
+def _listed(rows: DataFrame, found: Column) -> DataFrame:
+    """A row for each finding in an array of them."""
+    return rows.select("trace_id", F.explode(found).alias("_f")).select("trace_id", "_f.*")
 
 
-def baseline_breaches(tree: DataFrame, baselines: DataFrame, ratio: float = BREACH_RATIO) -> DataFrame:
-    """Spans that last a multiple of their service's usual 95th percentile. baselines: a row for each service."""
-    times = F.col("duration_ms") / F.col("baseline_p95")
-    rows = tree.join(baselines, "service").where("baseline_p95 > 0").where(times >= ratio)
-    return rows.select(*_row("baseline_breach", F.least(F.lit(0.95), 0.55 + times / 20), {"duration_ms": F.round("duration_ms", 3), "baseline_p95": F.round("baseline_p95", 3), "ratio": F.round(times, 3)}, F.format_string("%s %s took %.1f times its baseline", "service", "operation", times)))
+def error_span() -> Column:
+    say = F.format_string("%s %s failed with status %s", "service", "operation", "status")
+    return F.when(is_error(F.col("status")), _finding("error_span", F.lit(0.95), {"status": F.col("status"), "duration_ms": F.round("duration_ms", 3), "message": F.col("attributes")["error.message"]}, say))
 
 
-def retry_storms(tree: DataFrame, least: int = RETRIES) -> DataFrame:
-    """Operations that one parent calls again and again: the service and operation are those called, the span is the parent."""
-    calls = tree.where("up is not null").groupBy("trace_id", F.col("up").alias("span_id"), F.col("service").alias("to_service"), F.col("operation").alias("to_operation")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    parents = tree.select("trace_id", "span_id", "start_time", F.col("operation").alias("by_operation"))
-    rows = calls.join(parents, ["trace_id", "span_id"]).withColumnsRenamed({"to_service": "service", "to_operation": "operation"})
-    return rows.select(*_row("retry_storm", F.least(F.lit(0.85), 0.4 + 0.1 * F.col("n")), {"call_count": F.col("n"), "parent_operation": F.col("by_operation")}, F.format_string("%s %s ran %d times below one %s", "service", "operation", "n", "by_operation")))
+def slow_span(share: float = SLOW_SHARE, least_ms: float = SLOW_MS) -> Column:
+    """A span that spends a large share of its trace (total_ms) by itself."""
+    part = F.col("self_time_ms") / F.nullif(F.col("total_ms"), F.lit(0.0))
+    found = _finding("slow_span", F.least(F.lit(0.9), 0.5 + part), {"self_time_ms": F.round("self_time_ms", 3), "share": F.round(part, 4)}, F.format_string("%s %s spent %.1f ms itself", "service", "operation", "self_time_ms"))
+    return F.when((F.col("total_ms") > 0) & (F.col("self_time_ms") >= least_ms) & (part >= share), found)
 
 
-def cache_misses(tree: DataFrame) -> DataFrame:
-    """One finding for each trace, on the slowest miss."""
-    misses = tree.where(F.lower(F.col("attributes")["cache.hit"]) == "false")
-    by = Window.partitionBy("trace_id")
-    rows = misses.withColumns({"_r": F.row_number().over(by.orderBy(F.desc("duration_ms"), "start_time", "span_id")), "_n": F.count("*").over(by)}).where("_r = 1")
-    return rows.select(*_row("cache_miss", F.lit(0.5), {"misses": F.col("_n")}, F.format_string("%d cache misses, the slowest in %s", "_n", "service")))
+def baseline_breach(ratio: float = BREACH_RATIO) -> Column:
+    """A span that lasts a multiple of its service's usual 95th percentile (baseline_p95)."""
+    times = F.col("duration_ms") / F.nullif(F.col("baseline_p95"), F.lit(0.0))
+    found = _finding("baseline_breach", F.least(F.lit(0.95), 0.55 + times / 20), {"duration_ms": F.round("duration_ms", 3), "baseline_p95": F.round("baseline_p95", 3), "ratio": F.round(times, 3)}, F.format_string("%s %s took %.1f times its baseline", "service", "operation", times))
+    return F.when((F.col("baseline_p95") > 0) & (times >= ratio), found)
 
 
-def missing_spans(tree: DataFrame) -> DataFrame:
-    lost = tree.where("parent_state = 'orphan'").groupBy("trace_id").agg(F.sort_array(F.collect_set("service")).alias("s"), F.count("*").alias("n"), F.min("start_time").alias("start_time"))
-    rows = lost.select("trace_id", F.lit(None).cast("string").alias("span_id"), F.col("s")[0].alias("service"), F.lit(None).cast("string").alias("operation"), "start_time", "n", "s")
-    return rows.select(*_row("missing_spans", F.lit(0.6), {"orphans": F.col("n"), "services": F.array_join("s", ",")}, F.format_string("%d spans name a parent that is missing", "n")))
+def fan_out(least: int = FAN_OUT) -> Column:
+    return F.when(F.col("n_children") >= least, _finding("fan_out", F.lit(0.45), {"children": F.col("n_children")}, F.format_string("%s %s has %d children", "service", "operation", "n_children")))
 
 
-def fan_outs(tree: DataFrame, least: int = FAN_OUT) -> DataFrame:
-    return tree.where(F.col("n_children") >= least).select(*_row("fan_out", F.lit(0.45), {"children": F.col("n_children")}, F.format_string("%s %s has %d children", "service", "operation", "n_children")))
+def span_findings(tree: DataFrame, baselines: DataFrame, slow_share: float = SLOW_SHARE, slow_ms: float = SLOW_MS, least_children: int = FAN_OUT, breach_ratio: float = BREACH_RATIO) -> DataFrame:
+    """The four rules that judge a span by itself, in one scan of the tree. baselines: (service, baseline_p95), a row for each service."""
+    rows = tree.join(trace_summary(tree).select("trace_id", "total_ms"), "trace_id").join(baselines.select("service", "baseline_p95"), "service", "left")
+    found = F.array(error_span(), baseline_breach(breach_ratio), slow_span(slow_share, slow_ms), fan_out(least_children))
+    return _listed(rows, F.filter(found, lambda x: x.isNotNull()))
 
 
-def findings(tree: DataFrame, baselines: DataFrame, slow_share: float = SLOW_SHARE, slow_ms: float = SLOW_MS, retries: int = RETRIES, fan_out: int = FAN_OUT, breach_ratio: float = BREACH_RATIO) -> DataFrame:
-    """All rules over traces that are not corrupt. The tree is written once, as every rule reads it."""
-    sound = checkpointed(tree.where("not cyclic").drop("path"))
-    parts = [error_spans(sound), baseline_breaches(sound, baselines, breach_ratio), slow_spans(sound, slow_share, slow_ms), retry_storms(sound, retries), missing_spans(sound), fan_outs(sound, fan_out), cache_misses(sound)]
+def retry_storms(tree: DataFrame, least: int = RETRIES) -> DataFrame:
+    """Operations that one parent calls again and again: the service and operation are those called, the span is the parent."""
+    calls = tree.where("up is not null").groupBy("trace_id", F.col("up").alias("span_id"), F.col("service").alias("to_service"), F.col("operation").alias("to_operation")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    parents = tree.select("trace_id", "span_id", "start_time", F.col("operation").alias("by_operation"))
+    rows = calls.join(parents, ["trace_id", "span_id"])
+    say = F.format_string("%s %s ran %d times below one %s", "to_service", "to_operation", "n", "by_operation")
+    return _listed(rows, F.array(_finding("retry_storm", F.least(F.lit(0.85), 0.4 + 0.1 * F.col("n")), {"call_count": F.col("n"), "parent_operation": F.col("by_operation")}, say, None, F.col("to_service"), F.col("to_operation"))))
+
+
+def trace_findings(tree: DataFrame) -> DataFrame:
+    """The two rules that judge a trace, in one grouping: cache misses, on the slowest of them, and spans that name a parent that is missing."""
+    missed, lost = F.lower(F.col("attributes")["cache.hit"]) == "false", F.col("parent_state") == "orphan"
+    slowest = F.struct(F.col("duration_ms").alias("d"), (-F.unix_micros("start_time")).alias("t"))
+    rows = tree.where(missed | lost).groupBy("trace_id").agg(
+        F.count_if(missed).alias("misses"), F.max(F.when(missed, slowest)).alias("_top"), F.count_if(lost).alias("orphans"), F.sort_array(F.collect_set(F.when(lost, F.col("service")))).alias("lost"), F.min(F.when(lost, F.col("start_time"))).alias("start_time"),
+    )
+    none = F.lit(None).cast("string")
+    gone = _finding("missing_spans", F.lit(0.6), {"orphans": F.col("orphans"), "services": F.array_join("lost", ",")}, F.format_string("%d spans name a parent that is missing", "orphans"), none, F.get("lost", F.lit(0)), none)
+    at = tree.where(missed).groupBy("trace_id", F.col("duration_ms").alias("_d"), (-F.unix_micros("start_time")).alias("_t")).agg(F.min(F.struct("span_id", "service", "operation", "start_time")).alias("_s"))
+    miss = rows.where("misses > 0").select("trace_id", "misses", F.col("_top.d").alias("_d"), F.col("_top.t").alias("_t")).join(at, ["trace_id", "_d", "_t"]).select("trace_id", "misses", "_s.*")
+    found = _finding("cache_miss", F.lit(0.5), {"misses": F.col("misses")}, F.format_string("%d cache misses, the slowest in %s", "misses", "service"))
+    return _listed(rows.where("orphans > 0"), F.array(gone)).unionByName(_listed(miss, F.array(found)))
+
+
+def findings(tree: DataFrame, baselines: DataFrame, slow_share: float = SLOW_SHARE, slow_ms: float = SLOW_MS, retries: int = RETRIES, least_children: int = FAN_OUT, breach_ratio: float = BREACH_RATIO) -> DataFrame:
+    """All seven rules over traces that are not corrupt. The tree is written once, as rules of spans, of parents and of traces read it."""
+    sound = checkpointed(tree.where("not cyclic").select("trace_id", "span_id", "up", "service", "operation", "start_time", "duration_ms", "self_time_ms", "status", "attributes", "parent_state", "n_children", "cyclic"))
+    parts = [span_findings(sound, baselines, slow_share, slow_ms, least_children, breach_ratio), retry_storms(sound, retries), trace_findings(sound)]
     return reduce(DataFrame.unionByName, parts)
 
 

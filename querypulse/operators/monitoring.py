@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Receivers by severity, repeat intervals in seconds.
-ROUTES = (("critical", ("pager", "chat")), ("warning", ("chat",)), ("info", ("chat",)))
-REPEAT_SECONDS = {"critical": 3600, "warning": 14_400, "info": 14_400}
+# Receivers by severity (a critical alert goes on to chat), receivers by channel.
+ROUTES = (("critical", ("pager", "chat")),)
+CHANNELS = (("slack-search-quality", "quality"),)
 
 
 def series_key(labels: Column) -> Column:
@@ -17,14 +17,29 @@ def series_key(labels: Column) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(labels))))
 
 
-def counter_increase(samples: DataFrame, seconds: int) -> DataFrame:
-    """Growth of each counter over the last seconds, resets taken as a new start from 0. No extrapolation to the range's ends."""
-    rows = samples.withColumn("_s", series_key(F.col("labels"))).withColumn("_t", F.unix_seconds("ts"))
-    by = Window.partitionBy("metric", "_s").orderBy("_t")
-    last = F.lag("value").over(by)
+def counter_deltas(samples: DataFrame, block_seconds: int = 86_400) -> DataFrame:
+    """Adds _s (the series as text), _t (seconds), _block and _d: growth since the series' sample before, resets taken as a new start from 0, 0 for the first.
+
+    A long series is many tasks: samples look back within a block of time, and a block's first one at a row that tells the last value of the block before.
+    """
+    rows = samples.withColumn("_s", series_key(F.col("labels"))).withColumn("_t", F.unix_seconds("ts")).withColumn("_block", F.floor(F.col("_t") / block_seconds))
+    keys = ["metric", "_s", "_block"]
+    ends = rows.groupBy(*keys).agg(F.max_by("value", F.struct("_t", "value")).alias("_end"))
+    ends = ends.withColumn("_before", F.lag("_end").over(Window.partitionBy("metric", "_s").orderBy("_block"))).drop("_end")
+    ends = ends.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    last = F.coalesce(F.lag("value").over(Window.partitionBy(*keys).orderBy("_t", "value")), F.col("_before"))
+    rows = rows.join(ends, reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys)))
     delta = F.when(last.isNull(), 0.0).when(F.col("value") < last, F.col("value")).otherwise(F.col("value") - last)
-    rows = rows.withColumn("_d", delta)
-    return rows.withColumn("increase", F.sum("_d").over(by.rangeBetween(-seconds + 1, 0))).drop("_s", "_t", "_d")
+    return rows.withColumn("_d", delta).drop("_before", *(f"_of_{k}" for k in keys))
+
+
+def counter_increase(samples: DataFrame, seconds: int) -> DataFrame:
+    """Growth of each counter over the last seconds, resets taken as a new start from 0. No extrapolation to the range's ends. Blocks of time are tasks of their own; each is given the end of the one before."""
+    block = max(86_400, seconds)
+    rows = counter_deltas(samples, block).withColumn("_halo", F.lit(False))
+    tail = rows.where((F.col("_block") + 1) * block - F.col("_t") < seconds).withColumns({"_block": F.col("_block") + 1, "_halo": F.lit(True)})
+    by = Window.partitionBy("metric", "_s", "_block").orderBy("_t").rangeBetween(-seconds + 1, 0)
+    return rows.unionByName(tail).withColumn("increase", F.sum("_d").over(by)).where("not _halo").drop("_s", "_t", "_d", "_block", "_halo")
 
 
 def counter_rate(samples: DataFrame, seconds: int) -> DataFrame:
@@ -63,7 +78,7 @@ def histogram_quantile(buckets: DataFrame, q: float, by: tuple[str, ...] = ()) -
     return first.select(*keys, F.when(F.col("b.le") == float("inf"), F.col("b._low")).otherwise(inside).alias("value"))
 
 
-def evaluate_alert(df: DataFrame, predicate: Column, hold_seconds: int, by: tuple[str, ...] = ()) -> DataFrame:
+def evaluate_alert(df: DataFrame, predicate: Column, hold_seconds: int | Column, by: tuple[str, ...] = ()) -> DataFrame:
     """Adds state: inactive, pending, or firing once the condition has held for hold_seconds without a false sample in between.
 
     Samples are judged day by day, so a long series is many tasks; what one day hands to the next is a row a day: its last false sample, or else its first true one.
@@ -115,28 +130,14 @@ def consumer_lag_alert(lag: DataFrame, most: float = 10_000, hold_seconds: int =
     return evaluate_alert(lag.groupBy("ts").agg(F.sum("value").alias("value")), F.col("value") > most, hold_seconds)
 
 
-def route_alerts(alerts: DataFrame, routes: tuple = ROUTES, default: str = "chat") -> DataFrame:
-    """A row for each receiver; severities without a route go to the default."""
-    listed = reduce(lambda c, r: c.when(F.col("severity") == r[0], F.array(*map(F.lit, r[1]))), routes[1:], F.when(F.col("severity") == routes[0][0], F.array(*map(F.lit, routes[0][1]))))
+def route_alerts(alerts: DataFrame, routes: tuple = ROUTES, channels: tuple = CHANNELS, default: str = "chat") -> DataFrame:
+    """A row for each receiver: those of the severity, or else the one of the channel label (if there is such a column), or else the default."""
+    listed = reduce(lambda c, r: c.when(F.col("severity") == r[0], F.array(*map(F.lit, r[1]))), routes, F.when(F.lit(False), F.array(F.lit(default))))
+    if "channel" in alerts.columns:
+        listed = reduce(lambda c, r: c.when(F.col("channel") == r[0], F.array(F.lit(r[1]))), channels, listed)
     return alerts.withColumn("receiver", F.explode(listed.otherwise(F.array(F.lit(default)))))
 
 
-def group_alerts(alerts: DataFrame, repeat_seconds: dict[str, int] | None = None) -> DataFrame:
-    """Notifications of (alertname, service, severity): a group's first firing and then one in each repeat interval, counted from the first of a run of firings.
-
-    A run ends when the group is quiet for longer than its interval. alerts: (ts, alertname, service, severity).
-    """
-    repeat = repeat_seconds or REPEAT_SECONDS
-    every = reduce(lambda c, s: c.when(F.col("severity") == s, F.lit(repeat[s])), list(repeat)[1:], F.when(F.col("severity") == next(iter(repeat)), F.lit(repeat[next(iter(repeat))]))).otherwise(F.lit(max(repeat.values())))
-    by = Window.partitionBy("alertname", "service", "severity").orderBy("_t")
-    rows = alerts.groupBy("alertname", "service", "severity", F.unix_seconds("ts").alias("_t")).agg(F.count("*").alias("alerts")).withColumn("_e", every)
-    rows = rows.withColumn("_new", F.when(F.col("_t") - F.lag("_t").over(by) <= F.col("_e"), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(by))
-    run = Window.partitionBy("alertname", "service", "severity", "_run")
-    rows = rows.withColumn("_slot", F.floor((F.col("_t") - F.min("_t").over(run)) / F.col("_e")))
-    sent = rows.groupBy("alertname", "service", "severity", "_run", "_slot").agg(F.min("_t").alias("notified_at"), F.sum("alerts").alias("alerts"))
-    return sent.select("alertname", "service", "severity", F.timestamp_seconds("notified_at").alias("notified_at"), "alerts")
-
-
 def inhibit(alerts: DataFrame, source: str = "ServiceDown", target: tuple[str, ...] = ("warning", "critical"), equal: tuple[str, ...] = ("job",)) -> DataFrame:
     """Alerts without those that a firing source alert of the same time and job mutes; the source itself stays."""
     muting = alerts.where(F.col("alertname") == source).select("ts", *equal).distinct()

@@ -4,31 +4,52 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querypulse.functions.columns import percentile_nearest_rank, window_start
+from querypulse.operators.order_stats import nearest_ranks, same
 
 
-def rollup_columns() -> list:
-    """Aggregates of one window of one service. Null latencies, scores and flags are skipped; without any score relevance is null, not 0."""
+#: Percentiles of a window: name -> (column, share).
+RANKS = {"latency_p50": ("latency_ms", 0.5), "latency_p95": ("latency_ms", 0.95), "latency_p99": ("latency_ms", 0.99), "relevance_p10": ("relevance_score", 0.1)}
+COLUMNS = ["query_count", "error_count", "error_rate", "latency_p50", "latency_p95", "latency_p99", "latency_avg", "latency_max", "relevance_avg", "relevance_p10", "cache_hit_rate"]
+
+
+def plain_columns() -> list[Column]:
+    """Aggregates of one window of one service but for percentiles. Null latencies, scores and flags are skipped; without any score relevance is null, not 0."""
     return [
         F.count("*").alias("query_count"), F.count_if(F.col("status") != "ok").alias("error_count"), (F.count_if(F.col("status") != "ok") / F.count("*")).alias("error_rate"),
-        *(percentile_nearest_rank("latency_ms", q).alias(f"latency_p{round(100 * q)}") for q in (0.5, 0.95, 0.99)),
-        F.avg("latency_ms").alias("latency_avg"), F.max("latency_ms").alias("latency_max"), F.avg("relevance_score").alias("relevance_avg"),
-        F.expr("percentile_disc(0.1) within group (order by relevance_score)").alias("relevance_p10"), (F.count_if(F.col("cache_hit")) / F.count("*")).alias("cache_hit_rate"),
+        F.avg("latency_ms").alias("latency_avg"), F.max("latency_ms").alias("latency_max"), F.avg("relevance_score").alias("relevance_avg"), (F.count_if(F.col("cache_hit")) / F.count("*")).alias("cache_hit_rate"),
     ]
 
 
+def stream_columns() -> list[Column]:
+    """All aggregates at once; a stream keeps the values of a window that is open in its state."""
+    return [*plain_columns(), *(percentile_nearest_rank("latency_ms", q).alias(n) for n, (c, q) in RANKS.items() if c == "latency_ms"), F.expr("percentile_disc(0.1) within group (order by relevance_score)").alias("relevance_p10")]
+
+
 def windowed(events: DataFrame, window_seconds: int) -> DataFrame:
+    """A stream's windows."""
     window_start(F.col("timestamp"), window_seconds)  # checks the width
-    grouped = events.groupBy(F.window("timestamp", f"{window_seconds} seconds").alias("w"), "service").agg(*rollup_columns())
-    return grouped.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *[c for c in grouped.columns if c != "w"])
+    grouped = events.groupBy(F.window("timestamp", f"{window_seconds} seconds").alias("w"), "service").agg(*stream_columns())
+    return grouped.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "service", *COLUMNS)
 
 
 def metric_rollup(events: DataFrame, window_seconds: int = 60) -> DataFrame:
-    """One row for each window and service that has events, with exact nearest-rank percentiles."""
-    return windowed(events, window_seconds)
+    """One row for each window and service that has events, with exact nearest-rank percentiles; a null latency percentile is 0.
+
+    Percentiles come from counts of values (nearest_ranks), so that a busy service is many tasks and no task holds a window's values.
+    """
+    if events.isStreaming:
+        return windowed(events, window_seconds)
+    start = window_start(F.col("timestamp"), window_seconds)
+    rows = events.where("timestamp is not null").select(start.alias("window_start"), "service", "status", "latency_ms", "relevance_score", "cache_hit")
+    plain = rows.groupBy("window_start", "service").agg(*plain_columns())
+    ranks = nearest_ranks(rows, ["window_start", "service"], RANKS).withColumnsRenamed({"window_start": "_w", "service": "_s"})
+    both = plain.join(ranks, same(["window_start", "service"], ["_w", "_s"]), "left")
+    both = both.withColumns({n: F.coalesce(n, F.lit(0.0)) for n, (c, _) in RANKS.items() if c == "latency_ms"})
+    return both.select("window_start", (F.col("window_start") + F.make_dt_interval(secs=F.lit(float(window_seconds)))).alias("window_end"), "service", *COLUMNS)
 
 
 def ordered_rollup(events: DataFrame, window_seconds: int = 60) -> DataFrame:

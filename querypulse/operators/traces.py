@@ -39,44 +39,63 @@ def link_parents(spans: DataFrame) -> DataFrame:
     return spans.join(there, ["trace_id", "parent_span_id"], "left").withColumn("parent_state", F.when(~named, "root").when(F.col("up").isNull(), "orphan").otherwise("child"))
 
 
+def ranked_chains(base: DataFrame, most_rounds: int = 40) -> DataFrame:
+    """(trace_id, span_id, ancestor, depth, root, on_critical_path, preorder) from base (trace_id, span_id, up, start, _heavy).
+
+    Chains of parents are ranked by pointer doubling: in round k a span looks up the one that stands 2^k above it, adds that one's numbers to its own and takes over its pointer. The
+    first pass of rounds gives depth and root, and, downwards, the number of spans below each: those of fewer than 2^k steps, and those below each span 2^k steps down. With these sizes a
+    span's weight is the spans that a preorder walk meets between its parent and itself, and a second pass over the same pointers sums the weights up to the root: its preorder number.
+    A row is a few numbers whatever the depth, and the rounds are as many as the logarithm of the depth, not of the size, of the deepest trace.
+
+    Spans that hang on a circle keep an ancestor.
+    """
+    now = base.select("trace_id", "span_id", F.col("up").alias("ancestor"), F.when(F.col("up").isNull(), 0).otherwise(1).alias("depth"), F.col("_heavy").alias("on_critical_path"), F.coalesce("up", "span_id").alias("root"), F.lit(1).cast("long").alias("size"))
+    rounds, now, waiting = [], checkpointed(now), None
+    for _ in range(most_rounds):
+        # with a deeper span there is one of every depth above it, so only circles leave the number as it was
+        waiting, before = now.where("ancestor is not null").count(), waiting
+        if waiting in (0, before):
+            break
+        rounds.append(now)
+        above = now.select("trace_id", F.col("span_id").alias("ancestor"), F.col("ancestor").alias("_a"), F.col("depth").alias("_d"), F.col("on_critical_path").alias("_c"), F.col("root").alias("_root"))
+        moved = now.where("ancestor is not null").join(above, ["trace_id", "ancestor"]).select(
+            "trace_id", "span_id", F.col("_a").alias("ancestor"), (F.col("depth") + F.col("_d")).alias("depth"), (F.col("on_critical_path") & F.col("_c")).alias("on_critical_path"), F.col("_root").alias("root"), "size",
+        )
+        more = now.where("ancestor is not null").groupBy("trace_id", F.col("ancestor").alias("span_id")).agg(F.sum("size").alias("_more"))
+        now = checkpointed(now.where("ancestor is null").unionByName(moved).join(more, ["trace_id", "span_id"], "left").withColumn("size", F.col("size") + F.coalesce("_more", F.lit(0))).drop("_more"))
+    # spans before a span of the same parent, or roots before a root, with all below them
+    placed = base.select("trace_id", "span_id", "up", "start").join(now.select("trace_id", "span_id", "ancestor", "depth", "root", "on_critical_path", "size"), ["trace_id", "span_id"])
+    row = Window.partitionBy("trace_id", "up").orderBy("start", "span_id").rowsBetween(Window.unboundedPreceding, -1)
+    weight = F.coalesce(F.sum("size").over(row), F.lit(0)) + F.when(F.col("up").isNull(), 0).otherwise(1)
+    placed = checkpointed(placed.withColumn("preorder", weight).drop("up", "start", "size"))
+    sums = placed.select("trace_id", "span_id", "preorder")
+    for pointers in rounds:
+        steps = pointers.where("ancestor is not null").select("trace_id", "span_id", "ancestor")
+        more = steps.join(sums.select("trace_id", F.col("span_id").alias("ancestor"), F.col("preorder").alias("_more")), ["trace_id", "ancestor"]).select("trace_id", "span_id", "_more")
+        sums = checkpointed(sums.join(more, ["trace_id", "span_id"], "left").select("trace_id", "span_id", (F.col("preorder") + F.coalesce("_more", F.lit(0))).alias("preorder")))
+    return placed.drop("preorder").join(sums, ["trace_id", "span_id"])
+
+
 def assemble_traces(spans: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """Every span with parent_state, depth, root, path (ordering key of the preorder walk), on_critical_path, self_time_ms, n_children and cyclic (of its trace).
+    """Every span with parent_state, depth, root, preorder (its number in a walk of its trace: siblings and roots by start, then id), on_critical_path, self_time_ms, n_children and cyclic (of its trace).
 
-    Depth and path come from pointer doubling: in each round a span's ancestor is replaced by that one's ancestor, so rounds are logarithmic in the depth of the
-    deepest trace. Spans that never reach a root hang on a circle; their trace is flagged, its spans have null depths. A path holds (start, span id) of all ancestors.
+    Depth, root and preorder come from ranked_chains. Spans that never reach a root hang on a circle; their trace is flagged, its spans have null depths, and no span of it a preorder.
     """
     linked = link_parents(unique_spans(spans))
     heavy = Window.partitionBy("trace_id", "up").orderBy(F.desc("duration_ms"), "start_time", "span_id")
-    step = F.struct(F.unix_micros("start_time").alias("start"), "span_id")
     kids = linked.where("up is not null").groupBy("trace_id", F.col("up").alias("span_id")).agg(F.sum("duration_ms").alias("child_ms"), F.count("*").alias("n_children"))
     full = linked.withColumn("_heavy", F.row_number().over(heavy) == 1).join(kids, ["trace_id", "span_id"], "left")
     full = full.withColumns({"self_time_ms": F.greatest(F.lit(0.0), F.col("duration_ms") - F.coalesce("child_ms", F.lit(0.0))), "n_children": F.coalesce("n_children", F.lit(0).cast("long"))}).drop("child_ms")
     base = checkpointed(full)
-
-    now = base.select("trace_id", "span_id", F.col("up").alias("ancestor"), F.when(F.col("up").isNull(), 0).otherwise(1).alias("depth"), F.array(step).alias("path"), F.col("_heavy").alias("on_critical_path"), F.coalesce("up", "span_id").alias("root"))
-    for _ in range(most_rounds):
-        above = now.select("trace_id", F.col("span_id").alias("ancestor"), F.col("ancestor").alias("_a"), F.col("depth").alias("_d"), F.col("path").alias("_p"), F.col("on_critical_path").alias("_c"), F.col("root").alias("_root"))
-        moved = now.join(above, ["trace_id", "ancestor"], "left")
-        held = F.col("_d").isNotNull()
-        now = checkpointed(moved.select(
-            "trace_id", "span_id", F.col("_a").alias("ancestor"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), F.when(held, F.concat("_p", "path")).otherwise(F.col("path")).alias("path"),
-            (F.col("on_critical_path") & F.coalesce("_c", F.lit(True))).alias("on_critical_path"), F.coalesce("_root", "root").alias("root"),
-        ))
-        # Doubling carries a finished span's root to all below it, so what is left waits for nothing but itself if no span's ancestor has finished.
-        ends = now.where("ancestor is null").select("trace_id", F.col("span_id").alias("ancestor"))
-        if now.where("ancestor is not null").join(ends, ["trace_id", "ancestor"], "left_semi").isEmpty():
-            break
-    tree = base.join(now, ["trace_id", "span_id"])
+    ranks = ranked_chains(base.select("trace_id", "span_id", "up", F.unix_micros("start_time").alias("start"), "_heavy"), most_rounds)
+    tree = base.drop("_heavy").join(ranks, ["trace_id", "span_id"])
     lost = F.col("ancestor").isNotNull()
-    return _finished(tree, lost, F.max(lost).over(Window.partitionBy("trace_id")))
-
-
-def _finished(tree: DataFrame, lost: Column, cyclic: Column) -> DataFrame:
     top = Window.partitionBy("trace_id").orderBy(F.when(F.col("up").isNull(), 0).otherwise(1), F.desc("duration_ms"), "start_time", "span_id")
     first = F.first("span_id").over(top.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    marked = tree.withColumns({"cyclic": cyclic, "_top": first})
+    marked = tree.withColumns({"cyclic": F.max(lost).over(Window.partitionBy("trace_id")), "_top": first})
     marked = marked.withColumn("on_critical_path", ~lost & F.col("on_critical_path") & (F.col("root") == F.col("_top")))
-    return marked.withColumns({c: F.when(~lost, F.col(c)) for c in ("depth", "path", "root")}).drop("ancestor", "_heavy", "_top")
+    marked = marked.withColumns({"depth": F.when(~lost, F.col("depth")), "root": F.when(~lost, F.col("root")), "preorder": F.when(~F.col("cyclic"), F.col("preorder"))})
+    return marked.drop("ancestor", "_top")
 
 
 def critical_path(tree: DataFrame) -> DataFrame:
@@ -115,7 +134,7 @@ def trace_json(tree: DataFrame) -> DataFrame:
     """
     own = F.to_json(F.struct("span_id", "parent_span_id", "service", "operation", F.date_format("start_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("start_time"), "duration_ms", F.round("self_time_ms", 3).alias("self_time_ms"), "status", "depth", (F.col("parent_state") == "orphan").alias("orphaned"), "attributes"), {"ignoreNullFields": "false"})
     opened = F.concat(F.expr("substring({0}, 1, length({0}) - 1)".format("_own")), F.lit(',"children":['))
-    rows = tree.where("not cyclic").withColumn("_own", own).groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct("path", "depth", opened.alias("opened")))).alias("s"))
+    rows = tree.where("not cyclic").withColumn("_own", own).groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct("preorder", "depth", opened.alias("opened")))).alias("s"))
 
     def placed(x: Column, k: Column) -> Column:
         last, following = F.get("s", k - 1)["depth"], F.coalesce(F.get("s", k + 1)["depth"], F.lit(0))

@@ -1,6 +1,6 @@
 """Phrases whose words come together more often than chance has it, by Toivonen's sampling.
 
-Phrases are counted only if both phrases of one word less are thought frequent. A sample of documents proposes what is frequent; a full pass counts all those phrases and their negative
+Phrases are counted only if both phrases of one word less are thought frequent. A sample of pieces of all documents proposes what is frequent; a full pass counts all those phrases and their negative
 border, that is whatever else has frequent parts. A frequent phrase of the border makes the guess wider, and a further pass counts what that adds, until the border has none: then no phrase is left out.
 
 Tasks know the guess as a bitmap, of bounded size, by which a phrase may be taken for frequent but never for rare: false bits cost counting, not results. Phrases travel as 64-bit numbers
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,11 +24,12 @@ from .shipping import ship, stored
 U = np.uint64
 ODD = U(0x9E3779B97F4A7C15)
 #: Bytes of text that are numbered at a time; a longer text is cut where a piece ends.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Bits of the guess: 64 for each frequent phrase of the sample, within these bounds (32 MB at most).
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 #: A sample's phrase is proposed from this share of the frequency that is expected of a phrase at the threshold.
-SLACK = 0.3
+SLACK = 0.25
+SAMPLE = 0.2
 
 _ends = np.zeros(256, bool)
 _ends[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -95,7 +96,7 @@ def cut(data: np.ndarray, offsets: np.ndarray, most: int) -> Iterator[tuple[np.n
 
 
 def numbered(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(number, row, piece, start, end) of each word of lower-cased texts."""
+    """(number, row, piece, start, end) of each word of lower-cased texts. Words are told apart first, so that each distinct one is numbered once."""
     n = len(data)
     inside = ~_blank[data]
     edge = np.zeros(n + 1, bool)
@@ -104,12 +105,31 @@ def numbered(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     start[1:] &= ~inside[:-1] | edge[1:-1]
     end[:-1] &= ~inside[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
-    up, down = powers(n)
-    total = np.zeros(n + 1, U)
-    np.cumsum(_letters[data] * up[:n], out=total[1:])
+    at = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=at[1:])
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data[inside]))]).dictionary_encode()
     row = np.searchsorted(offsets, starts, "right") - 1
-    breaks = np.cumsum(_ends[data], dtype=np.int64)[starts] if n else np.zeros(0, np.int64)
-    return mix((total[ends] - total[starts]) * down[starts]), row, breaks + row, starts, ends  # rows and ends of pieces both only grow, so their sum tells pieces apart
+    # rows and ends of pieces both only grow, so their sum tells pieces apart
+    return numbers(words.dictionary)[words.indices.to_numpy()], row, np.searchsorted(np.flatnonzero(_ends[data]), starts) + row, starts, ends
+
+
+def numbers(words: pa.LargeBinaryArray) -> np.ndarray:
+    """64-bit numbers of distinct words, some at a time so that memory stays small."""
+    if not len(words):
+        return np.zeros(0, U)
+    at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    out, k = np.empty(len(words), U), 0
+    while k < len(words):
+        to = max(k + 1, int(np.searchsorted(at, at[k] + (1 << 19), "right")) - 1)
+        part = data[at[k] : at[to]]
+        up, down = powers(len(part))
+        total = np.zeros(len(part) + 1, U)
+        np.cumsum(_letters[part] * up[: len(part)], out=total[1:])
+        here = at[k : to + 1] - at[k]
+        out[k:to] = mix((total[here[1:]] - total[here[:-1]]) * down[here[:-1]])
+        k = to
+    return out
 
 
 def counted(docs: DataFrame, text_col: str, lang_col: str, most: int, now: np.ndarray | None, before: np.ndarray | None) -> DataFrame:
@@ -126,14 +146,11 @@ def counted(docs: DataFrame, text_col: str, lang_col: str, most: int, now: np.nd
         for batch in batches:
             langs, lang = np.unique(np.array(batch.column(0).to_pylist(), object), return_inverse=True)
             seeds = mix(np.array([hash_of(x) for x in langs], U) * ODD)
-            column = batch.column(1).cast(pa.large_string())
-            offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-            data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+            offsets, data = laid_out(batch.column(1))
             for part, at, rows in cut(data, offsets, CHUNK_BYTES):
                 yield from chunk_counts(_lower[part], at, lang[rows], langs, seeds, most, now, before)
 
-    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
-    return docs.select(lang.alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(run, COUNTS)
+    return texts_of(docs, text_col, lang_col).mapInArrow(run, COUNTS)
 
 
 def hash_of(name: str) -> int:
@@ -201,15 +218,47 @@ def closed(docs: DataFrame, text_col: str, lang_col: str, most: int, least: int,
         before, now = now if now is not None else np.zeros(size // 8, np.uint8), bits_of(missed, size, now)
 
 
-def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = 5, least: int = 100, sample: float = 0.125) -> DataFrame:
-    """(lang, phrase, n): see closed(). sample: the share of documents that proposes; it changes the number of passes, never the result."""
-    proposals = closed(docs.sample(sample, 7), text_col, lang_col, most, max(2, int(least * sample * SLACK)), None, 1 << 26)
+def sampled(docs: DataFrame, text_col: str, lang_col: str, share: float, least: int) -> DataFrame:
+    """(lang, text): of each text the pieces that a hash of their place chooses, about this share of them, and all that could hold a phrase `least` times by themselves. Pieces, not documents, so that a phrase that few documents repeat has its share too."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            offsets, data = laid_out(batch.column(1))
+            bounds = np.union1d(offsets, np.flatnonzero(_ends[data]) + 1)
+            sizes = np.diff(bounds)
+            chosen = (mix(np.arange(seen, seen + len(sizes), dtype=U) * ODD) >> U(44)) < U(int(share * (1 << 20)))
+            chosen |= sizes >= 2 * least
+            seen += len(sizes)
+            kept = np.zeros(len(bounds), np.int64)
+            np.cumsum(sizes * chosen, out=kept[1:])
+            text = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(kept[np.searchsorted(bounds, offsets)]), pa.py_buffer(np.ascontiguousarray(data[np.repeat(chosen, sizes)]))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), text.cast(pa.string())], names=["lang", "text"])
+
+    return texts_of(docs, text_col, lang_col).mapInArrow(run, "lang string, text string").where("text <> ''")
+
+
+def laid_out(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets from 0, bytes) of a column of texts."""
+    column = column.cast(pa.large_string())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    return offsets - offsets[0], np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+
+
+def texts_of(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
+def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = 5, least: int = 100, sample: float = SAMPLE) -> DataFrame:
+    """(lang, phrase, n): see closed(). sample: the share of pieces that propose; it changes the number of passes, never the result."""
+    proposals = closed(stored(sampled(docs, text_col, lang_col, sample, least)), "text", "lang", most, max(2, int(least * sample * SLACK)), None, 1 << 26)
     keys = proposals.where("phrase <> ''")
     size = min(MOST_BITS, max(LEAST_BITS, 1 << int(keys.count() * 64).bit_length()))
     return closed(docs, text_col, lang_col, most, least, bits_of(keys, size), size).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
-def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = 5, least: int = 100, top: int = 2000, sample: float = 0.125) -> DataFrame:
+def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = 5, least: int = 100, top: int = 2000, sample: float = SAMPLE) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): of each language the first `top` phrases of 2 to most words that come a >= least times.
 
     Words are what stands between blanks and tabs, A-Z in lower case; a phrase never reaches over `.,;:!?` or a line end. Cut behind its first k words a phrase scores floor(1000 a n / (l r)),

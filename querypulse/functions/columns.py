@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The bucket widths that dashboards may ask for.
@@ -79,3 +79,18 @@ def confidence_band(c: Column) -> Column:
 def label_matches(value: Column, pattern: str) -> Column:
     """A label match that covers the whole value."""
     return value.rlike(f"^(?:{pattern})$")
+
+
+def orderable(df: DataFrame, *names: str) -> list[Column]:
+    """Columns as values that have an order: maps (and what holds them) as JSON of their sorted entries."""
+    out = []
+    for n in names:
+        kind = df.schema[n].dataType
+        text = kind.simpleString()
+        if text.startswith("map<"):
+            out.append(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(n)))).alias(n))
+        elif "map<" in text or "variant" in text:
+            out.append(F.to_json(F.struct(n)).alias(n))
+        else:
+            out.append(F.col(n))
+    return out

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from querypulse.session import importable
+
 # Seconds that a group waits before its first notification, between looks at it, and before it is told again, by receiver; an alert without samples for so long is over.
 POLICIES = {"pager": (10, 300, 3600)}
 DEFAULT_POLICY = (30, 300, 14_400)
@@ -162,6 +164,7 @@ def group_alerts(alerts: DataFrame, timeout: int = TIMEOUT, until: int | None =
     Samples become spans of time first: an alert fires from its first sample on until `timeout` goes by without one. A group's history is cut where it is quiet for so long that the group is over;
     each part, a row for each span, is a task's. until (seconds): judged so far only.
     """
+    importable(alerts.sparkSession)
     group = ["receiver", "alertname", "service"]
     rows = alerts.select("ts", *group, member_of(alerts).alias("member")).distinct()
     longest = max(max(p[:2]) for p in (*POLICIES.values(), DEFAULT_POLICY))

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from querypulse.functions.columns import orderable
+
 
 def newest_events(events: DataFrame) -> DataFrame:
-    """The newest event of each query; of equal times the largest by its values."""
-    own = [c for c in events.columns if c != "query_id" and events.schema[c].dataType.typeName() not in ("map", "variant")]
-    return events.groupBy("query_id").agg(F.max_by(F.struct(*own), F.struct("timestamp", "service", "latency_ms")).alias("e")).select("query_id", "e.*")
+    """The newest event of each query, with all its columns; of equal times the largest by service, latency and its other columns in order (maps as JSON)."""
+    own = [c for c in events.columns if c != "query_id"]
+    first = ["timestamp", "service", "latency_ms"]
+    order = F.struct(*orderable(events, *first, *(c for c in own if c not in first)))
+    return events.groupBy("query_id").agg(F.max_by(F.struct(*own), order).alias("e")).select("query_id", *(F.col("e")[c].alias(c) for c in own))
 
 
 def documents_in_order(results: DataFrame) -> DataFrame:

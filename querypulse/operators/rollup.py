@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querypulse.functions.columns import percentile_nearest_rank, window_start
+from querypulse.functions.columns import orderable, percentile_nearest_rank, window_start
 from querypulse.operators.order_stats import nearest_ranks, same
 
 
@@ -62,11 +62,14 @@ def stream_rollup(events: DataFrame, window_seconds: int = 60, grace_seconds: in
 
 
 def dedupe_events(events: DataFrame, key: str = "event_id", grace: str = "5 seconds") -> DataFrame:
-    """Events delivered again count once: of different copies the least by value, in a stream the first to come (keys are remembered for the time of its watermark)."""
+    """Events delivered again count once: of different copies the least by its columns in order (maps as JSON), in a stream the first to come (keys are remembered for the time of its watermark)."""
     if events.isStreaming:
         return events.withWatermark("timestamp", grace).dropDuplicatesWithinWatermark([key])
-    own = [c for c in events.columns if c != key and events.schema[c].dataType.typeName() not in ("map", "variant")]
-    return events.groupBy(key).agg(F.min(F.struct(*own)).alias("_e")).select(*(F.col(key) if c == key else F.col(f"_e.`{c}`") for c in events.columns if c == key or c in own)) if len(own) + 1 == len(events.columns) else events.dropDuplicates([key])
+    own = [c for c in events.columns if c != key]
+    if not own:
+        return events.distinct()
+    kept = events.groupBy(key).agg(F.min_by(F.struct(*own), F.struct(*orderable(events, *own))).alias("_e"))
+    return kept.select(*(F.col(key) if c == key else F.col("_e")[c].alias(c) for c in events.columns))
 
 
 def repair_late(events: DataFrame, late: DataFrame, window_seconds: int = 60, inserted_at: datetime | None = None) -> DataFrame:

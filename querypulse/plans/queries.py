@@ -510,12 +510,12 @@ def histogram_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitoring.histogram_quantile(views.latency_buckets(spark, sf_dir), 0.95, ("service",)).select(sec("ts"), "service", F.round("value", 4).alias("value"))
 
 
-AL = f"{RU}, a AS (SELECT *, latency_p95 > 440 AS bad, sum(CASE WHEN latency_p95 > 440 THEN 0 ELSE 1 END) OVER (PARTITION BY service ORDER BY ws) AS run FROM ru), st AS (SELECT service, ws AS ts, CASE WHEN NOT bad THEN 'inactive' WHEN ws - min(ws) OVER (PARTITION BY service, run, bad) >= 43200 THEN 'firing' ELSE 'pending' END AS state FROM a)"
+AL = f"{RU}, a AS (SELECT *, latency_p95 > 180 AS bad, sum(CASE WHEN latency_p95 > 180 THEN 0 ELSE 1 END) OVER (PARTITION BY service ORDER BY ws) AS run FROM ru), st AS (SELECT service, ws AS ts, CASE WHEN NOT bad THEN 'inactive' WHEN ws - min(ws) OVER (PARTITION BY service, run, bad) >= 43200 THEN 'firing' ELSE 'pending' END AS state FROM a)"
 
 
 def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rollups(spark, sf_dir).select(F.col("window_start").alias("ts"), "service", "latency_p95")
-    return monitoring.evaluate_alert(r, F.col("latency_p95") > 440, 43_200, ("service",))
+    return monitoring.evaluate_alert(r, F.col("latency_p95") > 180, 43_200, ("service",))
 
 
 @query(f"WITH {AL} SELECT * FROM st")

@@ -83,3 +83,26 @@ def latency_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = search_events(spark, sf_dir).withColumn("ts", F.date_trunc("day", "timestamp"))
     counts = e.groupBy("ts", "service").agg(*(F.count_if(F.col("latency_ms") <= b).alias(str(k)) for k, b in enumerate(bounds)))
     return counts.select("ts", "service", F.posexplode(F.array(*(F.col(str(k)) for k in range(len(bounds))))).alias("k", "c")).select("ts", "service", F.element_at(F.array(*map(F.lit, bounds)), F.col("k") + 1).alias("le"), F.col("c").cast("double").alias("cumulative"))
+
+
+def platform_samples(spark: SparkSession, sf_dir: str, seconds: int = 300) -> DataFrame:
+    """Events as samples of the platform's own counters and gauges, one for each series and run of seconds in which it has events, at that run's end."""
+    e = table(spark, sf_dir, "events").select(
+        ((F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / seconds) + 1) * seconds).alias("t"), "event_type", (F.col("event_type") == "error").alias("bad"), F.concat(F.lit("svc-"), (F.col("user_id") % 4).cast("string")).alias("svc"),
+        (F.col("user_id") % 4).alias("u"), F.col("value"), F.get_json_object("props", "$.k").cast("long").alias("k"),
+    )
+    labels = lambda **x: F.create_map(*(y for k, v in x.items() for y in (F.lit(k), v))) if x else F.create_map().cast("map<string,string>")
+    one = lambda metric, n, **x: F.struct(F.lit(metric).alias("metric"), labels(**x).alias("labels"), n.cast("double").alias("n"))
+    job = F.element_at(F.array(*map(F.lit, ("telemetry-collector", "metrics-engine", "debug-service", "api-gateway"))), (F.col("u") + 1).cast("int"))
+    counters = [
+        one("collector_events_ingested_total", F.lit(1000), status=F.when(F.col("event_type") == "signup", "rejected").otherwise("accepted")),
+        F.when(F.col("event_type") == "click", one("engine_events_processed_total", F.lit(1000))), one("gateway_requests_total", F.lit(1), endpoint=F.col("svc"), status=F.when(F.col("bad"), "500").otherwise("200")),
+        *(one("gateway_query_duration_seconds_bucket", (F.col("value") <= 100 * b).cast("int"), le=F.lit(n)) for n, b in (("1", 1.0), ("2.5", 2.5), ("4", 4.0), ("+Inf", 1e9))),
+        one("engine_events_invalid_total", F.col("k"), kind=F.col("event_type")), F.when(F.col("bad"), one("engine_anomalies_detected_total", F.lit(20))), one("collector_rate_limited_total", F.floor("value") * 10, client=F.col("svc")),
+    ]
+    rows = e.select("t", F.explode(F.filter(F.array(*counters), lambda x: x.isNotNull())).alias("c")).select("t", "c.*")
+    counts = rows.groupBy("metric", F.to_json("labels").alias("s"), "t").agg(F.sum("n").alias("n"))
+    counts = counts.withColumn("value", F.sum("n").over(Window.partitionBy("metric", "s").orderBy("t"))).drop("n")
+    gauges = e.groupBy("t", (F.col("u") % 2).cast("string").alias("p")).agg((F.sum("k") * 200).cast("double").alias("value")).select(F.lit("kafka_consumergroup_lag").alias("metric"), F.to_json(labels(consumergroup=F.lit("metrics-engine"), partition=F.col("p"))).alias("s"), "t", "value")
+    up = e.groupBy("t", job.alias("job")).agg((1 - F.max(F.col("bad").cast("int"))).cast("double").alias("value")).select(F.lit("up").alias("metric"), F.to_json(labels(job=F.col("job"))).alias("s"), "t", "value")
+    return counts.unionByName(gauges).unionByName(up).select("metric", F.from_json("s", "map<string,string>").alias("labels"), F.timestamp_seconds("t").alias("ts"), "value")

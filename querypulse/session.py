@@ -1,7 +1,9 @@
-"""A session with the settings that the operators expect."""
+"""A session with the settings that the operators expect, and the library's code for its workers."""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 
@@ -12,3 +14,12 @@ def session(app: str = "querypulse", **conf: str) -> SparkSession:
     for key, value in (fixed | {k.replace("_", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import the library where it is installed by path only; once is enough, more do no harm."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    known = os.pathsep.join([env.get("PYTHONPATH", ""), os.environ.get("PYTHONPATH", "")]).split(os.pathsep)
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+import re
+from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from querypulse.functions.columns import orderable
+from querypulse.operators.traces import checkpointed
 from querypulse.operators.validate import record_key, route_topic
 from querypulse.schemas import KEEP_DAYS, SORT_KEYS, TIME_COLUMN, TOPICS, VERSIONED
 
@@ -58,6 +62,37 @@ def read_table(spark: SparkSession, path: str, table: str, schema: T.StructType
     return latest_by(df, *VERSIONED[table]) if table in VERSIONED else df
 
 
+def stream_to_tables(df: DataFrame, path: str, outputs: dict[str, Callable[[DataFrame], DataFrame]], checkpoint: str, publish: Callable[[DataFrame, int], None] | None = None):
+    """One stream into several tables (and, by publish, topics), so that a reader sees a batch in all of them or in none.
+
+    outputs: table -> what becomes of a micro-batch there. A batch has a partition of its own in each table; when all are written and published it is entered in a ledger, by which committed() reads.
+    A batch that fails between two tables is run again after a restart and replaces what it wrote. Topics may get it twice: publish is told the batch's number.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        try:
+            for table, made in outputs.items():
+                dated = made(batch).withColumn("event_date", F.to_date(TIME_COLUMN[table])).withColumn("batch", F.lit(number))
+                rows = dated.sortWithinPartitions("event_date", *SORT_KEYS[table]).write.option("partitionOverwriteMode", "dynamic")
+                rows.mode("overwrite").partitionBy("batch", "event_date").parquet(f"{path}/{table}")
+            if publish:
+                publish(batch, number)
+            entry = batch.sparkSession.range(1).select(F.lit(number).alias("batch"), F.current_timestamp().alias("committed_at"))
+            entry.coalesce(1).write.mode("overwrite").parquet(f"{path}/_ledger/{number}")
+        finally:
+            batch.unpersist()
+
+    return df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+
+
+def committed(spark: SparkSession, path: str, table: str, schema: T.StructType | None = None) -> DataFrame:
+    """A table that stream_to_tables writes, without batches that are not in its ledger. The ledger is a row for each batch."""
+    ledger = spark.read.schema("batch int, committed_at timestamp").parquet(f"{path}/_ledger/*").select("batch").distinct()
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{path}/{table}").join(ledger, "batch", "left_semi").drop("batch")
+
+
 def expire(df: DataFrame, column: str, days: int, as_of: datetime) -> DataFrame:
     """Rows that are kept for another while."""
     return df.where(F.col(column) > F.lit(as_of) - F.make_dt_interval(days=F.lit(days)))
@@ -67,10 +102,34 @@ def expire_table(df: DataFrame, table: str, as_of: datetime) -> DataFrame:
     return expire(df, TIME_COLUMN[table], KEEP_DAYS[table], as_of)
 
 
+def expire_files(spark: SparkSession, path: str, table: str, as_of: datetime) -> list[str]:
+    """Take out of a stored table what is older than its days: whole days by removing their partitions, of the day at the edge by writing what stays of it. The days removed.
+
+    Days are found by listing; no file of a day that goes or stays as a whole is read.
+    """
+    column, edge = TIME_COLUMN[table], as_of - timedelta(days=KEEP_DAYS[table])
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{table}")
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = []
+    for pattern in ("event_date=*", "batch=*/event_date=*"):
+        for status in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, pattern)) or ():
+            day, at = status.getPath().getName().partition("=")[2], status.getPath()
+            if not re.fullmatch(r"\d{4}-\d\d-\d\d", day):
+                continue
+            if day < f"{edge:%Y-%m-%d}":
+                files.delete(at, True)
+                gone.append(day)
+            elif day == f"{edge:%Y-%m-%d}":
+                # written beside it first: a table can't be overwritten with what is read from it
+                kept = checkpointed(spark.read.parquet(at.toString()).where(F.col(column) > F.lit(edge)))
+                kept.sortWithinPartitions(*SORT_KEYS[table]).write.mode("overwrite").parquet(at.toString())
+    return sorted(set(gone))
+
+
 def latest_by(df: DataFrame, keys: tuple[str, ...], version: str) -> DataFrame:
     """The row of the highest version for each key; of equal versions the largest by its other values."""
-    others = [c for c in df.columns if c not in (*keys, version) and df.schema[c].dataType.typeName() not in ("map", "variant")]
-    by = Window.partitionBy(*keys).orderBy(F.desc(version), *map(F.desc, others))
+    others = orderable(df, *(c for c in df.columns if c not in (*keys, version)))
+    by = Window.partitionBy(*keys).orderBy(F.desc(version), *(c.desc() for c in others))
     return df.withColumn("_r", F.row_number().over(by)).where("_r = 1").drop("_r")
 
 

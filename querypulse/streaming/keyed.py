@@ -13,6 +13,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from querypulse.functions.columns import window_start
 from querypulse.operators.lifecycles import DEFAULT_POLICY, NOTIFICATION, POLICIES, SECOND, TIMEOUT, Firings, Job, Notifier, member_of
 from querypulse.operators.rollup import COLUMNS
+from querypulse.session import importable
 
 
 class _Machine(StatefulProcessor):
@@ -62,6 +63,7 @@ def micros(t: pd.Series) -> list[int]:
 
 def stream_group_alerts(alerts: DataFrame, timeout: int = TIMEOUT, grace: str = "5 seconds") -> DataFrame:
     """The notifications of group_alerts as a stream, each out once the watermark has passed it. State: a group's alerts, what was told last, and samples the watermark has not passed."""
+    importable(alerts.sparkSession)
     group = ["receiver", "alertname", "service"]
     rows = alerts.select("ts", *group, member_of(alerts).alias("member")).withWatermark("ts", grace)
     read = lambda p: [(t, m, t + timeout * SECOND) for t, m in zip(micros(p.ts), p.member, strict=True)]
@@ -71,6 +73,7 @@ def stream_group_alerts(alerts: DataFrame, timeout: int = TIMEOUT, grace: str =
 
 def stream_alert_lifecycle(firings: DataFrame, by: str = "signature", at: str = "window_end", ttl: int = 3600, grace: str = "5 seconds") -> DataFrame:
     """The rows of alert_lifecycle as a stream. State: one number of samples and the last time for each alert, and samples the watermark has not passed."""
+    importable(firings.sparkSession)
     rows = firings.select(F.col(at).alias("at"), by).withWatermark("at", grace)
     machine = _Machine(lambda _: Firings(ttl), [by, "at", "state", "fire_count"], lambda p: [(t,) for t in micros(p["at"])])
     return rows.groupBy(by).transformWithStateInPandas(machine, f"{by} string, at timestamp, state string, fire_count int", "append", "eventtime")
@@ -78,6 +81,7 @@ def stream_alert_lifecycle(firings: DataFrame, by: str = "signature", at: str =
 
 def stream_job_lifecycle(events: DataFrame, ttl: int = 3600, grace: str = "5 seconds") -> DataFrame:
     """The rows of job_lifecycle as a stream. State: a job's state and since when."""
+    importable(events.sparkSession)
     rows = events.select("id", "at", "event", "error").withWatermark("at", grace)
     machine = _Machine(lambda _: Job(ttl), ["id", "at", "state", "error"], lambda p: list(zip(micros(p["at"]), p.event.tolist(), p.error.tolist(), strict=True)))
     return rows.groupBy("id").transformWithStateInPandas(machine, "id string, at timestamp, state string, error string", "append", "eventtime")
@@ -151,6 +155,7 @@ def stream_rollup_versions(events: DataFrame, window_seconds: int = 60, grace_se
     """
     if not 0 <= grace_seconds <= keep_seconds:
         raise ValueError("windows are kept for longer than the grace")
+    importable(events.sparkSession)
     rows = events.withWatermark("timestamp", f"{keep_seconds} seconds")
     rows = rows.select("timestamp", window_start(F.col("timestamp"), window_seconds).alias("window_start"), "service", (F.coalesce("status", F.lit("")) != "ok").alias("failed"), "latency_ms", "relevance_score", "cache_hit")
     return rows.groupBy("window_start", "service").transformWithStateInPandas(_Window(window_seconds, grace_seconds, keep_seconds), VERSIONS, "append", "eventtime")

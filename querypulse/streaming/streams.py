@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from querypulse.operators.anomaly import unpivot_metrics
 from querypulse.operators.rollup import windowed
 from querypulse.operators.validate import decode_events, event_rules, require_utc, strip_strings
+from querypulse.session import importable
 
 OUT = "service string, metric string, window_start timestamp, window_end timestamp, observed double, baseline_mean double, baseline_stddev double, sample_count long, z_score double, severity string, signature string"
 
@@ -50,6 +54,7 @@ def stream_anomalies(rollups: DataFrame, threshold: float = 3.0, baseline_window
     """The same anomalies as detect_anomalies, from a stream of closed windows. State: baseline_windows values for each service and metric."""
     if threshold <= 0 or min_baseline_windows < 2:
         raise ValueError("the threshold must be positive and a baseline two windows at least")
+    importable(rollups.sparkSession)
     series = unpivot_metrics(rollups)
     return series.groupBy("service", "metric").transformWithStateInPandas(_Detector(threshold, baseline_windows, min_baseline_windows, min_samples, critical_multiplier), OUT, "append", "none")
 
@@ -63,3 +68,29 @@ def events_to_rollups(raw: DataFrame, window_seconds: int = 60, grace_seconds: i
     events = valid.withColumn("timestamp", require_utc(F.col("timestamp"))).withWatermark("timestamp", f"{grace_seconds} seconds").dropDuplicatesWithinWatermark(["event_id"])
     grouped = events.select("timestamp", "service", "latency_ms", "status", "relevance_score", "cache_hit")
     return windowed(grouped, window_seconds)
+
+
+def observed_faults(df: DataFrame, rules: list[tuple[Column, str]], name: str = "faults") -> DataFrame:
+    """df unchanged, with the number of rows that break each rule, and of rows, told with every batch: see FaultCounts. A row counts under each rule that it breaks."""
+    broken = [F.count_if(F.coalesce(bad, F.lit(False))).alias(said) for bad, said in rules]
+    return df.observe(name, F.count(F.lit(1)).alias("rows"), F.count_if(reduce(Column.__or__, (F.coalesce(bad, F.lit(False)) for bad, _ in rules))).alias("invalid"), *broken)
+
+
+class FaultCounts(StreamingQueryListener):
+    """Running sums of what observed_faults tells: counts maps "rows", "invalid" and each rule's message to a number. Add it to spark.streams before the query starts."""
+
+    def __init__(self, name: str = "faults"):
+        self.name, self.counts = name, Counter()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        if row := event.progress.observedMetrics.get(self.name):
+            self.counts.update({k: v for k, v in row.asDict().items() if v})
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass

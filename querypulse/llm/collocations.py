@@ -4,15 +4,19 @@ Phrases are counted only if both phrases of one word less are thought frequent.
 border, that is whatever else has frequent parts. A frequent phrase of the border makes the guess wider, and a further pass counts what that adds, until the border has none: then no phrase is left out.
 
 Tasks know the guess as a bitmap, of bounded size, by which a phrase may be taken for frequent but never for rare: false bits cost counting, not results. Phrases travel as 64-bit numbers
-while they are of the border, and as text, which the counts returned are of, once they are thought frequent.
+while they are of the border, cut to the bits that tell them apart, and as text, which the counts returned are of, once they are thought frequent: two of the border that share a number only
+look more frequent than they are.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +32,12 @@ CHUNK_BYTES = 4 << 20
 #: Bits of the guess: 64 for each frequent phrase of the sample, within these bounds (32 MB at most).
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 #: A sample's phrase is proposed from this share of the frequency that is expected of a phrase at the threshold.
-SLACK = 0.25
-SAMPLE = 0.2
+SLACK = 0.32
+SAMPLE = 0.25
+#: Border phrases of so much text, at the mean, meet in one task; so many numbers a task gathers before it sends them.
+BUCKET_BYTES = 64 << 20
+LEAST_BUCKET_BITS = 5
+HELD = 4_000_000
 
 _ends = np.zeros(256, bool)
 _ends[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -38,26 +46,61 @@ _blank[[0x20, 0x09]] = True
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 
+#: What tasks send: numbers of the border of a bucket, packed, or a phrase.
+SENT = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("packed", T.BinaryType()), T.StructField("h", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("phrase", T.StringType()), T.StructField("n", T.LongType())])
 COUNTS = T.StructType([T.StructField("h", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("phrase", T.StringType()), T.StructField("n", T.LongType())])
 PAGE = 1 << 20
 
 
-def in_bits(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Whether numbers are in the guess: two bits each."""
-    size = U(len(bits) * 8 - 1)
-    found = np.ones(len(h), bool)
-    for slot in (h & size, mix(h) & size):
+@dataclass(frozen=True)
+class Guess:
+    """What is thought frequent, as bits (None: nothing is), and what was in the pass before (None: there was none). bucket_bits and 32 more are what a number of the border keeps."""
+
+    now: np.ndarray | None
+    before: np.ndarray | None
+    bucket_bits: int
+
+    def cut(self, h: np.ndarray) -> np.ndarray:
+        return h >> U(32 - self.bucket_bits)
+
+
+def slots(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each number."""
+    k = mix(keys * ODD)
+    return k & U(size - 1), (k >> U(32)) & U(size - 1)
+
+
+def in_bits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether numbers are in the guess."""
+    found = np.ones(len(keys), bool)
+    for slot in slots(keys, len(bits) * 8):
         found &= (bits[(slot >> U(3)).astype(np.int64)] >> (slot & U(7)).astype(np.uint8)) & 1 == 1
     return found
 
 
-def bits_of(keys: DataFrame, size: int, before: np.ndarray | None = None) -> np.ndarray:
+def packed(low: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted 32-bit numbers and their counts: differences by planes of bytes, which compress, then counts up to 255, then those beyond."""
+    step = np.diff(low, prepend=np.uint32(0))
+    large = np.flatnonzero(n >= 255)
+    planes = step.view(np.uint8).reshape(-1, 4).T
+    return np.int64(len(low)).tobytes() + planes.tobytes() + np.minimum(n, 255).astype(np.uint8).tobytes() + n[large].astype(np.int64).tobytes()
+
+
+def unpacked(x: bytes) -> tuple[np.ndarray, np.ndarray]:
+    m = int(np.frombuffer(x, np.int64, 1)[0])
+    step = np.ascontiguousarray(np.frombuffer(x, np.uint8, 4 * m, 8).reshape(4, m).T).view(np.uint32).ravel()
+    n = np.frombuffer(x, np.uint8, m, 8 + 4 * m).astype(np.int64)
+    n[n == 255] = np.frombuffer(x, np.int64, -1, 8 + 5 * m) if len(x) > 8 + 5 * m else 0
+    return np.cumsum(step, dtype=np.uint32), n
+
+
+def bits_of(keys: DataFrame, size: int, bucket_bits: int, before: np.ndarray | None = None) -> np.ndarray:
     """The guess as a bitmap of so many bits (a power of two), those of before set as well. keys: h. Each task makes pages of it, so the driver gets size / 8 bytes at most."""
+    guess = Guess(None, None, bucket_bits)
 
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = batch.column(0).to_numpy().view(U)
-            slot = np.unique(np.concatenate([h & U(size - 1), mix(h) & U(size - 1)])).astype(np.int64)
+            slot = np.unique(np.concatenate(slots(guess.cut(batch.column(0).to_numpy().view(U)), size))).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(slot // PAGE), pa.array(slot % PAGE)], names=["page", "slot"])
 
     def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,8 +113,7 @@ def bits_of(keys: DataFrame, size: int, before: np.ndarray | None = None) -> np.
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([np.packbits(x, bitorder="little").tobytes()], pa.binary())], names=["page", "bits"])
 
     bits = np.zeros(size // 8, np.uint8) if before is None else before.copy()
-    parts = keys.select("h").mapInArrow(slots, "page long, slot long").distinct().repartition("page").mapInArrow(pages, "page long, bits binary")
-    for page, part in parts.toLocalIterator():
+    for page, part in keys.select("h").mapInArrow(placed, "page long, slot long").repartition("page").mapInArrow(pages, "page long, bits binary").collect():
         at = page * PAGE // 8
         bits[at : at + len(part)] |= np.frombuffer(part, np.uint8)
     return bits
@@ -132,42 +174,124 @@ def numbers(words: pa.LargeBinaryArray) -> np.ndarray:
     return out
 
 
-def counted(docs: DataFrame, text_col: str, lang_col: str, most: int, now: np.ndarray | None, before: np.ndarray | None) -> DataFrame:
-    """COUNTS rows, some for each chunk: phrases of up to most words that have to be counted under the guess `now` and were not under `before`.
+class Gathered:
+    """What a task has counted so far: numbers of the border, and phrases that are thought frequent."""
+
+    def __init__(self, guess: Guess):
+        self.guess, self.border, self.held = guess, [], 0
+        self.named: dict[tuple[str, str], list[int]] = {}
+
+    def add_border(self, h: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keys, n = np.unique(self.guess.cut(h), return_counts=True)
+        self.border.append((keys, n))
+        self.held += len(keys)
+        if self.held > HELD:
+            yield from self.sent_border()
+
+    def add_phrase(self, h: int, lang: str, phrase: str, n: int) -> None:
+        self.named.setdefault((lang, phrase), [h, 0])[1] += n
 
-    Thought frequent: with language and text; of the border: h alone. The number of words of each language stands under the phrase "", in the first pass (before is None).
+    def sent_border(self) -> Iterator[pa.RecordBatch]:
+        if not self.border:
+            return
+        keys, n = summed(np.concatenate([k for k, _ in self.border]), np.concatenate([n for _, n in self.border]))
+        self.border, self.held = [], 0
+        bucket = (keys >> U(32)).astype(np.int64)
+        edges = np.concatenate([np.flatnonzero(np.diff(bucket, prepend=-1)), [len(keys)]])
+        low = keys.astype(np.uint32)
+        rows = [(int(bucket[a]), packed(low[a:b], n[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        for k in range(0, len(rows), 64):
+            yield sent([r[0] for r in rows[k : k + 64]], packed=[r[1] for r in rows[k : k + 64]])
+
+    def sent_phrases(self) -> Iterator[pa.RecordBatch]:
+        rows = list(self.named.items())
+        self.named = {}
+        for k in range(0, len(rows), 10_000):
+            part = rows[k : k + 10_000]
+            yield sent([hash_of(p) >> 31 & (1 << self.guess.bucket_bits) - 1 for (_, p), _ in part], h=[x[0] for _, x in part], lang=[lang for (lang, _), _ in part], phrase=[p for (_, p), _ in part], n=[x[1] for _, x in part])
+
+
+def sent(bucket: list[int], **columns: list) -> pa.RecordBatch:
+    types = {"packed": pa.binary(), "h": pa.int64(), "lang": pa.string(), "phrase": pa.string(), "n": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *(pa.array(columns[c], t) if c in columns else pa.nulls(len(bucket), t) for c, t in types.items())], names=SENT.fieldNames())
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def counted(docs: DataFrame, text_col: str, lang_col: str, most: int, least: int, guess: Guess) -> DataFrame:
+    """COUNTS rows: of the phrases of up to most words that have to be counted under the guess `now` and were not under `before`, those that come at least so often.
+
+    Thought frequent: with language and text; of the border: with h alone, cut as in Guess. In the first pass (before is None) the number of words of each language stands under the phrase "".
+    Counts are made by task and meet by bucket, one of which is in memory at a time.
     """
     spark = docs.sparkSession
     ship(spark)
-    guess: Broadcast = spark.sparkContext.broadcast((now, before))
+    shared: Broadcast = spark.sparkContext.broadcast(guess)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, before = guess.value
+        guess = shared.value
+        gathered = Gathered(guess)
         for batch in batches:
             langs, lang = np.unique(np.array(batch.column(0).to_pylist(), object), return_inverse=True)
             seeds = mix(np.array([hash_of(x) for x in langs], U) * ODD)
             offsets, data = laid_out(batch.column(1))
             for part, at, rows in cut(data, offsets, CHUNK_BYTES):
-                yield from chunk_counts(_lower[part], at, lang[rows], langs, seeds, most, now, before)
+                yield from chunk_counts(_lower[part], at, lang[rows], langs, seeds, most, gathered)
+        yield from gathered.sent_border()
+        yield from gathered.sent_phrases()
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come bucket by bucket."""
+        held: list[pa.RecordBatch] = []
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            blobs = [unpacked(x.as_py()) for x in table["packed"].drop_null()]
+            if blobs:
+                low, n = summed(np.concatenate([b[0] for b in blobs]), np.concatenate([b[1] for b in blobs]))
+                often = n >= least
+                h = (U(held[0].column(0)[0].as_py()) << U(32) | low[often].astype(U)) << U(32 - bucket_bits)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.nulls(len(h), pa.string()), pa.nulls(len(h), pa.string()), pa.array(n[often])], names=COUNTS.fieldNames())
+            named = table.select(["h", "lang", "phrase", "n"]).filter(table["phrase"].is_valid())
+            if len(named):
+                sums = named.group_by(["lang", "phrase"]).aggregate([("h", "min"), ("n", "sum")])
+                sums = sums.filter(pc.or_(pc.greater_equal(sums["n_sum"], least), pc.equal(sums["phrase"], ""))).select(["h_min", "lang", "phrase", "n_sum"]).rename_columns(COUNTS.fieldNames())
+                yield from sums.to_batches()
+
+        for batch in batches:
+            bucket = batch.column(0).to_numpy()
+            edges = np.concatenate([np.flatnonzero(np.diff(bucket, prepend=-1)), [len(bucket)]])
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if held and held[0].column(0)[0].as_py() != bucket[a]:
+                    yield from ended()
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from ended()
 
-    return texts_of(docs, text_col, lang_col).mapInArrow(run, COUNTS)
+    bucket_bits = guess.bucket_bits
+    return texts_of(docs, text_col, lang_col).mapInArrow(run, SENT).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(met, COUNTS)
 
 
 def hash_of(name: str) -> int:
-    """The same number in every worker."""
-    x = 0
-    for b in name.encode():
-        x = (x * 0x100000001B3 + b + 1) % (1 << 63)
-    return x
+    """A number below 2^63, the same in every worker."""
+    return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little") >> 1
 
 
-def chunk_counts(low: np.ndarray, offsets: np.ndarray, lang: np.ndarray, langs: np.ndarray, seeds: np.ndarray, most: int, now: np.ndarray | None, before: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def chunk_counts(low: np.ndarray, offsets: np.ndarray, lang: np.ndarray, langs: np.ndarray, seeds: np.ndarray, most: int, gathered: Gathered) -> Iterator[pa.RecordBatch]:
     word, row, piece, starts, ends = numbered(low, offsets)
-    lang = lang[row]
-    if before is None and len(word):
+    guess, lang = gathered.guess, lang[row]
+    now, before = guess.now, guess.before
+    if before is None:
         totals = np.bincount(lang, minlength=len(langs))
-        there = np.flatnonzero(totals)
-        yield batch_of(np.zeros(len(there), U), langs[there].tolist(), [""] * len(there), totals[there])
+        for k in np.flatnonzero(totals):
+            gathered.add_phrase(0, langs[k], "", int(totals[k]))
     known = counted_before = None
     g = mix(word ^ seeds[lang])
     for n in range(1, most + 1):
@@ -177,45 +301,36 @@ def chunk_counts(low: np.ndarray, offsets: np.ndarray, lang: np.ndarray, langs:
         if n == 1:
             may, done = np.arange(m), np.full(m, before is not None)
         else:
-            whole = (piece[:m] == piece[n - 1 :]) & known[:m] & known[1 : m + 1]
-            may = np.flatnonzero(whole)
+            may = np.flatnonzero((piece[:m] == piece[n - 1 :]) & known[:m] & known[1 : m + 1])
             done = (counted_before[:m] & counted_before[1 : m + 1])[may]
             h = np.zeros(m, U)
             h[may] = mix(g[may] * ODD + word[may + n - 1])
             g = h
         own = g[may]
-        is_in = in_bits(now, own) if now is not None else np.zeros(len(own), bool)
-        was_in = done & in_bits(before, own) if before is not None else np.zeros(len(own), bool)
+        is_in = in_bits(now, guess.cut(own)) if now is not None else np.zeros(len(own), bool)
+        was_in = done & in_bits(before, guess.cut(own)) if before is not None else np.zeros(len(own), bool)
         known, counted_before = np.zeros(m, bool), np.zeros(m, bool)
         known[may], counted_before[may] = is_in, was_in
         # the border: counted once, when both parts are first thought frequent
-        numbers, counts = np.unique(own[~is_in & ~done], return_counts=True)
-        if len(numbers):
-            yield batch_of(numbers, [None] * len(numbers), [None] * len(numbers), counts)
+        yield from gathered.add_border(own[~is_in & ~done])
         named = np.flatnonzero(is_in & ~was_in)
         numbers, first, counts = np.unique(own[named], return_index=True, return_counts=True)
-        if len(numbers):
-            at = may[named[first]]
-            phrases = [b" ".join(low[a:b].tobytes().split()).decode() for a, b in zip(starts[at].tolist(), ends[at + n - 1].tolist(), strict=True)]
-            yield batch_of(numbers, langs[lang[at]].tolist(), phrases, counts)
-
-
-def batch_of(h: np.ndarray, lang: list, phrase: list, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(n.astype(np.int64))], names=COUNTS.fieldNames())
+        at = may[named[first]]
+        for x, k, a, b, c in zip(numbers.view(np.int64).tolist(), lang[at].tolist(), starts[at].tolist(), ends[at + n - 1].tolist(), counts.tolist(), strict=True):
+            gathered.add_phrase(x, langs[k], b" ".join(low[a:b].tobytes().split()).decode(), c)
 
 
-def closed(docs: DataFrame, text_col: str, lang_col: str, most: int, least: int, now: np.ndarray | None, size: int) -> DataFrame:
+def closed(docs: DataFrame, text_col: str, lang_col: str, most: int, least: int, now: np.ndarray | None, size: int, bucket_bits: int) -> DataFrame:
     """(h, lang, phrase, n): the phrases of up to most words that come at least so many times, exactly, and the words of each language (phrase ""), from the guess on."""
     before, found = None, None
     while True:
-        counts = counted(docs, text_col, lang_col, most, now, before).groupBy("h", "lang", "phrase").agg(F.sum("n").alias("n"))
-        counts = stored(counts.where((F.col("n") >= least) | (F.col("phrase") == "")))
+        counts = stored(counted(docs, text_col, lang_col, most, least, Guess(now, before, bucket_bits)))
         named = counts.where("phrase is not null")
         found = named if found is None else found.unionByName(named)
         missed = counts.where("phrase is null")
         if missed.isEmpty():
             return found
-        before, now = now if now is not None else np.zeros(size // 8, np.uint8), bits_of(missed, size, now)
+        before, now = now if now is not None else np.zeros(size // 8, np.uint8), bits_of(missed, size, bucket_bits, now)
 
 
 def sampled(docs: DataFrame, text_col: str, lang_col: str, share: float, least: int) -> DataFrame:
@@ -252,10 +367,12 @@ def texts_of(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = 5, least: int = 100, sample: float = SAMPLE) -> DataFrame:
     """(lang, phrase, n): see closed(). sample: the share of pieces that propose; it changes the number of passes, never the result."""
-    proposals = closed(stored(sampled(docs, text_col, lang_col, sample, least)), "text", "lang", most, max(2, int(least * sample * SLACK)), None, 1 << 26)
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    bucket_bits = min(32, max(LEAST_BUCKET_BITS, (size // BUCKET_BYTES).bit_length()))
+    proposals = closed(stored(sampled(docs, text_col, lang_col, sample, least)), "text", "lang", most, max(2, int(least * sample * SLACK)), None, 1 << 26, bucket_bits)
     keys = proposals.where("phrase <> ''")
-    size = min(MOST_BITS, max(LEAST_BITS, 1 << int(keys.count() * 64).bit_length()))
-    return closed(docs, text_col, lang_col, most, least, bits_of(keys, size), size).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(keys.count() * 64).bit_length()))
+    return closed(docs, text_col, lang_col, most, least, bits_of(keys, bits, bucket_bits), bits, bucket_bits).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = 5, least: int = 100, top: int = 2000, sample: float = SAMPLE) -> DataFrame:

@@ -106,9 +106,10 @@ def known_services(df: DataFrame) -> DataFrame:
     return df.select("service").where("service is not null").distinct()
 
 
-def pivot_series(series: DataFrame, value: str, services: list[str] | None = None) -> DataFrame:
-    """A row for each bucket, a column for each service in order; what is missing stays null."""
-    return series.groupBy("bucket").pivot("service", services).agg(F.first(value, ignorenulls=True)).orderBy("bucket")
+def pivot_series(series: DataFrame, value: str, services: list[str] | None = None, missing: float | None = None) -> DataFrame:
+    """A row for each bucket, a column for each service in order; what is missing stays null, or becomes `missing` (error rates: 0)."""
+    wide = series.groupBy("bucket").pivot("service", services).agg(F.first(value, ignorenulls=True))
+    return (wide if missing is None else wide.fillna(missing)).orderBy("bucket")
 
 
 def service_baselines(rollups: DataFrame, as_of: datetime, minutes: int = 60) -> DataFrame:

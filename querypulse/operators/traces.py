@@ -4,22 +4,26 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Written to the shared folder of spark.checkpoint.dir, so that rounds keep a short lineage and survive lost executors."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder under spark.checkpoint.dir, which the cluster shares. Where it is unset, a scratch folder in local mode; else an error, as executors would write to disks of their own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file:///tmp/spark-{uuid.uuid4().hex[:10]}"
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/traces-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Written to the shared folder, so that rounds keep a short lineage and survive lost executors."""
+    path = shared_folder(df.sparkSession, "traces")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def is_error(status: Column) -> Column:

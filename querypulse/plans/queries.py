@@ -407,24 +407,30 @@ def waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    tree = traces.assemble_traces(views.order_spans(spark, sf_dir))
-    baselines = tree.groupBy("service").agg(F.avg("duration_ms").alias("baseline_p95"))
-    return tree, baselines, findings.rank_findings(findings.findings(tree, baselines))
+    """Traces, the baselines of their services (mean 95th percentile of 30 days each, of all time) and ranked findings; a breach is 1.3 times the baseline here, as 2 is never reached."""
+    spans = views.order_spans(spark, sf_dir)
+    tree = traces.assemble_traces(spans)
+    events = spans.select("service", F.col("start_time").alias("timestamp"), F.col("duration_ms").alias("latency_ms"), "status", F.lit(None).cast("double").alias("relevance_score"), F.lit(False).alias("cache_hit"))
+    baselines = dashboards.service_baselines(rollup.metric_rollup(events, 2_592_000), datetime(2100, 1, 1, tzinfo=timezone.utc), minutes=100_000_000)
+    return tree, baselines, findings.rank_findings(findings.findings(tree, baselines, breach_ratio=1.3))
 
 
-FOUND = f"""{SP}, base AS (SELECT service, avg(ms) AS b FROM tr GROUP BY service), f AS (
-  SELECT trace_id, 'error_span' AS kind, span_id, 0.95 AS confidence FROM tr WHERE status = 'error'
-  UNION ALL SELECT trace_id, 'baseline_breach', span_id, least(0.95, 0.55 + ms / b / 20) FROM tr JOIN base USING (service) WHERE ms / b >= 2
-  UNION ALL SELECT trace_id, 'slow_span', span_id, least(0.9, 0.5 + self_ms / total_ms) FROM tr JOIN sm USING (trace_id) WHERE total_ms > 0 AND self_ms >= 100 AND self_ms / total_ms >= 0.35
-  UNION ALL SELECT trace_id, 'retry_storm', up, least(0.85, 0.4 + 0.1 * count(*)) FROM tr WHERE up IS NOT NULL GROUP BY trace_id, up, service, operation HAVING count(*) >= 3
-  UNION ALL SELECT trace_id, 'missing_spans', NULL, 0.6 FROM sm WHERE orphan_count > 0
-  UNION ALL SELECT trace_id, 'fan_out', span_id, 0.45 FROM tr WHERE n_children >= 8
-  UNION ALL SELECT trace_id, 'cache_miss', arg_max(span_id, ms), 0.5 FROM tr WHERE miss GROUP BY trace_id)"""
+FOUND = f"""{SP}, base AS (SELECT service, avg(p) AS b FROM (SELECT service, quantile_disc(ms, 0.95) AS p FROM sp GROUP BY service, floor(us / 1000000.0 / 2592000)) GROUP BY service), up AS (SELECT trace_id, span_id, operation AS up_operation FROM tr), f AS (
+  SELECT trace_id, 'error_span' AS kind, span_id, 0.95 AS confidence, service, operation, service || ' ' || operation || ' failed with status ' || status AS summary, round(ms, 3)::VARCHAR AS shown FROM tr WHERE status = 'error'
+  UNION ALL SELECT trace_id, 'baseline_breach', span_id, least(0.95, 0.55 + ms / b / 20), service, operation, service || ' ' || operation || ' took # times its baseline', round(ms, 3)::VARCHAR FROM tr JOIN base USING (service) WHERE ms / b >= 1.3
+  UNION ALL SELECT trace_id, 'slow_span', span_id, least(0.9, 0.5 + self_ms / total_ms), service, operation, service || ' ' || operation || ' spent # ms itself', round(self_ms / total_ms, 4)::VARCHAR FROM tr JOIN sm USING (trace_id) WHERE total_ms > 0 AND self_ms >= 100 AND self_ms / total_ms >= 0.35
+  UNION ALL SELECT t.trace_id, 'retry_storm', t.up, least(0.85, 0.4 + 0.1 * count(*)), t.service, t.operation, t.service || ' ' || t.operation || ' ran ' || count(*) || ' times below one ' || max(up_operation), count(*)::VARCHAR FROM tr t JOIN up ON up.trace_id = t.trace_id AND up.span_id = t.up GROUP BY t.trace_id, t.up, t.service, t.operation HAVING count(*) >= 3
+  UNION ALL SELECT trace_id, 'missing_spans', NULL, 0.6, string_split(min(s), ',')[1], NULL, max(orphan_count) || ' spans name a parent that is missing', max(orphan_count)::VARCHAR FROM (SELECT trace_id, orphan_count, (SELECT string_agg(DISTINCT service, ',' ORDER BY service) FROM tr t WHERE t.trace_id = sm.trace_id AND t.state = 'orphan') AS s FROM sm WHERE orphan_count > 0) GROUP BY trace_id
+  UNION ALL SELECT trace_id, 'fan_out', span_id, 0.45, service, operation, service || ' ' || operation || ' has ' || n_children || ' children', n_children::VARCHAR FROM tr WHERE n_children >= 8
+  UNION ALL SELECT trace_id, 'cache_miss', span_id, 0.5, service, operation, n || ' cache misses, the slowest in ' || service, n::VARCHAR FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY ms DESC, us, span_id) AS o, count(*) OVER (PARTITION BY trace_id) AS n FROM tr WHERE miss) WHERE o = 1)"""
 
 
-@query(f"WITH {FOUND} SELECT trace_id, kind, span_id, round(confidence + 1e-9, 2) AS confidence FROM f")
+@query(f"WITH {FOUND} SELECT trace_id, kind, span_id, round(confidence + 1e-9, 2) AS confidence, service, operation, summary, shown FROM f")
 def finding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(spark, sf_dir)[2].select("trace_id", "kind", "span_id", F.round(F.col("confidence") + 1e-9, 2).alias("confidence"))
+    """All findings with what they say (numbers with digits behind the point as #) and their first piece of evidence."""
+    found = _ranked(spark, sf_dir)[2]
+    of = F.create_map(*(F.lit(x) for k, v in (("error_span", "duration_ms"), ("baseline_breach", "duration_ms"), ("slow_span", "share"), ("retry_storm", "call_count"), ("missing_spans", "orphans"), ("fan_out", "children"), ("cache_miss", "misses")) for x in (k, v)))
+    return found.select("trace_id", "kind", "span_id", F.round(F.col("confidence") + 1e-9, 2).alias("confidence"), "service", "operation", F.regexp_replace("summary", r"\d+\.\d", "#").alias("summary"), F.element_at("evidence", of[F.col("kind")]).alias("shown"))
 
 
 @query(f"WITH {SP} SELECT trace_id, up AS span_id, service, operation, count(*) AS calls FROM tr WHERE up IS NOT NULL GROUP BY ALL HAVING count(*) >= 3")
@@ -456,13 +462,14 @@ def confidence_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(spark, sf_dir)[2].groupBy(confidence_band(F.col("confidence")).alias("band")).agg(F.count("*").alias("findings"))
 
 
-@query(f"WITH {FOUND}, hv AS (SELECT trace_id, service, sum(self_ms::DECIMAL(28, 6)) AS v FROM tr GROUP BY ALL), hot AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY v DESC, service) AS r FROM hv), ks AS (SELECT trace_id, string_agg(kind, ',' ORDER BY kind) AS kinds FROM f GROUP BY 1) SELECT 'q-' || o_orderkey AS query_id, coalesce(s.span_count, 0) AS spans, o_totalprice / 1000 AS latency_ms, coalesce(kinds, '') AS kinds, hot.service AS hotspot, round(hot.v, 3)::DOUBLE AS hotspot_ms FROM orders LEFT JOIN sm s ON s.trace_id = 't-' || o_orderkey LEFT JOIN ks ON ks.trace_id = s.trace_id LEFT JOIN hot ON hot.trace_id = s.trace_id AND hot.r = 1")
+@query(f"WITH {FOUND}, hv AS (SELECT trace_id, service, sum(self_ms::DECIMAL(28, 6)) AS v FROM tr GROUP BY ALL), hot AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY v DESC, service) AS r FROM hv), ks AS (SELECT trace_id, string_agg(kind, ',' ORDER BY kind) AS kinds FROM f GROUP BY 1) SELECT CASE WHEN s.trace_id IS NULL THEN 0 ELSE s.span_count END AS spans_in_trace, coalesce(s.orphan_count, 0) AS orphans_in_trace, 'q-' || o_orderkey AS query_id, coalesce(s.span_count, 0) AS spans, o_totalprice / 1000 AS latency_ms, coalesce(kinds, '') AS kinds, hot.service AS hotspot, round(hot.v, 3)::DOUBLE AS hotspot_ms FROM orders LEFT JOIN sm s ON s.trace_id = 't-' || o_orderkey LEFT JOIN ks ON ks.trace_id = s.trace_id LEFT JOIN hot ON hot.trace_id = s.trace_id AND hot.r = 1")
 def debug_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree, baselines, found = _ranked(spark, sf_dir)
     o = views.table(spark, sf_dir, "orders")
     events = o.select(F.concat(F.lit("q-"), F.col("o_orderkey").cast("string")).alias("query_id"), F.lit("gateway").alias("service"), F.lit("ok").alias("status"), (F.col("o_totalprice") / 1000).alias("latency_ms"), F.col("o_orderdate").cast("timestamp").alias("timestamp"))
     b = findings.debug_bundle(events, tree, found, baselines)
-    return b.select("query_id", F.coalesce("spans", F.lit(0)).alias("spans"), "latency_ms", F.array_join(F.array_sort("kinds"), ",").alias("kinds"), "hotspot", "hotspot_ms")
+    shown = lambda c: F.coalesce(F.get_json_object("trace", f"$.{c}").cast("long"), F.lit(0).cast("long"))
+    return b.select(shown("span_count").alias("spans_in_trace"), shown("orphan_count").alias("orphans_in_trace"), "query_id", F.coalesce("spans", F.lit(0)).alias("spans"), "latency_ms", F.array_join(F.array_sort("kinds"), ",").alias("kinds"), "hotspot", "hotspot_ms")
 
 
 RUNS = """ln AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn FROM lineitem), d AS (SELECT l_orderkey AS o, list(DISTINCT l_partkey::VARCHAR) AS ids, count(*) AS n FROM ln GROUP BY 1),
@@ -472,10 +479,10 @@ RUNS = """ln AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l
   dd AS (SELECT *, CASE WHEN la <= 0 THEN 1 ELSE lb / la END AS ratio, len(list_intersect(ia, ib)) AS n_common, len(list_filter(ib, lambda x: NOT list_contains(ia, x))) AS n_added, len(list_filter(ia, lambda x: NOT list_contains(ib, x))) AS n_removed FROM df)"""
 
 
-@query(f"WITH {RUNS} SELECT query_id, round(lb - la, 6) AS latency_delta_ms, round(ratio + 1e-12, 4) AS latency_ratio, nb - na AS count_delta, n_common, n_added, n_removed, fa <> fb AS status_changed, CASE WHEN fa AND fb THEN 'still failing' WHEN fa THEN 'no longer reproducible' WHEN ratio >= 1.5 THEN 'slower' WHEN n_added > 0 OR n_removed > 0 THEN 'different results' ELSE 'matches' END AS verdict FROM dd")
+@query(f"WITH {RUNS} SELECT query_id, round(lb - la, 6) AS latency_delta_ms, round(ratio + 1e-12, 4) AS latency_ratio, nb - na AS count_delta, n_common, n_added, n_removed, array_to_string(list_sort(list_intersect(ia, ib)), ',') AS common, array_to_string(list_sort(list_filter(ib, lambda x: NOT list_contains(ia, x))), ',') AS added, array_to_string(list_sort(list_filter(ia, lambda x: NOT list_contains(ib, x))), ',') AS removed, fa <> fb AS status_changed, CASE WHEN fa AND fb THEN 'still failing' WHEN fa THEN 'no longer reproducible' WHEN ratio >= 1.5 THEN 'slower' WHEN n_added > 0 OR n_removed > 0 THEN 'different results' ELSE 'matches' END AS verdict FROM dd")
 def diff_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = replay.diff_runs(*views.order_runs(spark, sf_dir))
-    return d.select("query_id", "latency_delta_ms", "latency_ratio", F.col("count_delta").cast("long").alias("count_delta"), *(F.size(c).cast("long").alias(f"n_{c}") for c in ("common", "added", "removed")), "status_changed", "verdict")
+    return d.select("query_id", "latency_delta_ms", "latency_ratio", F.col("count_delta").cast("long").alias("count_delta"), *(F.size(c).cast("long").alias(f"n_{c}") for c in ("common", "added", "removed")), *(F.array_join(c, ",").alias(c) for c in ("common", "added", "removed")), "status_changed", "verdict")
 
 
 @query("SELECT 'j-c-' || c AS id, 'c-' || c AS query_id, CASE WHEN c % 5 = 0 THEN 'failed' ELSE 'succeeded' END AS state, CASE WHEN c % 5 = 0 THEN 'no replay result' END AS error FROM (SELECT DISTINCT o_custkey AS c FROM orders)")

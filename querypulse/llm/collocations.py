@@ -11,12 +11,13 @@ look more frequent than they are.
 from __future__ import annotations
 
 import hashlib
+import json
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,8 +47,8 @@ _blank[[0x20, 0x09]] = True
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 
-#: What tasks send: numbers of the border of a bucket, packed, or a phrase.
-SENT = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("packed", T.BinaryType()), T.StructField("h", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("phrase", T.StringType()), T.StructField("n", T.LongType())])
+#: What tasks send for a bucket: numbers of the border, packed, and phrases with their counts, as compressed lines in order.
+SENT = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("packed", T.BinaryType()), T.StructField("named", T.BinaryType())])
 COUNTS = T.StructType([T.StructField("h", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("phrase", T.StringType()), T.StructField("n", T.LongType())])
 PAGE = 1 << 20
 
@@ -179,7 +180,7 @@ class Gathered:
 
     def __init__(self, guess: Guess):
         self.guess, self.border, self.held = guess, [], 0
-        self.named: dict[tuple[str, str], list[int]] = {}
+        self.named: dict[str, int] = {}  # language as JSON, a tab, phrase: neither holds a tab or line end
 
     def add_border(self, h: np.ndarray) -> Iterator[pa.RecordBatch]:
         keys, n = np.unique(self.guess.cut(h), return_counts=True)
@@ -188,8 +189,10 @@ class Gathered:
         if self.held > HELD:
             yield from self.sent_border()
 
-    def add_phrase(self, h: int, lang: str, phrase: str, n: int) -> None:
-        self.named.setdefault((lang, phrase), [h, 0])[1] += n
+    def add_phrases(self, lines: list[str], counts: list[int]) -> None:
+        named = self.named
+        for line, n in zip(lines, counts, strict=True):
+            named[line] = named.get(line, 0) + n
 
     def sent_border(self) -> Iterator[pa.RecordBatch]:
         if not self.border:
@@ -201,19 +204,20 @@ class Gathered:
         low = keys.astype(np.uint32)
         rows = [(int(bucket[a]), packed(low[a:b], n[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
         for k in range(0, len(rows), 64):
-            yield sent([r[0] for r in rows[k : k + 64]], packed=[r[1] for r in rows[k : k + 64]])
+            yield sent([r[0] for r in rows[k : k + 64]], "packed", [r[1] for r in rows[k : k + 64]])
 
     def sent_phrases(self) -> Iterator[pa.RecordBatch]:
-        rows = list(self.named.items())
+        parts: dict[int, list[str]] = {}
+        mask = (1 << self.guess.bucket_bits) - 1
+        for line in sorted(self.named):
+            parts.setdefault(zlib.crc32(line.encode()) & mask, []).append(f"{line}\t{self.named[line]}")
         self.named = {}
-        for k in range(0, len(rows), 10_000):
-            part = rows[k : k + 10_000]
-            yield sent([hash_of(p) >> 31 & (1 << self.guess.bucket_bits) - 1 for (_, p), _ in part], h=[x[0] for _, x in part], lang=[lang for (lang, _), _ in part], phrase=[p for (_, p), _ in part], n=[x[1] for _, x in part])
+        for bucket, lines in parts.items():
+            yield sent([bucket], "named", [zlib.compress("\n".join(lines).encode(), 1)])
 
 
-def sent(bucket: list[int], **columns: list) -> pa.RecordBatch:
-    types = {"packed": pa.binary(), "h": pa.int64(), "lang": pa.string(), "phrase": pa.string(), "n": pa.int64()}
-    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *(pa.array(columns[c], t) if c in columns else pa.nulls(len(bucket), t) for c, t in types.items())], names=SENT.fieldNames())
+def sent(bucket: list[int], column: str, values: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *(pa.array(values if c == column else [None] * len(bucket), pa.binary()) for c in ("packed", "named"))], names=SENT.fieldNames())
 
 
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,7 +243,7 @@ def counted(docs: DataFrame, text_col: str, lang_col: str, most: int, least: int
         gathered = Gathered(guess)
         for batch in batches:
             langs, lang = np.unique(np.array(batch.column(0).to_pylist(), object), return_inverse=True)
-            seeds = mix(np.array([hash_of(x) for x in langs], U) * ODD)
+            seeds = seeds_of(langs)
             offsets, data = laid_out(batch.column(1))
             for part, at, rows in cut(data, offsets, CHUNK_BYTES):
                 yield from chunk_counts(_lower[part], at, lang[rows], langs, seeds, most, gathered)
@@ -258,11 +262,15 @@ def counted(docs: DataFrame, text_col: str, lang_col: str, most: int, least: int
                 often = n >= least
                 h = (U(held[0].column(0)[0].as_py()) << U(32) | low[often].astype(U)) << U(32 - bucket_bits)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.nulls(len(h), pa.string()), pa.nulls(len(h), pa.string()), pa.array(n[often])], names=COUNTS.fieldNames())
-            named = table.select(["h", "lang", "phrase", "n"]).filter(table["phrase"].is_valid())
-            if len(named):
-                sums = named.group_by(["lang", "phrase"]).aggregate([("h", "min"), ("n", "sum")])
-                sums = sums.filter(pc.or_(pc.greater_equal(sums["n_sum"], least), pc.equal(sums["phrase"], ""))).select(["h_min", "lang", "phrase", "n_sum"]).rename_columns(COUNTS.fieldNames())
-                yield from sums.to_batches()
+            sums: dict[str, int] = {}
+            for x in table["named"].drop_null():
+                for line in zlib.decompress(x.as_py()).decode().split("\n"):
+                    key, _, n = line.rpartition("\t")
+                    sums[key] = sums.get(key, 0) + int(n)
+            often = [(*k.split("\t"), n) for k, n in sums.items() if n >= least or k.endswith("\t")]
+            if often:
+                langs, phrases, n = [json.loads(x[0]) for x in often], [x[1] for x in often], [x[2] for x in often]
+                yield pa.RecordBatch.from_arrays([pa.array(phrase_numbers(langs, phrases).view(np.int64)), pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(n, pa.int64())], names=COUNTS.fieldNames())
 
         for batch in batches:
             bucket = batch.column(0).to_numpy()
@@ -284,14 +292,32 @@ def hash_of(name: str) -> int:
     return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little") >> 1
 
 
+def seeds_of(langs: list[str]) -> np.ndarray:
+    return mix(np.array([hash_of(x) for x in langs], U) * ODD)
+
+
+def phrase_numbers(langs: list[str], phrases: list[str]) -> np.ndarray:
+    """The numbers that chunk_counts gives to phrases."""
+    words = [p.encode().split(b" ") for p in phrases]
+    known = sorted({w for p in words for w in p})
+    number = dict(zip(known, numbers(pa.array(known, pa.large_binary())).tolist(), strict=True))
+    seed = dict(zip(names := sorted(set(langs)), seeds_of(names).tolist(), strict=True))
+    out = mix(np.array([number[p[0]] ^ seed[lang] for p, lang in zip(words, langs, strict=True)], U))
+    for k in range(1, max(map(len, words), default=0)):
+        at = np.array([i for i, p in enumerate(words) if len(p) > k], np.int64)
+        out[at] = mix(out[at] * ODD + np.array([number[words[i][k]] for i in at], U))
+    return out
+
+
 def chunk_counts(low: np.ndarray, offsets: np.ndarray, lang: np.ndarray, langs: np.ndarray, seeds: np.ndarray, most: int, gathered: Gathered) -> Iterator[pa.RecordBatch]:
     word, row, piece, starts, ends = numbered(low, offsets)
     guess, lang = gathered.guess, lang[row]
     now, before = guess.now, guess.before
     if before is None:
         totals = np.bincount(lang, minlength=len(langs))
-        for k in np.flatnonzero(totals):
-            gathered.add_phrase(0, langs[k], "", int(totals[k]))
+        there = np.flatnonzero(totals)
+        gathered.add_phrases([f"{json.dumps(langs[k])}\t" for k in there], totals[there].tolist())
+    heads = [json.dumps(x) + "\t" for x in langs]
     known = counted_before = None
     g = mix(word ^ seeds[lang])
     for n in range(1, most + 1):
@@ -314,10 +340,9 @@ def chunk_counts(low: np.ndarray, offsets: np.ndarray, lang: np.ndarray, langs:
         # the border: counted once, when both parts are first thought frequent
         yield from gathered.add_border(own[~is_in & ~done])
         named = np.flatnonzero(is_in & ~was_in)
-        numbers, first, counts = np.unique(own[named], return_index=True, return_counts=True)
+        _, first, counts = np.unique(own[named], return_index=True, return_counts=True)
         at = may[named[first]]
-        for x, k, a, b, c in zip(numbers.view(np.int64).tolist(), lang[at].tolist(), starts[at].tolist(), ends[at + n - 1].tolist(), counts.tolist(), strict=True):
-            gathered.add_phrase(x, langs[k], b" ".join(low[a:b].tobytes().split()).decode(), c)
+        gathered.add_phrases([heads[k] + b" ".join(low[a:b].tobytes().split()).decode() for k, a, b in zip(lang[at].tolist(), starts[at].tolist(), ends[at + n - 1].tolist(), strict=True)], counts.tolist())
 
 
 def closed(docs: DataFrame, text_col: str, lang_col: str, most: int, least: int, now: np.ndarray | None, size: int, bucket_bits: int) -> DataFrame:

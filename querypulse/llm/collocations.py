@@ -166,7 +166,7 @@ def numbers(words: pa.LargeBinaryArray) -> np.ndarray:
     while k < len(words):
         to = max(k + 1, int(np.searchsorted(at, at[k] + (1 << 19), "right")) - 1)
         part = data[at[k] : at[to]]
-        up, down = powers(len(part))
+        up, down = powers(max(1, len(part)))
         total = np.zeros(len(part) + 1, U)
         np.cumsum(_letters[part] * up[: len(part)], out=total[1:])
         here = at[k : to + 1] - at[k]

@@ -22,6 +22,10 @@ from .shipping import hot_join, stored
 BANDED = 2
 #: Groups of so many lines that share a substring are compared pair by pair where the first comparison left several labels; lines of larger ones are grouped anew.
 FEW = 16
+#: What two parts left out hold at most, in units, for its neighbourhood to be listed; longer ones are compared pair by pair.
+MOST_REST = 48
+#: Stand for a unit that may be any, and for the units between two parts left out; numbers that no unit is likely to have.
+ANY, BETWEEN = 0x2B992DDFA23249D6, 0x5851F42D4C957F2D
 #: The parts of a line that are left out in turn, up to two of them, when lines are grouped anew: what remains is three quarters and more.
 BLOCKS = 8
 
@@ -106,9 +110,10 @@ def with_segments(rows: DataFrame, most: int, units_an_edit: int) -> DataFrame:
     return rows.withColumn("keys", F.array(*out)).drop("_n", "_low", "_low1", "_t0", "_t1", "_s0", "_s1")
 
 
-def with_blocks(rows: DataFrame, most: int, units_an_edit: int) -> DataFrame:
+def with_blocks(rows: DataFrame, most: int, units_an_edit: int, with_rest: bool = False) -> DataFrame:
     """rows (with units: an array) and key, own: a row for each way to leave out as many of a line's parts (BLOCKS; with more than two edits, one or two more than edits) as there may be edits. What remains is the same in a line within the threshold:
     what stands before the first part left out from the line's beginning, what stands behind the last one from its end, between them shifted by the edits before it.
+    with_rest, for two edits: also t, the edits that the class allows, and rest, the units left out, BETWEEN between the parts.
     """
     parts = BLOCKS if most <= 2 else most + 2 if most <= 4 else most + 1
     rows = rows.withColumn("_n", F.size("units")).withColumn("_top", lower_end(F.col("_n")))
@@ -129,7 +134,39 @@ def with_blocks(rows: DataFrame, most: int, units_an_edit: int) -> DataFrame:
     key = F.xxhash64(left, "_low", *blocks).bitwiseAND(F.lit(-2).cast("long"))
     own = F.when(plain, F.col("_own")).otherwise(0)
     kept = [c for c in both.columns if c not in ("units", "_n", "_low", "_size", "_own")]
-    return both.withColumn("w", F.explode(F.array(*ways))).where(there).select(*kept, key.alias("key"), own.alias("own"))
+    more = []
+    if with_rest:
+        first, end = size * left[0], size * (left[1] - left[0] - 1)
+        start = size * (left[0] + 1) + shift[1]
+        rest = F.concat(F.slice("units", first + 1, F.greatest(start - first, F.lit(0))), F.array(F.lit(BETWEEN).cast("long")), F.slice("units", start + end + 1, F.greatest(n - tail - start - end, F.lit(0))))
+        more = [threshold(F.col("_low"), most, units_an_edit).alias("t"), rest.alias("rest")]
+    return both.withColumn("w", F.explode(F.array(*ways))).where(there).select(*kept, key.alias("key"), own.alias("own"), *more)
+
+
+def neighbourhood_links(rows: DataFrame) -> DataFrame:
+    """(a, b): links that join all rows (key, h, t, rest) of a key whose rests are at most t edits apart, one or two. No two rows are compared.
+
+    Rests are that near if they become equal once each is changed at so many places: a unit for ANY in both (a substitution), or taken out of the longer (a deletion). So each rest is listed with its units
+    changed in these ways, and what meets is near. BETWEEN stays, so that no edit reaches from one part to the other.
+    """
+    n = F.size("rest")
+    wild = lambda x, i: F.concat(F.slice(x, 1, i - 1), F.array(F.lit(ANY).cast("long")), F.slice(x, i + 1, F.size(x)))
+    out = lambda x, i: F.concat(F.slice(x, 1, i - 1), F.slice(x, i + 1, F.size(x)))
+    told = lambda kind, x, own: F.struct(F.xxhash64("key", F.lit(kind), x).alias("k"), F.lit(own).alias("own"))
+    rest, places = F.col("rest"), F.filter(F.sequence(F.lit(1), n), lambda i: F.get("rest", i - 1) != BETWEEN)
+    two = lambda x: F.when(F.col("t") > 1, x).otherwise(F.array().cast("array<struct<k:bigint,own:int>>"))
+    # s: changed at one place each; d: one has a unit more; the same with two: ss, sd, dd, and m: each has a unit that the other has not
+    single = F.flatten(F.transform(places, lambda i: F.concat(F.array(told("s", wild(rest, i), 1), told("d", out(rest, i), 0)), two(F.array(told("sd", wild(rest, i), 1), told("m", out(rest, i), 1))))))
+
+    def pairs(i: Column) -> Column:
+        # j stands behind i, so that taking j out first leaves i where it is
+        later = lambda j: F.array(told("ss", wild(wild(rest, j), i), 1), told("sd", wild(out(rest, j), i), 0), told("sd", out(wild(rest, j), i), 0), told("dd", out(out(rest, j), i), 0))
+        return F.flatten(F.transform(F.filter(places, lambda j: j > i), later))
+
+    keys = F.concat(F.array(told("d", rest, 1)), single, two(F.concat(F.array(told("dd", rest, 1)), F.flatten(F.transform(places, pairs)))))
+    met = rows.where("t > 0").select("h", F.explode(F.array_distinct(keys)).alias("x")).select("h", "x.k", "x.own")
+    heads = met.groupBy("k").agg(F.min(F.when(F.col("own") == 1, F.col("h"))).alias("a"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("a is not null and lo <> hi").select("k", "a")
+    return met.join(heads, "k").where("a <> h").select("a", F.col("h").alias("b")).distinct()
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
@@ -148,7 +185,8 @@ def near_links(lines: DataFrame, members: DataFrame, most: int, units_an_edit: i
     """(a, b): links that join all lines within the threshold of each other. lines: h, line (each h once); members: (key, own, h, copies) of those that share a substring.
 
     In every group all lines are compared with the one of most copies, which others mostly are copies of; what is near it has its label, and pairs of one label need no comparison.
-    Of groups of several labels, those of few lines are compared pair by pair. Lines of larger ones are grouped anew by most of their units (with_blocks), the same way: labels first, then pairs of different ones.
+    Of groups of several labels, those of few lines are compared pair by pair. Lines of larger ones are grouped anew by most of their units (with_blocks), the same way: labels first, then pairs of few lines. In
+    groups that are still large, lines differ in two parts at most; what is near there is found by listing their neighbourhoods (for more than two edits, or long parts, pair by pair).
     """
     whole = unit == "char" and most > BANDED
     cut = lines.select("h", F.col("line") if whole else F.lit(None).cast("string").alias("line"), units_of(F.col("line"), unit).alias("units"))
@@ -185,7 +223,13 @@ def near_links(lines: DataFrame, members: DataFrame, most: int, units_an_edit: i
         still = told.groupBy("key").agg(F.count("*").alias("_w"), mixed).where("mixed").select("key", "_w")
         told = stored(hot_join(told, still, ["key"], "_w", total or 0))
         side = lambda c, rows: rows.where("h <> first").select("key", F.col("h").alias(c), F.col("own").alias(f"own_{c}"), F.col("label").alias(f"label_{c}"))
-        few = told.where(F.col("n") <= FEW) if level == 0 else told
+        few = told.where(F.col("n") <= FEW) if level == 0 or most == 2 else told
+        if level and most == 2:
+            many = told.where(F.col("n") > FEW).select("key", "h")
+            listed = stored(with_blocks(crowded.join(many.select("h").distinct(), "h", "left_semi").select("h", "units"), most, units_an_edit, True).join(many, ["key", "h"]).groupBy("key", "h", "t", "rest").agg(F.max("own").alias("own")))
+            longest = listed.groupBy("key").agg(F.max(F.size("rest")).alias("_m")).where(F.col("_m") > MOST_REST).select("key")
+            links = links.unionByName(stored(neighbourhood_links(listed.join(longest, "key", "left_anti").select("key", "h", "t", "rest"))))
+            few = few.unionByName(told.where(F.col("n") > FEW).join(longest, "key", "left_semi"))
         pairs = side("a", few).join(side("b", few), "key").where("a < b and label_a <> label_b and (own_a = 1 or own_b = 1)").select("a", "b")
         links = links.unionByName(compared(pairs))
         if level == 0:

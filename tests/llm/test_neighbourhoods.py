@@ -1,0 +1,54 @@
+"""Links by listed neighbourhoods against the edit distance of all pairs."""
+
+import random
+
+from querypulse.llm.components import connected_components
+from querypulse.llm.line_dedup import BETWEEN, neighbourhood_links
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_neighbourhoods(spark):
+    """Two parts each, edits only within a part; one or two edits; equal rests; empty parts; nothing across keys."""
+    random.seed(13)
+    rows, h = [], 0
+    for key in range(12):
+        t = 1 + key % 2
+        first = [[random.randint(1, 4) for _ in range(random.randint(0, 5))] for _ in range(2)]
+        for _ in range(14):
+            parts = [list(p) for p in first]
+            for _ in range(random.randint(0, 4)):
+                p = random.choice(parts)
+                k = random.randint(0, len(p))
+                kind = random.choice(["put", "take", "swap"])
+                if kind == "put":
+                    p.insert(k, random.randint(1, 4))
+                elif p and k < len(p):
+                    p[k : k + 1] = [] if kind == "take" else [random.randint(1, 4)]
+            rows.append((key, h, t, parts))
+            h += 1
+    df = spark.createDataFrame([(k, h, t, [*p[0], BETWEEN, *p[1]]) for k, h, t, p in rows], "key long, h long, t int, rest array<long>")
+    links = {(r.a, r.b) for r in neighbourhood_links(df).collect()}
+    own = {h: (k, t, p) for k, h, t, p in rows}
+    apart = lambda a, b: sum(distance(x, y) for x, y in zip(own[a][2], own[b][2], strict=True))
+    parent = list(range(h))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in own:
+        for b in own:
+            if a < b and own[a][0] == own[b][0] and apart(a, b) <= own[a][1]:
+                parent[max(top(a), top(b))] = min(top(a), top(b))
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(sorted(links), "a long, b long")).collect()}
+    assert {x: got.get(x, x) for x in own} == {x: top(x) for x in own}
+    assert all(own[a][0] == own[b][0] for a, b in links) and len(links) < len(rows) * 60

@@ -26,6 +26,8 @@ END = mix(np.array([0x656E64], U))[0]  # the number of the end of a text
 CHUNK_BYTES = 1 << 20
 BUCKET_BYTES = 64 << 20
 HASHES = 3
+#: Filters that are bound to have no more bytes together are broadcast and probed where texts are scored; larger ones are asked in their buckets.
+MOST_BROADCAST = 48 << 20
 #: A bucket's filter has 16 to 32 bits for each key, a power of two, at least so many.
 LEAST_BITS = 1 << 16
 LAMBDAS = np.array([0.0, 0.05, 0.15, 0.35, 0.6, 0.85])
@@ -202,9 +204,32 @@ def levelled(bigrams: DataFrame, buckets: int) -> DataFrame:
     return bigrams.groupBy("bucket").applyInArrow(run, SENT)
 
 
-def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def filters(bigrams: DataFrame) -> DataFrame:
+    """(bucket, bloom): the filter of each bucket, the same as levelled() probes."""
+
+    def run(table: pa.Table) -> pa.Table:
+        numbers, count, _, _ = bigram_counts(table)
+        return pa.table([pa.array(table["bucket"][:1].to_pylist(), pa.int32()), pa.array([bloom_filter(numbers, count)[0].tobytes()], pa.binary())], names=["bucket", "bloom"])
+
+    return bigrams.groupBy("bucket").applyInArrow(run, "bucket int, bloom binary")
+
+
+def levels_here(u: np.ndarray, s: np.ndarray, doc: np.ndarray, train: np.ndarray, buckets: int, blooms: dict[int, bytes]) -> np.ndarray:
+    """The level of each token's bigram, from filters that are here."""
+    place, numbers, _, there = bigrams_sent(u, s, doc, train, buckets)
+    level = np.zeros(len(numbers), np.int64)
+    for bucket, a, b in there:
+        bloom = np.frombuffer(blooms[bucket], np.uint8)
+        level[a:b] = probed(mix(U(bucket) << U(32) | numbers[a:b] & U(0xFFFFFFFF)), bloom, 8 * len(bloom))
+    return level[place]
+
+
+def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """Score all texts with a model of those that are not held out.
 
+    The filters of bigrams are broadcast to workers if the number of training tokens bounds them by most_broadcast bytes, and probed while texts are scored; else they are probed in the buckets where they are made.
+    The bits are the same, so the scores are. Very long texts are numbered and scored whole, in memory in proportion to their length.
+
     Returns id_col, held_out, n_tokens (words and the end), n_known (tokens seen in training), train_tokens, vocabulary, base_score (sum of log10 of unigrams smoothed by 0.1), score (log10 of
     the interpolated model, ends included). Null and empty texts are their end alone. A null held_out counts as false. Null ids stay, repeated rows are texts of their own. An empty table
     gives an empty result; without training texts all tokens are unknown and both scores are those of the smoothing. Other columns are not read.
@@ -216,7 +241,10 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     table = stored(chunks(docs, id_col, text_col, held_out))
     back = stored(sent(table, "words", buckets).groupBy("bucket").applyInArrow(answered, SENT))
     n, v = np.sum([np.frombuffer(r["counts"], np.int64) for r in back.where("chunk < 0").select("counts").collect()] or [[0, 0]], axis=0).tolist()  # two numbers a bucket
-    levels = stored(levelled(sent(table, "bigrams", buckets), buckets))
+    # A filter has 32 bits for each key at most, and a bigram seen c times no more than c keys, so 4 bytes for each token of training and the least size of each filter bound them all.
+    small = 4 * n + buckets * LEAST_BITS // 8 <= most_broadcast
+    blooms = spark.sparkContext.broadcast({r["bucket"]: bytes(r["bloom"]) for r in filters(sent(table, "bigrams", buckets)).collect()}) if small else None
+    answers = back.where("chunk >= 0") if small else back.where("chunk >= 0").unionByName(stored(levelled(sent(table, "bigrams", buckets), buckets)))
     floor = math.log10(n + 0.1 * (v + 1)) if n + v else -1.0
 
     active = len(LAMBDAS) * CLASSES
@@ -235,15 +263,15 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         """For each document log10 sums by class and weight; and a row for the chunk (left_out) with those of its training tokens, their own count taken out."""
         right = right.sort_by("bucket")
-        answers, bucket = right["counts"].to_pylist(), right["bucket"].to_pylist()
-        counts = np.concatenate([np.frombuffer(x, np.int64) for x, k in zip(answers, bucket, strict=True) if k < buckets])
-        levels_back = np.concatenate([np.frombuffer(x, np.uint8) for x, k in zip(answers, bucket, strict=True) if k >= buckets]).astype(np.int64)
+        told, bucket = right["counts"].to_pylist(), right["bucket"].to_pylist()
+        counts = np.concatenate([np.frombuffer(x, np.int64) for x, k in zip(told, bucket, strict=True) if k < buckets])
+        asked = [np.frombuffer(x, np.uint8) for x, k in zip(told, bucket, strict=True) if k >= buckets]
         tables = []
         for k in range(left.num_rows):
             f, u, s, doc, train = opened(*(left[c][k].as_py() for c in ("facts", "uniq", "stream")))
             c = np.empty(len(u), np.int64)
             c[np.argsort(bucket_of(u, buckets), kind="stable")] = counts
-            level = levels_back[bigrams_sent(u, s, doc, train, buckets)[0]]
+            level = levels_here(u, s, doc, train, buckets, blooms.value) if blooms else np.concatenate(asked).astype(np.int64)[bigrams_sent(u, s, doc, train, buckets)[0]]
             own, h = c[s], c[pairs(u, s, doc)[0]]
             kind = np.minimum(level_of(h + 1) >> 1, CLASSES - 1)
             sums = np.stack([np.bincount(doc * CLASSES + kind, x, len(f) * CLASSES).reshape(-1, CLASSES) for x in parts_of(own, h, level, 0)], 2).reshape(len(f), active)
@@ -254,7 +282,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
             tables.append(pa.table([pa.array(np.append(f[:, 0], 0), mask=null), pa.array(np.append(f[:, 2] > 0, False)), pa.array(np.append(f[:, 3], 0)), pa.array(np.append(np.bincount(doc, own > 0, len(f)), 0).astype(np.int64)), pa.array(np.append(base, 0.0)), rows, pa.array(np.arange(len(f) + 1) == len(f))], names=schema.fieldNames()))
         return pa.concat_tables(tables)
 
-    found = stored(table.groupBy("chunk").cogroup(back.where("chunk >= 0").unionByName(levels).groupBy("chunk")).applyInArrow(scored, schema))
+    found = stored(table.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, schema))
     likely = np.zeros(active)
     for r in found.where("left_out").select(F.posexplode("by_weight").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect():
         likely[r["k"]] = r["x"]

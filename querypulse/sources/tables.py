@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
@@ -133,6 +134,19 @@ def latest_by(df: DataFrame, keys: tuple[str, ...], version: str) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(by)).where("_r = 1").drop("_r")
 
 
+def write_keyed(df: DataFrame, name: str, keys: tuple[str, ...], buckets: int = 64, mode: str = "append") -> None:
+    """Append to a table of the catalog whose rows lie in buckets of their key, sorted by it: latest_by, upsert and joins by that key then need no shuffle of it. A rewrite keeps the number of buckets."""
+    df.repartition(buckets, *keys).sortWithinPartitions(*keys).write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(name)
+
+
+def compact_keyed(spark: SparkSession, name: str, keys: tuple[str, ...], version: str, buckets: int = 64) -> None:
+    """Leave only the newest version of each key in such a table. The new files are written before the name is passed on to them; readers meanwhile see the old table, but for the instant of the renaming."""
+    new = f"{name}_{uuid.uuid4().hex[:12]}"
+    write_keyed(latest_by(spark.table(name), keys, version), new, keys, buckets)
+    spark.sql(f"DROP TABLE {name}")
+    spark.sql(f"ALTER TABLE {new} RENAME TO {name}")
+
+
 def upsert(target: DataFrame, source: DataFrame, key: tuple[str, ...], keep: tuple[str, ...] = ()) -> DataFrame:
     """All rows of target, with those of source in their place; the columns in keep stay as target has them."""
     t = target.withColumn("_there", F.lit(True)).select(*key, "_there", *(F.col(c).alias(f"_t_{c}") for c in target.columns if c not in key))

@@ -1,6 +1,7 @@
 """Tables that a stream writes, old days, counters of a stream, records with maps."""
 
 import json
+import uuid
 from pathlib import Path
 
 import pytest
@@ -107,3 +108,31 @@ def test_records_with_maps(spark):
         assert [(r.event_id, r.metadata) for r in newest] == [("e1", {"a": "1", "b": "2"})]
         assert tables.latest_by(df, ("query_id",), "timestamp").first().metadata == {"a": "1", "b": "2"}
     assert rollup.dedupe_events(events(spark, [(1, 2.0, "ok", None)]).select("event_id")).count() == 1 and plain(BASE) == BASE
+
+
+def test_tables_kept_by_key_need_no_shuffle(spark):
+    """Reading the newest versions, merging new rows of the same buckets and compaction: no exchange of the stored rows."""
+    name = f"rollups_{uuid.uuid4().hex[:8]}"
+    rows = [(f"s{k % 7}", at(minutes=k % 50), k) for k in range(400)]
+    schema = "service string, window_start timestamp, v int"
+    keys = ("service", "window_start")
+    for part in (rows[:250], rows[250:]):
+        tables.write_keyed(spark.createDataFrame(part, schema).withColumn("inserted_at", F.timestamp_seconds("v")), name, keys, 4)
+    want = {}
+    for s, t, v in rows:
+        want[s, t.replace(tzinfo=None)] = max(v, want.get((s, t.replace(tzinfo=None)), -1))
+    read = lambda: {(r.service, r.window_start.replace(tzinfo=None)): r.v for r in tables.latest_by(spark.table(name), keys, "inserted_at").collect()}
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert read() == want and "Exchange" not in plan(tables.latest_by(spark.table(name), keys, "inserted_at"))
+    tables.compact_keyed(spark, name, keys, "inserted_at", 4)
+    assert spark.table(name).count() == len(want) and read() == want
+    other = f"{name}_new"
+    tables.write_keyed(spark.createDataFrame([("s1", at(minutes=1), -5), ("new", BASE, 0)], schema).withColumn("inserted_at", F.timestamp_seconds("v")), other, keys, 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        merged = tables.upsert(spark.table(name), spark.table(other), keys)
+        assert "Exchange" not in plan(merged) and {(r.service, r.v) for r in merged.where("v <= 0").collect()} >= {("s1", -5), ("new", 0)} and merged.count() == len(want) + 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for t in (name, other):
+            spark.sql(f"DROP TABLE IF EXISTS {t}")

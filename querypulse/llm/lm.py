@@ -113,7 +113,7 @@ def sent(table: DataFrame, what: str, buckets: int) -> DataFrame:
                 if what == "words":
                     order, there = cuts_of(bucket_of(u, buckets))
                     numbers, counts = u[order], np.bincount(s[train], minlength=len(u)).astype(np.uint32)[order]
-                    n, c = [numbers[a:b].tobytes() for _, a, b in there], [counts[a:b].tobytes() for _, a, b in there]
+                    n, c = [numbers[a:b].tobytes() for _, a, b in there], [planes(counts[a:b]) for _, a, b in there]
                 else:
                     _, numbers, counts, there = bigrams_sent(u, s, doc, train, buckets)
                     low = (numbers & U(0xFFFFFFFF)).astype(np.uint32)
@@ -123,13 +123,22 @@ def sent(table: DataFrame, what: str, buckets: int) -> DataFrame:
     return table.mapInArrow(run, SENT)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Numbers by their first bytes, second bytes and so on: the upper ones are mostly 0 and take no room once compressed."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def from_planes(x: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def answered(table: pa.Table) -> pa.Table:
     """Counts over the corpus for the words of a bucket, chunk by chunk in the order they came; a row of chunk -1 has the bucket's tokens and distinct words of training."""
     parts = [np.frombuffer(x.as_py(), U) for x in table["numbers"]]
-    counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table["counts"]])
+    counts = np.concatenate([from_planes(x.as_py(), np.uint32) for x in table["counts"]])
     uniq, at = np.unique(np.concatenate(parts), return_inverse=True)
     count = np.bincount(at, counts, len(uniq)).astype(np.int64)
-    back = [x.tobytes() for x in np.split(count[at], np.cumsum([len(p) for p in parts])[:-1])]
+    back = [planes(x) for x in np.split(count[at], np.cumsum([len(p) for p in parts])[:-1])]
     facts = np.array([count.sum(), (count > 0).sum()], np.int64).tobytes()
     return pa.table([pa.array([*table["bucket"].to_pylist(), 0], pa.int32()), pa.array([*table["chunk"].to_pylist(), -1], pa.int64()), pa.array([b""] * (len(parts) + 1), pa.binary()), pa.array([*back, facts], pa.binary())], names=SENT.fieldNames())
 
@@ -264,7 +273,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
         """For each document log10 sums by class and weight; and a row for the chunk (left_out) with those of its training tokens, their own count taken out."""
         right = right.sort_by("bucket")
         told, bucket = right["counts"].to_pylist(), right["bucket"].to_pylist()
-        counts = np.concatenate([np.frombuffer(x, np.int64) for x, k in zip(told, bucket, strict=True) if k < buckets])
+        counts = np.concatenate([from_planes(x, np.int64) for x, k in zip(told, bucket, strict=True) if k < buckets])
         asked = [np.frombuffer(x, np.uint8) for x, k in zip(told, bucket, strict=True) if k >= buckets]
         tables = []
         for k in range(left.num_rows):

@@ -214,3 +214,26 @@ def test_registered_queries_and_sql():
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries()) and len(__spark_entry__.queries()) > 40
     assert isinstance(SEARCH_EVENT, T.StructType)
+
+
+def test_shallow_traces_are_dealt_out_once(spark):
+    """Traces of roots and children are dealt out once; the same spans beside a deep trace give the same rows."""
+    at = lambda k: datetime(2024, 1, 1, 0, 0, 0, 1000 * k)
+    rows = [("a", "r", None, 0, 9.0), ("a", "c2", "r", 2, 3.0), ("a", "c1", "r", 1, 3.0), ("a", "o", "gone", 3, 2.0), ("b", "x", None, 0, 1.0), ("b", "y", "", 0, 1.0), ("b", "z", "y", 5, 1.0), ("b", "z", "y", 4, 1.0)]
+    deep = [("d", "1", None, 0, 5.0), ("d", "2", "1", 1, 4.0), ("d", "3", "2", 2, 3.0), ("e", "1", "1", 0, 1.0), ("f", "1", "2", 0, 1.0), ("f", "2", "1", 0, 1.0)]
+
+    def tree(listed):
+        s = spark.createDataFrame([(t, i, p, "q", "svc", "op", at(k), d, "ok", {}) for t, i, p, k, d in listed], "trace_id string, span_id string, parent_span_id string, query_id string, service string, operation string, start_time timestamp, duration_ms double, status string, attributes map<string,string>")
+        return traces.assemble_traces(s)
+
+    shown = lambda t: sorted((r.trace_id, r.span_id, r.parent_state, r.up, r.depth, r.root, r.preorder, r.on_critical_path, r.self_time_ms, r.n_children, r.cyclic) for r in t.collect())
+    alone, both = tree(rows), tree(rows + deep)
+    assert shown(alone) == [
+        ("a", "c1", "child", "r", 1, "r", 1, True, 3.0, 0, False), ("a", "c2", "child", "r", 1, "r", 2, False, 3.0, 0, False), ("a", "o", "orphan", None, 0, "o", 3, False, 2.0, 0, False), ("a", "r", "root", None, 0, "r", 0, True, 3.0, 2, False),
+        ("b", "x", "root", None, 0, "x", 0, True, 1.0, 0, False), ("b", "y", "root", None, 0, "y", 1, False, 0.0, 1, False), ("b", "z", "child", "y", 1, "y", 2, False, 1.0, 0, False),
+    ]
+    assert [r for r in shown(both) if r[0] in "ab"] == shown(alone)
+    assert [r[1:8] for r in shown(both) if r[0] == "d"] == [("1", "root", None, 0, "1", 0, True), ("2", "child", "1", 1, "1", 1, True), ("3", "child", "2", 2, "1", 2, True)]
+    assert all(r[-1] and r[4] is None for r in shown(both) if r[0] in "ef")
+    plan = alone._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == plan.count("Exchange hashpartitioning(trace_id#") == 1

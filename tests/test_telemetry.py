@@ -216,6 +216,12 @@ def test_registered_queries_and_sql():
     assert isinstance(SEARCH_EVENT, T.StructType)
 
 
+def test_digits_of_the_product(spark):
+    """257.8665 times 1000 is 257866.49999999997 and goes down, although its shortest decimal is a tie, as in DuckDB."""
+    s = spark.createDataFrame([(257.8665,), (130.2325,), (1.2344,), (2.5,)], "x double").select(findings.digits(F.col("x"), 3).alias("x"))
+    assert [r.x for r in s.collect()] == [257.866, 130.232, 1.234, 2.5]
+
+
 def test_shallow_traces_are_dealt_out_once(spark):
     """Traces of roots and children are dealt out once; the same spans beside a deep trace give the same rows."""
     at = lambda k: datetime(2024, 1, 1, 0, 0, 0, 1000 * k)

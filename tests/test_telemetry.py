@@ -243,3 +243,41 @@ def test_shallow_traces_are_dealt_out_once(spark):
     assert all(r[-1] and r[4] is None for r in shown(both) if r[0] in "ef")
     plan = alone._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert plan.count("Exchange hashpartitioning") == plan.count("Exchange hashpartitioning(trace_id#") == 1
+
+
+def bundle_rows(spark):
+    """Events and spans of odd shapes: a trace of two queries, a query of two traces, a circle, an orphan, a deep trace, events without traces, spans without events or query."""
+    kind = "trace_id string, span_id string, parent_span_id string, query_id string, service string, operation string, start_time timestamp, duration_ms double, status string, attributes map<string,string>"
+    row = lambda t, i, p, q, k, d, svc="a", status="ok", **x: (t, i, p, q, svc, "op", at(milliseconds=k), d, status, {c.replace("_", "."): v for c, v in x.items()})
+    rows = [row("t", "r", None, "q1", 0, 1000.0), *(row("t", f"k{k}", "r", "q1" if k < 6 else "q2", k, 50.0, "b") for k in range(8)), row("t", "e", "r", "q1", 9, 5.0, "b", "ERROR", error_message="boom", cache_hit="false")]
+    rows += [row("u", "r", None, "q1", 0, 10.0), row("u", "lost", "gone", "q1", 1, 20.0, "c"), row("loop", "x", "y", "q3", 0, 5.0, status="error"), row("loop", "y", "x", "q3", 0, 7.0), row("calm", "s", None, None, 0, 1.0)]
+    rows += [row("deep", f"d{k}", f"d{k - 1}" if k else None, "q4", 0, 9.0 - k) for k in range(5)]
+    rows += [row("u", "r", None, "q9", -5, 10.0)]  # the earlier of two spans of one id does not count, nor does its query
+    events = [(f"e{k}", q, "a", "ok", ms, at(milliseconds=k)) for k, (q, ms) in enumerate([("q1", 1.0), ("q1", 2.0), ("q3", 3.0), ("alone", 4.0), ("q9", 5.0)])]
+    return spark.createDataFrame(events, "event_id string, query_id string, service string, status string, latency_ms double, timestamp timestamp"), spark.createDataFrame(rows, kind), spark.createDataFrame([("a", 400.0)], "service string, baseline_p95 double")
+
+
+def test_debug_bundle_deals_out_no_text(spark):
+    """A bundle's findings, hotspot and JSON are worked out where the spans of a trace lie: spans are dealt out once for them and once for the ids of queries."""
+    events, spans, baselines = bundle_rows(spark)
+    tree = traces.assemble_traces(spans)
+    got = {(r.query_id, r.trace_id): r for r in findings.debug_bundle(events, tree, baselines).collect()}
+    assert {k: (r.spans, r.latency_ms, r.cyclic, r.hotspot, r.hotspot_ms) for k, r in got.items()} == {
+        ("q1", "t"): (8, 2.0, False, "a", 595.0), ("q2", "t"): (2, None, False, "a", 595.0), ("q1", "u"): (2, 2.0, False, "c", 20.0), ("q3", "loop"): (2, 3.0, True, "a", 2.0),
+        ("q4", "deep"): (5, None, False, "a", 9.0), (None, "calm"): (1, None, False, "a", 1.0), ("alone", None): (None, 4.0, None, None, None), ("q9", None): (None, 5.0, None, None, None),
+    }
+    listed = findings.rank_findings(findings.findings(tree, baselines)).orderBy("trace_id", "rank").collect()
+    for (_, t), r in got.items():
+        wanted = [(f.rank, f.kind, f.service, f.span_id, f.confidence, f.summary, f.evidence) for f in listed if f.trace_id == t]
+        assert [(f.rank, f.kind, f.service, f.span_id, f.confidence, f.said, {e.key: e.value for e in f.evidence}) for f in r.findings or []] == wanted and r.kinds == [f[1] for f in wanted]
+        assert r.summary == (wanted[0][5] if wanted else findings.UNREMARKABLE)
+    assert got["q1", "t"].kinds == ["error_span", "baseline_breach", "slow_span", "retry_storm", "fan_out", "cache_miss"] and got["q3", "loop"].kinds == [] and got["q1", "u"].kinds == ["missing_spans"]
+    assert {r.trace_id: r.trace for r in got.values() if r.trace} == {r.trace_id: r.trace for r in traces.trace_json(tree).collect()} and got["q1", "t"].baseline_p95 == 400
+
+    own = {r.trace_id: r for r in findings.debug_bundle(events, tree, baselines, "q2", retries=10).collect()}
+    assert set(own) == {"t"} and (own["t"].spans, own["t"].hotspot, own["t"].hotspot_ms) == (2, "b", 100.0) and "retry_storm" not in own["t"].kinds and '"span_count":2,' in own["t"].trace
+    assert findings.debug_bundle(events, tree, baselines, "none").isEmpty()
+
+    flat = findings.debug_bundle(events, traces.assemble_traces(spans.where("trace_id in ('t', 'u')")), baselines)
+    plan = flat._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("REPARTITION_BY_COL") == 2 and plan.count("Exchange hashpartitioning(trace_id#") == 2

@@ -281,3 +281,11 @@ def test_debug_bundle_deals_out_no_text(spark):
     flat = findings.debug_bundle(events, traces.assemble_traces(spans.where("trace_id in ('t', 'u')")), baselines)
     plan = flat._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert plan.count("REPARTITION_BY_COL") == 2 and plan.count("Exchange hashpartitioning(trace_id#") == 2
+
+
+def test_findings_work_out_only_what_is_asked_for(spark):
+    _, spans, baselines = bundle_rows(spark)
+    found = findings.findings(traces.assemble_traces(spans.where("trace_id in ('t', 'u')")), baselines)
+    plan = found.groupBy("kind").count()._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "format_string" not in plan and "error.message" not in plan and plan.count("Sort [trace_id#") == 4
+    assert {r.kind: r["count"] for r in found.groupBy("kind").count().collect()} == {"error_span": 1, "baseline_breach": 1, "slow_span": 1, "retry_storm": 1, "fan_out": 1, "cache_miss": 1, "missing_spans": 1}

@@ -2,6 +2,7 @@
 
 import json
 from datetime import datetime, timedelta, timezone
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -283,6 +284,33 @@ def test_debug_bundle_deals_out_no_text(spark):
     assert plan.count("REPARTITION_BY_COL") == 2 and plan.count("Exchange hashpartitioning(trace_id#") == 2
 
 
+def test_debug_bundle_sorts_plain_traces_once(spark, monkeypatch):
+    """Traces without repeated ids, of roots and children, are linked, judged and told in one sort; beside other traces they give the same rows. A task takes so many spans and no more."""
+    events, spans, baselines = bundle_rows(spark)
+    plain = spans.where("trace_id in ('t', 'u', 'calm') and (query_id is null or query_id <> 'q9')")
+    plain = plain.unionByName(plain.where("trace_id = 't'").withColumns({"trace_id": F.lit("v"), "service": F.when(F.col("span_id") != "k1", F.col("service")), "duration_ms": F.when(F.col("span_id") != "k2", F.col("duration_ms")), "parent_span_id": F.when(F.col("span_id") == "r", "").otherwise(F.col("parent_span_id"))}))
+    odd = spans.where("trace_id in ('loop', 'deep') or query_id = 'q9'")
+    alone, beside = traces.assemble_traces(plain), traces.assemble_traces(plain.unionByName(odd))
+    own = F.col("trace_id").isin("t", "u", "calm", "v")
+    shown = lambda df: {tuple(r[k] for k in ("trace_id", "span_id", "query_id") if k in r): r.asDict(True) for r in df.select(*sorted(df.columns)).where(own).collect()}
+    assert shown(alone) == shown(beside) and len(shown(alone)) == 23
+    assert {(r.trace_id, r.n_alike): r.n for r in alone.where("one_alike").groupBy("trace_id", "n_alike").agg(F.count("*").alias("n")).collect()} == {("t", 9): 1, ("v", 8): 1, ("v", 1): 1}
+    bundles = findings.debug_bundle(events, alone, baselines)
+    assert shown(bundles) == shown(findings.debug_bundle(events, beside, baselines)) and len(shown(bundles)) == 6
+    initial = lambda df: df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    plan = initial(bundles)
+    assert plan.count("Sort [trace_id#") == 1 and plan.count("+- Window [") == 1 and "Generate explode" not in plan and "REPARTITION_BY_NUM" not in plan
+    monkeypatch.setattr(traces, "MOST_SPANS", 2)
+    assert ", 12), REPARTITION_BY_NUM" in initial(traces.assemble_traces(plain))
+
+
+def test_most_spent(spark):
+    rows = [(0, []), (1, [("a", 1), ("a", 2), ("b", 3)]), (2, [(None, 1), ("a", 5), ("b", 2)]), (3, [("a", None), ("b", 5), ("b", None)]), (4, [(None, 4), (None, 4), ("a", 7)])]
+    df = spark.createDataFrame([(k, [(s, None if x is None else Decimal(x)) for s, x in v]) for k, v in rows], "k int, spent array<struct<service: string, ms: decimal(38,6)>>")
+    got = {r.k: r.hot and (r.hot.service, r.hot.ms and int(r.hot.ms)) for r in df.select("k", findings.most_spent(F.col("spent")).alias("hot")).collect()}
+    assert got == {0: None, 1: ("a", 3), 2: ("a", 5), 3: ("a", None), 4: (None, 8)}
+
+
 def test_findings_work_out_only_what_is_asked_for(spark):
     _, spans, baselines = bundle_rows(spark)
     found = findings.findings(traces.assemble_traces(spans.where("trace_id in ('t', 'u')")), baselines)
